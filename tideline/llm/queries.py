@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .neardup import op4_odd_sketch
 from .packing import op5_pack
 from .planes import op10_bit_planes
 from .secrets import OP9_SQL, op9_entropy_secrets
 from .tokencount import op2_separator_scan
 
-QUERIES = {f.__name__: f for f in (op2_separator_scan, op5_pack, op9_entropy_secrets, op10_bit_planes)}
+QUERIES = {f.__name__: f for f in (op2_separator_scan, op4_odd_sketch, op5_pack, op9_entropy_secrets, op10_bit_planes)}
 ORACLES: dict[str, str] = {"op9_entropy_secrets": OP9_SQL}
