@@ -86,7 +86,7 @@ def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str |
     groups = max(1, -(-docs.count() // group_size))
     pieces = document_pieces(docs, length, end_id, tokenizer).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table):
         table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending")])
         doc, tokens = np.asarray(table["doc_id"]), np.asarray(table["doc_tokens"])
         crcs = table["crcs"].combine_chunks()

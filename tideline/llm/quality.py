@@ -117,7 +117,7 @@ class Neighbours:
         return model
 
 
-def score_quality(docs: DataFrame, model: Neighbours, keep: str = "doc_id") -> DataFrame:
+def score_quality(docs: DataFrame, model: Neighbours) -> DataFrame:
     """Per row: doc_id, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * cap vectors of 48 numbers, and the axes
 
@@ -133,6 +133,24 @@ def score_quality(docs: DataFrame, model: Neighbours, keep: str = "doc_id") -> D
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: Neighbours, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for b in blocks(batch.column(at), 1 << 19):
+                for lo in range(0, b.n, 256):
+                    hi = min(b.n, lo + 256)
+                    a, z = b.offsets[lo], b.offsets[hi]
+                    keep.append(shared.value.votes(features(Block(0, b.data[a:z], b.offsets[lo : hi + 1] - a))) >= least)
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, cap: int = 3000) -> Neighbours:
     return Neighbours.fit(labelled_texts(docs, labels, "quality", fold("doc_id", 4) != 2, cap))
 
