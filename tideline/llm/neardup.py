@@ -1,15 +1,17 @@
 """Operator 4: near duplicates by banded MinHash, odd sketches and exact confirmation, as connected components.
 
 1. One scan makes a row for each document: a 128-bit fingerprint of its shingle set, one key for each band of MinHash
-   values, and an odd sketch.  An odd sketch has a bit for the parity of the number of MinHash samples that fall on it,
-   so the XOR of two sketches marks samples that differ, and its population count estimates the similarity, most
-   precisely where that is high.
+   values, and two odd sketches.  An odd sketch has a bit for the parity of the number of items that fall on it, so the
+   population count of the XOR of two tells how many items differ.  Over MinHash samples it estimates the similarity,
+   most precisely where that is high.  Over the whole set it never counts more than the sets differ by, so it bounds
+   the similarity from above and drops no pair that belongs.
 2. Documents with equal fingerprints are one class; only its smallest doc_id goes on.
-3. Members of a band's bucket are candidates with the bucket's smallest member (a star, so a bucket of m gives m - 1
-   pairs). Pairs whose sketches put them far below the threshold are dropped; the rest are compared as full sets.
+3. Each bucket of a band has up to PIVOTS pivots: the members whose buckets are the largest, which are the most central
+   ones of a group.  Members are candidates with pivots, so a bucket of m gives at most PIVOTS * m of them.  Those
+   that the sketches don't rule out are compared as full sets.
 4. Links give components. A bucket whose members are in different components still may hide links between these:
-   all its pairs across components are candidates of a second round. So each pair of a bucket is either compared
-   or already connected.
+   its pairs across components that the sketches don't rule out are compared in a second round.  So each pair of a
+   bucket is ruled out, compared, or already connected, and each is met in the first band it shares only.
 
 A pair at the threshold shares no band with a chance below 1e-6 (26 bands of 5).  No step gathers links or documents
 on the driver, and no group is held in one task as a whole.
@@ -22,13 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
 from .words import U, blocks, mix, shingles, word_names
 
-BANDS, ROWS, SKETCH_BITS = 26, 5, 512
+BANDS, ROWS, SKETCH_BITS, SET_BITS, PIVOTS = 26, 5, 512, 1024, 8
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -58,13 +60,17 @@ def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return k
 
 
+def parities(row: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """n bitmaps, as uint64 words: bit ``at`` of bitmap ``row`` is flipped, for each of the pairs."""
+    odd = np.bincount(row * bits + at, minlength=n * bits).astype(np.uint8).reshape(n, bits) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view(U)
+
+
 def odd_sketches(mins: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmaps, as uint64 words: each sample (its number and value) flips one bit."""
+    """Odd sketches of MinHash samples: each sample, its number and value, flips one bit."""
     n, k = mins.shape
     at = (mix(mins.astype(U) + (np.arange(1, k + 1, dtype=U) << U(32))) % U(bits)).astype(np.int64)
-    counts = np.zeros((n, bits), np.uint8)
-    np.add.at(counts, (np.repeat(np.arange(n), k), at.ravel()), 1)
-    return np.packbits(counts & 1, axis=1, bitorder="little").view(U)
+    return parities(np.repeat(np.arange(n), k), at.ravel(), n, bits)
 
 
 def estimate(distance, samples: int, bits: int):
@@ -72,20 +78,20 @@ def estimate(distance, samples: int, bits: int):
     return 1 + bits / (4 * samples) * np.log(np.maximum(1 - 2 * np.asarray(distance) / bits, 1e-9))
 
 
-def most_flips(similarity: float, samples: int, bits: int, sigmas: float = 6.0) -> int:
-    """The largest XOR count that a pair of this similarity shows, by that many standard deviations.
+def most_flips(similarity: float, samples: int, bits: int, sigmas: float = 5.0) -> int:
+    """The largest XOR count that a pair of this similarity shows, by that many standard deviations of the samples
+    that differ and of the bits these flip.
 
-    Each of samples * (1 - J) differing samples flips two bits, one in either sketch; m flips leave an odd count on
-    bits * (1 - (1 - 2 / bits)**m) / 2 bits.
+    m flips leave an odd count on bits * (1 - (1 - 2 / bits)**m) / 2 bits.
     """
-    differing = samples * (1 - similarity) + sigmas * (samples * similarity * (1 - similarity)) ** 0.5
-    m = 2 * min(samples, differing)
-    mean = bits * (1 - (1 - 2 / bits) ** m) / 2
-    return int(mean + sigmas * (mean / 2) ** 0.5) + 1
+    differing = samples * (1 - similarity)
+    spread = (4 * samples * similarity * (1 - similarity) + 2 * differing * (2 * differing / bits)) ** 0.5
+    m = min(2 * samples, 2 * differing + sigmas * spread)
+    return int(bits * (1 - (1 - 2 / bits) ** m) / 2) + 1
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint), bands, sketch."""
+    """doc_id, n_shingles, f1, f2 (fingerprint), bands, sketch (of the samples), whole (sketch of the set)."""
 
     def run(batches):
         for batch in batches:
@@ -100,19 +106,30 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 mins = min_hashes(h, to, BANDS * ROWS)
                 bands = band_keys(mins, BANDS, ROWS)
                 sketch = odd_sketches(mins, SKETCH_BITS)
+                whole = parities(np.repeat(np.arange(b.n), n), (mix(h + U(77)) % U(SET_BITS)).astype(np.int64), b.n, SET_BITS)
                 fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, b.n), pa.array(n), pa.array(keyed[:, 0].copy().view(np.int64)), pa.array(keyed[:, 1].copy().view(np.int64)), fixed(bands), fixed(sketch)],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                    [batch.column(0).slice(b.first, b.n), pa.array(n), pa.array(keyed[:, 0].copy().view(np.int64)), pa.array(keyed[:, 1].copy().view(np.int64)), fixed(bands), fixed(sketch), fixed(whole)],
+                    ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "whole"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, whole array<long>")
 
 
-def _flips(a: str, b: str):
+def _flips(a: str, b: str, bits: int) -> str:
     """Population count of the XOR of two sketches, in built-in functions."""
-    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_BITS // 64)))
+    return "(" + " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)) + ")"
+
+
+def _possible(percent: int) -> str:
+    """SQL: the pair of members x and y meets in the first band they share, and no sketch rules it out."""
+    far = most_flips(percent / 100, BANDS * ROWS, SKETCH_BITS)
+    differ = _flips("x.whole", "y.whole", SET_BITS)
+    first = " AND ".join(f"(x.band <= {i} OR x.bands[{i}] <> y.bands[{i}])" for i in range(BANDS - 1))
+    return f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+        AND {100 - percent} * (x.n + y.n) >= {100 + percent} * {differ}
+        AND {_flips("x.sketch", "y.sketch", SKETCH_BITS)} <= {far} AND {first}"""
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -168,38 +185,37 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept, n_links_tested of its class with others."""
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     spark = docs.sparkSession
     folder = store.scratch(spark, "neardup")
     sig = store.written(signatures(docs, k), f"{folder}/sig")
-    classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "whole")).alias("s")
+    classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(least).select("f1", "f2", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch", "s.whole")
     reps = store.written(classes, f"{folder}/reps")
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).where("lead <> most").select("key", "lead")
+    # 31 bits of a band's key tell bands of two members apart; the bucket's key has all 64.
+    keyed = reps.select("rep", "n", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"), "sketch", "whole", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = store.written(keyed.join(buckets, "key"), f"{folder}/members")
-    samples = BANDS * ROWS
-    far = most_flips(percent / 100, samples, SKETCH_BITS)
-    small = reps.select("rep", "n", "sketch")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and sketches allow the similarity."""
-        p = pairs.join(small.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        p = p.join(small.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        return p.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_flips("sa", "sb") <= far)).select("a", "b")
-
-    star = store.written(near(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()), f"{folder}/star")
+    weight = members.groupBy("rep").agg(F.sum(F.log2("size")).alias("weight"))
+    rank = Window.partitionBy("key").orderBy(F.col("weight").desc(), "rep")
+    pivots = members.select("key", "rep").join(weight, "rep").withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= PIVOTS).select("key", F.col("rep").alias("pivot"))
+    # A pivot's sketches come from its own row of the bucket.
+    heads = members.join(pivots.withColumnRenamed("pivot", "rep"), ["key", "rep"], "left_semi")
+    pairs = heads.alias("x").join(members.alias("y"), F.expr(f"x.key = y.key AND x.rep <> y.rep AND {_possible(percent)}"))
+    ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    star = store.written(pairs.select(*ends).distinct(), f"{folder}/star")
     some = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     texts = store.written(texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
     links = store.written(confirmed(star, texts, k, percent), f"{folder}/links")
     comp = store.written(components(spark, links, f"{folder}/cc1"), f"{folder}/comp1")
     # Second round: pairs of a bucket across components.
-    placed = members.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    placed = store.written(placed.join(split, "key").join(small, "rep"), f"{folder}/placed")
-    x, y = (placed.select("key", *[F.col(c).alias(c + s) for c in ("rep", "c", "n", "sketch")]) for s in "ab")
-    cross = x.join(y, "key").where((F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_flips("sketcha", "sketchb") <= far))
-    cross = cross.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    placed = members.select("key", "rep").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    # One of a pair across components is outside the bucket's largest component.
+    largest = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    placed = store.written(members.join(placed.join(largest, "key"), ["key", "rep"]), f"{folder}/placed")
+    cross = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {_possible(percent)}")).select(*ends)
+    cross = store.written(cross.join(star, ["a", "b"], "left_anti"), f"{folder}/cross")
     more = store.written(confirmed(cross, texts, k, percent), f"{folder}/more")
     if more.take(1):
         comp = store.written(components(spark, comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/cc2"), f"{folder}/comp2")
