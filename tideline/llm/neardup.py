@@ -117,19 +117,19 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, whole array<long>")
 
 
-def _flips(a: str, b: str, bits: int) -> str:
-    """Population count of the XOR of two sketches, in built-in functions."""
-    return "(" + " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)) + ")"
+def _flips(name: str, bits: int) -> str:
+    """SQL: population count of the XOR of the sketches of x and y, which are in columns of 64 bits each. (As arrays
+    the condition would be too long for the JVM to compile.)"""
+    return "(" + " + ".join(f"bit_count(x.{name}{i} ^ y.{name}{i})" for i in range(bits // 64)) + ")"
 
 
 def _possible(percent: int) -> str:
-    """SQL: the pair of members x and y meets in the first band they share, and no sketch rules it out."""
+    """SQL: no sketch rules the pair of members x and y out, and they meet in the first band they share."""
     far = most_flips(percent / 100, BANDS * ROWS, SKETCH_BITS)
-    differ = _flips("x.whole", "y.whole", SET_BITS)
-    first = " AND ".join(f"(x.band <= {i} OR x.bands[{i}] <> y.bands[{i}])" for i in range(BANDS - 1))
     return f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-        AND {100 - percent} * (x.n + y.n) >= {100 + percent} * {differ}
-        AND {_flips("x.sketch", "y.sketch", SKETCH_BITS)} <= {far} AND {first}"""
+        AND {100 - percent} * (x.n + y.n) >= {100 + percent} * {_flips("whole", SET_BITS)}
+        AND {_flips("sketch", SKETCH_BITS)} <= {far}
+        AND NOT arrays_overlap(slice(x.bands, 1, x.band), slice(y.bands, 1, x.band))"""
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -192,8 +192,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "whole")).alias("s")
     classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(least).select("f1", "f2", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch", "s.whole")
     reps = store.written(classes, f"{folder}/reps")
-    # 31 bits of a band's key tell bands of two members apart; the bucket's key has all 64.
-    keyed = reps.select("rep", "n", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"), "sketch", "whole", F.posexplode("bands").alias("band", "key"))
+    # Bands differ in all their keys, so 31 bits of them tell which bands two members share; a bucket has all 64.
+    words = [F.col(name)[i].alias(f"{name}{i}") for name, bits in (("sketch", SKETCH_BITS), ("whole", SET_BITS)) for i in range(bits // 64)]
+    short = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
+    keyed = reps.select("rep", "n", short, *words, F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = store.written(keyed.join(buckets, "key"), f"{folder}/members")
     weight = members.groupBy("rep").agg(F.sum(F.log2("size")).alias("weight"))
