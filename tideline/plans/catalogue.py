@@ -1,4 +1,341 @@
 """Every query of the recall engine by name, with its DuckDB counterpart."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import model, text
+from ..operators import index, metrics, pack, rank, stats, strength
+from ..sources import tables as t
+from .oracles import ORACLES
+
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+TOP = 10
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return t.table(s, d, "documents")
+
+
+def _state(s: SparkSession, d: str) -> DataFrame:
+    return strength.fold(t.base_memories(s, d), t.mem_events(s, d), t.NOW)
+
+
+def _texts(name: str, expr):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return _docs(s, d).select("doc_id", expr(F.col("text")).alias("value"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+_texts("tokens_per_doc", lambda c: F.size(text.tokens(c)).cast("long"))
+_texts("normalized_text", text.normalized)
+_texts("keyword_fallback", lambda c: F.array_join(text.keywords(c), " "))
+_texts("summary_160", text.summary)
+_texts("gist_64", text.gist)
+_texts("sketch_bottom8", lambda c: F.array_join(F.transform(text.sketch(c), lambda x: x.cast("string")), ","))
+_texts("content_id", text.content_id)
+_texts("downgrade_100", lambda c: text.downgraded(c, 100))
+
+
+@query
+def jaccard_pairs(s, d):
+    """Token-set similarity of documents that follow each other."""
+    x = _docs(s, d).select("doc_id", text.token_set(F.col("text")).alias("k"))
+    y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("k").alias("k2"))
+    return x.join(y, "doc_id").select("doc_id", F.round(text.jaccard(F.col("k"), F.col("k2")), 9).alias("jaccard"))
+
+
+@query
+def strength_decay(s, d):
+    m = t.base_memories(s, d)
+    decayed = model.INITIAL * F.exp(-model.rate(F.col("category")) * F.greatest(F.lit(0.0), t.NOW - F.col("created")) / model.DAY)
+    return m.select("id", F.round(decayed, 9).alias("strength"))
+
+
+@query
+def strength_after_access(s, d):
+    return _state(s, d).select("id", "n_access", "strength", "last_access")
+
+
+@query
+def tier_assignment(s, d):
+    return _state(s, d).select("id", "tier")
+
+
+@query
+def tier_histogram(s, d):
+    return _state(s, d).groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("strength"), 7).alias("mean_strength"))
+
+
+@query
+def store_stats(s, d):
+    one = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return _state(s, d).agg(F.count("*").alias("total"), one("retired"), one("pinned"), F.round(F.avg("strength"), 7).alias("mean_strength"))
+
+
+@query
+def retired_excluded(s, d):
+    return _state(s, d).where("retired").select("id")
+
+
+@query
+def pinned_full_strength(s, d):
+    return _state(s, d).where("pinned").select("id", "strength", "tier")
+
+
+@query
+def identity_collapse(s, d):
+    return strength.collapsed(t.base_memories(s, d)).select("id", F.col("copies").cast("long").alias("copies"))
+
+
+@query
+def merge_duplicates(s, d):
+    return strength.merged(_state(s, d)).select("id", "n_access", "strength", "last_access", "created", "pinned")
+
+
+@query
+def prune_weakest(s, d):
+    """What goes if four fifths may stay."""
+    state = _state(s, d)
+    return strength.pruned(state, state.count() * 4 // 5).select("id", "strength")
+
+
+@query
+def refresh_report(s, d):
+    m, e = t.base_memories(s, d), t.mem_events(s, d)
+    return strength.refresh_report(strength.fold(m, e, t.NOW), strength.fold(m, e, t.NOW - 7 * 86400))
+
+
+@query
+def priority_order(s, d):
+    w = Window.orderBy("retired", F.col("pinned").desc(), F.col("strength").desc(), F.col("last_access").desc(), F.col("created").desc(), "id")
+    return _state(s, d).select("id", F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query
+def idf(s, d):
+    live = _state(s, d).where("NOT retired")
+    return index.idf(index.postings(live), live.count()).select("term", "df", F.round("w", 9).alias("w"))
+
+
+@query
+def df_topk(s, d):
+    return index.postings(t.base_memories(s, d)).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(25)
+
+
+def _live(s, d):
+    return _state(s, d).where("NOT retired")
+
+
+def _ranked(df):
+    return df.select("qid", "id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def cosine_top10(s, d):
+    return _ranked(rank.top(index.cosine(_live(s, d), t.mem_queries(s, d)), TOP))
+
+
+@query
+def cosine_tf_top10(s, d):
+    return _ranked(rank.top(index.cosine(_live(s, d), t.mem_queries(s, d), repeats=True, limit=None), TOP))
+
+
+@query
+def bm25_top10(s, d):
+    return _ranked(rank.top(index.bm25(_live(s, d), t.mem_queries(s, d)), TOP))
+
+
+@query
+def dense_top10(s, d):
+    v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return _ranked(rank.top(index.dense(v.where("id >= 10"), v.where("id < 10")), TOP))
+
+
+@query
+def fifo_rank(s, d):
+    return _live(s, d).select("id", F.row_number().over(Window.orderBy("created", "id")).cast("long").alias("rank"))
+
+
+@query
+def recency_rank(s, d):
+    w = Window.orderBy(F.col("last_access").desc(), F.col("created").desc(), "id")
+    return _live(s, d).select("id", F.row_number().over(w).cast("long").alias("rank"))
+
+
+def _candidates(s, d, prior=0.0):
+    state = pack.with_bodies(_state(s, d))  # once a memory, not once a candidate
+    return rank.candidates(index.cosine(state.where("NOT retired"), t.mem_queries(s, d)), state, prior)
+
+
+@query
+def blend_prior_rank(s, d):
+    return _candidates(s, d, 0.35).where(F.col("rank") <= TOP).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def query_blind_rank(s, d):
+    return rank.query_blind(_state(s, d)).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def pool_600(s, d):
+    return _candidates(s, d).groupBy("qid").agg(F.count("*").alias("n"), F.max("rank").cast("long").alias("last"))
+
+
+def _bm25(s, d):
+    live = pack.with_bodies(_live(s, d))
+    order = (F.col("sim").desc(), F.col("last_access").desc(), F.col("created").desc(), "id")
+    return rank.top(index.bm25(live, t.mem_queries(s, d)).join(live.select("id", "content", "last_access", "created", "full", "summary", "gist"), "id"), model.POOL, *order)
+
+
+@query
+def pack_full(s, d):
+    return pack.pack_in_order(_bm25(s, d), "full")
+
+
+@query
+def pack_tiered(s, d):
+    return pack.pack_tiered(_candidates(s, d))
+
+
+@query
+def pack_knapsack(s, d):
+    return pack.pack_by_worth(_candidates(s, d))
+
+
+@query
+def recall_flagship(s, d):
+    """Decay, tiers, cosine, pool and packer in one plan, blended with strength as the older policies do."""
+    return pack.pack_by_worth(_candidates(s, d, 0.35))
+
+
+@query
+def pack_truncate(s, d):
+    return pack.pack_truncated(_bm25(s, d))
+
+
+@query
+def pack_ladder(s, d):
+    b = _bm25(s, d).withColumn("tier", pack.ladder_tier(F.col("rank")))
+    cost = F.when(F.col("tier") == "active", F.col("full")).when(F.col("tier") == "latent", F.col("summary")).otherwise(F.col("gist"))
+    return pack.pack_in_order(b.withColumn("cost", cost), "cost")
+
+
+@query
+def pack_bm25_knapsack(s, d):
+    b = _bm25(s, d).withColumn("tier", pack.ladder_tier(F.col("rank"))).withColumn("utility", 1.0 / F.col("rank"))
+    return pack.pack_by_worth(b)
+
+
+def _records(s, d):
+    """Two arms over all queries: BM25 with whole texts, cosine with the packer by worth."""
+    ev = t.evidence(s, d).groupBy("qid").agg(F.collect_set("id").alias("evidence"))
+    arms = []
+    for arm, rows, packed in (("bm25", _bm25(s, d), pack_full(s, d)), ("cosine", _candidates(s, d), pack_knapsack(s, d))):
+        ranked = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
+        x = packed.join(ranked, "qid").join(ev, "qid")
+        used = F.when(F.col("used_ids") == "", F.array().cast("array<string>")).otherwise(F.split("used_ids", ","))
+        arms.append(x.select(F.lit(arm).alias("arm"), "qid", used.alias("used"), F.transform("r", lambda y: y["id"]).alias("ranked"), "evidence", "chars", F.lit(model.BUDGET).alias("budget")))
+    return arms[0].unionByName(arms[1])
+
+
+@query
+def record_metrics(s, d):
+    return metrics.per_record(_records(s, d)).drop("budget")
+
+
+@query
+def summary_by_arm(s, d):
+    return metrics.summary(metrics.per_record(_records(s, d)), "arm")
+
+
+@query
+def align_arms(s, d):
+    return metrics.aligned(metrics.per_record(_records(s, d)), "bm25", "cosine", "ndcg10")
+
+
+@query
+def wilcoxon_w(s, d):
+    return metrics.wilcoxon_w(align_arms(s, d))
+
+
+@query
+def cliffs_delta(s, d):
+    return metrics.cliffs_delta(align_arms(s, d))
+
+
+@query
+def wilcoxon_p(s, d):
+    return stats.paired_p(align_arms(s, d).withColumn("name", F.lit("bm25-cosine")))
+
+
+@query
+def bootstrap_ci(s, d):
+    return stats.bootstrap(align_arms(s, d))
+
+
+@query
+def holm(s, d):
+    p = t.table(s, d, "events").groupBy(F.col("event_type").alias("name")).agg((F.lit(1.0) / (1 + F.count("*") % 97)).alias("p"))
+    return metrics.holm(p)
+
+
+@query
+def near_duplicates_090(s, d):
+    """Pairs at 0.9 and more of token sets, among those that share a sketch value; all caps lifted."""
+    k = t.base_memories(s, d).select("id", text.token_set(F.col("content")).alias("k"))
+    p = index.sketch_candidates(t.base_memories(s, d), 0, 0).where("a < b")
+    p = p.join(k.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    p = p.where(F.least(F.size("ka"), F.size("kb")) >= 0.9 * F.greatest(F.size("ka"), F.size("kb")))
+    return p.withColumn("jaccard", F.round(text.jaccard(F.col("ka"), F.col("kb")), 9)).where("jaccard >= 0.9").select("a", "b", "jaccard")
+
+
+@query
+def sketch_candidates(s, d):
+    return index.sketch_candidates(t.base_memories(s, d)).select("a", "b", "shared")
+
+
+@query
+def oracle_answer(s, d):
+    """The line of the evidence that is most like the query; the longest, then the first, of equals."""
+    q = t.mem_queries(s, d).withColumn("k", text.token_set(F.col("query")))
+    lines = t.line_memories(s, d).select("doc_id", "id", "content").join(t.evidence(s, d).select("qid", F.substring("id", 2, 8).cast("long").alias("doc_id")), "doc_id").join(F.broadcast(q), "qid")
+    j = F.round(text.jaccard(F.col("k"), text.token_set(F.col("content"))), 9)
+    w = Window.partitionBy("qid").orderBy(F.col("j").desc(), F.length("content").desc(), "id")
+    return lines.withColumn("j", j).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("qid", "id", "j")
+
+
+@query
+def stream_strength(s, d):
+    """The stream's final strength at now, from the events as a stream; it must equal the batch fold."""
+    import tempfile
+
+    from ..streaming.strength import stream_strength as fold
+
+    n = _docs(s, d).count()
+    raw = s.readStream.schema(t.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    op = F.when(F.col("event_type").isin("click", "view", "purchase"), "access").when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), "retire").when((F.col("event_type") == "signup") & (F.col("event_id") % 100 == 0), "pin")
+    e = raw.select(F.col("event_id").alias("seq"), t.memory_id((F.col("event_id") * 31 + F.col("user_id")) % n).alias("id"), op.alias("op"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("ts").cast("timestamp").alias("event_time")).where("op is not null")
+    m = t.base_memories(s, d).select("id", "created", model.rate(F.col("category")).alias("rate"))
+    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    import uuid
+
+    root = f"{base}/stream-{uuid.uuid4().hex}"
+    q = fold(e.join(m, "id")).writeStream.outputMode("update").option("checkpointLocation", f"{root}/check").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.parquet(f"{root}/out/{i}")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = s.read.option("recursiveFileLookup", True).parquet(f"{root}/out")
+    last = out.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.col("batch").desc()))).where("rn = 1")
+    now = F.col("score") * F.exp(-F.col("rate") * (t.NOW - F.col("score_at")) / model.DAY)
+    return last.join(m, "id").where("score_at <= " + str(t.NOW)).select("id", "n_access", F.round(F.when(F.col("pinned"), 1.0).otherwise(now), 9).alias("strength"))
+
+
+__all__ = ["ORACLES", "QUERIES"]
