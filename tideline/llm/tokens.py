@@ -1,7 +1,7 @@
 """Byte-level BPE ids for whole texts, through the tokenizers library, with each distinct piece encoded once a worker.
 
 The pre-tokeniser of a byte-level BPE never joins a character that is no white space with white space after it, nor
-a letter with a sign or digit after it, nor a line end with a letter after it.  A text may therefore be cut there, and the ids of the text are those of the
+a letter with a sign or digit after it, nor a single line end with a letter after it.  A text may therefore be cut there, and the ids of the text are those of the
 pieces, one after the other.  Pieces repeat a lot, so a worker keeps the ids of the pieces it has met (bounded).  A new
 piece of letters alone goes to the library's BPE model at once, others through its whole chain.
 """
@@ -56,7 +56,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         tail[2:] |= (data[2:] & 0xC0 == 0x80) & (data[1:-1] & 0xC0 == 0x80) & _LEAD3[data[:-2]]
         ink |= tail
     cut = np.zeros(n + 1, bool)
-    cut[1:n] = IS_SPACE[data[1:]] & ink[:-1] | _LETTER[data[:-1]] & _SIGN[data[1:]] | _BREAK[data[:-1]] & _LETTER[data[1:]]
+    cut[1:n] = IS_SPACE[data[1:]] & ink[:-1] | _LETTER[data[:-1]] & _SIGN[data[1:]]
+    # Behind a line end only where it stands alone: of several white spaces the last is split from the others.
+    cut[2:n] |= ink[:-2] & _BREAK[data[1:-1]] & _LETTER[data[2:]]
     cut[offsets] = True
     return np.flatnonzero(cut[:n])
 
