@@ -192,12 +192,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "whole")).alias("s")
     classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(least).select("f1", "f2", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch", "s.whole")
     reps = store.written(classes, f"{folder}/reps")
+    # Keys alone are dealt out by bucket; only members of buckets of two and more get their sketches.
+    keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # Bands differ in all their keys, so 31 bits of them tell which bands two members share; a bucket has all 64.
     words = [F.col(name)[i].alias(f"{name}{i}") for name, bits in (("sketch", SKETCH_BITS), ("whole", SET_BITS)) for i in range(bits // 64)]
     short = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
-    keyed = reps.select("rep", "n", short, *words, F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = store.written(keyed.join(buckets, "key"), f"{folder}/members")
+    members = store.written(keyed.join(buckets, "key").join(reps.select("rep", "n", short, *words), "rep"), f"{folder}/members")
     weight = members.groupBy("rep").agg(F.sum(F.log2("size")).alias("weight"))
     rank = Window.partitionBy("key").orderBy(F.col("weight").desc(), "rep")
     pivots = members.select("key", "rep").join(weight, "rep").withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= PIVOTS).select("key", F.col("rep").alias("pivot"))
