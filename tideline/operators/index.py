@@ -24,6 +24,11 @@ def query_terms(queries: DataFrame, repeats: bool = False) -> DataFrame:
     return queries.select("qid", F.explode(text.tokens(F.col("query")) if repeats else text.token_set(F.col("query"))).alias("term"))
 
 
+def answerable(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid of each query that has a term with some row."""
+    return query_terms(queries).join(postings(memories).select("term").distinct(), "term", "left_semi").select("qid").distinct()
+
+
 def cosine(memories: DataFrame, queries: DataFrame, repeats: bool = False, limit: int | None = model.TERM_LIMIT) -> DataFrame:
     """(qid, id, sim) of rows that share a term; term weights are tf * idf, the query's dot product takes its heaviest
     terms only, its norm all known ones."""

@@ -14,23 +14,24 @@ def top(scores: DataFrame, k: int, *order) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def candidates(sims: DataFrame, state: DataFrame, prior: float = 0.0, pool: int = model.POOL) -> DataFrame:
+def candidates(sims: DataFrame, state: DataFrame, qids: DataFrame, prior: float = 0.0, pool: int = model.POOL) -> DataFrame:
     """(qid, id, rank, utility, ...): live rows by pins, blended score, strength and id. Rows without a similarity
-    rank by strength alone where the prior gives it weight, and have no utility where it doesn't."""
+    rank by strength alone where the prior gives it weight, and have no utility where it doesn't.
+
+    ``qids`` names each query that has a similarity with any row. A row without one can only be among the first
+    ``pool`` of a query if it is among the first ``pool`` by pins, strength and id, since a similarity never lowers a
+    score; so each query meets that many rows besides its matches, at any size of the store.
+    """
     live = state.where("NOT retired")
-    if prior:
-        # Each query ranks every live row: the query ids go to all of them.
-        grid = live.crossJoin(F.broadcast(sims.select("qid").distinct()))
-        rows = grid.join(sims, ["qid", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    else:
-        # Rows without similarity can't be packed unless pinned, so only these two kinds are ranked.
-        pinned = live.where("pinned").crossJoin(F.broadcast(sims.select("qid").distinct())).join(sims, ["qid", "id"], "left_anti").withColumn("sim", F.lit(0.0))
-        hit = live.join(sims, "id")
-        rows = hit.unionByName(pinned.select(hit.columns))
+    # Without a prior, a row without similarity can't be packed unless it is pinned.
+    head = (live if prior else live.where("pinned")).orderBy(F.col("pinned").desc(), F.col("strength").desc(), "id").limit(pool)
+    rest = head.crossJoin(F.broadcast(qids)).join(sims.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("sim", F.lit(0.0))
+    hit = live.join(sims, "id")
+    rows = hit.unionByName(rest.select(hit.columns))
     value = F.round(F.col("sim") + prior * F.col("strength"), 9)
     rows = rows.withColumn("utility", value + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
     order = (F.col("pinned").desc(), value.desc(), F.col("strength").desc(), "id")
-    return top(rows, pool, *order) if pool else rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    return top(rows, pool, *order)
 
 
 def query_blind(state: DataFrame) -> DataFrame:

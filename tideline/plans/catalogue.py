@@ -173,7 +173,8 @@ def recency_rank(s, d):
 
 def _candidates(s, d, prior=0.0):
     state = pack.with_bodies(_state(s, d))  # once a memory, not once a candidate
-    return rank.candidates(index.cosine(state.where("NOT retired"), t.mem_queries(s, d)), state, prior)
+    live, queries = state.where("NOT retired"), t.mem_queries(s, d)
+    return rank.candidates(index.cosine(live, queries), state, index.answerable(live, queries), prior)
 
 
 @query
