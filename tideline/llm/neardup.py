@@ -160,6 +160,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text of the ends of pairs, written."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    return store.written(texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), path)
+
+
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     """(doc_id, component): the smallest doc_id reachable, for every end of a link (a, b), by alternating stars.
 
@@ -192,34 +199,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "whole")).alias("s")
     classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(least).select("f1", "f2", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch", "s.whole")
     reps = store.written(classes, f"{folder}/reps")
-    # Keys alone are dealt out by bucket; only members of buckets of two and more get their sketches.
+    # Keys alone are dealt out by bucket; sketches follow, by doc_id, for members of buckets of two and more.
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    slim = store.written(keyed.join(buckets, "key"), f"{folder}/slim")
     # Bands differ in all their keys, so 31 bits of them tell which bands two members share; a bucket has all 64.
     words = [F.col(name)[i].alias(f"{name}{i}") for name, bits in (("sketch", SKETCH_BITS), ("whole", SET_BITS)) for i in range(bits // 64)]
     short = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
-    members = store.written(keyed.join(buckets, "key").join(reps.select("rep", "n", short, *words), "rep"), f"{folder}/members")
-    weight = members.groupBy("rep").agg(F.sum(F.log2("size")).alias("weight"))
+    sketches = reps.select("rep", "n", short, *words)
+    weight = slim.groupBy("rep").agg(F.sum(F.log2("size")).alias("weight"))
     rank = Window.partitionBy("key").orderBy(F.col("weight").desc(), "rep")
-    pivots = members.select("key", "rep").join(weight, "rep").withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= PIVOTS).select("key", F.col("rep").alias("pivot"))
-    # A pivot's sketches come from its own row of the bucket.
-    heads = members.join(pivots.withColumnRenamed("pivot", "rep"), ["key", "rep"], "left_semi")
-    pairs = heads.alias("x").join(members.alias("y"), F.expr(f"x.key = y.key AND x.rep <> y.rep AND {_possible(percent)}"))
+    # The last of a bucket meets all others as they are pivots.
+    pivots = slim.select("key", "rep", "size").join(weight, "rep").withColumn("rn", F.row_number().over(rank)).where((F.col("rn") <= PIVOTS) & (F.col("rn") < F.col("size"))).select("key", "rep", F.lit(True).alias("pivot"))
+    flagged = slim.select("key", "rep", "band").join(pivots, ["key", "rep"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    members = store.written(flagged.join(sketches, "rep"), f"{folder}/members")
+    pairs = members.where("pivot").alias("x").join(members.alias("y"), F.expr(f"x.key = y.key AND x.rep <> y.rep AND (NOT y.pivot OR x.rep < y.rep) AND {_possible(percent)}"))
     ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
     star = store.written(pairs.select(*ends).distinct(), f"{folder}/star")
-    some = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    texts = store.written(texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
-    links = store.written(confirmed(star, texts, k, percent), f"{folder}/links")
+    store.remove(spark, f"{folder}/members")  # star is written, nothing goes back to them
+    links = store.written(confirmed(star, _texts(docs, star, f"{folder}/texts1"), k, percent), f"{folder}/links")
     comp = store.written(components(spark, links, f"{folder}/cc1"), f"{folder}/comp1")
     # Second round: pairs of a bucket across components.
-    placed = members.select("key", "rep").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = slim.select("key", "rep", "band").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("c"))
     # One of a pair across components is outside the bucket's largest component.
-    largest = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    placed = store.written(members.join(placed.join(largest, "key"), ["key", "rep"]), f"{folder}/placed")
+    largest = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    placed = store.written(placed.join(largest, "key").join(sketches, "rep"), f"{folder}/placed")
     cross = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {_possible(percent)}")).select(*ends)
     cross = store.written(cross.join(star, ["a", "b"], "left_anti"), f"{folder}/cross")
-    more = store.written(confirmed(cross, texts, k, percent), f"{folder}/more")
+    store.remove(spark, f"{folder}/placed")
+    more = store.written(confirmed(cross, _texts(docs, cross, f"{folder}/texts2"), k, percent), f"{folder}/more")
     if more.take(1):
         comp = store.written(components(spark, comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/cc2"), f"{folder}/comp2")
     # Rows to classes to components. A class of one document needs no join, but all go the same way.
