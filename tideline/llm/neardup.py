@@ -31,6 +31,8 @@ from . import store
 from .words import U, blocks, mix, shingles, word_names
 
 BANDS, ROWS, SKETCH_BITS, SET_BITS, PIVOTS = 26, 5, 512, 1024, 8
+#: Words of 64 bits in the bitmap of document hashes that goes to every executor.
+MAP_WORDS = 1 << 17
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -161,10 +163,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def _texts(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of the ends of pairs, written."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """doc_id, text of the ends of pairs, written.
+
+    Texts off a bitmap of the ends' hashes are left out first, so that few texts are dealt out where the ends are too
+    many to broadcast.  The bitmap has at most MAP_WORDS rows at any size; the more ends, the more texts pass it.
+    """
+    some = store.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{path}-ends")
+    word, bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_WORDS)), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, 1), 64) AS int))")
+    bitmap = store.written(some.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), f"{path}-bitmap")
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    return store.written(texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), path)
+    near = texts.join(F.broadcast(bitmap), (word == bitmap["word"]) & (bit.bitwiseAND(bitmap["bits"]) != 0), "left_semi")
+    return store.written(near.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), path)
 
 
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
