@@ -57,6 +57,8 @@ def write_bytes(uri: str, parts, attempt: str) -> None:
     files.move(aside, path)
 
 
-def light_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small, so that Python workers need little memory for long documents."""
+def light_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
+    """Keep Arrow batches of whole texts small in rows and in bytes (one row at least), so that executors and Python
+    workers need little memory for long documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
