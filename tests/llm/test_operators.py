@@ -155,6 +155,24 @@ def test_near_duplicates_are_exact(spark, docs, empty):
     assert neardup.near_duplicates(empty, 3, 85).count() == 0
 
 
+@pytest.mark.parametrize("words,threshold", [(1 << 17, "10m"), (1, "-1")])
+def test_texts_of_pairs_are_those_of_their_ends(spark, monkeypatch, words, threshold):
+    """The bitmap of ends drops no end and the join behind it leaves nothing else, however full the bitmap is."""
+    monkeypatch.setattr(neardup, "MAP_WORDS", words)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(-200, 200)] + [(7, "text 7"), (None, "none"), (500, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(-200, 7), (7, 9), (9, 500), (7, 9)] + [(i, i + 1) for i in range(20, 90)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for some in (pairs, pairs.limit(0)):
+            ends = {x for r in some.collect() for x in (r.a, r.b)}
+            got = neardup._texts(docs, some, store.scratch(spark, "ends")).collect()
+            assert sorted((r.doc_id, r.text) for r in got if r.doc_id != 500) == [(i, f"text {i}") for i in sorted(ends - {500})]
+            assert [r.text for r in got if r.doc_id == 500] == [None] * (500 in ends)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_secrets_equal_duckdb(spark, docs):
     got = secrets.find_secrets(docs.select("doc_id", "text")).select("doc_id", secrets.written_out(F.col("found")).alias("spans")).collect()
     c = duckdb.connect()
