@@ -242,6 +242,43 @@ def test_rare_words_share_one_unit_of_probability():
     assert (10.0 ** m.log_rare(c) * k).sum() + 10.0 ** m.log_rare(np.zeros(1, int))[0] == pytest.approx(1)
 
 
+def test_every_word_is_a_context_and_a_dish(spark):
+    """2,600 words of the same count, each followed by one other: order decides, whatever the words' rank."""
+    text = lambda i, j: f"a{i} b{i} a{j} b{j}"
+    rows = [(i, text(i, (i + 7) % 1300)) for i in range(1300)]
+    asked = [(5000, text(3, 10)), (5001, "b3 a3 b10 a10"), (5002, "a3 b10 a10 b3")]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    m = language_model.LanguageModel(docs, F.col("doc_id") < 5000)
+    score = {r["doc_id"]: r["score"] for r in m.score(docs, F.lit(False)).where("doc_id >= 5000").collect()}
+    assert score[5000] > score[5001] + 4 and score[5000] > score[5002] + 4
+    # What a context gives to all words and to the unknown one is 1, whether it was ever a context or not.
+    for u in (words.hash_bytes(b"a3"), words.hash_bytes(b"\n"), 12345):
+        u = int(m.short.value.encode(np.array([u], np.uint64)).view(np.int64)[0])
+        every = m.words.select(F.lit(u).alias("u"), F.col("k").alias("w")).unionByName(spark.createDataFrame([(u, -999)], "u long, w long"))
+        pairs = every.join(m.repeated(F.lit(True)), ["u", "w"], "left").fillna(0, ["n"])
+        p = [r["value"] for r in m.scored(pairs, m.words).collect()]
+        assert len(p) == 2602 and sum(10.0**x for x in p) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_short_names_change_no_score(spark, monkeypatch, most):
+    """Few or no frequent words and pairs on the executors, few or many joins: the same scores."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, 60) % 90)) for i in range(40)] + [(100, "none of these")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for n in (1 << 17, most):
+        monkeypatch.setattr(language_model, "SHORTLIST", n)
+        monkeypatch.setattr(language_model, "ROUNDS", 2)
+        monkeypatch.setattr(language_model, "_keys", lambda names, *_: np.full(len(names), 77, np.uint64))
+        m = language_model.LanguageModel(docs, F.col("doc_id") % 3 != 0)
+        one = sorted(tuple(r) for r in m.score(docs, F.lit(False)).collect())
+        other = sorted(tuple(r) for r in m.score(docs.select("doc_id", "text"), F.lit(False)).collect())
+        assert np.allclose(np.array(one, float), np.array(other, float))
+        got.append(one)
+    assert np.allclose(np.array(got[0], float), np.array(got[1], float))
+
+
 def test_wand_finds_all_above_the_threshold(spark, docs, empty):
     rng = np.random.default_rng(3)
     vocabulary = np.array([words.hash_bytes(f"t{i}".encode()) for i in range(300)], np.uint64)

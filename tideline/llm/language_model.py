@@ -1,18 +1,26 @@
 """Operator 3: scoring by a hierarchical Pitman-Yor language model, seated as Chinese restaurants by Gibbs sampling.
 
-Every training token is counted; the ``SYMBOLS`` most frequent words are symbols of their own, all others share the
-symbol RARE, so what is broadcast has a fixed bound.  The model of a text is
-
-    P(w | u) = G_u(symbol(w)) * (1 or, for a rare word, R(w))
-
-G_u is the restaurant of the context symbol u.  All G_u share the parent restaurant G_0, whose customers are the
-tables of its children, and which itself falls back to the uniform distribution.  R is a Pitman-Yor restaurant of the
-rare words over the uniform distribution of the known rare words and one unknown word; words of the same count have
-the same law there, so its seating is sampled by count.  A Gibbs move takes a customer, drawn from all customers of a
-dish in a restaurant, off its table and seats it again: at a table of its dish by the table's size less the discount,
-or at a new one by (strength + discount * tables) * P_parent(dish).  In a move, one customer of each dish moves, with
-the table totals of the move before; in a round, parents stand still while the children move, and are seated anew
-from the children's tables after it.  Predictive probabilities are averaged over the rounds after the first.
+Every word is a context with a restaurant G_u of its own and a dish of its own; nothing is folded together:
+
+    P(w | u) = (n(u, w) - d t(u, w)) / (s + n(u)) + (s + d t(u)) / (s + n(u)) * P(w)
+
+n are customers and t tables.  All G_u share the parent restaurant G_0, whose customers are the tables of its children,
+and which falls back to the uniform distribution of the known words and one unknown word.  Counts and seatings are
+written tables, one row a (context, word) pair; scoring joins each document's distinct pairs with them.  A word that
+was no context in training predicts by G_0.  What is kept on every executor only saves bytes and shuffles and changes no
+score: short names of frequent words (found in a sample of rows), what is known of these, and the scores of the most
+frequent pairs.  A pair of a training row that is in no table of repeated pairs was seen once, in that row.
+
+A pair seen once has one table.  Of all others every customer is seated anew in every round, with the tables of the
+round before.  A dish of up to ``JOINT`` customers has all of them seated at once, its tables drawn from their exact law
+given all other dishes: t tables weigh S(c, t) times the product over k < t of (s + d * (other tables + k)) * P(dish), S
+being generalised Stirling numbers.  Of a dish with more customers the sizes of the tables are carried from round to
+round, and a sweep of ``STEPS`` steps takes as many customers off their tables as it has and seats each again: at a
+table by its size less the discount, or at a new one by (s + d * tables of the restaurant) * P(dish); those of a step
+leave and come together.  Such a dish starts from the closed form expected_tables().  In a round the parent and the
+other dishes' tables stand still; the parent then takes up what its children's tables have become and is swept in the
+same way.  Random numbers are hashes of the pair, round and move, so where a row lies doesn't decide them.
+Predictive probabilities are averaged over the rounds after the first.
 
 Null and empty texts have the end token alone.  Rows without doc_id are scored and never trained on.  Repeated rows
 stay rows.  Without training rows the model is uniform.  An empty table gives no row.  Other columns are ignored.
@@ -20,6 +28,7 @@ stay rows.  Without training rows the model is uniform.  An empty table gives no
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +38,11 @@ from pyspark.sql import functions as F
 
 from . import store
 from .sampling import fold
-from .words import U, as_long, blocks, hash_bytes, mix, word_names
+from .words import BASE, STEP, U, as_long, blocks, hash_bytes, mix, word_names
 
-SYMBOLS, SHORTLIST = 2048, 1 << 17
+SHORTLIST = 1 << 17
 END = U(hash_bytes(b"\n"))  # no word holds a line end
-STRENGTH, MOVES, ROUNDS, SHARDS = 1.0, 12, 4, 64
+STRENGTH, JOINT, STEPS, ROUNDS = 1.0, 128, 32, 4
 
 
 def tokens(b) -> tuple[np.ndarray, np.ndarray]:
@@ -42,46 +51,101 @@ def tokens(b) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(names, to[1:], END), to + np.arange(len(to))
 
 
+def contexts(h: np.ndarray, to: np.ndarray, end) -> np.ndarray:
+    """The word before each token; before a document stands the end token."""
+    u = np.empty_like(h)
+    u[1:] = h[:-1]
+    u[to[:-1]] = end
+    return u
+
+
+def pair_names(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u * U(STEP) + w)
+
+
+@dataclass
+class Short:
+    """Names of frequent words, sorted, and the numbers under SHORTLIST that stand for them, which take fewer bytes."""
+
+    names: np.ndarray
+    number: np.ndarray
+
+    def encode(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return h
+        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
+        return np.where(self.names[at] == h, self.number[at], h)
+
+    def pairs(self, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, word) of each token of a block, and the documents' offsets."""
+        h, to = tokens(b)
+        w = self.encode(h)
+        return contexts(w, to, self.encode(np.array([END]))[0]), w, to
+
+
+def frequent(docs: DataFrame, rows: int = 20_000) -> Short:
+    """Of a sample of the rows, since it decides bytes alone."""
+    n = docs.count()
+
+    def run(batches):
+        t = Tally()
+        for batch in batches:
+            for b in blocks(batch.column(0)):
+                h, _ = tokens(b)
+                yield from t.add(np.zeros_like(h), h, np.ones(len(h), np.int64))
+        yield from t.give()
+
+    some = docs.select("text") if n <= rows else docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    words = some.mapInArrow(run, "u long, w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    names = _names(words.orderBy(F.desc("n"), "w").limit(SHORTLIST).select("w").toArrow()["w"])
+    order = np.argsort(names)
+    return Short(names[order], order.astype(U))
+
+
 class Tally:
-    """Counts of 64-bit keys; holds at most about ``most`` of them and gives them away when full."""
+    """Counts of pairs of 64-bit names; holds at most about ``most`` of them and gives them away when full."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 18):
         self.most, self.waiting, self.n = most, [], 0
 
-    def add(self, keys: np.ndarray, times: np.ndarray | None = None):
-        k, n = np.unique(keys, return_counts=True)
-        self.waiting.append((k, n))
-        self.n += len(k)
+    @staticmethod
+    def _merged(u, w, n):
+        order = np.lexsort((w, u))
+        u, w, n = u[order], w[order], n[order]
+        new = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]))) if len(u) else np.zeros(0, np.int64)
+        return u[new], w[new], np.add.reduceat(n, new) if len(u) else n
+
+    def add(self, u: np.ndarray, w: np.ndarray, n: np.ndarray):
+        self.waiting.append(self._merged(u, w, n))
+        self.n += len(self.waiting[-1][0])
         if self.n > 2 * self.most:
-            self.waiting = [self.merged()]
+            self.waiting = [self._merged(*map(np.concatenate, zip(*self.waiting, strict=True)))]
             self.n = len(self.waiting[0][0])
             if self.n > self.most:
                 yield from self.give()
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.waiting:
-            return np.zeros(0, U), np.zeros(0, np.int64)
-        k, which = np.unique(np.concatenate([x[0] for x in self.waiting]), return_inverse=True)
-        return k, np.bincount(which, weights=np.concatenate([x[1] for x in self.waiting]), minlength=len(k)).astype(np.int64)
-
     def give(self):
-        k, n = self.merged()
+        if self.n:
+            u, w, n = self._merged(*map(np.concatenate, zip(*self.waiting, strict=True)))
+            yield pa.RecordBatch.from_arrays([as_long(u), as_long(w), pa.array(n)], ["u", "w", "n"])
         self.waiting, self.n = [], 0
-        if len(k):
-            yield pa.RecordBatch.from_arrays([as_long(k) if k.dtype == U else pa.array(k), pa.array(n)], ["k", "n"])
 
 
-def counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(k, n) summed over all rows of docs (doc_id, text) by keys_of(block)."""
+def counted(docs: DataFrame, training, short) -> DataFrame:
+    """(u, w, n, others) for all pairs of docs: how often in rows that ``training`` admits, and in the other rows."""
 
     def run(batches):
         t = Tally()
         for batch in batches:
             for b in blocks(batch.column(0)):
-                yield from t.add(keys_of(b))
+                u, w, to = short.value.pairs(b)
+                mine = np.asarray(batch.column(1).slice(b.first, b.n))
+                yield from t.add(u, w, np.repeat(mine, np.diff(to)))
         yield from t.give()
 
-    return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", F.when(training, F.lit(1)).otherwise(F.lit(1 << 32)).cast("long").alias("mine"))
+    both = rows.mapInArrow(run, "u long, w long, n long").select("u", "w", F.expr("n % 4294967296L").alias("n"), F.expr("n div 4294967296L").alias("others"))
+    return both.groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("others").alias("others"))
 
 
 def expected_tables(c: np.ndarray, fresh: np.ndarray, d: float, steps: int = 48) -> np.ndarray:
@@ -94,47 +158,115 @@ def expected_tables(c: np.ndarray, fresh: np.ndarray, d: float, steps: int = 48)
     return np.clip(np.rint(t), 1, c).astype(np.int64)
 
 
-def seat(c: np.ndarray, house: np.ndarray, base: np.ndarray, times: np.ndarray, d: float, strength: float, rng, moves: int = MOVES) -> np.ndarray:
-    """Tables of each dish after ``moves`` Gibbs moves: c customers of each dish, which of the restaurants it is in,
-    its probability in the parent, and how often the same dish stands for others of its kind."""
-    n_houses = int(house.max()) + 1 if len(house) else 0
-    tables = np.ones(len(c), np.int64)
-    more = np.flatnonzero(c > 1)  # one customer has one table
-    if not len(more):
-        return tables
-    total = np.bincount(house, weights=times, minlength=n_houses)
-    own = c[more]
-    fresh = lambda: (strength + d * total[house[more]]) * base[more]
-    t = expected_tables(own, fresh(), d)
-    cell = np.repeat(np.arange(len(more)), t)
-    size = np.ones(len(cell), np.int64)
-    first = np.cumsum(t) - t
-    size[first] = own - (t - 1)
-    fixed = np.bincount(house, weights=times * (c == 1), minlength=n_houses)
-    for _ in range(moves):
-        first = np.searchsorted(cell, np.arange(len(more)))
-        upto = np.cumsum(size)
-        at = np.searchsorted(upto, upto[first] - size[first] + np.floor(rng.random(len(more)) * own), side="right")
-        size[at] -= 1
-        t = np.bincount(cell[size > 0], minlength=len(more))
-        total = fixed + np.bincount(house[more], weights=t * times[more], minlength=n_houses)
-        pull = np.where(size > 0, size - d, 0.0)
-        upto = np.cumsum(pull)
-        before = upto[first] - pull[first]
-        last = np.append(first[1:], len(cell)) - 1
-        new = fresh()
-        y = rng.random(len(more)) * (upto[last] - before + new)
-        opens = y < new
-        stays = np.flatnonzero(~opens)
-        pick = np.searchsorted(upto, before[stays] + (y[stays] - new[stays]), side="left")
-        size[np.clip(pick, first[stays], last[stays])] += 1
-        keep = size > 0
-        cell = np.concatenate([cell[keep], np.flatnonzero(opens)])
-        size = np.concatenate([size[keep], np.ones(int(opens.sum()), np.int64)])
-        order = np.argsort(cell, kind="stable")
-        cell, size = cell[order], size[order]
-    tables[more] = np.bincount(cell, minlength=len(more))
-    return tables
+def start(c: np.ndarray, fresh: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """(dish, size) of the tables the sampler starts from."""
+    t = expected_tables(c, fresh, d)
+    size = np.ones(int(t.sum()), np.int64)
+    size[np.cumsum(t) - t] = c - (t - 1)
+    return np.repeat(np.arange(len(c)), t), size
+
+
+def drawn(key: np.ndarray, nth: np.ndarray, salt: int) -> np.ndarray:
+    """A number from [0, 1) for each name, customer and step."""
+    more = mix((nth.astype(U) << U(8)) + U(salt)) * U(BASE)
+    return (mix(key + more) >> U(11)).astype(float) * 2.0**-53
+
+
+def moved(cell: np.ndarray, size: np.ndarray, out: np.ndarray, into: np.ndarray, rest: np.ndarray, base: np.ndarray, d: float, key: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dish, size) of the tables after ``out`` customers of each dish left and ``into`` were seated; rest: tables of
+    the other dishes in the restaurant, base: the dish's probability in the parent."""
+    m = len(out)
+    own = np.bincount(cell, weights=size, minlength=m).astype(np.int64)
+    who = np.repeat(np.arange(m), out)
+    nth = np.arange(len(who)) - np.repeat(np.cumsum(out) - out, out)
+    low, high = nth * own[who] // out[who], (nth + 1) * own[who] // out[who]  # one customer of each stratum: no one twice
+    at = np.searchsorted(np.cumsum(size), (np.cumsum(own) - own)[who] + low + np.floor(drawn(key[who], nth, 2 * step) * (high - low)).astype(np.int64), side="right")
+    size = size - np.bincount(at, minlength=len(size))
+    cell, size = cell[size > 0], size[size > 0]
+    t = np.bincount(cell, minlength=m)
+    upto = np.append(0.0, np.cumsum(size - d))
+    last = np.cumsum(t)
+    first = last - t
+    pull, new = upto[last] - upto[first], (STRENGTH + d * (rest + t)) * base
+    who = np.repeat(np.arange(m), into)
+    y = drawn(key[who], np.arange(len(who)) - np.repeat(np.cumsum(into) - into, into), 2 * step + 1) * (pull + new)[who]
+    opens = (y < new[who]) | (t[who] == 0)
+    stays = who[~opens]
+    pick = np.searchsorted(upto[1:], upto[first[stays]] + y[~opens] - new[stays], side="left")
+    size = size + np.bincount(np.clip(pick, first[stays], last[stays] - 1), minlength=len(size))
+    cell, size = np.append(cell, who[opens]), np.append(size, np.ones(int(opens.sum()), np.int64))
+    order = np.argsort(cell, kind="stable")
+    return cell[order], size[order]
+
+
+def sweep(c: np.ndarray, cell: np.ndarray, size: np.ndarray, rest: np.ndarray, base: np.ndarray, d: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dish, size) of the tables after as many Gibbs moves of each dish as it has customers (none if only one)."""
+    by = np.argsort(-c, kind="stable")
+    rank = np.empty(len(c), np.int64)
+    rank[by] = np.arange(len(c))
+    order = np.argsort(rank[cell], kind="stable")
+    cell, size, c, rest, base, key = rank[cell][order], size[order], c[by], rest[by], base[by], key[by]
+    for k in range(min(STEPS, int(c.max(initial=0)))):
+        n = int(np.searchsorted(-c, -max(k, 1), side="left"))  # dishes of more customers, which come first
+        parts = np.minimum(c[:n], STEPS)
+        q = (k + 1) * c[:n] // parts - k * c[:n] // parts
+        cut = int(np.searchsorted(cell, n))
+        a, b = moved(cell[:cut], size[:cut], q, q, rest[:n], base[:n], d, key[:n], k)
+        cell, size = np.append(a, cell[cut:]), np.append(b, size[cut:])
+    cell = by[cell]
+    order = np.argsort(cell, kind="stable")
+    return cell[order], size[order]
+
+
+@functools.cache
+def log_stirling(d: float) -> np.ndarray:
+    """log of the generalised Stirling numbers S(c, t) of discount d for c, t up to JOINT."""
+    out = np.full((JOINT + 1, JOINT + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(JOINT):
+        t = np.arange(1, c + 2)
+        more = np.append(out[c, 1 : c + 1] + np.log(np.maximum(c - d * t[:-1], 1e-300)), -np.inf)
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], more)
+    return out
+
+
+def joint(c: np.ndarray, rest: np.ndarray, base: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
+    """Tables of each dish, drawn from their exact law given the rest; c is JOINT at the most."""
+    if not len(c):
+        return np.zeros(0, np.int64)
+    to = np.cumsum(c)
+    first = to - c
+    which = np.repeat(np.arange(len(c)), c)
+    k = np.arange(int(to[-1])) - first[which]
+    new = np.cumsum(np.log((STRENGTH + d * (rest[which] + k)) * base[which]))
+    value = log_stirling(d)[c[which], k + 1] + new - new[first][which]
+    upto = np.append(0.0, np.cumsum(np.exp(value - np.maximum.reduceat(value, first)[which])))
+    y = upto[first] + drawn(key, np.zeros(len(c), np.int64), 255) * (upto[to] - upto[first])
+    return np.clip(np.searchsorted(upto[1:], y, side="right"), first, to - 1) - first + 1
+
+
+def reseat(c: np.ndarray, t: np.ndarray, cell: np.ndarray, size: np.ndarray, total: np.ndarray, base: np.ndarray, d: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tables of each dish, dish and size of the tables of large dishes) after a round; t: tables before it, cell and
+    size: those of large dishes, which may have gained or lost customers, total: tables of each dish's restaurant."""
+    t = t.copy()
+    few = c <= JOINT
+    t[few] = joint(c[few], (total - t)[few], base[few], d, key[few])
+    many = np.flatnonzero(~few)
+    if not len(many):
+        return t, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c, rest, base, key = c[many], (total - t)[many], base[many], key[many]
+    own = ~few[cell]
+    cell, size = np.searchsorted(many, cell[own]), size[own]
+    were = np.bincount(cell, weights=size, minlength=len(c)).astype(np.int64)
+    fresh = np.flatnonzero(were == 0)
+    a, b = start(c[fresh], (STRENGTH + d * total[many[fresh]]) * base[fresh], d)
+    were[fresh] = c[fresh]
+    cell, size = np.append(cell, fresh[a]), np.append(size, b)
+    order = np.argsort(cell, kind="stable")
+    cell, size = moved(cell[order], size[order], np.maximum(were - c, 0), np.maximum(c - were, 0), rest, base, d, key, STEPS)
+    cell, size = sweep(c, cell, size, rest, base, d, key)
+    t[many] = np.bincount(cell, minlength=len(c))
+    return t, many[cell], size
 
 
 def discount(once: float, twice: float) -> float:
@@ -142,136 +274,131 @@ def discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once + twice else 0.5
 
 
-@dataclass
-class Model:
-    """What scoring needs besides the counts of words off the shortlist; its size has a fixed bound."""
+def gathered(batches, rows: int = 1 << 15):
+    """Larger tables of the same rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    names: np.ndarray  # of the shortlist, sorted
-    counts: np.ndarray
-    symbol: np.ndarray  # 0 for rare words
-    log_rare: np.ndarray  # log10 R(w) of the shortlist, 0 for symbols
-    log_next: np.ndarray  # log10 G_u(s)
 
-    def look_up(self, names: np.ndarray) -> np.ndarray:
-        """Place on the shortlist or -1."""
-        if not len(self.names):
-            return np.full(len(names), -1)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[at] == names, at, -1)
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(table[k]) for k in names]
 
-    def symbols(self, names: np.ndarray) -> np.ndarray:
-        at = self.look_up(names)
-        return np.where(at >= 0, np.append(self.symbol, 0)[at], 0)
 
+def _names(column) -> np.ndarray:
+    return np.asarray(column).astype(np.int64).view(U)
 
-def contexts(s: np.ndarray, to: np.ndarray, end: int) -> np.ndarray:
-    """The symbol before each token; before a document stands the end token."""
-    u = np.empty_like(s)
-    u[1:] = s[:-1]
-    u[to[:-1]] = end
-    return u
+
+def _tables(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(row, size) of the tables in column ``sizes``."""
+    x = table["sizes"].combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    return np.repeat(np.arange(len(x)), np.asarray(x.value_lengths())), np.asarray(x.flatten()).astype(np.int64)
+
+
+def _lists(cell: np.ndarray, size: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cell, np.arange(n + 1)).astype(np.int32)), pa.array(size))
+
+
+def _keys(names: np.ndarray, seed: int, r: int) -> np.ndarray:
+    return mix(names + U(mix(np.array([seed * 1000 + r], U))[0]))
+
+
+def _seat_pairs(d: float, seed: int, r: int):
+    """A round of pairs: (u, w, n, sizes, t, sum_t, total, p) to (u, w, n, sizes, t, sum_t)."""
+
+    def run(batches):
+        for table in gathered(batches):
+            n, t, total, p, kept = _numbers(table, "n", "t", "total", "p", "sum_t")
+            key = _keys(pair_names(_names(table["u"]), _names(table["w"])), seed, r)
+            t, cell, size = reseat(n, t, *_tables(table), total, p, d, key)
+            out = [table["u"], table["w"], table["n"], _lists(cell, size, len(n)), pa.array(t), pa.array(kept + t * (r > 0))]
+            yield from pa.table(out, names=["u", "w", "n", "sizes", "t", "sum_t"]).to_batches()
+
+    return run
 
 
-def _round(parent: np.ndarray, d: float, seed: int, r: int):
-    """What seats the restaurants of a shard: (u, w, n) to (u, w, n, t)."""
+def _seat_words(d: float, base: float, tables: float, seed: int, r: int):
+    """A round of the parent: its rows with ``now`` customers to the same with their tables in ``t`` and ``sizes``."""
 
-    def run(table):
-        table = table.sort_by([("u", "ascending"), ("w", "ascending")])
-        u, w, c = (np.asarray(table[k]) for k in ("u", "w", "n"))
-        _, house = np.unique(u, return_inverse=True)
-        rng = np.random.default_rng([seed, r, int(table["shard"][0].as_py())])
-        return pa.table({"u": u, "w": w, "n": c, "t": seat(c, house, parent[w], np.ones(len(c)), d, STRENGTH, rng)})
+    def run(batches):
+        for table in gathered(batches):
+            c, t = _numbers(table, "now", "t")
+            same = lambda x, n=len(c): np.full(n, x)
+            t, cell, size = reseat(c, t, *_tables(table), np.maximum(same(tables), t), same(base), d, _keys(_names(table["k"]), seed, r))
+            for name, x in (("sizes", _lists(cell, size, len(c))), ("t", pa.array(t))):
+                table = table.set_column(table.column_names.index(name), name, x)
+            yield from table.to_batches()
 
     return run
 
 
+@dataclass
+class Model:
+    """The most frequent pairs with their scores, so that they need no join, and counts of the frequent words."""
+
+    names: np.ndarray  # sorted
+    u: np.ndarray
+    w: np.ndarray
+    value: np.ndarray
+    counts: np.ndarray  # by short name
+    log_next: np.ndarray  # log10 of what the averaged parent gives to all known words and to the unknown one
+
+    def look_up(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Place on the shortlist or -1."""
+        if not len(self.names):
+            return np.full(len(u), -1)
+        names = pair_names(u, w)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where((self.u[at] == u) & (self.w[at] == w), at, -1)
+
+
 class LanguageModel:
-    """Counts in a written table, the bounded part on the driver."""
+    """Counts and seatings in written tables, totals and the shortlist on the driver."""
 
     def __init__(self, docs: DataFrame, training, seed: int = 3):
-        spark = docs.sparkSession
-        folder = store.scratch(spark, "lm")
-        train = docs.where(training).select("text")
-        words = store.written(counted(train, lambda b: tokens(b)[0]), f"{folder}/words")
-        # k distinct counts need at least k (k + 1) / 2 tokens, so this table has at most sqrt(2 N) rows.
-        kinds = sorted((r["n"], r["m"]) for r in words.groupBy("n").agg(F.count("*").alias("m")).collect())
-        c, m = np.array([x[0] for x in kinds], np.int64), np.array([x[1] for x in kinds], np.int64)
-        self.n, self.v = int((c * m).sum()), int(m.sum())
-
-        def least(most: int) -> int:
-            """The least count that no more than ``most`` words reach."""
-            fits = np.flatnonzero(np.cumsum(m[::-1]) <= most)
-            return int(c[::-1][fits[-1]]) if len(fits) else (int(c[-1]) + 1 if len(c) else 1)
-
-        short, top = least(SHORTLIST - 1), least(SYMBOLS - 1)
-        rows = words.where((F.col("n") >= short) | (F.col("k") == int(END.view(np.int64)))).toArrow()
-        names, counts = np.asarray(rows["k"]).astype(np.int64).view(U), np.asarray(rows["n"]).astype(np.int64)
-        order = np.argsort(names)
-        names, counts = names[order], counts[order]
-        is_symbol = (counts >= top) | (names == END)
-        symbol = np.where(is_symbol, np.cumsum(is_symbol), 0)
-        self.short, self.rng = short, np.random.default_rng(seed)
-        n_symbols = int(is_symbol.sum()) + 1
-        self.end = int(symbol[names == END][0]) if (names == END).any() else 0
-        shared = spark.sparkContext.broadcast(Model(names, counts, symbol, None, None))
-        end = self.end
-
-        def pairs(b):
-            h, to = tokens(b)
-            s = shared.value.symbols(h)
-            return contexts(s, to, end) * n_symbols + s
-
-        cells = store.written(counted(train, pairs), f"{folder}/cells")
-        log_next = self._sample(cells, n_symbols)
-        # The rare words: those of a count have the same law, so a few of each count stand for all.
-        out = np.bincount(np.searchsorted(c, counts[is_symbol]), minlength=len(c)) if len(c) else m
-        rc, rm = c[m > out], (m - out)[m > out]
-        self.rare = self._rare(rc, rm)
-        log_rare = np.where(is_symbol, 0.0, self.log_rare(counts))
-        self.model = Model(names, counts, symbol, log_rare, log_next)
-        self.words = words.where(F.col("n") < short)
-        self.rare_counts = rc[rc < short]
-        self.spark = spark
-
-    def _sample(self, cells: DataFrame, n: int) -> np.ndarray:
-        """log10 G_u(s), averaged over rounds; cells has at most (SYMBOLS + 1)**2 rows."""
-        shared = cells.select(F.expr(f"k div {n}").alias("u"), (F.col("k") % F.lit(n)).alias("w"), "n")
-        few = {r["n"]: r["m"] for r in cells.where("n <= 2").groupBy("n").agg(F.count("*").alias("m")).collect()}
-        d = discount(few.get(1, 0), few.get(2, 0))
-        by_house = shared.withColumn("shard", F.col("u") % SHARDS)
-        parent = np.full(n, 1.0 / n)
-        mean, kept = np.zeros((n, n)), 0
-        seed = int(self.rng.integers(1 << 30))
-        for r in range(ROUNDS):
-            seated = by_house.groupBy("shard").applyInArrow(_round(parent, d, seed, r), "u long, w long, n long, t long").toArrow()
-            u, w, c, t = (np.asarray(seated[k]) for k in ("u", "w", "n", "t"))
-            customers, tables = np.bincount(u, weights=c, minlength=n), np.bincount(u, weights=t, minlength=n)
-            c0 = np.bincount(w, weights=t, minlength=n).astype(np.int64)
-            seen = np.flatnonzero(c0)
-            d0 = discount(float((c0 == 1).sum()), float((c0 == 2).sum()))
-            t0 = np.zeros(n)
-            t0[seen] = seat(c0[seen], np.zeros(len(seen), np.int64), np.full(len(seen), 1.0 / n), np.ones(len(seen)), d0, STRENGTH, self.rng)
-            parent = (np.maximum(c0 - d0 * t0, 0) + (STRENGTH + d0 * t0.sum()) / n) / (STRENGTH + c0.sum())
-            if r:
-                back = (STRENGTH + d * tables) / (STRENGTH + customers)
-                p = back[:, None] * parent[None, :]
-                p[u, w] += (c - d * t) / (STRENGTH + customers[u])
-                mean += p
-                kept += 1
-        return np.log10(mean / max(kept, 1)).astype(np.float32)
-
-    def _rare(self, c: np.ndarray, m: np.ndarray, chains: int = 16) -> tuple:
-        """(counts, mean tables of a word of each count, discount, customers, tables, kinds)."""
+        spark = self.spark = docs.sparkSession
+        self.docs, self.training, self.folder = docs, training, store.scratch(spark, "lm")
+        self.short = spark.sparkContext.broadcast(frequent(docs))
+        self.pairs = store.written(counted(docs, training, self.short), f"{self.folder}/pairs")
+        seen = self.pairs.where("n > 0")
+        once = F.sum((F.col("n") == 1).cast("long"))
+        # Each training token is once a dish and once a context, so n is both counts of a word.
+        dishes = seen.groupBy(F.col("w").alias("k")).agg(F.sum("n").alias("n"), once.alias("once"), F.count("*").alias("now"))
+        houses = seen.groupBy(F.col("u").alias("k")).agg(once.alias("ones"), F.count("*").alias("total"))
+        none = F.array().cast("array<double>")
+        words = dishes.join(houses, "k").select("k", "n", "once", "ones", "now", "total", F.lit(1).cast("long").alias("t"), F.array().cast("array<long>").alias("sizes"), none.alias("p"), none.alias("back"))
+        words = store.written(words, f"{self.folder}/words")
+        del dishes, houses
+        sums = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.v, self.n = int(sums[0]), int(sums[1])
+        # k distinct counts need at least k (k + 1) / 2 tokens, so these have at most sqrt(2 N) rows.
+        self.kinds = sorted((r["n"], r["m"]) for r in seen.groupBy("n").agg(F.count("*").alias("m")).collect())
+        rows = sorted((r["now"], r["m"]) for r in words.groupBy("now").agg(F.count("*").alias("m")).collect())
+        self.rare = self._rare(np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64))
+        self._sample(words, seen.where("n > 1"), seed)
+        self.top = self.words.where(F.col("k").between(0, SHORTLIST - 1))
+        self.model = self._shortlist()
+        store.tidy(spark)
+
+    def _rare(self, c: np.ndarray, m: np.ndarray) -> tuple:
+        """The parent's start, when m words have c customers: (counts, tables of a word of each count, discount,
+        customers, tables, kinds)."""
         if not len(c):
             return c, c, 0.5, 0, 0.0, 0
-        d = discount(float(m[c == 1].sum()), float(m[c == 2].sum()))
         kinds = int(m.sum())
-        t = seat(np.repeat(c, chains), np.zeros(len(c) * chains, np.int64), np.full(len(c) * chains, 1.0 / (kinds + 1)), np.repeat(m / chains, chains), d, STRENGTH, self.rng, 40)
-        t = t.reshape(-1, chains).mean(axis=1)
+        d = discount(float(m[c == 1].sum()), float(m[c == 2].sum()))
+        t = expected_tables(c, np.full(len(c), (STRENGTH + d * kinds) / (kinds + 1)), d)
         return c, t, d, int((c * m).sum()), float((t * m).sum()), kinds
 
     def log_rare(self, counts: np.ndarray) -> np.ndarray:
-        """log10 R of a rare word by its count, 0 for the unknown word."""
+        """log10 of a word's probability at the parent's start by its customers, 0 for the unknown word."""
         c, t, d, customers, tables, kinds = self.rare
         own = np.zeros(len(counts))
         if len(c):
@@ -279,63 +406,153 @@ class LanguageModel:
             own = np.where(c[at] == counts, counts - d * t[at], 0.0)
         return np.log10((own + (STRENGTH + d * tables) / (kinds + 1)) / (STRENGTH + customers))
 
+    def _sample(self, words: DataFrame, repeated: DataFrame, seed: int) -> None:
+        """ROUNDS sweeps of the parent and of all pairs seen twice or more, each from the round before."""
+        few = dict(self.kinds)
+        d = self.d = discount(few.get(1, 0), few.get(2, 0))
+        _, _, d0, customers, tables, _ = self.rare
+        seats = repeated.select("u", "w", "n", F.array().cast("array<long>").alias("sizes"), F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum_t"))
+        self.unknown, old = [], []
+        base = 1.0 / (self.v + 1)
+        for r in range(ROUNDS):
+            gone, old = old, []
+            path = f"{self.folder}/words-{r}"
+            words = store.written(words.mapInArrow(_seat_words(d0, base, tables, seed, r), words.schema), path)
+            s = words.agg(F.sum("t"), F.sum("now"), F.sum((F.col("now") == 1).cast("long")), F.sum((F.col("now") == 2).cast("long"))).first()
+            tables, customers = float(s[0] or 0), float(s[1] or 0)
+            empty = (STRENGTH + d0 * tables) * base / (STRENGTH + customers)
+            p = (F.col("now") - F.lit(d0) * F.col("t")) / F.lit(STRENGTH + customers) + F.lit(empty)
+            met = seats.join(words.select(F.col("k").alias("w"), p.alias("p")), "w").join(words.select(F.col("k").alias("u"), "total"), "u")
+            at = f"{self.folder}/seats-{r}"
+            seats = store.written(met.mapInArrow(_seat_pairs(d, seed, r), "u long, w long, n long, sizes array<bigint>, t long, sum_t long"), at)
+            by_w = seats.groupBy(F.col("w").alias("k")).agg(F.sum("t").alias("tw"))
+            by_u = seats.groupBy(F.col("u").alias("k")).agg(F.sum("t").alias("tu"))
+            total = F.col("ones") + F.coalesce("tu", F.lit(0))
+            back = (F.lit(STRENGTH) + F.lit(d) * total) / (F.lit(STRENGTH) + F.col("n"))
+            keep = lambda name, x, r=r: F.concat(name, F.array(x)) if r else F.col(name)
+            words = words.join(by_w, "k", "left").join(by_u, "k", "left").select("k", "n", "once", "ones", (F.col("once") + F.coalesce("tw", F.lit(0))).alias("now"), total.alias("total"), "t", "sizes", keep("p", p).alias("p"), keep("back", back).alias("back"))
+            if r:
+                self.unknown.append(empty)
+            d0 = discount(float(s[2] or 0), float(s[3] or 0))
+            words = store.written(words, f"{path}-next")
+            for x in gone:
+                store.remove(self.spark, x)
+            old += [path, f"{path}-next", at]
+            store.tidy(self.spark)
+        self.words, self.seats = words, seats
+
+    def repeated(self, once) -> DataFrame:
+        """(u, w, n, sum_t) of the pairs seen twice or more, and of those seen once that ``once`` admits."""
+        single = self.pairs.where("n = 1").where(once)
+        return self.seats.select("u", "w", "n", "sum_t").unionByName(single.select("u", "w", "n", F.lit(ROUNDS - 1).cast("long").alias("sum_t")))
+
+    def scored(self, pairs: DataFrame, words: DataFrame) -> DataFrame:
+        """pairs (u, w, n, sum_t) with ``value``, the averaged log10 P(w | u), and ``base``, log10(n(w) + 1) if w is
+        known; words: what is known of all their words."""
+        k = ROUNDS - 1
+        dish = words.select(F.col("k").alias("w"), F.col("n").alias("nw"), "p")
+        house = words.select(F.col("k").alias("u"), F.col("n").alias("nu"), "back")
+        if words is self.top:  # at most SHORTLIST rows
+            dish, house = F.broadcast(dish), F.broadcast(house)
+        p = lambda i: F.coalesce(F.element_at("p", i + 1), F.lit(self.unknown[i]))
+        back = lambda i: F.coalesce(F.element_at("back", i + 1), F.lit(1.0))
+        parent = sum((p(i) * back(i) for i in range(k)), F.lit(0.0)) / k
+        tables = F.coalesce(F.col("sum_t") / k, F.lit(1.0))
+        own = F.when(F.col("n") > 0, (F.col("n") - F.lit(self.d) * tables) / (F.lit(STRENGTH) + F.col("nu"))).otherwise(0.0)
+        met = pairs.join(dish, "w", "left").join(house, "u", "left")
+        return met.withColumn("value", F.log10(own + parent)).withColumn("base", F.log10(F.col("nw") + F.lit(1.0))).drop("nw", "nu", "p", "back")
+
+    def _shortlist(self) -> Model:
+        c, m = (np.array([x[i] for x in self.kinds], np.int64) for i in (0, 1))
+        fits = np.flatnonzero(np.cumsum(m[::-1]) <= SHORTLIST)
+        least = int(c[::-1][fits[-1]]) if len(fits) else (int(c[-1]) + 1 if len(c) else 1)
+        both = F.col("u").between(0, SHORTLIST - 1) & F.col("w").between(0, SHORTLIST - 1)
+        rows = self.scored(self.repeated(F.lit(True)).where(F.col("n") >= least).where(both), self.top).toArrow()
+        u, w = _names(rows["u"]), _names(rows["w"])
+        names = pair_names(u, w)
+        order = np.argsort(names)
+        mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / (ROUNDS - 1)
+        mass = self.words.agg(F.sum(mean)).first()[0] or 0.0
+        log_next = np.log10(np.maximum([[mass, float(np.mean(self.unknown))]], 1e-300))
+        top = self.top.select("k", "n").toArrow()
+        counts = np.zeros(SHORTLIST, np.int64)
+        counts[np.asarray(top["k"])] = np.asarray(top["n"])
+        return Model(names[order], u[order], w[order], np.asarray(rows["value"])[order], counts, log_next)
+
     def score(self, docs: DataFrame, held) -> DataFrame:
-        """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        shared = self.spark.sparkContext.broadcast(self.model)
-        end = self.end
-
-        def run(batches):
-            from pyspark import TaskContext
-
-            row = TaskContext.get().partitionId() << 36
-            for batch in batches:
-                for b in blocks(batch.column(2)):
-                    h, to = tokens(b)
-                    model, doc = shared.value, np.repeat(np.arange(b.n), np.diff(to))
-                    at = model.look_up(h)
-                    found = at >= 0
-                    s = np.where(found, np.append(model.symbol, 0)[at], 0)
-                    value = model.log_next[contexts(s, to, end), s] + np.where(found, np.append(model.log_rare, 0.0)[at], 0.0)
-                    base = np.where(found, np.log10(np.append(model.counts, 0)[at] + 1.0), 0.0)
-                    lost = np.flatnonzero(~found)
-                    # The other words, once a document, to meet their counts.
-                    order = lost[np.lexsort((h[lost], doc[lost]))]
-                    hd, dd = h[order], doc[order]
-                    new = np.flatnonzero(np.append(True, (hd[1:] != hd[:-1]) | (dd[1:] != dd[:-1]))) if len(hd) else np.zeros(0, np.int64)
-                    times = np.diff(np.append(new, len(hd)))
-                    n = np.arange(b.n)
-                    who = np.concatenate([n, dd[new]])
-                    zero = np.zeros(len(new))
-                    keys = np.concatenate([mix((row + n).astype(U) ^ U(0x5BD1E995)), hd[new]])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(row + who),
-                            as_long(keys),
-                            pa.array(np.concatenate([np.zeros(b.n, np.int64), times])),
-                            batch.column(0).slice(b.first, b.n).cast(pa.int64()).take(pa.array(who)),
-                            batch.column(1).slice(b.first, b.n).take(pa.array(who)),
-                            pa.array(np.concatenate([np.diff(to), zero.astype(np.int64)])),
-                            pa.array(np.concatenate([np.bincount(doc, weights=found, minlength=b.n), zero]).astype(np.int64)),
-                            pa.array(np.concatenate([np.bincount(doc, weights=base, minlength=b.n), zero])),
-                            pa.array(np.concatenate([np.bincount(doc, weights=value, minlength=b.n), zero])),
-                        ],
-                        ["row", "k", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "value"],
-                    )
-                    row += b.n
-
-        parts = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "row long, k long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double")
-        counts = self.rare_counts
-        table = self.spark.createDataFrame(pa.table({"n": pa.array(counts, pa.int64()), "log_rare": pa.array(self.log_rare(counts), pa.float64())}))
-        known = self.words.join(F.broadcast(table), "n").select("k", F.log10(F.col("n") + F.lit(1.0)).alias("log_base"), "log_rare")
-        unknown = float(self.log_rare(np.zeros(1, np.int64))[0])
-        met = parts.join(known, "k", "left")
-        sums = met.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("held_out").alias("held_out"),
+        """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+        docs is read twice and its rows numbered by their place, so it has to be a table, not the result of a shuffle.
+        """
+        same = docs is self.docs
+        mine = F.coalesce(self.training, F.lit(False)) if same else F.lit(False)
+        table = self.repeated(F.col("others") > 0 if same else F.lit(True))
+        short, shared = self.short, self.spark.sparkContext.broadcast(self.model)
+
+        def cut(frequent_pairs: bool):
+            """Rows' distinct pairs: those of two frequent words, with the rows' own sums, or the others."""
+
+            def run(batches):
+                for batch in batches:
+                    for b in blocks(batch.column(2)):
+                        row = np.asarray(batch.column(4).slice(b.first, b.n))
+                        u, w, to = short.value.pairs(b)
+                        model, doc = shared.value, np.repeat(np.arange(b.n), np.diff(to))
+                        common = (u < U(SHORTLIST)) & (w < U(SHORTLIST))
+                        if frequent_pairs:
+                            at = np.full(len(w), -1)
+                            at[common] = model.look_up(u[common], w[common])
+                            lost = np.flatnonzero(common & (at < 0))
+                            value = np.where(at >= 0, np.append(model.value, 0.0)[at], 0.0)
+                            n = np.where(w < U(SHORTLIST), model.counts[np.minimum(w, U(SHORTLIST - 1)).astype(np.int64)], 0)
+                            alone = np.arange(b.n)
+                        else:
+                            lost, value, n, alone = np.flatnonzero(~common), np.zeros(len(w)), np.zeros(len(w), np.int64), np.zeros(0, np.int64)
+                        order = lost[np.lexsort((w[lost], u[lost], doc[lost]))]
+                        wd, ud, dd = w[order], u[order], doc[order]
+                        new = np.flatnonzero(np.append(True, (wd[1:] != wd[:-1]) | (ud[1:] != ud[:-1]) | (dd[1:] != dd[:-1]))) if len(wd) else np.zeros(0, np.int64)
+                        who = np.concatenate([alone, dd[new]])
+                        first = lambda x, alone=alone, new=new: pa.array(np.concatenate([x[: len(alone)], np.zeros(len(new), x.dtype)]))
+                        total = lambda x, doc=doc, n=b.n: np.bincount(doc, weights=x, minlength=n)
+                        some = lambda k, at=pa.array(who), batch=batch, b=b: batch.column(k).slice(b.first, b.n).take(at)
+                        named = lambda x, y, row=row, alone=alone, new=new: as_long(np.concatenate([mix(row[alone].astype(U) ^ U(y)), x[new]]))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(row[who]),
+                                named(ud, 0x5BD1E995),  # a row's own sums are under names that no pair has
+                                named(wd, 0x2545F491),
+                                pa.array(np.concatenate([np.zeros(len(alone), np.int64), np.diff(np.append(new, len(wd)))])),
+                                some(3),
+                                some(0).cast(pa.int64()),
+                                some(1),
+                                first(np.diff(to)),
+                                first(total(n > 0).astype(np.int64)),
+                                first(total(np.log10(n + 1.0))),
+                                first(total(value)),
+                            ],
+                            ["row", "u", "w", "times", "mine", "doc_id", "held_out", "n_tokens", "n_known", "known", "sum"],
+                        )
+
+            return run
+
+        rows = docs.select("doc_id", held.alias("held_out"), "text", mine.cast("long").alias("mine"), F.monotonically_increasing_id().alias("row"))
+        kinds = "row long, u long, w long, times long, mine long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, sum double"
+
+        def met(parts: DataFrame, words: DataFrame) -> DataFrame:
+            pairs = parts.join(table, ["u", "w"], "left").withColumn("n", F.coalesce("n", "mine"))
+            return self.scored(pairs, words)
+
+        # The base scores of frequent words are in the rows' own sums, so here only rare words add to them.
+        rare = ~F.col("w").between(0, SHORTLIST - 1)
+        both = met(rows.mapInArrow(cut(True), kinds), self.top).unionByName(met(rows.mapInArrow(cut(False), kinds).drop("doc_id", "held_out", "n_tokens", "n_known", "known", "sum"), self.words), allowMissingColumns=True)
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        sums = both.groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("held_out").alias("held_out"),
             F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("log_base").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + F.col("times") * F.coalesce("log_base", F.lit(0.0))).alias("base"),
-            F.sum(F.col("value") + F.col("times") * F.coalesce("log_rare", F.lit(unknown))).alias("score"),
+            F.sum(zero("n_known") + F.when(rare & F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+            F.sum(zero("known") + F.when(rare & F.col("base").isNotNull(), F.col("times") * F.col("base")).otherwise(0.0)).alias("base"),
+            F.sum(zero("sum") + F.when(F.col("times") > 0, F.col("times") * F.col("value")).otherwise(0.0)).alias("score"),
         )
         return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(self.n + self.v + 1)))).alias("base_score"), "score")
 

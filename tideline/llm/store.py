@@ -6,6 +6,7 @@ of our own is used, since a machine-local folder is invisible to other machines.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,6 +37,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that are done, which stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a folder URI; works for file, hdfs, s3, gs and abfs on driver and executors."""
     from pyarrow import fs
