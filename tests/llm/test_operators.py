@@ -279,6 +279,49 @@ def test_short_names_change_no_score(spark, monkeypatch, most):
     assert np.allclose(np.array(got[0], float), np.array(got[1], float))
 
 
+@pytest.mark.parametrize(("c", "d"), [(2, 0.7), (6, 0.9), (20, 0.3), (128, 0.7)])
+def test_a_round_has_the_law_of_the_tables(c, d):
+    """Against the exact law: tables t of c customers weigh S(c, t) times the product of (1 + d (rest + k)) * base."""
+    rest, base, times = 40, 0.03, 20_000
+    s = [1.0]  # S(n, 1), S(n, 2), ...
+    for n in range(1, c):
+        s = [(n - d * (t + 1)) * (s[t] if t < n else 0.0) + (s[t - 1] if t else 0.0) for t in range(n + 1)]
+        s = [x / n for x in s]
+    law = np.array([x * math.prod((1 + d * (rest + k)) * base for k in range(t + 1)) for t, x in enumerate(s)])
+    law /= law.sum()
+    same = lambda x: np.full(times, x)
+    none = np.zeros(0, np.int64)
+    t, cell, _ = language_model.reseat(same(c), same(1), none, none, same(rest + 1), same(base), d, language_model._keys(np.arange(times).astype(np.uint64), 1, 1))
+    assert not len(cell)
+    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / times - law).max() < 0.015
+
+
+def test_single_moves_have_the_law_of_joint_draws(monkeypatch):
+    """A large dish has its customers moved; with JOINT set down, the same dish goes either way."""
+    times, c, d = 3000, 30, 0.6
+    same = lambda x: np.full(times, x)
+    keys = lambda r: language_model._keys(np.arange(times).astype(np.uint64), 1, r)
+    none = np.zeros(0, np.int64)
+    want, *_ = language_model.reseat(same(c), same(1), none, none, same(41), same(0.03), d, keys(0))
+    monkeypatch.setattr(language_model, "JOINT", 10)
+    cell = size = none
+    t = same(1)
+    for r in range(30):
+        t, cell, size = language_model.reseat(same(c), t, cell, size, 40 + t, same(0.03), d, keys(r))
+        assert (np.bincount(cell, weights=size, minlength=times) == c).all() and (size > 0).all()
+    assert t.mean() == pytest.approx(want.mean(), rel=0.04)
+
+
+def test_every_customer_of_a_large_dish_is_moved(monkeypatch):
+    """As many are taken off as the dish has, not a fixed number."""
+    out, true = [], language_model.moved
+    monkeypatch.setattr(language_model, "moved", lambda cell, size, o, i, *a: (out.append((int(o.sum()), int(i.sum()))), true(cell, size, o, i, *a))[1])
+    one = lambda x: np.array([x])
+    none = np.zeros(0, np.int64)
+    t, _, size = language_model.reseat(one(100_000), one(1), none, none, one(20_000), one(0.01), 0.7, one(np.uint64(5)))
+    assert sum(a for a, _ in out) == sum(b for _, b in out) == size.sum() == 100_000 and t[0] == len(size)
+
+
 def test_wand_finds_all_above_the_threshold(spark, docs, empty):
     rng = np.random.default_rng(3)
     vocabulary = np.array([words.hash_bytes(f"t{i}".encode()) for i in range(300)], np.uint64)
