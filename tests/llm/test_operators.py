@@ -351,6 +351,19 @@ def test_wand_finds_all_above_the_threshold(spark, docs, empty):
     assert decontamination.contaminated(empty, decontamination.as_items(bench)).count() == 0
 
 
+def test_edited_and_cut_passages_are_found(spark):
+    """One or two replaced words, a changed or missing last sentence; the same words in another order are no passage."""
+    item = "Every second winter the lighthouse keeper counts eleven grey geese above the harbour wall before supper. Thus?"
+    w = item.split()
+    swap = lambda *at: " ".join("other" if i in at else x for i, x in enumerate(w))
+    texts = [item, swap(16), swap(3), swap(5, 11), swap(2, 16), " ".join(w[:-1]), " ".join(w[:12]), " ".join(w[::-1]), " ".join(w[:4])]
+    docs = spark.createDataFrame([(i, f"{PROSE} {t} {PROSE}") for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.contaminated(docs, decontamination.as_items(bench)).collect()) == [0, 1, 2, 3, 4, 5, 6]
+    short = spark.createDataFrame([(1, " ".join(w[:-1]), "Thus"), (2, "no such words", "are in it")], "item_id long, question string, answer string")
+    assert sorted(r["doc_id"] for r in decontamination.contaminated(docs, short).collect()) == [0, 1, 2, 3, 4, 5, 6]
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [("quality", "quality", 0.95), ("toxicity", "toxic", 0.93)])
 def test_classifiers_hold_out_of_sample(module, label, least):
     t = duckdb.sql(f"SELECT text, {label} FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE length(text) < 9000 ORDER BY doc_id").fetchall()
