@@ -219,27 +219,48 @@ def test_viterbi_is_the_best_of_all_labellings():
         assert value(tuple(got[a:z])) == pytest.approx(max(map(value, every)))
 
 
-def test_language_model_base_and_probabilities(spark, docs, empty):
+def _probabilities(m):
+    """P(w | u) of a model by its formula, from its tables taken whole."""
+    k = language_model.ROUNDS - 1
+    word = {r["k"]: r for r in m.words.collect()}
+    seat = {(r["u"], r["w"]): r["n"] - m.d * r["sum_t"] / k for r in m.seats.collect()}
+    once = collections.Counter()
+    for row in m.parts.collect():
+        p = language_model.Part({x: pa.scalar(row[x], pa.binary() if x == "tokens" else None) for x in row.asDict()}, m.short.value)
+        once.update(zip(p.names[p.u][p.trained].view(np.int64).tolist(), p.names[p.w][p.trained].view(np.int64).tolist(), strict=True))
+
+    def of(u, w):
+        own = seat.get((u, w), 1 - m.d if once[u, w] == 1 else 0.0)
+        n, parent = word[u]["n"] if u in word else 0, 0.0
+        for i, (d0, customers, empty) in enumerate(m.parents):
+            back = (language_model.STRENGTH + m.d * word[u]["totals"][i]) / (language_model.STRENGTH + n) if u in word else 1.0
+            parent += back * (empty + ((word[w]["nows"][i] - d0 * word[w]["ts"][i]) / (language_model.STRENGTH + customers) if w in word else 0.0)) / k
+        return own / (language_model.STRENGTH + n) + parent
+
+    name = lambda x: int(m.short.value.encode(np.array([words.hash_bytes(x)], np.uint64)).view(np.int64)[0])
+    return of, name, word
+
+
+def test_language_model_scores_by_the_formula(spark, docs, empty):
     m = language_model.LanguageModel(docs, F.col("doc_id") % 2 == 0)
-    got = {r["doc_id"]: r for r in m.score(docs, F.lit(False)).collect()}
+    of, name, word = _probabilities(m)
     c = collections.Counter(w for i, t in enumerate(TEXTS) if i % 2 == 0 for w in [*_words(t), b"\n"])
     n = sum(c.values())
-    for i, t in enumerate(TEXTS):
-        w = [*_words(t), b"\n"]
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in c for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w), rel=1e-9)
-        assert r["score"] < 0
-    assert np.allclose((10.0 ** m.model.log_next.astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert language_model.LanguageModel(empty, F.lit(True)).score(docs, F.lit(False)).count() == len(TEXTS) + 2
-
-
-def test_rare_words_share_one_unit_of_probability():
-    m = language_model.LanguageModel.__new__(language_model.LanguageModel)
-    m.rng = np.random.default_rng(0)
-    c, k = np.array([1, 2, 5]), np.array([40, 10, 3])
-    m.rare = m._rare(c, k)
-    assert (10.0 ** m.log_rare(c) * k).sum() + 10.0 ** m.log_rare(np.zeros(1, int))[0] == pytest.approx(1)
+    other = docs.select("doc_id", F.concat("text", F.lit(" never before")).alias("text"))
+    for table, texts in ((docs, TEXTS), (other, [None if t is None else t + " never before" for t in TEXTS])):
+        rows = m.score(table).collect()
+        assert len(rows) == len(TEXTS) + 2
+        got = {r["doc_id"]: r for r in rows}
+        for i, t in enumerate(texts):
+            w = [*_words(t), b"\n"]
+            r = got[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in c for x in w), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w), rel=1e-9)
+            ids = {x: name(x) for x in set(w)}
+            assert r["score"] == pytest.approx(sum(math.log10(of(ids[a], ids[b])) for a, b in zip([b"\n", *w], w, strict=False)), rel=1e-9)
+            assert r["perplexity"] == pytest.approx(10 ** min(300, -r["score"] / len(w)), rel=1e-6)
+    none = language_model.LanguageModel(empty, F.lit(True))
+    assert none.score(docs).where("score = 0").count() == len(TEXTS) + 2 and none.score(empty).count() == 0
 
 
 def test_every_word_is_a_context_and_a_dish(spark):
@@ -249,34 +270,41 @@ def test_every_word_is_a_context_and_a_dish(spark):
     asked = [(5000, text(3, 10)), (5001, "b3 a3 b10 a10"), (5002, "a3 b10 a10 b3")]
     docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
     m = language_model.LanguageModel(docs, F.col("doc_id") < 5000)
-    score = {r["doc_id"]: r["score"] for r in m.score(docs, F.lit(False)).where("doc_id >= 5000").collect()}
+    score = {r["doc_id"]: r["score"] for r in m.score(docs).where("doc_id >= 5000").collect()}
     assert score[5000] > score[5001] + 4 and score[5000] > score[5002] + 4
     # What a context gives to all words and to the unknown one is 1, whether it was ever a context or not.
-    for u in (words.hash_bytes(b"a3"), words.hash_bytes(b"\n"), 12345):
-        u = int(m.short.value.encode(np.array([u], np.uint64)).view(np.int64)[0])
-        every = m.words.select(F.lit(u).alias("u"), F.col("k").alias("w")).unionByName(spark.createDataFrame([(u, -999)], "u long, w long"))
-        pairs = every.join(m.repeated(F.lit(True)), ["u", "w"], "left").fillna(0, ["n"])
-        p = [r["value"] for r in m.scored(pairs, m.words).collect()]
-        assert len(p) == 2602 and sum(10.0**x for x in p) == pytest.approx(1)
+    of, name, word = _probabilities(m)
+    assert len(word) == 2601
+    for u in (name(b"a3"), name(b"\n"), 12345):
+        assert sum(of(u, w) for w in [*word, -999]) == pytest.approx(1)
+
+
+def test_the_hierarchy_predicts_better_than_single_words():
+    """Perplexity of held-out text, at sf0.001, against the base's."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = language_model.op3_pitman_yor(spark, SF).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert 10 ** (-rows[2] / rows[0]) < 0.8 * 10 ** (-rows[1] / rows[0])
 
 
 @pytest.mark.parametrize("most", [3, 40])
-def test_short_names_change_no_score(spark, monkeypatch, most):
-    """Few or no frequent words and pairs on the executors, few or many joins: the same scores."""
+def test_short_names_blocks_and_buckets_change_no_score(spark, monkeypatch, most):
+    """Few frequent words, small blocks and many buckets give the scores of one block."""
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, 60) % 90)) for i in range(40)] + [(100, "none of these")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = []
+    monkeypatch.setattr(language_model, "ROUNDS", 2)
+    monkeypatch.setattr(language_model, "_keys", lambda names, *_: np.full(len(names), 77, np.uint64))
     for n in (1 << 17, most):
-        monkeypatch.setattr(language_model, "SHORTLIST", n)
-        monkeypatch.setattr(language_model, "ROUNDS", 2)
-        monkeypatch.setattr(language_model, "_keys", lambda names, *_: np.full(len(names), 77, np.uint64))
+        for name in ("SHORTLIST", "BLOCK_TOKENS", "BUCKET_TOKENS"):
+            monkeypatch.setattr(language_model, name, n)
         m = language_model.LanguageModel(docs, F.col("doc_id") % 3 != 0)
-        one = sorted(tuple(r) for r in m.score(docs, F.lit(False)).collect())
-        other = sorted(tuple(r) for r in m.score(docs.select("doc_id", "text"), F.lit(False)).collect())
-        assert np.allclose(np.array(one, float), np.array(other, float))
-        got.append(one)
-    assert np.allclose(np.array(got[0], float), np.array(got[1], float))
+        got += [sorted(tuple(r) for r in m.score(x).collect()) for x in (docs, docs.select("doc_id", "text"))]
+    for x in got[1:]:
+        assert np.allclose(np.array([r[:1] + r[1:] for r in got[0]], float)[np.arange(41) % 3 == 0], np.array(x, float)[np.arange(41) % 3 == 0])
+    assert np.allclose(np.array(got[0], float), np.array(got[2], float)) and np.allclose(np.array(got[1], float), np.array(got[3], float))
 
 
 @pytest.mark.parametrize(("c", "d"), [(2, 0.7), (6, 0.9), (20, 0.3), (128, 0.7)])

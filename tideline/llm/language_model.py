@@ -5,11 +5,16 @@ Every word is a context with a restaurant G_u of its own and a dish of its own;
     P(w | u) = (n(u, w) - d t(u, w)) / (s + n(u)) + (s + d t(u)) / (s + n(u)) * P(w)
 
 n are customers and t tables.  All G_u share the parent restaurant G_0, whose customers are the tables of its children,
-and which falls back to the uniform distribution of the known words and one unknown word.  Counts and seatings are
-written tables, one row a (context, word) pair; scoring joins each document's distinct pairs with them.  A word that
-was no context in training predicts by G_0.  What is kept on every executor only saves bytes and shuffles and changes no
-score: short names of frequent words (found in a sample of rows), what is known of these, and the scores of the most
-frequent pairs.  A pair of a training row that is in no table of repeated pairs was seen once, in that row.
+and which falls back to the uniform distribution of the known words and one unknown word.  A word that was no context
+in training predicts by G_0.
+
+Texts go through the cluster as blocks of a few MB, written once: the distinct words of a block and, for each token, the
+number of its word there.  A block asks about its distinct pairs in packed lists, one for each bucket of pairs, so a
+pair costs a few bytes and no row of its own, and a pair that is everywhere is asked for once a block.  A bucket adds
+up the lists and knows which pairs repeat; those become rows with seatings.  For scoring, the buckets answer the same
+lists with n - d t of the pairs that repeat, words answer with their counts and what the parent gives them, and a block
+puts its tokens' probabilities together.  A pair of a training row that gets no answer was seen once, in that row.
+Short numbers for frequent words (found in a sample of rows) save bytes and change no score.
 
 A pair seen once has one table.  Of all others every customer is seated anew in every round, with the tables of the
 round before.  A dish of up to ``JOINT`` customers has all of them seated at once, its tables drawn from their exact law
@@ -20,7 +25,7 @@ table by its size less the discount, or at a new one by (s + d * tables of the r
 leave and come together.  Such a dish starts from the closed form expected_tables().  In a round the parent and the
 other dishes' tables stand still; the parent then takes up what its children's tables have become and is swept in the
 same way.  Random numbers are hashes of the pair, round and move, so where a row lies doesn't decide them.
-Predictive probabilities are averaged over the rounds after the first.
+Predictive probabilities are averaged over the rounds after the first; a text's perplexity is 10 ** (-score / tokens).
 
 Null and empty texts have the end token alone.  Rows without doc_id are scored and never trained on.  Repeated rows
 stay rows.  Without training rows the model is uniform.  An empty table gives no row.  Other columns are ignored.
@@ -33,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +49,8 @@ from .words import BASE, STEP, U, as_long, blocks, hash_bytes, mix, word_names
 SHORTLIST = 1 << 17
 END = U(hash_bytes(b"\n"))  # no word holds a line end
 STRENGTH, JOINT, STEPS, ROUNDS = 1.0, 128, 32, 4
+#: Tokens of a block and, about, of a bucket: what one task holds at once.
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 19, 1 << 20
 
 
 def tokens(b) -> tuple[np.ndarray, np.ndarray]:
@@ -76,76 +84,202 @@ class Short:
         at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
         return np.where(self.names[at] == h, self.number[at], h)
 
-    def pairs(self, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context, word) of each token of a block, and the documents' offsets."""
-        h, to = tokens(b)
-        w = self.encode(h)
-        return contexts(w, to, self.encode(np.array([END]))[0]), w, to
-
 
 def frequent(docs: DataFrame, rows: int = 20_000) -> Short:
     """Of a sample of the rows, since it decides bytes alone."""
     n = docs.count()
 
     def run(batches):
-        t = Tally()
         for batch in batches:
             for b in blocks(batch.column(0)):
-                h, _ = tokens(b)
-                yield from t.add(np.zeros_like(h), h, np.ones(len(h), np.int64))
-        yield from t.give()
+                w, count = np.unique(tokens(b)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([as_long(w), pa.array(count)], ["w", "n"])
 
     some = docs.select("text") if n <= rows else docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    words = some.mapInArrow(run, "u long, w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    words = some.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     names = _names(words.orderBy(F.desc("n"), "w").limit(SHORTLIST).select("w").toArrow()["w"])
     order = np.argsort(names)
     return Short(names[order], order.astype(U))
 
 
-class Tally:
-    """Counts of pairs of 64-bit names; holds at most about ``most`` of them and gives them away when full."""
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as byte planes, compressed: high bytes are mostly zero and shrink to nothing."""
+    import zstandard
 
-    def __init__(self, most: int = 1 << 18):
-        self.most, self.waiting, self.n = most, [], 0
+    x = np.stack([c.view(U) for c in columns])
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes())
 
-    @staticmethod
-    def _merged(u, w, n):
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order]
-        new = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]))) if len(u) else np.zeros(0, np.int64)
-        return u[new], w[new], np.add.reduceat(n, new) if len(u) else n
 
-    def add(self, u: np.ndarray, w: np.ndarray, n: np.ndarray):
-        self.waiting.append(self._merged(u, w, n))
-        self.n += len(self.waiting[-1][0])
-        if self.n > 2 * self.most:
-            self.waiting = [self._merged(*map(np.concatenate, zip(*self.waiting, strict=True)))]
-            self.n = len(self.waiting[0][0])
-            if self.n > self.most:
-                yield from self.give()
+def unpacked(raw: bytes, columns: int) -> np.ndarray:
+    """What packed() took, a row a column."""
+    import zstandard
+
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).view(U)[:, :, 0]
+
 
-    def give(self):
-        if self.n:
-            u, w, n = self._merged(*map(np.concatenate, zip(*self.waiting, strict=True)))
-            yield pa.RecordBatch.from_arrays([as_long(u), as_long(w), pa.array(n)], ["u", "w", "n"])
-        self.waiting, self.n = [], 0
+BLOCK_KINDS = "block long, doc_id array<long>, trained array<boolean>, sizes array<int>, names array<long>, tokens binary"
 
 
-def counted(docs: DataFrame, training, short) -> DataFrame:
-    """(u, w, n, others) for all pairs of docs: how often in rows that ``training`` admits, and in the other rows."""
+def _list(x: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+
+def as_blocks(docs: DataFrame, training, short) -> DataFrame:
+    """Rows of about BLOCK_TOKENS tokens, in whole documents: names of the distinct words, the most frequent first, and
+    the number of each token's word among them."""
 
     def run(batches):
-        t = Tally()
+        from pyspark import TaskContext
+
+        first, nth, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def made() -> pa.RecordBatch:
+            names, which, times = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            ids, trained, sizes = (pa.concat_arrays([x[i] for x in held]) for i in (1, 2, 3))
+            blob = pa.array([packed(rank[which])], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([first + nth]), _list(ids), _list(trained), _list(sizes), _list(as_long(names[order])), blob], ["block", "doc_id", "trained", "sizes", "names", "tokens"])
+
         for batch in batches:
-            for b in blocks(batch.column(0)):
-                u, w, to = short.value.pairs(b)
-                mine = np.asarray(batch.column(1).slice(b.first, b.n))
-                yield from t.add(u, w, np.repeat(mine, np.diff(to)))
-        yield from t.give()
+            for b in blocks(batch.column(1)):
+                h, to = tokens(b)
+                part = [batch.column(i).slice(b.first, b.n) for i in (0, 2)]
+                held.append((short.value.encode(h), *part, pa.array(np.diff(to).astype(np.int32))))
+                n += len(h)
+                if n >= BLOCK_TOKENS:
+                    yield made()
+                    held, n, nth = [], 0, nth + 1
+        if held:
+            yield made()
+
+    mine = F.coalesce(training, F.lit(False)) & F.col("doc_id").isNotNull()
+    return docs.select(F.col("doc_id").cast("long"), "text", mine.alias("trained")).mapInArrow(run, BLOCK_KINDS)
+
+
+class Part:
+    """A block: its words, and the word and the context of each token as numbers among these."""
+
+    def __init__(self, row, short: Short):
+        self.block, self.doc_id, self.names = row["block"].as_py(), row["doc_id"].values, _names(row["names"].values)
+        self.sizes = np.asarray(row["sizes"].values).astype(np.int64)
+        self.to = np.append(0, np.cumsum(self.sizes))
+        self.w = unpacked(row["tokens"].as_py(), 1)[0].astype(np.int64)
+        self.trained = np.repeat(np.asarray(row["trained"].values.to_numpy(zero_copy_only=False), bool), self.sizes)
+        end = int(np.flatnonzero(self.names == short.encode(np.array([END]))[0])[0])
+        self.u = np.empty_like(self.w)
+        self.u[1:] = self.w[:-1]
+        self.u[self.to[:-1]] = end
+
+    def pairs(self, buckets: int):
+        """(bucket, context, word) of the distinct pairs, in this order, where each bucket begins, the pair of each
+        token."""
+        key, inverse = np.unique(self.u * np.int64(len(self.names)) + self.w, return_inverse=True)
+        u, w = self.names[key // len(self.names)], self.names[key % len(self.names)]
+        bucket = (pair_names(u, w) % U(buckets)).astype(np.int64)
+        order = np.lexsort((w, u, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        bucket, u, w = bucket[order], u[order], w[order]
+        return bucket, u, w, np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), place[inverse]
+
+
+def _parts(batches, short: Short):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Part({k: batch.column(j)[i] for j, k in enumerate(batch.schema.names)}, short)
+
+
+def trained_words(parts: DataFrame, short) -> DataFrame:
+    """(k, n): training tokens of each word."""
+
+    def run(batches):
+        for p in _parts(batches, short.value):
+            n = np.bincount(p.w[p.trained], minlength=len(p.names))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([as_long(p.names[some]), pa.array(n[some])], ["k", "n"])
+
+    return parts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def asked(parts: DataFrame, short, buckets: int, corpus: bool) -> DataFrame:
+    """(block, bucket, corpus, pairs): each block's distinct pairs in a bucket, sorted, as packed contexts, words, and
+    2 * training tokens + (1 if another row has the pair, too).  Of rows off the corpus none is a training token."""
+
+    def run(batches):
+        for p in _parts(batches, short.value):
+            bucket, u, w, first, place = p.pairs(buckets)
+            mine = np.bincount(place, weights=p.trained, minlength=len(u)).astype(np.int64)
+            more = np.bincount(place, minlength=len(u)) > mine
+            cut = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(u)), strict=True)]
+            blobs = [packed(np.diff(u[c], prepend=U(0)), w[c], (2 * mine + more)[c]) for c in cut]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), p.block)), pa.array(bucket[first]), pa.array(np.full(len(first), corpus)), pa.array(blobs, pa.binary())], ["block", "bucket", "corpus", "pairs"])
+
+    return parts.mapInArrow(run, "block long, bucket long, corpus boolean, pairs binary")
+
+
+class Asked:
+    """The lists of a bucket: all their pairs, and the distinct ones with their training tokens."""
+
+    def __init__(self, table: pa.Table):
+        lists = [unpacked(x, 3) for x in table["pairs"].to_pylist()]
+        self.sizes = np.array([x.shape[1] for x in lists], np.int64)
+        u, w, n = (np.concatenate([f(x) for x in lists]) for f in (lambda x: np.cumsum(x[0], dtype=U), lambda x: x[1], lambda x: x[2]))
+        self.other = n % U(2) > 0
+        n = (n // U(2)).astype(np.int64)
+        order = np.lexsort((w, u))
+        su, sw = u[order], w[order]
+        new = np.append(True, (su[1:] != su[:-1]) | (sw[1:] != sw[:-1]))
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.u, self.w, self.n = su[new], sw[new], np.add.reduceat(n[order], np.flatnonzero(new))
 
-    rows = docs.select("text", F.when(training, F.lit(1)).otherwise(F.lit(1 << 32)).cast("long").alias("mine"))
-    both = rows.mapInArrow(run, "u long, w long, n long").select("u", "w", F.expr("n % 4294967296L").alias("n"), F.expr("n div 4294967296L").alias("others"))
-    return both.groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("others").alias("others"))
+
+def repeated_pairs(lists: DataFrame) -> DataFrame:
+    """(u, w, n) of the pairs with two training tokens or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a = Asked(table)
+        some = np.flatnonzero(a.n > 1)
+        return pa.table([as_long(a.u[some]), as_long(a.w[some]), pa.array(a.n[some])], names=["u", "w", "n"])
+
+    return lists.groupBy("bucket").applyInArrow(run, "u long, w long, n long")
+
+
+def answered(lists: DataFrame, seats: DataFrame, d: float, rounds: int, buckets: int) -> DataFrame:
+    """(block, bucket, pairs): place in the list and averaged n - d t of the pairs that repeat, and of those seen once
+    that other rows have, too."""
+
+    def placed(batches):
+        for b in batches:
+            u, w = _names(b.column(0)), _names(b.column(1))
+            customers = np.asarray(b.column(2)) - d * np.asarray(b.column(3)) / rounds
+            yield pa.RecordBatch.from_arrays([pa.array((pair_names(u, w) % U(buckets)).astype(np.int64)), b.column(0), b.column(1), pa.array(customers)], ["bucket", "u", "w", "customers"])
+
+    def run(lists: pa.Table, seats: pa.Table) -> pa.Table:
+        if not lists.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["block", "bucket", "pairs"])
+        a, u, w, value = Asked(lists), _names(seats["u"]), _names(seats["w"]), np.asarray(seats["customers"])
+        order = np.lexsort((w, u))
+        u, w, value = u[order], w[order], value[order]
+        many = np.flatnonzero(a.n > 1)  # in the order of the seats, which are the same pairs
+        if len(many) != len(u) or not ((a.u[many] == u).all() and (a.w[many] == w).all()):
+            raise ValueError("the seatings are not those of the pairs asked about")
+        customers = np.where(a.n == 1, 1.0 - d, 0.0)
+        customers[many] = value
+        wanted = (a.n[a.of] > 1) | (a.n[a.of] == 1) & a.other
+        start = np.cumsum(a.sizes) - a.sizes
+        out = []
+        for at, n in zip(start, a.sizes, strict=True):
+            some = np.flatnonzero(wanted[at : at + n])
+            out.append(packed(some, customers[a.of[at + some]]) if len(some) else None)
+        keep = pa.array([x is not None for x in out])
+        return pa.table([lists["block"], lists["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "pairs"]).filter(keep)
+
+    rows = seats.select("u", "w", "n", "sum_t").mapInArrow(placed, "bucket long, u long, w long, customers double")
+    return lists.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, "block long, bucket long, pairs binary")
 
 
 def expected_tables(c: np.ndarray, fresh: np.ndarray, d: float, steps: int = 48) -> np.ndarray:
@@ -339,80 +473,59 @@ def _seat_words(d: float, base: float, tables: float, seed: int, r: int):
     return run
 
 
-@dataclass
-class Model:
-    """The most frequent pairs with their scores, so that they need no join, and counts of the frequent words."""
-
-    names: np.ndarray  # sorted
-    u: np.ndarray
-    w: np.ndarray
-    value: np.ndarray
-    counts: np.ndarray  # by short name
-    log_next: np.ndarray  # log10 of what the averaged parent gives to all known words and to the unknown one
-
-    def look_up(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Place on the shortlist or -1."""
-        if not len(self.names):
-            return np.full(len(u), -1)
-        names = pair_names(u, w)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where((self.u[at] == u) & (self.w[at] == w), at, -1)
+def backed(parent: tuple[float, float, float], d: float, now: np.ndarray, t: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parent's probability of words, the weight their own restaurants give the parent) after a round; now: tables
+    of the children, t: tables in the parent, total: tables in the own restaurant, n: customers there."""
+    d0, customers, empty = parent
+    return (now - d0 * t) / (STRENGTH + customers) + empty, (STRENGTH + d * total) / (STRENGTH + n)
+
+
+def expected(words: DataFrame, d: float, kinds: int) -> float:
+    """Tables of the parent where the sampler starts, when it has ``kinds`` dishes."""
+
+    def run(batches):
+        for b in batches:
+            c = np.asarray(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([float(expected_tables(c, np.full(len(c), (STRENGTH + d * kinds) / (kinds + 1)), d).sum())])], ["t"])
+
+    return words.select("now").mapInArrow(run, "t double").agg(F.sum("t")).first()[0] or 0.0
 
 
 class LanguageModel:
-    """Counts and seatings in written tables, totals and the shortlist on the driver."""
+    """Blocks, lists, counts and seatings in written tables; a few totals on the driver."""
 
     def __init__(self, docs: DataFrame, training, seed: int = 3):
         spark = self.spark = docs.sparkSession
-        self.docs, self.training, self.folder = docs, training, store.scratch(spark, "lm")
+        self.docs, self.folder = docs, store.scratch(spark, "lm")
         self.short = spark.sparkContext.broadcast(frequent(docs))
-        self.pairs = store.written(counted(docs, training, self.short), f"{self.folder}/pairs")
-        seen = self.pairs.where("n > 0")
-        once = F.sum((F.col("n") == 1).cast("long"))
-        # Each training token is once a dish and once a context, so n is both counts of a word.
-        dishes = seen.groupBy(F.col("w").alias("k")).agg(F.sum("n").alias("n"), once.alias("once"), F.count("*").alias("now"))
-        houses = seen.groupBy(F.col("u").alias("k")).agg(once.alias("ones"), F.count("*").alias("total"))
-        none = F.array().cast("array<double>")
-        words = dishes.join(houses, "k").select("k", "n", "once", "ones", "now", "total", F.lit(1).cast("long").alias("t"), F.array().cast("array<long>").alias("sizes"), none.alias("p"), none.alias("back"))
+        self.parts = store.written(as_blocks(docs, training, self.short), f"{self.folder}/blocks")
+        some = self.parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        self.buckets = max(8, -(-some // BUCKET_TOKENS))
+        self.lists = store.written(asked(self.parts, self.short, self.buckets, True), f"{self.folder}/asked")
+        repeated = store.written(repeated_pairs(self.lists), f"{self.folder}/pairs")
+        store.tidy(spark)
+        # Each training token is once a dish and once a context, so n is both counts of a word, and what repeated pairs
+        # leave of it was seen once.
+        both = [repeated.groupBy(F.col(c).alias("k")).agg(F.sum("n").alias(f"n{c}"), F.count("*").alias(f"m{c}")) for c in ("w", "u")]
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        words = trained_words(self.parts, self.short).join(both[0], "k", "left").join(both[1], "k", "left")
+        words = words.select("k", "n", (F.col("n") - zero("nw")).alias("once"), (F.col("n") - zero("nu")).alias("ones"), (F.col("n") - zero("nw") + zero("mw")).alias("now"), (F.col("n") - zero("nu") + zero("mu")).alias("total"))
+        none = F.array().cast("array<long>")
+        words = words.select("*", F.lit(1).cast("long").alias("t"), *[none.alias(c) for c in ("sizes", "nows", "ts", "totals")])
         words = store.written(words, f"{self.folder}/words")
-        del dishes, houses
-        sums = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        self.v, self.n = int(sums[0]), int(sums[1])
-        # k distinct counts need at least k (k + 1) / 2 tokens, so these have at most sqrt(2 N) rows.
-        self.kinds = sorted((r["n"], r["m"]) for r in seen.groupBy("n").agg(F.count("*").alias("m")).collect())
-        rows = sorted((r["now"], r["m"]) for r in words.groupBy("now").agg(F.count("*").alias("m")).collect())
-        self.rare = self._rare(np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64))
-        self._sample(words, seen.where("n > 1"), seed)
-        self.top = self.words.where(F.col("k").between(0, SHORTLIST - 1))
-        self.model = self._shortlist()
+        has = lambda c, k: F.sum((F.col(c) == k).cast("long"))
+        kinds, n, once, one, two, customers = (x or 0 for x in words.agg(F.count("*"), F.sum("n"), F.sum("once"), has("now", 1), has("now", 2), F.sum("now")).first())
+        self.v, self.n = int(kinds), int(n)
+        self.d = discount(once, repeated.where("n = 2").count())
+        d0 = discount(one, two)
+        self._sample(words, repeated, d0, customers, expected(words, d0, kinds), seed)
         store.tidy(spark)
 
-    def _rare(self, c: np.ndarray, m: np.ndarray) -> tuple:
-        """The parent's start, when m words have c customers: (counts, tables of a word of each count, discount,
-        customers, tables, kinds)."""
-        if not len(c):
-            return c, c, 0.5, 0, 0.0, 0
-        kinds = int(m.sum())
-        d = discount(float(m[c == 1].sum()), float(m[c == 2].sum()))
-        t = expected_tables(c, np.full(len(c), (STRENGTH + d * kinds) / (kinds + 1)), d)
-        return c, t, d, int((c * m).sum()), float((t * m).sum()), kinds
-
-    def log_rare(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of a word's probability at the parent's start by its customers, 0 for the unknown word."""
-        c, t, d, customers, tables, kinds = self.rare
-        own = np.zeros(len(counts))
-        if len(c):
-            at = np.minimum(np.searchsorted(c, counts), len(c) - 1)
-            own = np.where(c[at] == counts, counts - d * t[at], 0.0)
-        return np.log10((own + (STRENGTH + d * tables) / (kinds + 1)) / (STRENGTH + customers))
-
-    def _sample(self, words: DataFrame, repeated: DataFrame, seed: int) -> None:
+    def _sample(self, words: DataFrame, repeated: DataFrame, d0: float, customers: float, tables: float, seed: int) -> None:
         """ROUNDS sweeps of the parent and of all pairs seen twice or more, each from the round before."""
-        few = dict(self.kinds)
-        d = self.d = discount(few.get(1, 0), few.get(2, 0))
-        _, _, d0, customers, tables, _ = self.rare
+        d = self.d
         seats = repeated.select("u", "w", "n", F.array().cast("array<long>").alias("sizes"), F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum_t"))
-        self.unknown, old = [], []
+        self.parents, old = [], []  # of each round that counts: discount, customers and what an unknown dish gets
         base = 1.0 / (self.v + 1)
         for r in range(ROUNDS):
             gone, old = old, []
@@ -428,11 +541,10 @@ class LanguageModel:
             by_w = seats.groupBy(F.col("w").alias("k")).agg(F.sum("t").alias("tw"))
             by_u = seats.groupBy(F.col("u").alias("k")).agg(F.sum("t").alias("tu"))
             total = F.col("ones") + F.coalesce("tu", F.lit(0))
-            back = (F.lit(STRENGTH) + F.lit(d) * total) / (F.lit(STRENGTH) + F.col("n"))
-            keep = lambda name, x, r=r: F.concat(name, F.array(x)) if r else F.col(name)
-            words = words.join(by_w, "k", "left").join(by_u, "k", "left").select("k", "n", "once", "ones", (F.col("once") + F.coalesce("tw", F.lit(0))).alias("now"), total.alias("total"), "t", "sizes", keep("p", p).alias("p"), keep("back", back).alias("back"))
+            keep = lambda name, x, r=r: (F.concat(name, F.array(x)) if r else F.col(name)).alias(name)
+            words = words.join(by_w, "k", "left").join(by_u, "k", "left").select("k", "n", "once", "ones", (F.col("once") + F.coalesce("tw", F.lit(0))).alias("now"), total.alias("total"), "t", "sizes", keep("nows", F.col("now")), keep("ts", F.col("t")), keep("totals", total))
             if r:
-                self.unknown.append(empty)
+                self.parents.append((d0, customers, empty))
             d0 = discount(float(s[2] or 0), float(s[3] or 0))
             words = store.written(words, f"{path}-next")
             for x in gone:
@@ -441,124 +553,57 @@ class LanguageModel:
             store.tidy(self.spark)
         self.words, self.seats = words, seats
 
-    def repeated(self, once) -> DataFrame:
-        """(u, w, n, sum_t) of the pairs seen twice or more, and of those seen once that ``once`` admits."""
-        single = self.pairs.where("n = 1").where(once)
-        return self.seats.select("u", "w", "n", "sum_t").unionByName(single.select("u", "w", "n", F.lit(ROUNDS - 1).cast("long").alias("sum_t")))
-
-    def scored(self, pairs: DataFrame, words: DataFrame) -> DataFrame:
-        """pairs (u, w, n, sum_t) with ``value``, the averaged log10 P(w | u), and ``base``, log10(n(w) + 1) if w is
-        known; words: what is known of all their words."""
-        k = ROUNDS - 1
-        dish = words.select(F.col("k").alias("w"), F.col("n").alias("nw"), "p")
-        house = words.select(F.col("k").alias("u"), F.col("n").alias("nu"), "back")
-        if words is self.top:  # at most SHORTLIST rows
-            dish, house = F.broadcast(dish), F.broadcast(house)
-        p = lambda i: F.coalesce(F.element_at("p", i + 1), F.lit(self.unknown[i]))
-        back = lambda i: F.coalesce(F.element_at("back", i + 1), F.lit(1.0))
-        parent = sum((p(i) * back(i) for i in range(k)), F.lit(0.0)) / k
-        tables = F.coalesce(F.col("sum_t") / k, F.lit(1.0))
-        own = F.when(F.col("n") > 0, (F.col("n") - F.lit(self.d) * tables) / (F.lit(STRENGTH) + F.col("nu"))).otherwise(0.0)
-        met = pairs.join(dish, "w", "left").join(house, "u", "left")
-        return met.withColumn("value", F.log10(own + parent)).withColumn("base", F.log10(F.col("nw") + F.lit(1.0))).drop("nw", "nu", "p", "back")
-
-    def _shortlist(self) -> Model:
-        c, m = (np.array([x[i] for x in self.kinds], np.int64) for i in (0, 1))
-        fits = np.flatnonzero(np.cumsum(m[::-1]) <= SHORTLIST)
-        least = int(c[::-1][fits[-1]]) if len(fits) else (int(c[-1]) + 1 if len(c) else 1)
-        both = F.col("u").between(0, SHORTLIST - 1) & F.col("w").between(0, SHORTLIST - 1)
-        rows = self.scored(self.repeated(F.lit(True)).where(F.col("n") >= least).where(both), self.top).toArrow()
-        u, w = _names(rows["u"]), _names(rows["w"])
-        names = pair_names(u, w)
-        order = np.argsort(names)
-        mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / (ROUNDS - 1)
-        mass = self.words.agg(F.sum(mean)).first()[0] or 0.0
-        log_next = np.log10(np.maximum([[mass, float(np.mean(self.unknown))]], 1e-300))
-        top = self.top.select("k", "n").toArrow()
-        counts = np.zeros(SHORTLIST, np.int64)
-        counts[np.asarray(top["k"])] = np.asarray(top["n"])
-        return Model(names[order], u[order], w[order], np.asarray(rows["value"])[order], counts, log_next)
-
-    def score(self, docs: DataFrame, held) -> DataFrame:
-        """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-        docs is read twice and its rows numbered by their place, so it has to be a table, not the result of a shuffle.
-        """
-        same = docs is self.docs
-        mine = F.coalesce(self.training, F.lit(False)) if same else F.lit(False)
-        table = self.repeated(F.col("others") > 0 if same else F.lit(True))
-        short, shared = self.short, self.spark.sparkContext.broadcast(self.model)
-
-        def cut(frequent_pairs: bool):
-            """Rows' distinct pairs: those of two frequent words, with the rows' own sums, or the others."""
-
-            def run(batches):
-                for batch in batches:
-                    for b in blocks(batch.column(2)):
-                        row = np.asarray(batch.column(4).slice(b.first, b.n))
-                        u, w, to = short.value.pairs(b)
-                        model, doc = shared.value, np.repeat(np.arange(b.n), np.diff(to))
-                        common = (u < U(SHORTLIST)) & (w < U(SHORTLIST))
-                        if frequent_pairs:
-                            at = np.full(len(w), -1)
-                            at[common] = model.look_up(u[common], w[common])
-                            lost = np.flatnonzero(common & (at < 0))
-                            value = np.where(at >= 0, np.append(model.value, 0.0)[at], 0.0)
-                            n = np.where(w < U(SHORTLIST), model.counts[np.minimum(w, U(SHORTLIST - 1)).astype(np.int64)], 0)
-                            alone = np.arange(b.n)
-                        else:
-                            lost, value, n, alone = np.flatnonzero(~common), np.zeros(len(w)), np.zeros(len(w), np.int64), np.zeros(0, np.int64)
-                        order = lost[np.lexsort((w[lost], u[lost], doc[lost]))]
-                        wd, ud, dd = w[order], u[order], doc[order]
-                        new = np.flatnonzero(np.append(True, (wd[1:] != wd[:-1]) | (ud[1:] != ud[:-1]) | (dd[1:] != dd[:-1]))) if len(wd) else np.zeros(0, np.int64)
-                        who = np.concatenate([alone, dd[new]])
-                        first = lambda x, alone=alone, new=new: pa.array(np.concatenate([x[: len(alone)], np.zeros(len(new), x.dtype)]))
-                        total = lambda x, doc=doc, n=b.n: np.bincount(doc, weights=x, minlength=n)
-                        some = lambda k, at=pa.array(who), batch=batch, b=b: batch.column(k).slice(b.first, b.n).take(at)
-                        named = lambda x, y, row=row, alone=alone, new=new: as_long(np.concatenate([mix(row[alone].astype(U) ^ U(y)), x[new]]))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(row[who]),
-                                named(ud, 0x5BD1E995),  # a row's own sums are under names that no pair has
-                                named(wd, 0x2545F491),
-                                pa.array(np.concatenate([np.zeros(len(alone), np.int64), np.diff(np.append(new, len(wd)))])),
-                                some(3),
-                                some(0).cast(pa.int64()),
-                                some(1),
-                                first(np.diff(to)),
-                                first(total(n > 0).astype(np.int64)),
-                                first(total(np.log10(n + 1.0))),
-                                first(total(value)),
-                            ],
-                            ["row", "u", "w", "times", "mine", "doc_id", "held_out", "n_tokens", "n_known", "known", "sum"],
-                        )
-
-            return run
-
-        rows = docs.select("doc_id", held.alias("held_out"), "text", mine.cast("long").alias("mine"), F.monotonically_increasing_id().alias("row"))
-        kinds = "row long, u long, w long, times long, mine long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, sum double"
-
-        def met(parts: DataFrame, words: DataFrame) -> DataFrame:
-            pairs = parts.join(table, ["u", "w"], "left").withColumn("n", F.coalesce("n", "mine"))
-            return self.scored(pairs, words)
-
-        # The base scores of frequent words are in the rows' own sums, so here only rare words add to them.
-        rare = ~F.col("w").between(0, SHORTLIST - 1)
-        both = met(rows.mapInArrow(cut(True), kinds), self.top).unionByName(met(rows.mapInArrow(cut(False), kinds).drop("doc_id", "held_out", "n_tokens", "n_known", "known", "sum"), self.words), allowMissingColumns=True)
-        zero = lambda c: F.coalesce(c, F.lit(0))
-        sums = both.groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(zero("n_known") + F.when(rare & F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(zero("known") + F.when(rare & F.col("base").isNotNull(), F.col("times") * F.col("base")).otherwise(0.0)).alias("base"),
-            F.sum(zero("sum") + F.when(F.col("times") > 0, F.col("times") * F.col("value")).otherwise(0.0)).alias("score"),
-        )
-        return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(self.n + self.v + 1)))).alias("base_score"), "score")
+    def score(self, docs: DataFrame) -> DataFrame:
+        """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.  Of the table that the model
+        was made of, each row is scored as what it was there, trained on or not; rows of others never were."""
+        short, k, d = self.short, ROUNDS - 1, self.d
+        parts, lists, buckets = self.parts, self.lists, self.buckets
+        if docs is not self.docs:
+            folder = store.scratch(self.spark, "lm-other")
+            parts = store.written(as_blocks(docs, F.lit(False), short), f"{folder}/blocks")
+            lists = lists.unionByName(store.written(asked(parts, short, buckets, False), f"{folder}/asked"))
+            lists = lists.withColumn("block", F.when(F.col("corpus"), -1).otherwise(F.col("block")))  # theirs are numbered alike
+        answers = answered(lists, self.seats, d, k, buckets).where("block >= 0")
+        at = [F.element_at(c, i + 1).alias(f"{c}{i}") for c in ("nows", "ts", "totals") for i in range(k)]
+        known = parts.select(F.col("block").alias("of"), F.posexplode("names").alias("place", "k")).join(self.words.select("k", "n", *at), "k").drop("k")
+        rows = parts.unionByName(answers, allowMissingColumns=True)
+        parents = self.parents
+        uniform = float(np.log10(self.n + self.v + 1))
+
+        def run(table: pa.Table, met: pa.Table) -> pa.Table:
+            whole = table.filter(pc.is_valid(table["names"])).combine_chunks()
+            p = Part({name: whole[name][0] for name in ("block", "doc_id", "trained", "sizes", "names", "tokens")}, short.value)
+            place, m = np.asarray(met["place"]), len(p.names)
+            n = np.zeros(m, np.int64)
+            n[place] = np.asarray(met["n"])
+            parent = np.zeros(len(p.w))
+            for i in range(k):
+                next_, back = np.full(m, parents[i][2]), np.ones(m)
+                next_[place], back[place] = backed(parents[i], d, *(np.asarray(met[f"{c}{i}"]) for c in ("nows", "ts", "totals")), n[place])
+                parent += back[p.u] * next_[p.w] / k
+            bucket, u, _, first, which = p.pairs(buckets)
+            customers = np.zeros(len(u))
+            told = table.filter(pc.is_valid(table["pairs"]))
+            begin = dict(zip(bucket[first].tolist(), first.tolist(), strict=True))
+            for b, raw in zip(told["bucket"].to_pylist(), told["pairs"].to_pylist(), strict=True):
+                x = unpacked(raw, 2)
+                customers[begin[b] + x[0].astype(np.int64)] = x[1].view(np.float64)
+            own = customers[which]
+            own = np.where(p.trained & (own == 0), 1.0 - d, own) / (STRENGTH + n[p.u])
+            total = lambda x: np.add.reduceat(x, p.to[:-1])
+            score, base = total(np.log10(own + parent)), total(np.log10(n[p.w] + 1.0)) - p.sizes * uniform
+            return pa.table(
+                [p.doc_id, pa.array(p.sizes), pa.array(total((n[p.w] > 0).astype(np.int64))), pa.array(base), pa.array(score), pa.array(10.0 ** np.minimum(-score / p.sizes, 300.0))],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"],
+            )
+
+        out = rows.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+        return out.select("doc_id", "n_tokens", "n_known", F.lit(self.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.light_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = LanguageModel(docs, fold("doc_id", 7) != 2).score(docs)
     held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
-    return LanguageModel(docs, fold("doc_id", 7) != 2).score(docs, held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
