@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,9 +222,15 @@ def test_viterbi_is_the_best_of_all_labellings():
 
 def _probabilities(m):
     """P(w | u) of a model by its formula, from its tables taken whole."""
-    k = language_model.ROUNDS - 1
-    word = {r["k"]: r for r in m.words.collect()}
-    seat = {(r["u"], r["w"]): r["n"] - m.d * r["sum_t"] / k for r in m.seats.collect()}
+    k, word, seat = m.rounds, {}, {}
+    for r in m.seats.collect():
+        s = language_model.Seats.of(r["src"], bytes(r["x"]), bytes(r["y"]))
+        seat.update(zip(zip(s.u.view(np.int64).tolist(), s.w.view(np.int64).tolist(), strict=True), (s.n - m.d * s.sum_t / k).tolist(), strict=True))
+    states = m.words.unionByName(m.wanted).unionByName(m.told).toArrow()
+    for dst in set(states["dst"].to_pylist()):
+        x = language_model.met_words(states.filter(pa.compute.equal(states["dst"], dst)), m.columns, k + 1)[0]
+        for row in x.T.tolist():
+            word[row[0]] = {"n": row[1], "nows": row[7::3], "ts": row[8::3], "totals": row[9::3]}
     once = collections.Counter()
     for row in m.parts.collect():
         p = language_model.Part({x: pa.scalar(row[x], pa.binary() if x == "tokens" else None) for x in row.asDict()}, m.short.value)

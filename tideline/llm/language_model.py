@@ -9,12 +9,15 @@ and which falls back to the uniform distribution of the known words and one unkn
 in training predicts by G_0.
 
 Texts go through the cluster as blocks of a few MB, written once: the distinct words of a block and, for each token, the
-number of its word there.  A block asks about its distinct pairs in packed lists, one for each bucket of pairs, so a
-pair costs a few bytes and no row of its own, and a pair that is everywhere is asked for once a block.  A bucket adds
-up the lists and knows which pairs repeat; those become rows with seatings.  For scoring, the buckets answer the same
-lists with n - d t of the pairs that repeat, words answer with their counts and what the parent gives them, and a block
-puts its tokens' probabilities together.  A pair of a training row that gets no answer was seen once, in that row.
-Short numbers for frequent words (found in a sample of rows) save bytes and change no score.
+number of its word there.  Pairs and words live in buckets by hash.  A block asks about its distinct pairs and words in
+packed lists, one for each bucket, so a pair costs a few bytes and no row of its own, and a pair that is everywhere is
+asked for once a block.  A bucket of pairs adds up the lists, knows which pairs repeat, and keeps these with their
+seatings; buckets of pairs and of words send each other tables in packed lists, a round at a time, each step a written
+table.  For scoring, the buckets answer the blocks' lists with n - d t of the pairs that repeat and with the seatings of
+the words, and a block puts its tokens' probabilities together.  A pair of a training row that gets no answer was seen
+once, in that row.  Blocks and buckets have fixed sizes, so a list has BLOCK_TOKENS * BUCKET_TOKENS / (all tokens) pairs;
+both grow with the executors' memory.  Short numbers for frequent words (found in a sample of rows) save bytes and
+change no score.
 
 A pair seen once has one table.  Of all others every customer is seated anew in every round, with the tables of the
 round before.  A dish of up to ``JOINT`` customers has all of them seated at once, its tables drawn from their exact law
@@ -93,6 +96,7 @@ def frequent(docs: DataFrame, rows: int = 20_000) -> Short:
         for batch in batches:
             for b in blocks(batch.column(0)):
                 w, count = np.unique(tokens(b)[0], return_counts=True)
+                w, count = w[count > 1], count[count > 1]
                 yield pa.RecordBatch.from_arrays([as_long(w), pa.array(count)], ["w", "n"])
 
     some = docs.select("text") if n <= rows else docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
@@ -115,7 +119,7 @@ def unpacked(raw: bytes, columns: int) -> np.ndarray:
     import zstandard
 
     x = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns, 8, -1)
-    return np.ascontiguousarray(x.transpose(0, 2, 1)).view(U)[:, :, 0]
+    return np.array(x.transpose(0, 2, 1), order="C").view(U)[:, :, 0]
 
 
 BLOCK_KINDS = "block long, doc_id array<long>, trained array<boolean>, sizes array<int>, names array<long>, tokens binary"
@@ -176,14 +180,32 @@ class Part:
     def pairs(self, buckets: int):
         """(bucket, context, word) of the distinct pairs, in this order, where each bucket begins, the pair of each
         token."""
-        key, inverse = np.unique(self.u * np.int64(len(self.names)) + self.w, return_inverse=True)
-        u, w = self.names[key // len(self.names)], self.names[key % len(self.names)]
+        by = np.argsort(self.names)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        key, inverse = np.unique(rank[self.u] * np.int64(len(by)) + rank[self.w], return_inverse=True)
+        u, w = self.names[by][key // len(by)], self.names[by][key % len(by)]
         bucket = (pair_names(u, w) % U(buckets)).astype(np.int64)
-        order = np.lexsort((w, u, bucket))
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        bucket, u, w = bucket[order], u[order], w[order]
-        return bucket, u, w, np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), place[inverse]
+        return bucket[order], u[order], w[order], _begins(bucket[order]), place[inverse]
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of a value begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def spread(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, bucket, where each bucket begins) of names sorted by bucket and name."""
+    bucket = (mix(names) % U(buckets)).astype(np.int64)
+    order = np.lexsort((names, bucket))
+    return order, bucket[order], _begins(bucket[order])
+
+
+def _cut(first: np.ndarray, n: int) -> list[slice]:
+    return [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), n], strict=True)]
 
 
 def _parts(batches, short: Short):
@@ -192,16 +214,27 @@ def _parts(batches, short: Short):
             yield Part({k: batch.column(j)[i] for j, k in enumerate(batch.schema.names)}, short)
 
 
-def trained_words(parts: DataFrame, short) -> DataFrame:
-    """(k, n): training tokens of each word."""
+STATE, LIST, WANTED, TOTALS = range(4)
+#: Rows between buckets: a bucket's own state, a list from src to dst, which words a bucket of pairs asks for, and sums.
+ROWS = "kind int, src long, dst long, x binary, y binary, v array<double>"
+_ROWS = pa.schema([("kind", pa.int32()), ("src", pa.int64()), ("dst", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("v", pa.list_(pa.float64()))])
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    cols = zip(*rows, strict=True) if rows else [[]] * 6
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(cols, _ROWS, strict=True)], schema=_ROWS)
+
+
+def word_lists(parts: DataFrame, short, buckets: int) -> DataFrame:
+    """ROWS: each block's distinct words in a bucket with their training tokens."""
 
     def run(batches):
         for p in _parts(batches, short.value):
-            n = np.bincount(p.w[p.trained], minlength=len(p.names))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([as_long(p.names[some]), pa.array(n[some])], ["k", "n"])
+            order, bucket, first = spread(p.names, buckets)
+            n, names = np.bincount(p.w[p.trained], minlength=len(p.names))[order], p.names[order]
+            yield from _rows([(LIST, p.block, int(bucket[c.start]), packed(np.diff(names[c], prepend=U(0)), n[c]), None, None) for c in _cut(first, len(names))]).to_batches()
 
-    return parts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return parts.select("block", "doc_id", "trained", "sizes", "names", "tokens").mapInArrow(run, ROWS)
 
 
 def asked(parts: DataFrame, short, buckets: int, corpus: bool) -> DataFrame:
@@ -213,8 +246,7 @@ def asked(parts: DataFrame, short, buckets: int, corpus: bool) -> DataFrame:
             bucket, u, w, first, place = p.pairs(buckets)
             mine = np.bincount(place, weights=p.trained, minlength=len(u)).astype(np.int64)
             more = np.bincount(place, minlength=len(u)) > mine
-            cut = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(u)), strict=True)]
-            blobs = [packed(np.diff(u[c], prepend=U(0)), w[c], (2 * mine + more)[c]) for c in cut]
+            blobs = [packed(np.diff(u[c], prepend=U(0)), w[c], (2 * mine + more)[c]) for c in _cut(first, len(u))]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), p.block)), pa.array(bucket[first]), pa.array(np.full(len(first), corpus)), pa.array(blobs, pa.binary())], ["block", "bucket", "corpus", "pairs"])
 
     return parts.mapInArrow(run, "block long, bucket long, corpus boolean, pairs binary")
@@ -229,57 +261,198 @@ class Asked:
         u, w, n = (np.concatenate([f(x) for x in lists]) for f in (lambda x: np.cumsum(x[0], dtype=U), lambda x: x[1], lambda x: x[2]))
         self.other = n % U(2) > 0
         n = (n // U(2)).astype(np.int64)
-        order = np.lexsort((w, u))
-        su, sw = u[order], w[order]
-        new = np.append(True, (su[1:] != su[:-1]) | (sw[1:] != sw[:-1]))
+        name = pair_names(u, w)
+        order = np.argsort(name)
+        new = _begins(name[order])
         self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.u, self.w, self.n = su[new], sw[new], np.add.reduceat(n[order], np.flatnonzero(new))
+        self.of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+        self.u, self.w, self.n = u[order[new]], w[order[new]], np.add.reduceat(n[order], new)
+
+
+class Seats:
+    """A bucket of pairs that repeat, in the order of their names: customers, tables, the sum of tables over the rounds
+    that count, and the sizes of large dishes' tables."""
+
+    def __init__(self, bucket: int, u, w, n, t, sum_t, cell, size):
+        self.bucket, self.u, self.w, self.n, self.t, self.sum_t, self.cell, self.size = bucket, u, w, n, t, sum_t, cell, size
+
+    @classmethod
+    def of(cls, bucket: int, x: bytes, y: bytes) -> Seats:
+        u, w, n, t, sum_t = unpacked(x, 5)
+        return cls(bucket, u, w, *(k.view(np.int64) for k in (n, t, sum_t)), *(k.view(np.int64) for k in unpacked(y, 2)))
+
+    def row(self) -> tuple:
+        return STATE, self.bucket, self.bucket, packed(self.u, self.w, self.n, self.t, self.sum_t), packed(self.cell, self.size), None
+
+    def words(self, buckets: int):
+        """(words by bucket and name, buckets, where each begins, places of the contexts, places of the dishes)."""
+        names, which = np.unique(np.append(self.u, self.w), return_inverse=True)
+        order, bucket, first = spread(names, buckets)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return names[order], bucket, first, place[which[: len(self.u)]], place[which[len(self.u) :]]
+
+
+def _from(table: pa.Table, kind: int) -> list[dict]:
+    return table.filter(pc.equal(table["kind"], kind)).select(["src", "dst", "x", "y"]).to_pylist()
 
 
-def repeated_pairs(lists: DataFrame) -> DataFrame:
-    """(u, w, n) of the pairs with two training tokens or more."""
+def begin_pairs(buckets: int):
+    """Lists of a bucket to its seats, and to the words what repeated pairs there are: pairs and tokens by dish and by
+    context."""
 
     def run(table: pa.Table) -> pa.Table:
         a = Asked(table)
         some = np.flatnonzero(a.n > 1)
-        return pa.table([as_long(a.u[some]), as_long(a.w[some]), pa.array(a.n[some])], names=["u", "w", "n"])
+        if not len(some):
+            return _rows([])
+        none = np.zeros(0, np.int64)
+        n = a.n[some]
+        seats = Seats(table["bucket"][0].as_py(), a.u[some], a.w[some], n, np.ones_like(n), np.zeros_like(n), none, none)
+        names, bucket, first, at_u, at_w = seats.words(buckets)
+        sums = [np.bincount(at, weights=x, minlength=len(names)).astype(np.int64) for at in (at_w, at_u) for x in (None, n)]
+        out = [(LIST, seats.bucket, int(bucket[c.start]), packed(np.diff(names[c], prepend=U(0)), *[x[c] for x in sums]), None, None) for c in _cut(first, len(names))]
+        return _rows([seats.row(), (TOTALS, 0, 0, None, None, [float((n == 2).sum())]), *out])
 
-    return lists.groupBy("bucket").applyInArrow(run, "u long, w long, n long")
+    return run
 
 
-def answered(lists: DataFrame, seats: DataFrame, d: float, rounds: int, buckets: int) -> DataFrame:
-    """(block, bucket, pairs): place in the list and averaged n - d t of the pairs that repeat, and of those seen once
-    that other rows have, too."""
+#: What a word's state holds: name, customers as dish and as context, those of pairs seen once by dish and by context,
+#: its children's tables, its restaurant's tables, its tables in the parent, and the latter three of each round that counts.
+FIELDS = 7
+
+
+def begin_words(rounds: int):
+    """Block lists and lists of begin_pairs to a bucket's words, and the words each bucket of pairs asks for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [(r["src"], unpacked(r["x"], 2)) for r in _from(table, LIST) if r["y"] is not None]
+        asks = [(r["src"], unpacked(r["x"], 5)) for r in _from(table, LIST) if r["y"] is None]
+        k, which = np.unique(np.concatenate([np.cumsum(x[0], dtype=U) for _, x in lists]), return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate([x[1] for _, x in lists]).astype(float), minlength=len(k)).astype(np.int64)
+        some = np.flatnonzero(n)
+        k, n = k[some], n[some]
+        sums, wanted = np.zeros((4, len(k)), np.int64), []
+        for src, x in asks:
+            at = np.searchsorted(k, np.cumsum(x[0], dtype=U))
+            sums[:, at] += x[1:].view(np.int64)
+            wanted.append((WANTED, src, table["dst"][0].as_py(), packed(np.diff(at, prepend=0)), None, None))
+        if not len(k):
+            return _rows([])
+        mw, nw, mu, nu = sums
+        x = np.zeros((FIELDS + 3 * rounds, len(k)), np.int64)
+        x[0], x[1], x[2], x[3], x[4], x[5], x[6] = k.view(np.int64), n, n - nw, n - nu, n - nw + mw, n - nu + mu, 1
+        none = np.zeros(0, np.int64)
+        at = table["dst"][0].as_py()
+        totals = [float(v) for v in (len(k), n.sum(), x[2].sum(), (x[4] == 1).sum(), (x[4] == 2).sum(), x[4].sum())]
+        return _rows([(STATE, at, at, packed(*x), packed(none, none), None), (TOTALS, 0, 0, None, None, totals), *wanted])
+
+    return run
+
+
+def met_words(table: pa.Table, columns: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(state, dish and size of large dishes' tables, what buckets of pairs ask for) of a bucket of words, the tables of
+    round r - 1 of the pairs taken in."""
+    [own] = _from(table, STATE)
+    x = unpacked(own["x"], columns).view(np.int64)
+    cell, size = unpacked(own["y"], 2).view(np.int64)
+    wanted = [(q["src"], np.cumsum(unpacked(q["x"], 1)[0].view(np.int64))) for q in _from(table, WANTED)]
+    told = {q["src"]: q["x"] for q in _from(table, LIST)}
+    if r:
+        x[4], x[5] = x[2], x[3]
+        for src, at in wanted:
+            t = unpacked(told[src], 2).view(np.int64)
+            x[4, at] += t[0]
+            x[5, at] += t[1]
+        if r > 1:
+            x[FIELDS + 3 * (r - 2) + 2] = x[5]
+    return x, cell, size, wanted
+
+
+def seat_words(columns: int, d: float, base: float, tables: float, seed: int, r: int):
+    """A round of the parent: state, lists of the round before and wants to state and lists for the pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, cell, size, wanted = met_words(table, columns, r)
+        now, t = x[4], x[6]
+        same = lambda v: np.full(len(now), v)
+        x[6], cell, size = reseat(now, t, cell, size, np.maximum(same(tables), t), same(base), d, _keys(x[0].view(U), seed, r))
+        if r:
+            x[FIELDS + 3 * (r - 1)], x[FIELDS + 3 * (r - 1) + 1] = now, x[6]
+        at = table["dst"][0].as_py()
+        totals = [float(v) for v in (x[6].sum(), now.sum(), (now == 1).sum(), (now == 2).sum())]
+        out = [(LIST, at, src, packed(x[4, k], x[5, k], x[6, k]), None, None) for src, k in wanted]
+        return _rows([(STATE, at, at, packed(*x), packed(cell, size), None), (TOTALS, 0, 0, None, None, totals), *out])
+
+    return run
 
-    def placed(batches):
-        for b in batches:
-            u, w = _names(b.column(0)), _names(b.column(1))
-            customers = np.asarray(b.column(2)) - d * np.asarray(b.column(3)) / rounds
-            yield pa.RecordBatch.from_arrays([pa.array((pair_names(u, w) % U(buckets)).astype(np.int64)), b.column(0), b.column(1), pa.array(customers)], ["bucket", "u", "w", "customers"])
+
+def seat_pairs(buckets: int, parent: tuple[float, float, float], d: float, seed: int, r: int):
+    """A round of the pairs: seats and the words' lists to seats and lists for the words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        [own] = _from(table, STATE)
+        seats = Seats.of(own["src"], own["x"], own["y"])
+        names, bucket, first, at_u, at_w = seats.words(buckets)
+        cuts = dict(zip(bucket[first].tolist(), _cut(first, len(names)), strict=True))
+        told = np.zeros((3, len(names)), np.int64)
+        for q in _from(table, LIST):
+            told[:, cuts[q["src"]]] = unpacked(q["x"], 3).view(np.int64)
+        p, _ = backed(parent, d, told[0], told[2], told[1], told[1])
+        seats.t, seats.cell, seats.size = reseat(seats.n, seats.t, seats.cell, seats.size, told[1][at_u], p[at_w], d, _keys(pair_names(seats.u, seats.w), seed, r))
+        seats.sum_t = seats.sum_t + seats.t * (r > 0)
+        tw, tu = (np.bincount(at, weights=seats.t, minlength=len(names)).astype(np.int64) for at in (at_w, at_u))
+        return _rows([seats.row(), *[(LIST, seats.bucket, b, packed(tw[c], tu[c]), None, None) for b, c in cuts.items()]])
+
+    return run
+
+
+def answer_pairs(d: float, rounds: int):
+    """Lists of blocks and a bucket's seats to (block, bucket, kind, x): place in the list and averaged n - d t of the
+    pairs that repeat, and of those seen once that other rows have, too."""
 
     def run(lists: pa.Table, seats: pa.Table) -> pa.Table:
+        kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("pairs", pa.binary()), ("words", pa.binary())])
         if not lists.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["block", "bucket", "pairs"])
-        a, u, w, value = Asked(lists), _names(seats["u"]), _names(seats["w"]), np.asarray(seats["customers"])
-        order = np.lexsort((w, u))
-        u, w, value = u[order], w[order], value[order]
-        many = np.flatnonzero(a.n > 1)  # in the order of the seats, which are the same pairs
-        if len(many) != len(u) or not ((a.u[many] == u).all() and (a.w[many] == w).all()):
-            raise ValueError("the seatings are not those of the pairs asked about")
+            return kinds.empty_table()
+        a = Asked(lists)
         customers = np.where(a.n == 1, 1.0 - d, 0.0)
-        customers[many] = value
+        for r in seats.to_pylist():
+            s = Seats.of(r["src"], r["x"], r["y"])
+            many = np.flatnonzero(a.n > 1)  # the same pairs in the same order
+            if not ((a.u[many] == s.u).all() and (a.w[many] == s.w).all()):
+                raise ValueError("the seatings are not those of the pairs asked about")
+            customers[many] = s.n - d * s.sum_t / rounds
         wanted = (a.n[a.of] > 1) | (a.n[a.of] == 1) & a.other
-        start = np.cumsum(a.sizes) - a.sizes
         out = []
-        for at, n in zip(start, a.sizes, strict=True):
+        for block, at, n in zip(lists["block"].to_pylist(), np.cumsum(a.sizes) - a.sizes, a.sizes, strict=True):
             some = np.flatnonzero(wanted[at : at + n])
-            out.append(packed(some, customers[a.of[at + some]]) if len(some) else None)
-        keep = pa.array([x is not None for x in out])
-        return pa.table([lists["block"], lists["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "pairs"]).filter(keep)
+            if len(some) and block >= 0:
+                out.append((block, lists["bucket"][0].as_py(), packed(some, customers[a.of[at + some]]), None))
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds) if out else kinds.empty_table()
+
+    return run
 
-    rows = seats.select("u", "w", "n", "sum_t").mapInArrow(placed, "bucket long, u long, w long, customers double")
-    return lists.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, "block long, bucket long, pairs binary")
+
+def answer_words(columns: int, rounds: int):
+    """Lists of blocks and a bucket of words to the same: n and the seatings of each round of the words asked for."""
+
+    def run(table: pa.Table, asks: pa.Table) -> pa.Table:
+        kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("pairs", pa.binary()), ("words", pa.binary())])
+        if not asks.num_rows:
+            return kinds.empty_table()
+        x = met_words(table, columns, rounds + 1)[0] if table.num_rows else np.zeros((columns, 0), np.int64)
+        k, out = x[0].view(U), []
+        for q in asks.to_pylist():
+            names = np.cumsum(unpacked(q["x"], 2)[0], dtype=U)
+            at = np.minimum(np.searchsorted(k, names), max(len(k) - 1, 0))
+            known = k[at] == names if len(k) else np.zeros(len(names), bool)
+            told = np.zeros((1 + 3 * rounds, len(names)), np.int64)
+            told[:, known] = x[[1, *range(FIELDS, columns)]][:, at[known]]
+            out.append((q["src"], q["dst"], None, packed(*told)))
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+    return run
 
 
 def expected_tables(c: np.ndarray, fresh: np.ndarray, d: float, steps: int = 48) -> np.ndarray:
@@ -408,71 +581,14 @@ def discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once + twice else 0.5
 
 
-def gathered(batches, rows: int = 1 << 15):
-    """Larger tables of the same rows."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [np.asarray(table[k]) for k in names]
-
-
 def _names(column) -> np.ndarray:
     return np.asarray(column).astype(np.int64).view(U)
 
 
-def _tables(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(row, size) of the tables in column ``sizes``."""
-    x = table["sizes"].combine_chunks()
-    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
-    return np.repeat(np.arange(len(x)), np.asarray(x.value_lengths())), np.asarray(x.flatten()).astype(np.int64)
-
-
-def _lists(cell: np.ndarray, size: np.ndarray, n: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cell, np.arange(n + 1)).astype(np.int32)), pa.array(size))
-
-
 def _keys(names: np.ndarray, seed: int, r: int) -> np.ndarray:
     return mix(names + U(mix(np.array([seed * 1000 + r], U))[0]))
 
 
-def _seat_pairs(d: float, seed: int, r: int):
-    """A round of pairs: (u, w, n, sizes, t, sum_t, total, p) to (u, w, n, sizes, t, sum_t)."""
-
-    def run(batches):
-        for table in gathered(batches):
-            n, t, total, p, kept = _numbers(table, "n", "t", "total", "p", "sum_t")
-            key = _keys(pair_names(_names(table["u"]), _names(table["w"])), seed, r)
-            t, cell, size = reseat(n, t, *_tables(table), total, p, d, key)
-            out = [table["u"], table["w"], table["n"], _lists(cell, size, len(n)), pa.array(t), pa.array(kept + t * (r > 0))]
-            yield from pa.table(out, names=["u", "w", "n", "sizes", "t", "sum_t"]).to_batches()
-
-    return run
-
-
-def _seat_words(d: float, base: float, tables: float, seed: int, r: int):
-    """A round of the parent: its rows with ``now`` customers to the same with their tables in ``t`` and ``sizes``."""
-
-    def run(batches):
-        for table in gathered(batches):
-            c, t = _numbers(table, "now", "t")
-            same = lambda x, n=len(c): np.full(n, x)
-            t, cell, size = reseat(c, t, *_tables(table), np.maximum(same(tables), t), same(base), d, _keys(_names(table["k"]), seed, r))
-            for name, x in (("sizes", _lists(cell, size, len(c))), ("t", pa.array(t))):
-                table = table.set_column(table.column_names.index(name), name, x)
-            yield from table.to_batches()
-
-    return run
-
-
 def backed(parent: tuple[float, float, float], d: float, now: np.ndarray, t: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the parent's probability of words, the weight their own restaurants give the parent) after a round; now: tables
     of the children, t: tables in the parent, total: tables in the own restaurant, n: customers there."""
@@ -480,125 +596,122 @@ def backed(parent: tuple[float, float, float], d: float, now: np.ndarray, t: np.
     return (now - d0 * t) / (STRENGTH + customers) + empty, (STRENGTH + d * total) / (STRENGTH + n)
 
 
-def expected(words: DataFrame, d: float, kinds: int) -> float:
+def expected(states: DataFrame, columns: int, d: float, kinds: int) -> float:
     """Tables of the parent where the sampler starts, when it has ``kinds`` dishes."""
 
     def run(batches):
         for b in batches:
-            c = np.asarray(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([float(expected_tables(c, np.full(len(c), (STRENGTH + d * kinds) / (kinds + 1)), d).sum())])], ["t"])
+            for x in b.column(0).to_pylist():
+                c = unpacked(x, columns)[4].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([float(expected_tables(c, np.full(len(c), (STRENGTH + d * kinds) / (kinds + 1)), d).sum())])], ["t"])
 
-    return words.select("now").mapInArrow(run, "t double").agg(F.sum("t")).first()[0] or 0.0
+    return states.select("x").mapInArrow(run, "t double").agg(F.sum("t")).first()[0] or 0.0
 
 
 class LanguageModel:
-    """Blocks, lists, counts and seatings in written tables; a few totals on the driver."""
+    """Blocks, lists and the buckets' states in written tables; a few totals on the driver."""
 
     def __init__(self, docs: DataFrame, training, seed: int = 3):
         spark = self.spark = docs.sparkSession
         self.docs, self.folder = docs, store.scratch(spark, "lm")
+        self.rounds, self.columns = ROUNDS - 1, FIELDS + 3 * (ROUNDS - 1)
         self.short = spark.sparkContext.broadcast(frequent(docs))
         self.parts = store.written(as_blocks(docs, training, self.short), f"{self.folder}/blocks")
         some = self.parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
         self.buckets = max(8, -(-some // BUCKET_TOKENS))
         self.lists = store.written(asked(self.parts, self.short, self.buckets, True), f"{self.folder}/asked")
-        repeated = store.written(repeated_pairs(self.lists), f"{self.folder}/pairs")
+        at = f"{self.folder}/pairs"
+        pairs = self._stepped(self.lists.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(begin_pairs(self.buckets), ROWS), at)
+        theirs = word_lists(self.parts, self.short, self.buckets).withColumn("y", F.lit(b""))
+        words = self._step(theirs.unionByName(self._of(pairs, LIST)), begin_words(self.rounds), f"{self.folder}/words")
+        self.wanted = self._of(words, WANTED)
+        self.v, self.n, once, one, two, customers = self._totals(words, 6)
+        self.d, d0 = discount(once, self._totals(pairs, 1)[0]), discount(one, two)
+        tables = expected(self._of(words, STATE), self.columns, d0, self.v)
+        base, lists, old = 1.0 / (self.v + 1), self._of(pairs, LIST).limit(0), []
+        self.parents = []  # of each round that counts: discount, customers and what an unknown dish gets
         store.tidy(spark)
-        # Each training token is once a dish and once a context, so n is both counts of a word, and what repeated pairs
-        # leave of it was seen once.
-        both = [repeated.groupBy(F.col(c).alias("k")).agg(F.sum("n").alias(f"n{c}"), F.count("*").alias(f"m{c}")) for c in ("w", "u")]
-        zero = lambda c: F.coalesce(c, F.lit(0))
-        words = trained_words(self.parts, self.short).join(both[0], "k", "left").join(both[1], "k", "left")
-        words = words.select("k", "n", (F.col("n") - zero("nw")).alias("once"), (F.col("n") - zero("nu")).alias("ones"), (F.col("n") - zero("nw") + zero("mw")).alias("now"), (F.col("n") - zero("nu") + zero("mu")).alias("total"))
-        none = F.array().cast("array<long>")
-        words = words.select("*", F.lit(1).cast("long").alias("t"), *[none.alias(c) for c in ("sizes", "nows", "ts", "totals")])
-        words = store.written(words, f"{self.folder}/words")
-        has = lambda c, k: F.sum((F.col(c) == k).cast("long"))
-        kinds, n, once, one, two, customers = (x or 0 for x in words.agg(F.count("*"), F.sum("n"), F.sum("once"), has("now", 1), has("now", 2), F.sum("now")).first())
-        self.v, self.n = int(kinds), int(n)
-        self.d = discount(once, repeated.where("n = 2").count())
-        d0 = discount(one, two)
-        self._sample(words, repeated, d0, customers, expected(words, d0, kinds), seed)
-        store.tidy(spark)
-
-    def _sample(self, words: DataFrame, repeated: DataFrame, d0: float, customers: float, tables: float, seed: int) -> None:
-        """ROUNDS sweeps of the parent and of all pairs seen twice or more, each from the round before."""
-        d = self.d
-        seats = repeated.select("u", "w", "n", F.array().cast("array<long>").alias("sizes"), F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum_t"))
-        self.parents, old = [], []  # of each round that counts: discount, customers and what an unknown dish gets
-        base = 1.0 / (self.v + 1)
         for r in range(ROUNDS):
-            gone, old = old, []
-            path = f"{self.folder}/words-{r}"
-            words = store.written(words.mapInArrow(_seat_words(d0, base, tables, seed, r), words.schema), path)
-            s = words.agg(F.sum("t"), F.sum("now"), F.sum((F.col("now") == 1).cast("long")), F.sum((F.col("now") == 2).cast("long"))).first()
-            tables, customers = float(s[0] or 0), float(s[1] or 0)
-            empty = (STRENGTH + d0 * tables) * base / (STRENGTH + customers)
-            p = (F.col("now") - F.lit(d0) * F.col("t")) / F.lit(STRENGTH + customers) + F.lit(empty)
-            met = seats.join(words.select(F.col("k").alias("w"), p.alias("p")), "w").join(words.select(F.col("k").alias("u"), "total"), "u")
-            at = f"{self.folder}/seats-{r}"
-            seats = store.written(met.mapInArrow(_seat_pairs(d, seed, r), "u long, w long, n long, sizes array<bigint>, t long, sum_t long"), at)
-            by_w = seats.groupBy(F.col("w").alias("k")).agg(F.sum("t").alias("tw"))
-            by_u = seats.groupBy(F.col("u").alias("k")).agg(F.sum("t").alias("tu"))
-            total = F.col("ones") + F.coalesce("tu", F.lit(0))
-            keep = lambda name, x, r=r: (F.concat(name, F.array(x)) if r else F.col(name)).alias(name)
-            words = words.join(by_w, "k", "left").join(by_u, "k", "left").select("k", "n", "once", "ones", (F.col("once") + F.coalesce("tw", F.lit(0))).alias("now"), total.alias("total"), "t", "sizes", keep("nows", F.col("now")), keep("ts", F.col("t")), keep("totals", total))
-            if r:
-                self.parents.append((d0, customers, empty))
-            d0 = discount(float(s[2] or 0), float(s[3] or 0))
-            words = store.written(words, f"{path}-next")
-            for x in gone:
-                store.remove(self.spark, x)
-            old += [path, f"{path}-next", at]
-            store.tidy(self.spark)
-        self.words, self.seats = words, seats
+            words = self._step(self._of(words, STATE).unionByName(self.wanted).unionByName(lists), seat_words(self.columns, d0, base, tables, seed, r), f"{self.folder}/words-{r}")
+            tables, customers, one, two = self._totals(words, 4)
+            parent = (d0, customers, (STRENGTH + d0 * tables) * base / (STRENGTH + customers))
+            pairs = self._step(self._of(pairs, STATE).unionByName(self._of(words, LIST)), seat_pairs(self.buckets, parent, self.d, seed, r), f"{self.folder}/seats-{r}")
+            lists = self._of(pairs, LIST)
+            self.parents += [parent] * (r > 0)
+            d0 = discount(one, two)
+            for x in old:
+                store.remove(spark, x)
+            old = [f"{self.folder}/words-{r}", f"{self.folder}/seats-{r}"]
+            store.tidy(spark)
+        self.seats, self.words, self.told = self._of(pairs, STATE), self._of(words, STATE), lists
+
+    def _stepped(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.partitionBy("kind").parquet(path)
+        return self.spark.read.schema(ROWS).parquet(path)
+
+    def _step(self, rows: DataFrame, run, path: str) -> DataFrame:
+        """What every bucket makes of the rows for it, written."""
+        return self._stepped(rows.repartition(self.buckets, "dst").groupBy("dst").applyInArrow(run, ROWS), path)
+
+    @staticmethod
+    def _of(rows: DataFrame, kind: int) -> DataFrame:
+        return rows.where(F.col("kind") == kind).select("kind", "src", "dst", "x", "y", "v")
+
+    def _totals(self, rows: DataFrame, n: int) -> list:
+        """Sums over the buckets."""
+        return [x or 0 for x in self._of(rows, TOTALS).agg(*[F.sum(F.col("v")[i]) for i in range(n)]).first()]
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.  Of the table that the model
         was made of, each row is scored as what it was there, trained on or not; rows of others never were."""
-        short, k, d = self.short, ROUNDS - 1, self.d
-        parts, lists, buckets = self.parts, self.lists, self.buckets
+        short, k, d, buckets = self.short, self.rounds, self.d, self.buckets
+        parts, lists = self.parts, self.lists
         if docs is not self.docs:
             folder = store.scratch(self.spark, "lm-other")
             parts = store.written(as_blocks(docs, F.lit(False), short), f"{folder}/blocks")
             lists = lists.unionByName(store.written(asked(parts, short, buckets, False), f"{folder}/asked"))
             lists = lists.withColumn("block", F.when(F.col("corpus"), -1).otherwise(F.col("block")))  # theirs are numbered alike
-        answers = answered(lists, self.seats, d, k, buckets).where("block >= 0")
-        at = [F.element_at(c, i + 1).alias(f"{c}{i}") for c in ("nows", "ts", "totals") for i in range(k)]
-        known = parts.select(F.col("block").alias("of"), F.posexplode("names").alias("place", "k")).join(self.words.select("k", "n", *at), "k").drop("k")
-        rows = parts.unionByName(answers, allowMissingColumns=True)
-        parents = self.parents
-        uniform = float(np.log10(self.n + self.v + 1))
-
-        def run(table: pa.Table, met: pa.Table) -> pa.Table:
+        kinds = "block long, bucket long, pairs binary, words binary"
+        dealt = lambda x, by: x.repartition(buckets, by).groupBy(by)
+        met = dealt(lists, "bucket").cogroup(dealt(self.seats, "src")).applyInArrow(answer_pairs(d, k), kinds)
+        asks = word_lists(parts, short, buckets).select("src", "dst", "x")
+        state = self.words.unionByName(self.wanted).unionByName(self.told)
+        known = dealt(state, "dst").cogroup(dealt(asks.withColumnRenamed("dst", "to").withColumn("dst", F.col("to")), "to")).applyInArrow(answer_words(self.columns, k), kinds)
+        parents, uniform = self.parents, float(np.log10(self.n + self.v + 1))
+
+        def run(table: pa.Table) -> pa.Table:
             whole = table.filter(pc.is_valid(table["names"])).combine_chunks()
             p = Part({name: whole[name][0] for name in ("block", "doc_id", "trained", "sizes", "names", "tokens")}, short.value)
-            place, m = np.asarray(met["place"]), len(p.names)
-            n = np.zeros(m, np.int64)
-            n[place] = np.asarray(met["n"])
-            parent = np.zeros(len(p.w))
+            order, bucket, first = spread(p.names, buckets)
+            cuts = dict(zip(bucket[first].tolist(), _cut(first, len(order)), strict=True))
+            told = table.filter(pc.is_valid(table["words"]))
+            x = np.zeros((1 + 3 * k, len(order)), np.int64)
+            for b, raw in zip(told["bucket"].to_pylist(), told["words"].to_pylist(), strict=True):
+                x[:, order[cuts[b]]] = unpacked(raw, 1 + 3 * k).view(np.int64)
+            n, parent = x[0], np.zeros(len(p.w))
             for i in range(k):
-                next_, back = np.full(m, parents[i][2]), np.ones(m)
-                next_[place], back[place] = backed(parents[i], d, *(np.asarray(met[f"{c}{i}"]) for c in ("nows", "ts", "totals")), n[place])
+                next_, back = backed(parents[i], d, *x[[1 + 3 * i, 2 + 3 * i, 3 + 3 * i]], n)  # of an unknown word: the empty share, 1
                 parent += back[p.u] * next_[p.w] / k
             bucket, u, _, first, which = p.pairs(buckets)
             customers = np.zeros(len(u))
             told = table.filter(pc.is_valid(table["pairs"]))
             begin = dict(zip(bucket[first].tolist(), first.tolist(), strict=True))
             for b, raw in zip(told["bucket"].to_pylist(), told["pairs"].to_pylist(), strict=True):
-                x = unpacked(raw, 2)
-                customers[begin[b] + x[0].astype(np.int64)] = x[1].view(np.float64)
+                y = unpacked(raw, 2)
+                customers[begin[b] + y[0].astype(np.int64)] = y[1].view(np.float64)
             own = customers[which]
             own = np.where(p.trained & (own == 0), 1.0 - d, own) / (STRENGTH + n[p.u])
-            total = lambda x: np.add.reduceat(x, p.to[:-1])
+            total = lambda v: np.add.reduceat(v, p.to[:-1])
             score, base = total(np.log10(own + parent)), total(np.log10(n[p.w] + 1.0)) - p.sizes * uniform
             return pa.table(
                 [p.doc_id, pa.array(p.sizes), pa.array(total((n[p.w] > 0).astype(np.int64))), pa.array(base), pa.array(score), pa.array(10.0 ** np.minimum(-score / p.sizes, 300.0))],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"],
             )
 
-        out = rows.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
-        return out.select("doc_id", "n_tokens", "n_known", F.lit(self.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+        rows = parts.unionByName(met, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
+        many = max(8, -(-int(parts.count()) // 2))
+        out = rows.repartition(many, "block").groupBy("block").applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+        return out.select("doc_id", "n_tokens", "n_known", F.lit(int(self.n)).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
