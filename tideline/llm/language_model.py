@@ -53,7 +53,7 @@ SHORTLIST = 1 << 17
 END = U(hash_bytes(b"\n"))  # no word holds a line end
 STRENGTH, JOINT, STEPS, ROUNDS = 1.0, 128, 32, 4
 #: Tokens of a block and, about, of a bucket: what one task holds at once.
-BLOCK_TOKENS, BUCKET_TOKENS = 1 << 19, 1 << 20
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 18, 1 << 20
 
 
 def tokens(b) -> tuple[np.ndarray, np.ndarray]:
@@ -106,19 +106,24 @@ def frequent(docs: DataFrame, rows: int = 20_000) -> Short:
     return Short(names[order], order.astype(U))
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers as byte planes, compressed: high bytes are mostly zero and shrink to nothing."""
+@functools.cache
+def _zip():
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as byte planes, compressed: high bytes are mostly zero and shrink to nothing.  Short
+    ones, which compression would not pay for, go as they are, behind another first byte."""
     x = np.stack([c.view(U) for c in columns])
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes())
+    raw = x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+    return b"z" + _zip()[0].compress(raw) if x.shape[1] > 32 else b"r" + raw
 
 
 def unpacked(raw: bytes, columns: int) -> np.ndarray:
     """What packed() took, a row a column."""
-    import zstandard
-
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns, 8, -1)
+    x = np.frombuffer(_zip()[1].decompress(raw[1:]) if raw[:1] == b"z" else raw[1:], np.uint8).reshape(columns, 8, -1)
     return np.array(x.transpose(0, 2, 1), order="C").view(U)[:, :, 0]
 
 
