@@ -114,17 +114,23 @@ def _zip():
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers as byte planes, compressed: high bytes are mostly zero and shrink to nothing.  Short
-    ones, which compression would not pay for, go as they are, behind another first byte."""
-    x = np.stack([c.view(U) for c in columns])
-    raw = x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
-    return b"z" + _zip()[0].compress(raw) if x.shape[1] > 32 else b"r" + raw
+    """Columns of 64-bit numbers as byte planes, of each column as many as its largest number needs, compressed unless
+    short.  In front: whether it is, and the columns' planes."""
+    widths = [max(1, (int(c.view(U).max()).bit_length() + 7) // 8) if len(c) else 1 for c in columns]
+    raw = b"".join([c.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip((c.view(np.int64) for c in columns), widths, strict=True)])
+    short = len(columns[0]) <= 32
+    return bytes([short, *widths]) + (raw if short else _zip()[0].compress(raw))
 
 
 def unpacked(raw: bytes, columns: int) -> np.ndarray:
     """What packed() took, a row a column."""
-    x = np.frombuffer(_zip()[1].decompress(raw[1:]) if raw[:1] == b"z" else raw[1:], np.uint8).reshape(columns, 8, -1)
-    return np.array(x.transpose(0, 2, 1), order="C").view(U)[:, :, 0]
+    widths, data = raw[1 : columns + 1], raw[columns + 1 :]
+    x = np.frombuffer(data if raw[0] else _zip()[1].decompress(data), np.uint8).reshape(sum(widths), -1)
+    out, at = np.zeros((columns, x.shape[1], 8), np.uint8), 0
+    for i, w in enumerate(widths):
+        out[i, :, :w] = x[at : at + w].T
+        at += w
+    return out.view(U)[:, :, 0]
 
 
 BLOCK_KINDS = "block long, doc_id array<long>, trained array<boolean>, sizes array<int>, names array<long>, tokens binary"
@@ -219,8 +225,9 @@ def _parts(batches, short: Short):
             yield Part({k: batch.column(j)[i] for j, k in enumerate(batch.schema.names)}, short)
 
 
-STATE, LIST, WANTED, TOTALS = range(4)
-#: Rows between buckets: a bucket's own state, a list from src to dst, which words a bucket of pairs asks for, and sums.
+STATE, LIST, WANTED, TOTALS, ASKED = range(5)
+#: Rows between buckets: a bucket's own state, a list from src to dst, which words a bucket of pairs asks for, sums, and
+#: which seats a block asks for.
 ROWS = "kind int, src long, dst long, x binary, y binary, v array<double>"
 _ROWS = pa.schema([("kind", pa.int32()), ("src", pa.int64()), ("dst", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("v", pa.list_(pa.float64()))])
 
@@ -242,9 +249,9 @@ def word_lists(parts: DataFrame, short, buckets: int) -> DataFrame:
     return parts.select("block", "doc_id", "trained", "sizes", "names", "tokens").mapInArrow(run, ROWS)
 
 
-def asked(parts: DataFrame, short, buckets: int, corpus: bool) -> DataFrame:
-    """(block, bucket, corpus, pairs): each block's distinct pairs in a bucket, sorted, as packed contexts, words, and
-    2 * training tokens + (1 if another row has the pair, too).  Of rows off the corpus none is a training token."""
+def asked(parts: DataFrame, short, buckets: int) -> DataFrame:
+    """(block, bucket, pairs): each block's distinct pairs in a bucket, sorted, as packed contexts, words, and
+    2 * training tokens + (1 if another row has the pair, too)."""
 
     def run(batches):
         for p in _parts(batches, short.value):
@@ -252,9 +259,9 @@ def asked(parts: DataFrame, short, buckets: int, corpus: bool) -> DataFrame:
             mine = np.bincount(place, weights=p.trained, minlength=len(u)).astype(np.int64)
             more = np.bincount(place, minlength=len(u)) > mine
             blobs = [packed(np.diff(u[c], prepend=U(0)), w[c], (2 * mine + more)[c]) for c in _cut(first, len(u))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), p.block)), pa.array(bucket[first]), pa.array(np.full(len(first), corpus)), pa.array(blobs, pa.binary())], ["block", "bucket", "corpus", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), p.block)), pa.array(bucket[first]), pa.array(blobs, pa.binary())], ["block", "bucket", "pairs"])
 
-    return parts.mapInArrow(run, "block long, bucket long, corpus boolean, pairs binary")
+    return parts.mapInArrow(run, "block long, bucket long, pairs binary")
 
 
 class Asked:
@@ -303,21 +310,30 @@ def _from(table: pa.Table, kind: int) -> list[dict]:
 
 
 def begin_pairs(buckets: int):
-    """Lists of a bucket to its seats, and to the words what repeated pairs there are: pairs and tokens by dish and by
-    context."""
+    """Lists of blocks to a bucket: to its seats, to what each list's places will be answered with (ASKED: place, number
+    of the seat or 0 for a pair seen once that other rows have, too), and to the words, what repeated pairs there are:
+    pairs and tokens by dish and by context.  Blocks below 0 get no answer."""
 
     def run(table: pa.Table) -> pa.Table:
         a = Asked(table)
         some = np.flatnonzero(a.n > 1)
+        seat = np.zeros(len(a.n), np.int64)
+        seat[some] = np.arange(1, len(some) + 1)
+        wanted = (a.n[a.of] > 1) | (a.n[a.of] == 1) & a.other
+        me, asks = table["bucket"][0].as_py(), []
+        for block, at, n in zip(table["block"].to_pylist(), np.cumsum(a.sizes) - a.sizes, a.sizes, strict=True):
+            here = np.flatnonzero(wanted[at : at + n])
+            if len(here) and block >= 0:
+                asks.append((ASKED, block, me, packed(np.diff(here, prepend=0), seat[a.of[at + here]]), None, None))
         if not len(some):
-            return _rows([])
+            return _rows(asks)
         none = np.zeros(0, np.int64)
         n = a.n[some]
-        seats = Seats(table["bucket"][0].as_py(), a.u[some], a.w[some], n, np.ones_like(n), np.zeros_like(n), none, none)
+        seats = Seats(me, a.u[some], a.w[some], n, np.ones_like(n), np.zeros_like(n), none, none)
         names, bucket, first, at_u, at_w = seats.words(buckets)
         sums = [np.bincount(at, weights=x, minlength=len(names)).astype(np.int64) for at in (at_w, at_u) for x in (None, n)]
         out = [(LIST, seats.bucket, int(bucket[c.start]), packed(np.diff(names[c], prepend=U(0)), *[x[c] for x in sums]), None, None) for c in _cut(first, len(names))]
-        return _rows([seats.row(), (TOTALS, 0, 0, None, None, [float((n == 2).sum())]), *out])
+        return _rows([seats.row(), (TOTALS, 0, 0, None, None, [float((n == 2).sum())]), *out, *asks])
 
     return run
 
@@ -412,29 +428,27 @@ def seat_pairs(buckets: int, parent: tuple[float, float, float], d: float, seed:
     return run
 
 
+_ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("pairs", pa.binary()), ("words", pa.binary())])
+ANSWERS = "block long, bucket long, pairs binary, words binary"
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ANSWERS, strict=True)], schema=_ANSWERS)
+
+
 def answer_pairs(d: float, rounds: int):
-    """Lists of blocks and a bucket's seats to (block, bucket, kind, x): place in the list and averaged n - d t of the
-    pairs that repeat, and of those seen once that other rows have, too."""
-
-    def run(lists: pa.Table, seats: pa.Table) -> pa.Table:
-        kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("pairs", pa.binary()), ("words", pa.binary())])
-        if not lists.num_rows:
-            return kinds.empty_table()
-        a = Asked(lists)
-        customers = np.where(a.n == 1, 1.0 - d, 0.0)
-        for r in seats.to_pylist():
-            s = Seats.of(r["src"], r["x"], r["y"])
-            many = np.flatnonzero(a.n > 1)  # the same pairs in the same order
-            if not ((a.u[many] == s.u).all() and (a.w[many] == s.w).all()):
-                raise ValueError("the seatings are not those of the pairs asked about")
-            customers[many] = s.n - d * s.sum_t / rounds
-        wanted = (a.n[a.of] > 1) | (a.n[a.of] == 1) & a.other
+    """A bucket's seats and what blocks asked of it to ANSWERS: places in their lists and averaged n - d t."""
+
+    def run(table: pa.Table) -> pa.Table:
+        customers = np.array([1.0 - d])
+        for r in _from(table, STATE):
+            seats = Seats.of(r["src"], r["x"], r["y"])
+            customers = np.append(customers, seats.n - d * seats.sum_t / rounds)
         out = []
-        for block, at, n in zip(lists["block"].to_pylist(), np.cumsum(a.sizes) - a.sizes, a.sizes, strict=True):
-            some = np.flatnonzero(wanted[at : at + n])
-            if len(some) and block >= 0:
-                out.append((block, lists["bucket"][0].as_py(), packed(some, customers[a.of[at + some]]), None))
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds) if out else kinds.empty_table()
+        for r in _from(table, ASKED):
+            x = unpacked(r["x"], 2).view(np.int64)
+            out.append((r["src"], r["dst"], packed(x[0], customers[x[1]]), None))
+        return _answers(out)
 
     return run
 
@@ -443,9 +457,8 @@ def answer_words(columns: int, rounds: int):
     """Lists of blocks and a bucket of words to the same: n and the seatings of each round of the words asked for."""
 
     def run(table: pa.Table, asks: pa.Table) -> pa.Table:
-        kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("pairs", pa.binary()), ("words", pa.binary())])
         if not asks.num_rows:
-            return kinds.empty_table()
+            return _answers([])
         x = met_words(table, columns, rounds + 1)[0] if table.num_rows else np.zeros((columns, 0), np.int64)
         k, out = x[0].view(U), []
         for q in asks.to_pylist():
@@ -455,7 +468,7 @@ def answer_words(columns: int, rounds: int):
             told = np.zeros((1 + 3 * rounds, len(names)), np.int64)
             told[:, known] = x[[1, *range(FIELDS, columns)]][:, at[known]]
             out.append((q["src"], q["dst"], None, packed(*told)))
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+        return _answers(out)
 
     return run
 
@@ -561,8 +574,9 @@ def reseat(c: np.ndarray, t: np.ndarray, cell: np.ndarray, size: np.ndarray, tot
     """(tables of each dish, dish and size of the tables of large dishes) after a round; t: tables before it, cell and
     size: those of large dishes, which may have gained or lost customers, total: tables of each dish's restaurant."""
     t = t.copy()
-    few = c <= JOINT
-    t[few] = joint(c[few], (total - t)[few], base[few], d, key[few])
+    few, some = c <= JOINT, (c <= JOINT) & (c > 1)  # one customer has one table
+    t[c == 1] = 1
+    t[some] = joint(c[some], (total - t)[some], base[some], d, key[some])
     many = np.flatnonzero(~few)
     if not len(many):
         return t, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -624,9 +638,9 @@ class LanguageModel:
         self.parts = store.written(as_blocks(docs, training, self.short), f"{self.folder}/blocks")
         some = self.parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
         self.buckets = max(8, -(-some // BUCKET_TOKENS))
-        self.lists = store.written(asked(self.parts, self.short, self.buckets, True), f"{self.folder}/asked")
-        at = f"{self.folder}/pairs"
-        pairs = self._stepped(self.lists.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(begin_pairs(self.buckets), ROWS), at)
+        pairs = self._begun(asked(self.parts, self.short, self.buckets), f"{self.folder}/pairs")
+        self.asked = self._of(pairs, ASKED)
+        store.tidy(spark)
         theirs = word_lists(self.parts, self.short, self.buckets).withColumn("y", F.lit(b""))
         words = self._step(theirs.unionByName(self._of(pairs, LIST)), begin_words(self.rounds), f"{self.folder}/words")
         self.wanted = self._of(words, WANTED)
@@ -650,6 +664,9 @@ class LanguageModel:
             store.tidy(spark)
         self.seats, self.words, self.told = self._of(pairs, STATE), self._of(words, STATE), lists
 
+    def _begun(self, lists: DataFrame, path: str) -> DataFrame:
+        return self._stepped(lists.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(begin_pairs(self.buckets), ROWS), path)
+
     def _stepped(self, rows: DataFrame, path: str) -> DataFrame:
         rows.write.partitionBy("kind").parquet(path)
         return self.spark.read.schema(ROWS).parquet(path)
@@ -670,18 +687,17 @@ class LanguageModel:
         """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.  Of the table that the model
         was made of, each row is scored as what it was there, trained on or not; rows of others never were."""
         short, k, d, buckets = self.short, self.rounds, self.d, self.buckets
-        parts, lists = self.parts, self.lists
+        parts, asked_ = self.parts, self.asked
         if docs is not self.docs:
             folder = store.scratch(self.spark, "lm-other")
             parts = store.written(as_blocks(docs, F.lit(False), short), f"{folder}/blocks")
-            lists = lists.unionByName(store.written(asked(parts, short, buckets, False), f"{folder}/asked"))
-            lists = lists.withColumn("block", F.when(F.col("corpus"), -1).otherwise(F.col("block")))  # theirs are numbered alike
-        kinds = "block long, bucket long, pairs binary, words binary"
+            both = asked(self.parts, short, buckets).withColumn("block", F.lit(-1).cast("long")).unionByName(asked(parts, short, buckets))
+            asked_ = self._of(self._begun(both, f"{folder}/pairs"), ASKED)  # the same pairs repeat, so seats have the same numbers
         dealt = lambda x, by: x.repartition(buckets, by).groupBy(by)
-        met = dealt(lists, "bucket").cogroup(dealt(self.seats, "src")).applyInArrow(answer_pairs(d, k), kinds)
+        met = dealt(self.seats.unionByName(asked_), "dst").applyInArrow(answer_pairs(d, k), ANSWERS)
         asks = word_lists(parts, short, buckets).select("src", "dst", "x")
         state = self.words.unionByName(self.wanted).unionByName(self.told)
-        known = dealt(state, "dst").cogroup(dealt(asks.withColumnRenamed("dst", "to").withColumn("dst", F.col("to")), "to")).applyInArrow(answer_words(self.columns, k), kinds)
+        known = dealt(state, "dst").cogroup(dealt(asks.withColumnRenamed("dst", "to").withColumn("dst", F.col("to")), "to")).applyInArrow(answer_words(self.columns, k), ANSWERS)
         parents, uniform = self.parents, float(np.log10(self.n + self.v + 1))
 
         def run(table: pa.Table) -> pa.Table:
@@ -703,7 +719,7 @@ class LanguageModel:
             begin = dict(zip(bucket[first].tolist(), first.tolist(), strict=True))
             for b, raw in zip(told["bucket"].to_pylist(), told["pairs"].to_pylist(), strict=True):
                 y = unpacked(raw, 2)
-                customers[begin[b] + y[0].astype(np.int64)] = y[1].view(np.float64)
+                customers[begin[b] + np.cumsum(y[0].view(np.int64))] = y[1].view(np.float64)
             own = customers[which]
             own = np.where(p.trained & (own == 0), 1.0 - d, own) / (STRENGTH + n[p.u])
             total = lambda v: np.add.reduceat(v, p.to[:-1])
