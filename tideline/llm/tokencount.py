@@ -60,8 +60,8 @@ def block_counts(ids: np.ndarray, end_id: int) -> tuple[np.ndarray, int, int]:
     return np.diff(at, prepend=-1), len(ids) - (int(at[-1]) + 1 if len(at) else 0), len(at)
 
 
-def separator_scan(files: DataFrame, folder: str, end_id: int, width: int = 2, block_bytes: int = 1 << 20) -> DataFrame:
-    """Per document of the flat files (file, n_bytes): file, nth (from 0), start, n_tokens with its separator, closed."""
+def separator_scan(files: DataFrame, folder: str, end_id: int, width: int = 2, block_bytes: int = 1 << 20, blocks_a_task: int = 64) -> DataFrame:
+    """Per document of the flat files (file, n_bytes): file, nth (from 0), n_tokens with its separator, closed."""
     cut = files.select("file", "n_bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("n_bytes") - 1).cast("long")), F.lit(block_bytes).cast("long"))).alias("at"))
 
     def scan(batches):
@@ -74,7 +74,10 @@ def separator_scan(files: DataFrame, folder: str, end_id: int, width: int = 2, b
                 counts, tail, seps = block_counts(ids, end_id)
                 yield pa.RecordBatch.from_pydict({"file": [name], "at": [a], "counts": [counts], "tail": [tail], "seps": [seps], "last": [a + block_bytes >= n]}, pa.schema([("file", pa.string()), ("at", pa.int64()), ("counts", pa.list_(pa.int64())), ("tail", pa.int64()), ("seps", pa.int64()), ("last", pa.bool_())]))
 
-    scanned = cut.where("n_bytes > 0").repartition("file", "at").mapInArrow(scan, "file string, at long, counts array<long>, tail long, seps long, last boolean")
+    # An explicit number: the planner would put the small table of blocks into one task, which would read all files.
+    n_blocks = files.agg(F.sum(F.ceil(F.col("n_bytes") / block_bytes))).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-int(n_blocks) // blocks_a_task))
+    scanned = cut.where("n_bytes > 0").repartition(tasks, "file", "at").mapInArrow(scan, "file string, at long, counts array<long>, tail long, seps long, last boolean")
     # The prefix scan, a row a block: documents begun before, and ids carried in since the last separator.
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     run = Window.partitionBy("file", "breaks").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,11 +91,12 @@ def separator_scan(files: DataFrame, folder: str, end_id: int, width: int = 2, b
     behind = Window.partitionBy("file").orderBy("at")
     stitched = stitched.withColumn("edge", F.when(F.lag("seps").over(behind) > 0, F.lag("tail").over(behind)))
     stitched = stitched.withColumn("carry", F.col("carry") + F.coalesce(F.last("edge", True).over(Window.partitionBy("file", "breaks").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    whole = stitched.select("file", F.posexplode("counts").alias("i", "n"), "nth0", "carry").select(
-        "file", (F.col("nth0") + F.col("i")).alias("nth"), (F.col("n") + F.when(F.col("i") == 0, F.col("carry")).otherwise(F.lit(0))).alias("n_tokens"), F.lit(True).alias("closed")
-    )
-    open_ = stitched.where(F.col("last")).select("file", (F.col("nth0") + F.col("seps")).alias("nth"), F.when(F.col("seps") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail")).alias("n_tokens"), F.lit(False).alias("closed")).where("n_tokens > 0")
-    return whole.unionByName(open_)
+    # Behind the counts of a block comes its tail, which counts where the file ends with it.
+    ends = F.when(F.col("last"), F.concat("counts", F.array("tail"))).otherwise(F.col("counts"))
+    out = stitched.select("file", F.posexplode(ends).alias("i", "n"), "nth0", "carry", "seps")
+    n = F.col("n") + F.when(F.col("i") == 0, F.col("carry")).otherwise(F.lit(0))
+    closed = F.col("i") < F.col("seps")
+    return out.select("file", (F.col("nth0") + F.col("i")).alias("nth"), n.alias("n_tokens"), closed.alias("closed")).where("closed OR n_tokens > 0")
 
 
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +107,5 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = store.written(write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, end_id), store.scratch(spark, "flat-docs"))
     files = placed.select("file", "n_bytes").distinct()
     found = separator_scan(files, folder, end_id)
-    return placed.join(found, ["file", "nth"], "left").select("doc_id", "n_tokens", "file", F.col("nth").alias("position"))
+    # A row a document on both sides: never broadcast.
+    return placed.join(found.hint("merge"), ["file", "nth"], "left").select("doc_id", "n_tokens", "file", F.col("nth").alias("position"))
