@@ -197,8 +197,9 @@ def read_planes(manifest: DataFrame, folder: str) -> DataFrame:
                     start = before + np.cumsum(r.counts) - r.counts
                     yield pa.RecordBatch.from_arrays([pa.array(r.docs), pa.array(start), pa.array(r.counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    # A task a file; without a number the planner would put the small manifest into one task.
     files = placed.select("file", "before")
-    return files.repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
