@@ -17,7 +17,7 @@ A pair at the threshold shares no band with a chance of 2.4e-7 at 0.85 and 3.3e-
 on the driver, and no group is held in one task as a whole.
 
 Null texts and texts without words have no shingle and are linked with nothing.  Rows without doc_id are left out.
-Rows that repeat a doc_id stay and count as one document.  An empty table gives no row.  Other columns are ignored.
+Rows that repeat a doc_id stay and count as one document; if their texts differ, one of them is compared.  An empty table gives no row.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from . import store
 from .words import U, blocks, mix, shingles, word_names
 
 BANDS, ROWS, SKETCH_BITS, SET_BITS, PIVOTS = 26, 5, 512, 1024, 8
+#: A class with this share of all rows, or more, counts as large; so there are at most as many.
+LARGE = 1000
 #: Words of 64 bits in the bitmap of document hashes that goes to every executor.
 MAP_WORDS = 1 << 17
 
@@ -75,11 +77,6 @@ def odd_sketches(mins: np.ndarray, bits: int) -> np.ndarray:
     return parities(np.repeat(np.arange(n), k), at.ravel(), n, bits)
 
 
-def estimate(distance, samples: int, bits: int):
-    """Similarity, from the population count of the XOR of two odd sketches."""
-    return 1 + bits / (4 * samples) * np.log(np.maximum(1 - 2 * np.asarray(distance) / bits, 1e-9))
-
-
 def most_flips(similarity: float, samples: int, bits: int, sigmas: float = 5.0) -> int:
     """The largest XOR count that a pair of this similarity shows, by that many standard deviations of the samples
     that differ and of the bits these flip.
@@ -196,6 +193,8 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("components have not settled; more turns are needed")
     star = edges.groupBy("u").agg(F.min("v").alias("component"))
     return star.select(F.col("u").alias("doc_id"), "component")
 
@@ -206,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     folder = store.scratch(spark, "neardup")
     sig = store.written(signatures(docs, k), f"{folder}/sig")
     least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "whole")).alias("s")
-    classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(least).select("f1", "f2", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch", "s.whole")
+    classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(least, F.count("*").alias("members")).select("f1", "f2", "members", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch", "s.whole")
     reps = store.written(classes, f"{folder}/reps")
     # Keys alone are dealt out by bucket; sketches follow, by doc_id, for members of buckets of two and more.
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -239,10 +238,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = store.written(confirmed(cross, _texts(docs, cross, f"{folder}/texts2"), k, percent), f"{folder}/more")
     if more.take(1):
         comp = store.written(components(spark, comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/cc2"), f"{folder}/comp2")
-    # Rows to classes to components. A class of one document needs no join, but all go the same way.
-    named = sig.select("doc_id", "n_shingles", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
-    out = named.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Classes to components, once a class; then rows to classes.  Rows without shingles are their own; rows of large
+    # classes, of which there are at most LARGE, meet these by broadcast, so none waits for its class in one task.
+    named = reps.select("f1", "f2", "rep", "members").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    named = store.written(named.select("f1", "f2", "members", F.coalesce("component", "rep").alias("c")), f"{folder}/named")
+    rows = sig.select("doc_id", "n_shingles", "f1", "f2")
+    least_members = max(2, -(-(named.agg(F.sum("members")).first()[0] or 0) // LARGE))
+    large = F.broadcast(named.where(F.col("members") >= least_members).select("f1", "f2", F.col("c").alias("large")))
+    met = rows.where("n_shingles > 0").join(large, ["f1", "f2"], "left")
+    small = met.where("large IS NULL").join(named.where(F.col("members") < least_members).select("f1", "f2", "c"), ["f1", "f2"])
+    out = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.unionByName(met.where("large IS NOT NULL").select("doc_id", "n_shingles", F.col("large").alias("component_id")))
+    out = out.unionByName(small.select("doc_id", "n_shingles", F.col("c").alias("component_id")))
     return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
 
 
