@@ -126,6 +126,14 @@ def test_separator_scan_stitches_blocks(spark, docs):
     found = tokencount.separator_scan(files, folder, 50256, block_bytes=34)
     got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["n_tokens"]) for r in placed.join(found, ["file", "nth"], "left").collect())
     assert got == sorted([(i, len(_ids(t)) + 1) for i, t in enumerate(TEXTS)] + [(5, len(_ids(PROSE)) + 1), (-1, len(_ids(PROSE)) + 1)])
+    # The reads are dealt out, and a file that ends without separator has an open document.
+    assert tokencount.separator_scan(files, folder, 50256, block_bytes=34, blocks_a_task=8).rdd.getNumPartitions() >= 1
+    for name, ids in (("open.bin", [7, 8, 50256, 9]), ("shut.bin", [50256, 1, 50256]), ("none.bin", [])):
+        store.write_bytes(f"{folder}/{name}", [np.array(ids, "<u2").tobytes()], "t")
+    more = spark.createDataFrame([("open.bin", 8), ("shut.bin", 6), ("none.bin", 0)], "file string, n_bytes long")
+    got = sorted(map(tuple, tokencount.separator_scan(more, folder, 50256, block_bytes=2).collect()))
+    assert got == [("open.bin", 0, 3, True), ("open.bin", 1, 1, False), ("shut.bin", 0, 1, True), ("shut.bin", 1, 2, True)]
+    assert tokencount.separator_scan(more.limit(0), folder, 50256).count() == 0
 
 
 def test_near_duplicates_are_exact(spark, docs, empty):
@@ -175,7 +183,7 @@ def test_texts_of_pairs_are_those_of_their_ends(spark, monkeypatch, words, thres
 
 
 def test_secrets_equal_duckdb(spark, docs):
-    got = secrets.find_secrets(docs.select("doc_id", "text")).select("doc_id", secrets.written_out(F.col("found")).alias("spans")).collect()
+    got = secrets.find_secrets(docs.select("doc_id", "text")).select("doc_id", secrets.written_out(F.col("secrets.found")).alias("spans")).collect()
     c = duckdb.connect()
     c.register("documents", pa.table({"doc_id": [*range(len(TEXTS)), 5, None], "text": [*TEXTS, PROSE, PROSE]}))
     want = c.sql(f"SELECT doc_id, spans FROM ({secrets.OP9_SQL})").fetchall()
@@ -184,6 +192,13 @@ def test_secrets_equal_duckdb(spark, docs):
     assert any("entropy" in x[1] for x in want)
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert "0123456789abcdef" not in clean[13] and clean[5] == PROSE and clean[0] is None
+    odd = spark.createDataFrame([(1, HEX, "a", 2, 3, 4)], "doc_id long, text string, found string, base int, secrets int, _secrets_base int")
+    [row] = secrets.redact(odd).collect()
+    assert row.asDict() == {"doc_id": 1, "text": clean[13], "found": "a", "base": 2, "secrets": 3, "_secrets_base": 4}
+    with pytest.raises(ValueError):
+        secrets.find_secrets(odd)
+    none = docs.limit(0)
+    assert secrets.redact(none).count() == 0 and secrets.find_secrets(none).count() == 0
 
 
 def test_base_columns_of_lines(docs, empty):

@@ -5,7 +5,7 @@ base64 or URL alphabet that mix letters and digits, in which some window of ``WI
 above the limit of the candidate's character class.  The entropy of a window is log2(w) - sum(n log2 n) / w over the
 counts n of its characters; moving the window by one changes two counts, and the sum is kept by these changes.
 Candidates that an allow-list pattern matches (dates, paths, words joined by hyphens, and so on), or that overlap a
-base span, are dropped.
+base span, are dropped whole: a secret glued to a date or to "example" by a sign of the alphabet is not found.
 
 Positions are code points, ends exclusive.  Null texts are empty: no spans, and the SHA-256 of the empty string.
 Repeated rows and rows without doc_id stay rows.  An empty table gives no row.  Other columns are ignored.
@@ -96,8 +96,18 @@ def suspicious(value: Column) -> Column:
     return F.when(~mixed, False).when(allowed, False).otherwise(F.round(peak_entropy(value), 9) >= limit)
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``found``: array<struct<start, rank, end, kind>> of all spans, by start and then kind."""
+def _free(docs: DataFrame, name: str) -> str:
+    """name, or the first of _name, __name, ... that is no column of docs."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
+def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
+    """docs with a further column ``into``: struct of ``base`` and ``found``, arrays of struct<start, rank, end, kind>,
+    the spans of the patterns and all spans, by start and then kind.  A column of that name is refused."""
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into} already")
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(located(t, ASSIGN), lambda m: F.length(F.regexp_replace(m["value"], "^" + ASSIGN_HEAD, "")) >= 6)
     kinds = [("assign", assign), ("access", located(t, ACCESS)), ("hex", located(t, HEX))]
@@ -106,10 +116,12 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(ORDER[kind]).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
     # Each column is computed once: later ones refer to it by name.
-    out = docs.withColumn("_base", F.concat(*[tagged(k, s) for k, s in kinds])).withColumn("_maybe", located(t, CANDIDATE))
-    clear = lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    out = out.withColumn("_maybe", F.filter("_maybe", lambda m: F.when(clear(m), suspicious(m["value"])).otherwise(False)))
-    return out.withColumn("found", F.array_sort(F.concat("_base", tagged("entropy", F.col("_maybe"))))).withColumn("base", F.array_sort("_base")).drop("_base", "_maybe")
+    base, maybe = _free(docs, f"{into}_base"), _free(docs, f"{into}_maybe")
+    out = docs.withColumn(base, F.concat(*[tagged(k, s) for k, s in kinds])).withColumn(maybe, located(t, CANDIDATE))
+    clear = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    out = out.withColumn(maybe, F.filter(maybe, lambda m: F.when(clear(m), suspicious(m["value"])).otherwise(False)))
+    every = F.array_sort(F.concat(base, tagged("entropy", F.col(maybe))))
+    return out.withColumn(into, F.struct(F.array_sort(base).alias("base"), every.alias("found"))).drop(base, maybe)
 
 
 def written_out(spans: Column) -> Column:
@@ -119,7 +131,9 @@ def written_out(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
     """docs with every span of ``text`` replaced by ``mark``; overlapping spans become one. Null texts stay null."""
-    found = find_secrets(docs, text)
+    into = _free(docs, "secrets")
+    found = find_secrets(docs, text, into)
+    spans = F.col(f"{into}.found")
     t = F.coalesce(F.col(text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -128,20 +142,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataF
         inside = m["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("found") > 0, clean).otherwise(F.col(text))).drop("found", "base")
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop(into)
 
 
 def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long")
+    count = lambda kind: F.size(F.filter("secrets.base", lambda m: m["kind"] == kind)).cast("long")
     return find_secrets(docs).select(
         "doc_id",
         count("assign").alias("n_assign"),
         count("access").alias("n_access"),
         count("hex").alias("n_hex"),
-        F.sha2(written_out(F.col("base")), 256).alias("base_sha256"),
-        written_out(F.col("found")).alias("spans"),
+        F.sha2(written_out(F.col("secrets.base")), 256).alias("base_sha256"),
+        written_out(F.col("secrets.found")).alias("spans"),
     )
 
 
