@@ -401,6 +401,39 @@ def test_wand_finds_all_above_the_threshold(spark, docs, empty):
     assert decontamination.contaminated(empty, decontamination.as_items(bench)).count() == 0
 
 
+def test_marks_case_and_shards_change_nothing(spark):
+    item = "Every second winter the lighthouse keeper counts eleven grey geese above the harbour wall before supper"
+    east = "\u041a\u0430\u0436\u0434\u0443\u044e \u0437\u0438\u043c\u0443 \u0441\u043c\u043e\u0442\u0440\u0438\u0442\u0435\u043b\u044c \u043c\u0430\u044f\u043a\u0430 \u0441\u0447\u0438\u0442\u0430\u0435\u0442 \u0441\u0435\u0440\u044b\u0445 \u0433\u0443\u0441\u0435\u0439"
+    w = item.split()
+    texts = [item.replace(" ", "\u00a0"), item.replace(" ", "\u2014"), " ".join(f"\u201c{x}\u201d" if i % 3 else x for i, x in enumerate(w)), item.upper(), east.upper(), east, "\u00e9" + item[1:]]
+    docs = spark.createDataFrame([(i, f"{PROSE} {t} {PROSE}") for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, east), (2, east)] + [(10 + i, f"other item number {i} about {x} and {w[-i]}") for i, x in enumerate(w)], "item_id long, text string")
+    items = decontamination.as_items(bench)
+    one = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
+    assert [r[:2] for r in one] == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 1)]
+    many = sorted(map(tuple, decontamination.contaminated(docs, items, shard_bytes=200).collect()))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and np.allclose(np.array(one, float), np.array(many, float))
+
+
+def test_overlaps_are_shares_of_words_in_common_runs():
+    q, a = "one two three four five six", "seven eight nine ten"
+    x = decontamination.make_item(1, q, a)
+    words_of = lambda t: decontamination.plain_words(next(words.blocks(pa.array([t]))))[0]
+    assert x.overlaps(words_of(f"{q} {a}")) == (1.0, 1.0)
+    assert x.overlaps(words_of(q)) == (1.0, 0.0)
+    assert x.overlaps(words_of("one two three x five six seven eight")) == (5 / 6, 0.5)
+    assert x.overlaps(words_of("two four six eight ten")) == (0.0, 0.0)
+    assert decontamination.make_item(1, q, "seven").overlaps(words_of(q)) == (6 / 7, 1.0)
+
+
+def test_whole_items_in_documents_are_all_found(spark):
+    """Against exact containment on sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    want = duckdb.sql(f"SELECT doc_id, item_id FROM '{sf}/documents.parquet' d, '{sf}/benchmark.parquet' b WHERE contains(d.text, b.text)").fetchall()
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.op1_block_max_wand(spark, sf).collect()}
+    assert want and set(want) <= got
+
+
 def test_edited_and_cut_passages_are_found(spark):
     """One or two replaced words, a changed or missing last sentence; the same words in another order are no passage."""
     item = "Every second winter the lighthouse keeper counts eleven grey geese above the harbour wall before supper. Thus?"

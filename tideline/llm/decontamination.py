@@ -1,25 +1,31 @@
 """Operator 1: benchmark decontamination by a BM25 inverted index of the test items with block-max WAND.
 
-The index holds, for each term, the items it is in with its BM25 impact, as a share of the item's score against its
-own text, so one threshold holds for all items.  Items are in blocks; the index also has each term's largest impact in
-all items and in each block.  Every passage of every document is a query: windows of twice the longest item's words,
-which begin every that many words, so each run of words as long as an item lies whole in one.  As in WAND a passage
-is left as soon as the sum of its terms' largest impacts is below the threshold, and as in block-max WAND a block of
-items is left if the sum of their largest impacts in the block is; what remains is scored in full.  All items at or
-above the threshold are retrieved, none cut off by a count.  The bounds of many passages are taken at once.
+The index holds, for each term, the items it is in, in their order, with its BM25 impact as a share of the item's score
+against its own text, so one threshold holds for all items.  Postings are in blocks of items, and the index has each
+term's largest impact in all items and in each block.  Every passage of every document is a query: windows of twice the
+longest item's words, which begin every that many words, so each run of words as long as an item lies whole in one.
+Passages whose terms' largest impacts sum to less than the threshold are left at once, all of a batch together.  Each of
+the others is searched by block-max WAND: cursors of its terms stand on items; the pivot is the first item at which the
+largest impacts reach the threshold; if the blocks' largest impacts at the pivot don't, the cursors skip to the end of
+the nearest block, else, once all cursors in front stand on the pivot, it is scored in full.  All items at or above the
+threshold are retrieved, none cut off by a count.
 
 An item is found in a passage if at least half of its question's words and half of its answer's words lie in runs of
 three words that the passage has too, so a few edits or a missing end don't hide it.  An answer of under three words
-counts with the question.  Items of one text are one question without answer.  Words are runs of letters and digits,
-without regard to case or marks.
+counts with the question.  Items of one text are one question without answer.  Words are runs of letters and digits of
+any script, without regard to case; all other characters only part them.  Of several passages of a document the one of
+the highest score is reported.
 
-Items come in shards of a bounded number of bytes; each shard is broadcast and meets all documents.  Items without
+Document frequencies, mean length and the longest item are those of all items.  Items come in shards of a bounded number
+of bytes; each shard is broadcast and meets all documents, and how many there are changes no result.  Items without
 words and null texts find nothing.  Items of under three words need the whole item as a run.  Rows that repeat a
-doc_id give one result, rows without doc_id none.  An empty table gives no row.  Other columns are ignored.
+doc_id give one result, rows without doc_id none; items that repeat an item_id, too.  An empty table gives no row.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,22 +34,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .words import LOWER, Block, U, blocks, span_hashes, windows
+from .words import LOWER, Block, U, as_long, blocks, span_hashes, windows
 
 K1, B = 1.2, 0.75
 RUN, BLOCK_ITEMS = 3, 16
 _WORDS = np.zeros(256, bool)
 _WORDS[48:58] = _WORDS[65:91] = _WORDS[97:123] = _WORDS[128:] = True
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _spelled(b: Block) -> Block:
+    """The block with all documents that are not ASCII written as their words, case folded, with blanks between."""
+    high = np.append(0, np.cumsum(b.data >= 128))
+    odd = np.flatnonzero(high[b.offsets[1:]] > high[b.offsets[:-1]])
+    if not len(odd):
+        return b
+    parts, at = [], 0
+    sizes = np.diff(b.offsets)
+    for d in odd.tolist():
+        parts.append(b.data[at : b.offsets[d]])
+        at = b.offsets[d + 1]
+        text = b.data[b.offsets[d] : at].tobytes().decode("utf-8", "replace").casefold()
+        parts.append(np.frombuffer(" ".join(_WORD.findall(text)).encode(), np.uint8))
+        sizes[d] = len(parts[-1])
+    return Block(b.first, np.concatenate([*parts, b.data[at:]]), np.append(0, np.cumsum(sizes)))
 
 
 def plain_words(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """(names of the runs of letters and digits, without case, and offsets by document)."""
+    b = _spelled(b)
     data = b.data
     if not len(data):
         return np.zeros(0, U), np.zeros(b.n + 1, np.int64)
-    low = LOWER[data]
-    accent = np.append(False, data[:-1] == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-    low = low + np.where(accent, 32, 0).astype(np.uint8)
     inside = _WORDS[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[b.offsets] = edge[0] = edge[-1] = True
@@ -52,7 +74,7 @@ def plain_words(b: Block) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(change)
     words = inside[at[:-1]]
     starts, ends = at[:-1][words], at[1:][words]
-    return span_hashes(low, starts, ends), np.searchsorted(starts, b.offsets)
+    return span_hashes(LOWER[data], starts, ends), np.searchsorted(starts, b.offsets)
 
 
 def runs_of(names: np.ndarray, k: int) -> np.ndarray:
@@ -88,19 +110,24 @@ def make_item(item_id: int, question: str, answer: str | None) -> Item | None:
 
 
 class Index:
-    """Postings of a shard of items, term by term, with the largest impacts by term and by term and block."""
+    """Postings of a shard of items, term by term, with the largest impacts by term and by term and block.
 
-    def __init__(self, items: list[Item]):
+    total: number and mean length of all items, and their document frequencies as sorted terms and counts; if None, the
+    shard is all there is.
+    """
+
+    def __init__(self, items: list[Item], total: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         self.items = items
         n, lengths = len(items), np.array([len(i.names) for i in items])
-        self.longest = int(lengths.max()) if n else 0
         names = np.concatenate([i.names for i in items]) if n else np.zeros(0, U)
         self.terms, which = np.unique(names, return_inverse=True)
         pair, tf = np.unique(which * np.int64(max(n, 1)) + np.repeat(np.arange(n), lengths), return_counts=True)
         term, self.item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.item] / max(lengths.mean() if n else 1, 1)))
+        many, mean, df = n, lengths.mean() if n else 1.0, np.bincount(term, minlength=len(self.terms))
+        if total:
+            many, mean, df = total[0], total[1], total[3][np.searchsorted(total[2], self.terms)]
+        idf = np.log(1 + (many - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.item] / max(mean, 1)))
         whole = np.bincount(self.item, weights=impact, minlength=n)
         self.impact = impact / whole[self.item] if n else impact
         self.at = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -109,12 +136,61 @@ class Index:
         new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
         self.block, self.block_most = (self.item // BLOCK_ITEMS)[new], np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
         self.block_at = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
-
-    @staticmethod
-    def _spread(which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the term in ``which``, place of the posting) for all postings of terms."""
-        n = at[which + 1] - at[which]
-        return np.repeat(np.arange(len(which)), n), np.arange(int(n.sum())) + np.repeat(at[which] - (np.cumsum(n) - n), n)
+        self.lists = [None] * len(self.terms)
+
+    @property
+    def longest(self) -> int:
+        return max((len(i.names) for i in self.items), default=0)
+
+    def _list(self, t: int) -> tuple[list, list, list, list, float]:
+        """(items, impacts, blocks, largest impacts of the blocks, largest impact) of a term."""
+        if self.lists[t] is None:
+            p, q = slice(self.at[t], self.at[t + 1]), slice(self.block_at[t], self.block_at[t + 1])
+            self.lists[t] = (self.item[p].tolist(), self.impact[p].tolist(), self.block[q].tolist(), self.block_most[q].tolist(), float(self.most[t]))
+        return self.lists[t]
+
+    def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
+        """(item, score) of all with score >= least, for a query of distinct terms, by block-max WAND."""
+        out = []
+        cursors = [[items[0], 0, 0, items, impacts, blocks, most, top] for items, impacts, blocks, most, top in map(self._list, terms)]
+        while True:
+            cursors.sort(key=lambda c: c[0])
+            bound, pivot = 0.0, None
+            for i, c in enumerate(cursors):
+                bound += c[7]
+                if bound >= least:
+                    pivot = i
+                    break
+            if pivot is None:
+                return out
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            front, block = cursors[: pivot + 1], item // BLOCK_ITEMS
+            reach, ahead = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 62
+            for c in front:
+                at = c[2]
+                while at < len(c[5]) and c[5][at] < block:
+                    at += 1
+                c[2] = at
+                if at < len(c[5]) and c[5][at] == block:
+                    reach += c[6][at]
+            if reach < least:
+                # No item up to the block's end or the next cursor's item can reach the threshold.
+                to = min((block + 1) * BLOCK_ITEMS, ahead)
+            elif front[0][0] == item:
+                score = sum(c[4][c[1]] for c in front)
+                if score >= least:
+                    out.append((item, score))
+                to = item + 1
+            else:
+                to = item
+            for c in front:
+                at, items = c[1], c[3]
+                while at < len(items) and items[at] < to:
+                    at += 1
+                c[1], c[0] = at, items[at] if at < len(items) else 1 << 62
+            cursors = [c for c in cursors if c[0] < 1 << 62]
 
     def retrieve(self, names: np.ndarray, first: np.ndarray, last: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all with score >= least; passages are names[first:last]."""
@@ -126,35 +202,15 @@ class Index:
         hit = self.terms[at] == names
         bound = np.zeros(len(names) + 1)
         np.cumsum(np.where(hit, self.most[at], 0.0), out=bound[1:])
-        alive = np.flatnonzero(bound[last] - bound[first] >= least - slack)  # repeated terms only raise the bound
-        if not len(alive):
-            return none
-        n = last[alive] - first[alive]
-        place = np.arange(int(n.sum())) + np.repeat(first[alive] - (np.cumsum(n) - n), n)
-        p = np.repeat(alive, n)[hit[place]]
-        pair = np.unique(p * np.int64(len(self.terms)) + at[place[hit[place]]])
-        p, t = pair // len(self.terms), pair % len(self.terms)
-        total = np.bincount(p, weights=self.most[t], minlength=len(first))
-        keep = total[p] >= least - slack
-        p, t = p[keep], t[keep]
-        if not len(p):
-            return none
-        n_blocks = -(-len(self.items) // BLOCK_ITEMS)
-        i, j = self._spread(t, self.block_at)
-        code, which = np.unique(p[i] * np.int64(n_blocks) + self.block[j], return_inverse=True)
-        reach = np.bincount(which, weights=self.block_most[j])
-        code = code[reach >= least - slack]
-        if not len(code):
+        found = []
+        for p in np.flatnonzero(bound[last] - bound[first] >= least - slack).tolist():  # repeated terms only raise the bound
+            here = np.unique(at[first[p] : last[p]][hit[first[p] : last[p]]])
+            if self.most[here].sum() >= least - slack:
+                found += [(p, item, score) for item, score in self.wand(here.tolist(), least - slack)]
+        if not found:
             return none
-        some = np.isin(p, code // n_blocks)
-        p, t = p[some], t[some]
-        i, j = self._spread(t, self.at)
-        keep = np.isin(p[i] * np.int64(n_blocks) + self.item[j] // BLOCK_ITEMS, code)
-        i, j = i[keep], j[keep]
-        code, which = np.unique(p[i] * np.int64(len(self.items)) + self.item[j], return_inverse=True)
-        score = np.bincount(which, weights=self.impact[j])
-        good = score >= least - slack
-        return code[good] // len(self.items), code[good] % len(self.items), score[good]
+        p, k, s = zip(*found, strict=True)
+        return np.array(p), np.array(k), np.array(s)
 
 
 def passages(to: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,25 +223,60 @@ def passages(to: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(first + 2 * step, np.repeat(to[1:], count))
 
 
+def item_terms(items: DataFrame) -> DataFrame:
+    """(term, n, words, longest): in how many items a term is; under a null term, the items, their words and the
+    longest one's."""
+
+    def run(batches):
+        for batch in batches:
+            terms, sizes = [], []
+            for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                item = make_item(0, q, a)
+                if item:
+                    terms.append(np.unique(item.names))
+                    sizes.append(len(item.names))
+            if sizes:
+                names = np.concatenate(terms)
+                one = pa.array(np.append(np.ones(len(names), np.int64), len(sizes)))
+                last = lambda x, n=len(names): pa.array(np.append(np.zeros(n, np.int64), x))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([as_long(names), pa.nulls(1, pa.int64())]), one, last(sum(sizes)), last(max(sizes))], ["term", "n", "words", "longest"])
+
+    rows = items.select("question", "answer").mapInArrow(run, "term long, n long, words long, longest long")
+    return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least_score: float = 0.5, least_overlap: float = 0.5, shard_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of all items found in documents.
 
     items: item_id, question, answer (null: none).
     """
     spark = docs.sparkSession
-    size = items.agg(F.sum(F.octet_length("question") + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0] or 0
+    items = items.where("item_id is not null").select(F.col("item_id").cast("long"), "question", "answer").dropDuplicates(["item_id"])
+    size = items.agg(F.sum(F.octet_length(F.coalesce("question", F.lit(""))) + F.octet_length(F.coalesce("answer", F.lit(""))))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
+    counts = store.written(item_terms(items), store.scratch(spark, "item-terms"))
+    whole = counts.where("term IS NULL").first()
+    n, words, longest = (whole["n"], whole["words"], whole["longest"]) if whole else (0, 0, 0)
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     out = None
     for shard in range(shards):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).orderBy("item_id").collect()  # about shard_bytes
-        index = spark.sparkContext.broadcast(Index([x for r in mine if r["item_id"] is not None and (x := make_item(r["item_id"], r["question"], r["answer"]))]))
+        made = [x for r in mine if (x := make_item(r["item_id"], r["question"], r["answer"]))]
+        have = np.unique(np.concatenate([x.names for x in made])) if made else np.zeros(0, U)
+        if shards == 1:
+            df = counts.where("term IS NOT NULL").select("term", "n").toArrow()
+        else:  # of the shard's terms, which are no more than its words
+            some = spark.createDataFrame(pa.table({"term": as_long(have)}))
+            df = counts.join(some, "term").select("term", "n").toArrow()
+        terms = np.asarray(df["term"]).astype(np.int64).view(U)
+        order = np.argsort(terms)
+        index = spark.sparkContext.broadcast(Index(made, (n, words / max(n, 1), terms[order], np.asarray(df["n"])[order])))
 
         def run(batches, index=index):
             for batch in batches:
                 for b in blocks(batch.column(1)):
                     names, to = plain_words(b)
-                    first, last = passages(to, index.value.longest)
+                    first, last = passages(to, longest)
                     p, k, score = index.value.retrieve(names, first, last, least_score)
                     found = []
                     for i, item, s in zip(p.tolist(), k.tolist(), score.tolist(), strict=True):
@@ -198,7 +289,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least_score: float = 0.5, le
 
         part = rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b"))
+    return best.select("doc_id", "item_id", "b.*")
 
 
 def as_items(benchmark: DataFrame) -> DataFrame:
