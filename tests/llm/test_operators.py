@@ -458,11 +458,99 @@ def test_classifiers_hold_out_of_sample(module, label, least):
     else:
         m = toxicity.Bags.fit(train)
         score = np.concatenate([m.scores(b)[0] for b in block(test)]) >= 0.5
+        assert sum(len(m.scores(b)[1]) for b in block(test)) > 0
     y = np.array([x for _, x in test]) == 1
     assert (score == y).mean() >= least
     assert (score[y].mean() + (~score[~y]).mean()) / 2 >= 0.8
 
 
+def test_votes_are_those_of_plain_cosines():
+    """Against a loop over all labelled vectors, sorted by rounded cosine and row; equal rows are ties."""
+    rng = np.random.default_rng(8)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 60, 30)), int(i % 3 > 0)) for i in range(40)]
+    rows += [(rows[0][0], 0), (rows[0][0], 1), ("", 0)]
+    m = quality.Neighbours.fit(rows, dims=8, k=5)
+    x = np.concatenate([quality.features(b) for b in words.blocks(pa.array([t for t, _ in rows[:12]]))])
+    got, v = m.votes(x, rows=5), m.project(x)
+    for i in range(12):
+        cos = [round(float(np.float32(v[i] @ u)), 5) for u in m.vectors]
+        near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[:5]
+        weight = [max(cos[j], 1e-6) ** 8 for j in near]
+        assert got[i] == pytest.approx(sum(w * rows[j][1] for w, j in zip(weight, near, strict=True)) / sum(weight), abs=2e-3)
+
+
+def test_words_of_one_shape_are_told_apart():
+    good, bad = [f"river bridge {x} water" for x in "abcd"], [f"casino wagers {x} money" for x in "abcd"]
+    m = quality.Neighbours.fit([(t, 1) for t in good] + [(t, 0) for t in bad], dims=6, k=3)
+    x = np.concatenate([quality.features(b) for b in words.blocks(pa.array(["river bridge e water", "casino wagers e money"]))])
+    a, b = m.votes(x)
+    assert a > 0.9 and b < 0.1
+
+
+def test_noisy_or_and_sentence_places():
+    """Scores and spans recomputed sentence by sentence, in Python."""
+    m = toxicity.Bags(*zip(*sorted((words.hash_bytes(w), x) for w, x in ((b"vile", 3.0), (b"rot", 2.0), (b"nice", -1.0)))), -2.0, 0.01)
+    m.names, m.weights = np.array(m.names, np.uint64), np.array(m.weights)
+    weight = {"vile": 3.0, "rot": 2.0, "nice": -1.0}
+    texts = ["Vile rot. All is nice here! You rot, vile thing? Ok", "", "no such words", "\u4f60\u597d\u3002 \u00e9t\u00e9 vile rot\uff01 nice", "rot rot rot. rot rot rot"]
+    import re
+
+    for b in words.blocks(pa.array(texts)):
+        score, doc, start, end, p = m.scores(b)
+    got = [(int(d), int(s), int(e), round(float(x), 9)) for d, s, e, x in zip(doc, start, end, p, strict=True)]
+    want = []
+    for i, t in enumerate(texts):
+        clear = 1 - m.leak
+        for s in re.finditer(r"[^.!?\n\u3002\uff01\uff1f\u2026]+", t):
+            w = [x for x in re.finditer(r"[^\W\d_]+", s.group())]
+            known = [weight[x.group().lower()] for x in w if x.group().lower() in weight]
+            if known:
+                q = 1 / (1 + math.exp(2.0 - sum(known)))
+                clear *= 1 - q
+                if q >= 0.5:
+                    want.append((i, s.start() + w[0].start(), s.start() + w[-1].end(), round(q, 9)))
+        assert score[i] == pytest.approx(1 - clear)
+    assert got == want
+
+
+def test_neighbours_decide_lines_without_features():
+    """Two documents with the same open line: the labels of the lines around it differ, and so does its own."""
+    chain = lines.Chain(2)
+    chain.w = np.array([[2.0, -2.0], [-2.0, 2.0]])
+    chain.t = np.array([[1.0, -1.0], [-1.0, 1.0]])
+    x = np.array([[1, 0], [0, 0], [1, 0], [0, 1], [0, 0], [0, 1]], float)
+    assert chain.viterbi(x, np.array([0, 0, 0, 1, 1, 1])).tolist() == [0, 0, 0, 1, 1, 1]
+
+
+def test_the_gradient_of_the_chain():
+    """The ascent's first step has the signs of differences of the log likelihood, by all labellings."""
+    rng = np.random.default_rng(9)
+    chain, doc = lines.Chain(3), np.array([0, 0, 0, 1, 1])
+    chain.w, chain.t, chain.s = rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    x, known = rng.normal(size=(5, 3)), np.array([0, -1, 1, -1, 0])
+
+    def likelihood():
+        e, total = x @ chain.w, 0.0
+        for a, z in ((0, 3), (3, 5)):
+            every = [tuple(n >> i & 1 for i in range(z - a)) for n in range(1 << (z - a))]
+            value = {y: chain.s[y[0]] + sum(e[a + i, k] for i, k in enumerate(y)) + sum(chain.t[p, q] for p, q in zip(y, y[1:], strict=False)) for y in every}
+            some = [v for y, v in value.items() if all(known[a + i] in (-1, k) for i, k in enumerate(y))]
+            total += np.logaddexp.reduce(some) - np.logaddexp.reduce(list(value.values()))
+        return total
+
+    first, n = chain._layout(doc)
+    barred = np.zeros((5, 2))
+    barred[known == 0, 1] = barred[known == 1, 0] = -1e4
+    held, free = (chain._expected(x @ chain.w + b, first, n) for b in (barred, 0))
+    for got, p in ((x.T @ (held[0] - free[0]), chain.w), (held[1] - free[1], chain.t)):
+        for at in np.ndindex(p.shape):
+            p[at] += 1e-5
+            up = likelihood()
+            p[at] -= 2e-5
+            assert got[at] == pytest.approx((up - likelihood()) / 2e-5, abs=1e-5)
+            p[at] += 1e-5
+
+
 def test_classifiers_without_labels_and_with_awkward_rows(docs, empty):
     assert quality.score_quality(docs, quality.Neighbours.fit([])).where("score = 1").count() == len(TEXTS) + 2
     m = toxicity.Bags.fit([])

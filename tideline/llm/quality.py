@@ -1,9 +1,10 @@
 """Operator 6: quality by the vote of nearest labelled documents in a latent semantic space.
 
-A document's features are hashed trigrams of character shapes, bins of how much it repeats itself and of its length;
-they are damped, weighted by inverse document frequency and projected by a truncated SVD.  A bounded sample of labelled
-documents is projected and broadcast; for every document the cosines with all of them are computed exactly, in blocks,
-and the nearest vote with their similarity as weight.
+A document's features are its words and pairs of words, hashed, and beside them hashed trigrams of character shapes and
+bins of how much it repeats itself and of its length; they are damped, weighted by inverse document frequency and
+projected by a truncated SVD.  A bounded sample of labelled documents (``cap``, at most twice that) is projected and
+broadcast; for every document the cosines with all of them are computed exactly, in blocks, and the nearest vote with
+their similarity as weight.  Cosines count to five digits; of equal ones the earlier row of the sample is nearer.
 
 Null and empty texts have no trigrams and are scored by the same vote. Repeated rows and rows without doc_id stay rows.
 Without labels every score is 1.  An empty table gives no row.  Other columns are ignored.
@@ -22,10 +23,12 @@ from . import store
 from .sampling import fold, labelled_texts
 from .words import Block, U, blocks, mix, windows, word_names
 
-BUCKETS = 4096
+WORDS, BUCKETS = 4096, 2048
+WORD_WEIGHT, BIN_WEIGHT = np.float32(0.5), np.float32(0.25)
 REPEATS = (0.0, 0.02, 0.1, 0.3, 0.6)
 LENGTHS = (0, 5, 20, 50, 200, 1000, 5000)
-WIDTH = BUCKETS + 2 * (len(REPEATS) + 1) + len(LENGTHS) + 1
+TERMS = WORDS + BUCKETS
+WIDTH = TERMS + 2 * (len(REPEATS) + 1) + len(LENGTHS) + 1
 _SHAPE = np.arange(256, dtype=np.uint32)
 _SHAPE[97:123] = 97
 _SHAPE[65:91] = 65
@@ -44,13 +47,16 @@ def features(b: Block) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((n, WIDTH), np.float32)
     shape = _SHAPE[b.data]
     if len(shape) > 2:
-        tri = (shape[:-2] * np.uint32(0x9E3779B1) + shape[1:-1] * np.uint32(0x85EBCA77) + shape[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
+        tri = (shape[:-2] * np.uint32(0x9E3779B1) + shape[1:-1] * np.uint32(0x85EBCA77) + shape[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)
         for d in range(n):
             if off[d + 1] - off[d] > 2:
-                out[d, :BUCKETS] = np.bincount(tri[off[d] : off[d + 1] - 2], minlength=BUCKETS)
+                out[d, WORDS:TERMS] = np.bincount(tri[off[d] : off[d + 1] - 2], minlength=BUCKETS)
     names, to = word_names(b)
     count = np.diff(to)
     doc = np.repeat(np.arange(n), count)
+    pairs, po = windows(names, to, 2)
+    at = np.concatenate([names % U(WORDS), pairs % U(WORDS)]).astype(np.int64) + np.concatenate([doc, np.repeat(np.arange(n), np.diff(po))]) * WORDS
+    out[:, :WORDS] = np.bincount(at, minlength=n * WORDS).reshape(n, WORDS)
     again = np.zeros(len(names), bool)
     again[1:] = (names[1:] == names[:-1]) & (doc[1:] == doc[:-1])
     w, wo = windows(names, to, 4)
@@ -61,7 +67,7 @@ def features(b: Block) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(mix(w ^ mix(wd.astype(U) + U(1))), kind="stable")
         eq = np.append(False, key[1:] == key[:-1])
         dup = np.bincount(wd[order], weights=eq, minlength=n)
-    at = BUCKETS
+    at = TERMS
     for share in (np.bincount(doc, weights=again, minlength=n) / np.maximum(count, 1), dup / np.maximum(np.diff(wo), 1)):
         out[np.arange(n), at + _binned(share, REPEATS)] = 1
         at += len(REPEATS) + 1
@@ -70,9 +76,14 @@ def features(b: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def damped(x: np.ndarray) -> np.ndarray:
-    """Shares of trigrams under a root, so documents of any length compare, beside the bins."""
-    tri = x[:, :BUCKETS]
-    return np.concatenate([np.sqrt(tri / np.maximum(tri.sum(axis=1, keepdims=True), 1)), 0.25 * x[:, BUCKETS:]], axis=1)
+    """Shares of words and of trigrams under a root, so documents of any length compare, beside the bins."""
+    out = x.copy()
+    for part, weight in ((slice(0, WORDS), WORD_WEIGHT), (slice(WORDS, TERMS), 1.0)):
+        out[:, part] /= np.maximum(out[:, part].sum(axis=1, keepdims=True), 1)
+        np.sqrt(out[:, part], out=out[:, part])
+        out[:, part] *= weight
+    out[:, TERMS:] *= BIN_WEIGHT
+    return out
 
 
 @dataclass
@@ -94,7 +105,10 @@ class Neighbours:
         out, k = np.empty(len(x)), min(self.k, len(self.labels))
         for i in range(0, len(x), rows):
             cos = self.project(x[i : i + rows]) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            n = cos.shape[1]
+            code = np.rint(cos.astype(float) * 1e5).astype(np.int64) * n + np.arange(n)[::-1]  # larger, or equal and earlier
+            near = np.argpartition(-code, k - 1, axis=1)[:, :k]
+            cos = np.rint(cos * 1e5) / 1e5
             weight = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(float) ** 8
             out[i : i + rows] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
@@ -105,7 +119,8 @@ class Neighbours:
             return cls(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
         x = np.concatenate([features(b) for b in blocks(pa.array([r[0] for r in rows], pa.string()))])
         idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-        a = damped(x) * idf
+        a = damped(x)
+        a *= idf
         # The right singular vectors by subspace iteration from a fixed start: the same on every machine.
         dims = min(dims, *a.shape)
         q = np.random.default_rng(5).standard_normal((a.shape[1], dims + 8)).astype(np.float32)
@@ -113,7 +128,8 @@ class Neighbours:
             q, _ = np.linalg.qr(a.T @ (a @ q))
         u, _, vt = np.linalg.svd(a @ q, full_matrices=False)
         model = cls(idf, np.ascontiguousarray((q @ vt.T)[:, :dims], np.float32), np.zeros((0, 1)), np.array([r[1] for r in rows], float), k)
-        model.vectors = model.project(x).astype(np.float32)
+        v = a @ model.axes
+        model.vectors = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         return model
 
 
