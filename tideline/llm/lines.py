@@ -3,7 +3,8 @@
 A line with a word is one position of the chain; its features are bins of the shares of symbols, capitals, digits and
 marks, of its length, of how it ends, and whether it repeats an earlier line.  The model is fitted on a bounded sample
 of documents, from lines that are plainly prose or plainly not; the labels of all other lines are hidden, so the
-gradient is the difference of two forward-backward runs, with the known labels clamped and free.  Viterbi decoding
+gradient is the difference of two forward-backward runs, with the known labels clamped and free.  (Nothing marks lines
+in the data, so there are no labels to learn from but these; neighbours decide lines that the rules leave open.)  Viterbi decoding
 then labels every line of every document, and the share of words in content lines decides.
 
 Null texts have no words: they fail the base rule and are not kept.  Repeated rows and rows without doc_id stay rows.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import store
 from .sampling import drawn
@@ -211,8 +213,12 @@ class Chain:
 
 
 def fit_chain(docs: DataFrame, cap: int = 1500, longest: int = 20_000) -> Chain:
-    """The model, from at most 2 * cap documents of up to ``longest`` characters."""
-    rows = drawn(docs.select("doc_id", "text").where(f"length(text) <= {longest}"), "doc_id", cap).orderBy("doc_id", "text").collect()
+    """The model, from at most 2 * cap documents of any length.  Of one with more than ``longest`` characters so many
+    are taken, from a place that a hash of its key chooses, so no part of long texts is left out by rule."""
+    size = F.length("text")
+    at = F.when(size > longest, F.pmod(F.xxhash64("doc_id", F.lit(5)), size - longest + 1)).otherwise(F.lit(0))
+    rows = drawn(docs.select("doc_id", "text").where("text is not null"), "doc_id", cap).select("doc_id", F.col("text").substr((at + 1).cast("int"), F.lit(longest)).alias("text"))
+    rows = rows.orderBy("doc_id", "text").collect()
     xs, ds, ks, base = [], [], [], 0
     for b in blocks(pa.array([r["text"] for r in rows], pa.string())):
         lines = Lines(b)
