@@ -133,6 +133,16 @@ def unpacked(raw: bytes, columns: int) -> np.ndarray:
     return out.view(U)[:, :, 0]
 
 
+def signed(x: np.ndarray) -> np.ndarray:
+    """Small numbers of either sign as small numbers: 0, -1, 1, -2, ... to 0, 1, 2, 3, ..."""
+    return (x << 1) ^ (x >> 63)
+
+
+def unsigned(x: np.ndarray) -> np.ndarray:
+    """What signed() took."""
+    return (x >> 1) ^ -(x & 1)
+
+
 BLOCK_KINDS = "block long, doc_id array<long>, trained array<boolean>, sizes array<int>, names array<long>, tokens binary"
 
 
@@ -156,13 +166,13 @@ def as_blocks(docs: DataFrame, training, short) -> DataFrame:
             rank[order] = np.arange(len(order))
             ids, trained, sizes = (pa.concat_arrays([x[i] for x in held]) for i in (1, 2, 3))
             blob = pa.array([packed(rank[which])], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([first + nth]), _list(ids), _list(trained), _list(sizes), _list(as_long(names[order])), blob], ["block", "doc_id", "trained", "sizes", "names", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([first + nth]), _list(ids), _list(trained), _list(sizes), _list(as_long(short.value.encode(names[order]))), blob], ["block", "doc_id", "trained", "sizes", "names", "tokens"])
 
         for batch in batches:
             for b in blocks(batch.column(1)):
                 h, to = tokens(b)
                 part = [batch.column(i).slice(b.first, b.n) for i in (0, 2)]
-                held.append((short.value.encode(h), *part, pa.array(np.diff(to).astype(np.int32))))
+                held.append((h, *part, pa.array(np.diff(to).astype(np.int32))))
                 n += len(h)
                 if n >= BLOCK_TOKENS:
                     yield made()
@@ -436,23 +446,33 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ANSWERS, strict=True)], schema=_ANSWERS)
 
 
-def answer_pairs(d: float, rounds: int):
-    """A bucket's seats and what blocks asked of it to ANSWERS: places in their lists and averaged n - d t."""
+def answer_pairs(rounds: int):
+    """A bucket's seats and what blocks asked of it to ANSWERS: places in their lists, customers and the sum of tables
+    over the rounds that count."""
 
     def run(table: pa.Table) -> pa.Table:
-        customers = np.array([1.0 - d])
+        n, sum_t = np.array([1]), np.array([rounds])
         for r in _from(table, STATE):
             seats = Seats.of(r["src"], r["x"], r["y"])
-            customers = np.append(customers, seats.n - d * seats.sum_t / rounds)
+            n, sum_t = np.append(n, seats.n), np.append(sum_t, seats.sum_t)
         out = []
         for r in _from(table, ASKED):
             x = unpacked(r["x"], 2).view(np.int64)
-            out.append((r["src"], r["dst"], packed(x[0], customers[x[1]]), None))
+            out.append((r["src"], r["dst"], packed(x[0], n[x[1]], sum_t[x[1]]), None))
         return _answers(out)
 
     return run
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """What the rows behind the first are likely to be, by rows above: the same of the round before; in the first round
+    n for the children's tables and the own restaurant's, and no table in the parent."""
+    out = np.zeros_like(x[1:])
+    out[3:] = x[1:-3]
+    out[0] = out[2] = x[0]
+    return out
+
+
 def answer_words(columns: int, rounds: int):
     """Lists of blocks and a bucket of words to the same: n and the seatings of each round of the words asked for."""
 
@@ -467,7 +487,7 @@ def answer_words(columns: int, rounds: int):
             known = k[at] == names if len(k) else np.zeros(len(names), bool)
             told = np.zeros((1 + 3 * rounds, len(names)), np.int64)
             told[:, known] = x[[1, *range(FIELDS, columns)]][:, at[known]]
-            out.append((q["src"], q["dst"], None, packed(*told)))
+            out.append((q["src"], q["dst"], None, packed(told[0], *signed(told[1:] - _before(told)))))
         return _answers(out)
 
     return run
@@ -662,6 +682,9 @@ class LanguageModel:
                 store.remove(spark, x)
             old = [f"{self.folder}/words-{r}", f"{self.folder}/seats-{r}"]
             store.tidy(spark)
+        for x in ("words", "pairs"):  # where the sampler started; what was asked stays
+            for kind in (STATE, LIST):
+                store.remove(spark, f"{self.folder}/{x}/kind={kind}")
         self.seats, self.words, self.told = self._of(pairs, STATE), self._of(words, STATE), lists
 
     def _begun(self, lists: DataFrame, path: str) -> DataFrame:
@@ -694,7 +717,7 @@ class LanguageModel:
             both = asked(self.parts, short, buckets).withColumn("block", F.lit(-1).cast("long")).unionByName(asked(parts, short, buckets))
             asked_ = self._of(self._begun(both, f"{folder}/pairs"), ASKED)  # the same pairs repeat, so seats have the same numbers
         dealt = lambda x, by: x.repartition(buckets, by).groupBy(by)
-        met = dealt(self.seats.unionByName(asked_), "dst").applyInArrow(answer_pairs(d, k), ANSWERS)
+        met = dealt(self.seats.unionByName(asked_), "dst").applyInArrow(answer_pairs(k), ANSWERS)
         asks = word_lists(parts, short, buckets).select("src", "dst", "x")
         state = self.words.unionByName(self.wanted).unionByName(self.told)
         known = dealt(state, "dst").cogroup(dealt(asks.withColumnRenamed("dst", "to").withColumn("dst", F.col("to")), "to")).applyInArrow(answer_words(self.columns, k), ANSWERS)
@@ -708,7 +731,11 @@ class LanguageModel:
             told = table.filter(pc.is_valid(table["words"]))
             x = np.zeros((1 + 3 * k, len(order)), np.int64)
             for b, raw in zip(told["bucket"].to_pylist(), told["words"].to_pylist(), strict=True):
-                x[:, order[cuts[b]]] = unpacked(raw, 1 + 3 * k).view(np.int64)
+                y = unpacked(raw, 1 + 3 * k).view(np.int64)
+                y[1:] = unsigned(y[1:])
+                for i in range(k):
+                    y[1 + 3 * i : 4 + 3 * i] += y[3 * i - 2 : 3 * i + 1] if i else np.stack([y[0], np.zeros_like(y[0]), y[0]])
+                x[:, order[cuts[b]]] = y
             n, parent = x[0], np.zeros(len(p.w))
             for i in range(k):
                 next_, back = backed(parents[i], d, *x[[1 + 3 * i, 2 + 3 * i, 3 + 3 * i]], n)  # of an unknown word: the empty share, 1
@@ -718,8 +745,8 @@ class LanguageModel:
             told = table.filter(pc.is_valid(table["pairs"]))
             begin = dict(zip(bucket[first].tolist(), first.tolist(), strict=True))
             for b, raw in zip(told["bucket"].to_pylist(), told["pairs"].to_pylist(), strict=True):
-                y = unpacked(raw, 2)
-                customers[begin[b] + np.cumsum(y[0].view(np.int64))] = y[1].view(np.float64)
+                y = unpacked(raw, 3).view(np.int64)
+                customers[begin[b] + np.cumsum(y[0])] = y[1] - d * y[2] / k
             own = customers[which]
             own = np.where(p.trained & (own == 0), 1.0 - d, own) / (STRENGTH + n[p.u])
             total = lambda v: np.add.reduceat(v, p.to[:-1])
