@@ -710,9 +710,8 @@ class LanguageModel:
         """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.  Of the table that the model
         was made of, each row is scored as what it was there, trained on or not; rows of others never were."""
         short, k, d, buckets = self.short, self.rounds, self.d, self.buckets
-        parts, asked_ = self.parts, self.asked
+        parts, asked_, folder = self.parts, self.asked, store.scratch(self.spark, "lm-score")
         if docs is not self.docs:
-            folder = store.scratch(self.spark, "lm-other")
             parts = store.written(as_blocks(docs, F.lit(False), short), f"{folder}/blocks")
             both = asked(self.parts, short, buckets).withColumn("block", F.lit(-1).cast("long")).unionByName(asked(parts, short, buckets))
             asked_ = self._of(self._begun(both, f"{folder}/pairs"), ASKED)  # the same pairs repeat, so seats have the same numbers
@@ -721,6 +720,11 @@ class LanguageModel:
         asks = word_lists(parts, short, buckets).select("src", "dst", "x")
         state = self.words.unionByName(self.wanted).unionByName(self.told)
         known = dealt(state, "dst").cogroup(dealt(asks.withColumnRenamed("dst", "to").withColumn("dst", F.col("to")), "to")).applyInArrow(answer_words(self.columns, k), ANSWERS)
+        # Written, so that the lists' shuffles are gone before the blocks are dealt out.
+        met = store.written(met, f"{folder}/met")
+        store.tidy(self.spark)
+        known = store.written(known, f"{folder}/known")
+        store.tidy(self.spark)
         parents, uniform = self.parents, float(np.log10(self.n + self.v + 1))
 
         def run(table: pa.Table) -> pa.Table:
