@@ -6,19 +6,20 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions import model, text
-from tideline.operators import metrics, pack, stats, strength
+from tideline.engine import Engine
+from tideline.functions import judge, model, text
+from tideline.operators import index, ledger, metrics, pack, rank, replay, stats, strength
 from tideline.plans.catalogue import ORACLES, QUERIES
 from tideline.streaming.strength import step
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "stream_strength"]
+QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "stream_strength", "merge_duplicates", "refresh_full", "strength_as_of", "pool_600", "cosine_tf_top10", "recall_text", "ledger_state", "supersession", "restate_after_retire", "judge_expressions"]
 
 
 @pytest.mark.parametrize("name", QUICK)
 def test_query_equals_duckdb(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "events", "embeddings"):
+    for t in ("documents", "benchmark", "events", "embeddings", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), c.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -67,5 +68,184 @@ def test_closed_form_is_the_stepwise_fold(spark):
 def test_budget_is_a_ceiling(spark, budget):
     rows = [("q", f"m{i}", i, 1.0 / (i + 1), "active", "x" * (7 * i + 1), 7 * i + 1, 3, 2) for i in range(20)]
     df = spark.createDataFrame(rows, "qid string, id string, rank int, utility double, tier string, content string, full int, summary int, gist int")
-    for packed in (pack.pack_in_order(df, "full", budget), pack.pack_tiered(df, budget), pack.pack_by_worth(df, budget), pack.pack_truncated(df, budget)):
-        assert all(r["chars"] <= budget for r in packed.collect())
+    state = pack.with_bodies(df.select("id", "content", "tier"))
+    bodies = df.drop("full", "summary", "gist").join(state.drop("content", "tier"), "id")
+    asked = spark.createDataFrame([("q",), ("none",)], "qid string")
+    for packed in (pack.in_order(bodies, F.lit("full"), budget), pack.tiered(bodies, budget), pack.by_worth(bodies, budget), pack.truncated(bodies, budget)):
+        rows = pack.rendered(pack.for_all(packed, asked), state).collect()
+        assert len(rows) == 2 and all(r["chars"] <= budget and r["chars"] == len(r["text"]) for r in rows)
+        assert all(sum(r["tiers"].values()) == len(r["used"]) for r in rows)
+
+
+EVENTS = "seq long, op string, ts double, id string, content string, category string, protected boolean, supersedes string"
+
+
+def _log(spark, *rows):
+    """Rows of (op, day, id, content, supersedes, protected), in order."""
+    full = [(i, r[0], r[1] * model.DAY, r[2], *(r[3:4] or (None,)), "general", bool(r[5:6] and r[5]), *(r[4:5] or (None,))) for i, r in enumerate(rows)]
+    return spark.createDataFrame(full, EVENTS)
+
+
+def test_a_pin_counts_from_its_day(spark):
+    m = spark.createDataFrame([("m", "a text", "general", 0.0)], "id string, content string, category string, created double")
+    e = spark.createDataFrame([(1, "m", "pin", 20 * model.DAY), (2, "m", "retire", 30 * model.DAY)], "seq long, id string, op string, ts double")
+    at = lambda d: strength.fold(m, e, d * model.DAY).first()
+    assert at(10)["strength"] == pytest.approx(0.6 * math.exp(-0.3), abs=1e-9) and not at(10)["pinned"] and not at(10)["retired"]
+    assert at(25)["strength"] == 1.0 and at(25)["tier"] == "active" and at(35)["retired"]
+
+
+def test_the_write_path(spark):
+    """Collapse, restatement after a retire, replacement, retires of rows that never were, numbers behind equal ids."""
+    log = _log(
+        spark, ("add", 0, "a", "The lamp is lit."), ("add", 1, "b", "  The lamp is lit. "), ("retire", 2, "b"), ("add", 3, "c", "The lamp is lit."), ("retire", 4, "a"), ("add", 5, "d", "The lamp is lit."),
+        ("add", 6, "e", "The lamp is out.", "d"), ("add", 7, None, "One, two!"), ("add", 7, None, "one two"), ("add", 8, "f", "one two", None, True), ("add", 9, "a", "another"), ("add", 9, "g", "   "), ("access", 9, "c"), ("pin", 9, "zzz"),
+    )
+    rows, events = ledger.resolve(log)
+    got = {r["id"]: r for r in strength.fold(rows, events, 10 * model.DAY).collect()}
+    name = text.content_id(F.lit("one two"))
+    twin = spark.range(1).select(name.alias("n")).first()["n"]
+    assert set(got) == {"a", "d", "e", twin, f"{twin}-2"}
+    assert [got[k]["retired"] for k in ("a", "d", "e")] == [True, True, False]
+    assert got["a"]["n_access"] == 2 and got["d"]["superseded_by"] == "e"
+    assert got[f"{twin}-2"]["pinned"] and got[f"{twin}-2"]["n_access"] == 1 and not got[twin]["pinned"]
+    rows, events = ledger.resolve(log, stale_retirement=False)
+    assert not {r["id"]: r["retired"] for r in strength.fold(rows, events, 10 * model.DAY).collect()}["d"]
+    assert ledger.resolve(log.limit(0))[0].count() == 0
+
+
+def test_merges_leave_retired_rows_alone(spark):
+    cols = "id string, content string, category string, created double, n_access long, last_access double, strength double, pinned boolean, retired boolean, tier string"
+    rows = [("a", "x", "general", 0.0, 1, 5.0, 0.3, False, False, "latent"), ("b", "x ", "general", 1.0, 2, 3.0, 0.2, False, False, "latent"), ("c", "x", "general", 2.0, 4, 9.0, 0.9, False, True, "active"), ("d", "y", "general", 0.0, 0, 0.0, 0.05, False, False, "archived")]
+    s = spark.createDataFrame(rows, cols)
+    got = {r["id"]: (r["n_access"], r["strength"], r["created"], r["last_access"], r["retired"]) for r in strength.merged(s).collect()}
+    assert got == {"b": (3, 0.3, 0.0, 5.0, False), "c": (4, 0.9, 2.0, 9.0, True), "d": (0, 0.05, 0.0, 0.0, False)}
+    report = strength.refresh_report(s, 0.0, 10 * model.DAY, 2).first().asDict()
+    assert report == {"decayed": 4, "merged": 1, "pruned": 1, "prune_deficit": 0, "total": 2}
+    one = spark.createDataFrame([(2,)], "most long")
+    assert [r["id"] for r in strength.pruned(s, one).collect()] == ["d"]
+    assert strength.pruned(s, one.select(F.lit(0))).count() == 0 and strength.refresh_report(s.limit(0), 0.0, 1.0).first()["total"] == 0
+
+
+def test_pools_hold_rows_that_match_nothing(spark):
+    cols = "id string, content string, strength double, last_access double, created double, pinned boolean, retired boolean, tier string"
+    rows = [("a", "red fox", 0.2, 1.0, 0.0, False, False, "latent"), ("b", "blue jay", 0.9, 2.0, 0.0, False, False, "active"), ("c", "", 0.5, 3.0, 0.0, True, False, "active"), ("d", "red", 0.9, 9.0, 0.0, False, True, "active")]
+    s = spark.createDataFrame(rows, cols)
+    live = s.where("NOT retired")
+    terms = index.idf_terms(index.document_frequency(live), live)
+    q = spark.createDataFrame([("q1", "a red fox"), ("q2", "nothing known"), ("q3", None)], "qid string, query string")
+    sims = index.cosine((terms, index.impacts(live, terms)), q)
+    assert [(r["qid"], r["id"]) for r in sims.collect()] == [("q1", "a")]
+    got = {k: [r["id"] for r in rank.candidates(sims, s, q).where(f"qid = '{k}'").orderBy("rank").collect()] for k in ("q1", "q2", "q3")}
+    assert got == {"q1": ["c", "a", "b"], "q2": ["c", "b", "a"], "q3": ["c", "b", "a"]}
+    assert index.idf_terms(index.document_frequency(live.limit(0)), live.limit(0)).count() == 0
+
+
+def test_judge_expressions(spark):
+    raw = ['{"score": 1, "reason": "x"}', '```json\n{"score": 0}\n```', "1", 'so "score": 1 then', "I say 0 here", "none", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(judge.parse_score(F.col("x"))).collect()]
+    assert got == [1.0, 0.0, 1.0, 1.0, 0.0, None, None]
+    one = spark.range(1).select(
+        judge.gold_in(F.lit("May 7"), F.lit("on 7 june")).alias("n"), judge.gold_in(F.lit("in May"), F.lit("last may it was")).alias("m"), judge.gold_in(F.lit("!!"), F.lit("x")).alias("none"),
+        judge.day_of(F.lit("D12:3")).alias("day"), judge.kind(F.lit(5)).alias("k"), judge.format_p(F.lit(0.0004)).alias("p"), judge.cell(F.lit(1234.5)).alias("c"),
+        judge.nth_of(F.array(*map(F.lit, [4, 1, 3, 2])), 0.5).alias("nth"), judge.oracle_grade(F.lit("Ada"), F.lit("ada!"), F.lit(""), F.lit("exact")).alias("g"),
+    ).first()
+    assert tuple(one) == (True, True, False, 12, "adversarial", "p<0.001", "1234", 3, 1.0)
+
+
+def test_summaries(spark):
+    cols = "arm string, qid string, used array<string>, ranked array<string>, evidence array<string>, stale array<string>, chars long, budget long, kind string, cold boolean, latency_ms double, judge_state string, judge_score double"
+    rows = [("x", "1", ["e"], ["o", "e"], ["e"], ["s"], 200, 200, "k", True, 9.0, "judged", 1.0), ("x", "2", ["s"], ["o"], ["e"], ["s", "t"], 200, 200, "l", False, 1.0, "skipped", 0.0), ("x", "3", [], [], [], None, 200, 200, "l", False, 3.0, "errored", 0.0)]
+    [r] = metrics.summary(metrics.per_record(spark.createDataFrame(rows, cols)), "arm").collect()
+    want = {"queries": 3, "scored_queries": 2, "judged_queries": 1, "judge_skipped": 1, "judge_errors": 1, "task_success": 1, "hit_rate": 0.5, "mrr": 0.25, "mrr_packed": 0.5, "evidence_precision": 0.5, "stale_leak_rate": 0.25, "mean_chars": 200, "budget_utilisation": 1, "mean_latency_ms": 2, "p50_latency_ms": 2, "cold_ms": 9, "warm_samples": 2, "chars_per_hit": 400}
+    assert {k: r[k] for k in want} == want and len(r) == 23
+    out = {(x["field"], x["value"]): x["queries"] for x in metrics.summary_by(metrics.per_record(spark.createDataFrame(rows, cols)), "kind").collect()}
+    assert out == {("all", "all"): 3, ("kind", "k"): 1, ("kind", "l"): 2}
+    none = metrics.summary(metrics.per_record(spark.createDataFrame([rows[1]], cols)), "arm").first()
+    assert none["chars_per_hit"] == float("inf") and "| inf |" in metrics.table([none.asDict()], ["arm", "chars_per_hit"])
+
+
+def test_normal_branch_of_the_signed_rank_test():
+    """21 differences 1 to 21, three of them negative: w+ = 225, mean 115.5, variance 827.75."""
+    d = [-x if x in (1, 2, 3) else x for x in range(1, 22)]
+    z = (225 - 115.5 - 0.5) / math.sqrt(827.75)
+    assert stats.wilcoxon_p(d) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9)
+
+
+def test_sketches_are_the_smallest_checksums(spark):
+    import zlib
+
+    t = "alpha beta gamma delta epsilon zeta eta theta iota kappa alpha the of"
+    words = {w for w in t.split() if w not in ("the", "of")}
+    got = spark.range(1).select(text.sketch(F.lit(t)).alias("s")).first()["s"]
+    assert got == sorted(zlib.crc32(w.encode()) for w in words)[:8]
+    m = spark.createDataFrame([("a", t), ("b", t + " more"), ("c", "other words")], "id string, content string")
+    assert {(r["a"], r["b"]) for r in index.sketch_candidates(m).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_long_runs_of_blanks_are_read_once(spark):
+    import time
+
+    began = time.time()
+    [r] = spark.createDataFrame([("x" + " " * 200_000 + "y",)], "t string").select(F.length(text.trimmed(F.col("t"))), text.collapsed(F.col("t"))).collect()
+    assert tuple(r) == (200_002, "x y") and time.time() - began < 20
+
+
+def test_replay_is_as_of_each_query(spark):
+    """Two queries of a scenario: the later sees the replacement, the retire and what the earlier one used."""
+    cols = "scenario string, seq long, day double, op string, id string, content string, category string, protected boolean, supersedes string"
+    e = spark.createDataFrame([("s", 0, 0.0, "add", "old", "the key is under the stone", "general", False, None), ("s", 1, 1.0, "add", "x", "a red fox ran", "general", False, None), ("s", 2, 5.0, "add", "new", "the key is in the shed", "general", False, "old")], cols)
+    q = spark.createDataFrame([("q1", "s", 2.0, "where is the key", "stone", ["old"], [], "k", "t"), ("q2", "s", 6.0, "where is the key", "shed", ["new"], ["old"], "k", "t")], "qid string, scenario string, session double, query string, answer string, evidence array<string>, stale array<string>, kind string, source string")
+    arms = [a for a in replay.ARMS if a.name in ("M0", "M1", "M2", "M3", "M8", "M9", "M10")]
+    got = {(r["arm"], r["qid"]): (r["used"], r["judge_score"]) for r in replay.replay(arms, e, q).collect()}
+    assert got["M0", "q1"] == ([], 0.0) and got["M1", "q1"][0] == ["old", "x"] and got["M2", "q2"][0] == ["new", "x", "old"]
+    assert got["M3", "q1"][0] == ["old"] and set(got["M8", "q2"][0]) == {"old", "new", "x"}
+    assert got["M9", "q2"][0][0] == "new" and "old" not in got["M9", "q2"][0] and got["M9", "q2"][1] == 1.0
+    assert set(got["M10", "q2"][0]) == {"new", "x"}
+
+
+def test_engine(spark, tmp_path):
+    now = [0.0]
+    with Engine(spark, str(tmp_path / "store"), clock=lambda: now[0]) as e:
+        a = e.add("The lamp is lit.", memory_id="a")
+        assert a == "a" and e.add(" The lamp is lit. ") == "a" and e.size() == 1
+        for bad in (dict(content="  "), dict(content="x", memory_id="a"), dict(content="x", supersedes="zz"), dict(content="The lamp is lit.", supersedes="a")):
+            with pytest.raises(ValueError):
+                e.add(**bad)
+        now[0] = 1.0
+        b = e.add("The lamp is out.", category="TASK", supersedes="a")
+        assert e.get("a")["retired"] and e.get("a")["superseded_by"] == b and not e.access("a") and not e.pin("a") and e.retire("a")
+        r = e.recall(query="is the lamp lit", budget=100)
+        assert (r.text, r.used_ids, r.ranked_ids, r.retired_excluded, r.tiers) == ("The lamp is out.", [b], [b], 1, {"active": 1})
+        assert e.recall(budget=100).used_ids == [] and e.recall(query="lamp", force_similarity=False).similarity_used is False
+        assert e.reinforce([b, "zz"]) == 1 and e.similarity_scores("lamp")[b] > 0 and e.candidate_pool("lamp") == [b]
+        assert e.refresh() == {"decayed": 1, "merged": 0, "pruned": 0, "prune_deficit": 0, "total": 2} and e.stats()["retired"] == 1
+        e.save()
+        with pytest.raises(ValueError):
+            e.save(str(tmp_path / "elsewhere"))
+        with pytest.raises(RuntimeError):
+            Engine(spark, str(tmp_path / "store"))
+    with Engine(spark, str(tmp_path / "store"), clock=lambda: now[0]) as e:
+        assert e.size() == 2 and [m["id"] for m in e.snapshot()["memories"]] == sorted(["a", b])
+
+
+def test_rpc_and_command_line(spark, tmp_path):
+    import io
+    import json
+
+    from tideline import cli, rpc
+
+    s = rpc.Server(Engine(spark, in_memory=True, clock=lambda: 0.0))
+    call = lambda name, **args: json.loads(s.line(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": args}})))
+    code = lambda raw: json.loads(s.line(raw))["error"]["code"]
+    assert code("{") == -32700 and code("[1]") == -32600 and code('{"jsonrpc":"2.0","id":1,"method":"x"}') == -32601
+    assert call("memory_add")["error"]["code"] == -32602 and call("memory_recall", budget=-1)["error"]["code"] == -32602 and call("memory_pin", id=" ")["error"]["code"] == -32602
+    assert s.line('{"jsonrpc":"2.0","method":"tools/call","params":{"name":"memory_add","arguments":{"content":"x"}}}') is None and s.engine.size() == 0
+    made = json.loads(call("memory_add", content="The lamp is lit.")["result"]["content"][0]["text"])["id"]
+    assert json.loads(call("memory_access", id=made)["result"]["content"][0]["text"]) == {"ok": True, "id": made}
+    assert call("memory_add", content="x", supersedes="zz")["result"]["isError"]
+    out = io.StringIO()
+    with Engine(spark, str(tmp_path / "c"), clock=lambda: 0.0) as e:
+        run = lambda *a: cli.run(e, cli.parser().parse_args(a), out)
+        assert run("add", "--content", "A fox.", "--id", "f") == 0 and run("pin", "f") == 0 and run("pin", "g") == 1 and run("recall", "--query", "fox") == 0 and run("list") == 0 and run("stats") == 0
+    assert "A fox." in out.getvalue() and "1.0000" in out.getvalue()
+    assert cli.main(["recall", "--budget", "-1"], spark) == 2

@@ -1,4 +1,7 @@
-"""Text expressions: every one is a Column built from Spark's own functions."""
+"""Text expressions: every one is a Column built from Spark's own functions.
+
+A null text counts as empty everywhere: no tokens, an empty summary, and the id of the empty text.
+"""
 
 from __future__ import annotations
 
@@ -33,12 +36,21 @@ def keywords(c: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.slice(t, 1, 4))
 
 
+_SPACES = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at its ends; reads only the ends, whatever runs of blanks lie between."""
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(_SPACES))
 
 
 def collapsed(c: Column) -> Column:
-    return trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}++", " "), F.lit(" "))
+
+
+def identity(c: Column) -> Column:
+    """Names a trimmed text, so that groups by text don't deal out the texts."""
+    return F.md5(trimmed(c).cast("binary"))
 
 
 def shortened(flat: Column, limit: int) -> Column:

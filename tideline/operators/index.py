@@ -1,4 +1,12 @@
-"""Inverted indexes and similarities: equi-joins of query terms with postings, so only rows that match are touched."""
+"""Inverted index of texts with the impacts of each posting, and similarities as sums over a query batch's terms.
+
+The index is made once for a version of the store: ``terms`` (term, df, w, bw: its idf weights) and ``postings`` (term,
+id, and what the term adds to a unit query in each model).  A query batch's terms meet the postings in one scan; only
+what matches is dealt out, and what is broadcast is the batch's terms, behind a check of their number.
+
+Null texts have no terms.  Queries without a known term, and null ones, match nothing.  An empty store or batch gives no
+row.  Repeated rows of an id count as rows of their own, so ids must be unique.  Other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -8,54 +16,93 @@ from pyspark.sql import functions as F
 from ..functions import model, text
 
 K1, B = 1.2, 0.75
+#: Query terms that go to every executor at once; more are met by a shuffled join.
+MOST_BROADCAST = 1 << 20
+
+
+def document_frequency(memories: DataFrame) -> DataFrame:
+    """(term, df): rows that hold a term."""
+    return memories.select(F.explode(text.token_set(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _population(df: DataFrame, memories: DataFrame) -> DataFrame:
+    """df with n (rows) and avg (mean tokens), one row's worth on every row."""
+    stats = memories.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col("content")))).alias("avg"))
+    return df.crossJoin(F.broadcast(stats))
+
+
+def idf_terms(df: DataFrame, memories: DataFrame) -> DataFrame:
+    """(term, df, w, bw, avg): weights of the cosine models and of BM25."""
+    d, n = F.col("df"), F.col("n")
+    return _population(df, memories).select("term", "df", (F.log((n + 1) / (d + 1)) + 1).alias("w"), F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("bw"), "avg")
 
 
-def postings(memories: DataFrame, repeats: bool = False) -> DataFrame:
-    """(id, term, tf); tf is 1 unless repeats count."""
-    t = memories.select("id", F.explode(text.tokens(F.col("content")) if repeats else text.token_set(F.col("content"))).alias("term"))
-    return t.groupBy("id", "term").agg(F.count("*").alias("tf")) if repeats else t.withColumn("tf", F.lit(1).cast("long"))
+def impacts(memories: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, id, one, many, best): what a term adds to a unit query by distinct terms, by counted terms and in BM25.
 
+    A term that many rows hold meets the frequencies through as many salted copies, so no task gets all of its rows.
+    """
+    salts = 16
+    t = memories.select("id", text.tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
+    t = t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    t = t.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    w = terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    p = t.join(w, ["term", "salt"])
+    by = Window.partitionBy("id")
+    one, many = F.col("w"), F.col("tf") * F.col("w")
+    p = p.withColumn("n1", F.sqrt(F.sum(one * one).over(by))).withColumn("n2", F.sqrt(F.sum(many * many).over(by)))
+    part = F.col("bw") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
+    return p.select("term", "id", (one / F.col("n1")).alias("one"), (many / F.col("n2")).alias("many"), part.alias("best"))
 
-def idf(post: DataFrame, n: int) -> DataFrame:
-    return post.groupBy("term").agg(F.count("*").alias("df")).withColumn("w", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
 
+def sorted_postings(postings: DataFrame, parts: int) -> DataFrame:
+    """By term, so that a scan for few terms reads few row groups; frequent terms are cut by id."""
+    return postings.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id")
 
-def query_terms(queries: DataFrame, repeats: bool = False) -> DataFrame:
-    return queries.select("qid", F.explode(text.tokens(F.col("query")) if repeats else text.token_set(F.col("query"))).alias("term"))
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, qf)."""
+    return queries.select("qid", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
 
-def answerable(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid of each query that has a term with some row."""
-    return query_terms(queries).join(postings(memories).select("term").distinct(), "term", "left_semi").select("qid").distinct()
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
-def cosine(memories: DataFrame, queries: DataFrame, repeats: bool = False, limit: int | None = model.TERM_LIMIT) -> DataFrame:
-    """(qid, id, sim) of rows that share a term; term weights are tf * idf, the query's dot product takes its heaviest
-    terms only, its norm all known ones."""
-    post = postings(memories, repeats)
-    w = idf(post, memories.count())
-    doc = post.join(w, "term").select("id", "term", (F.col("tf") * F.col("w")).alias("dw"))
-    norm = doc.groupBy("id").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
-    q = query_terms(queries, repeats).groupBy("qid", "term").agg(F.count("*").alias("qf")).join(w, "term").withColumn("qw", F.col("qf") * F.col("w"))
-    qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+
+def weights(queries: DataFrame, terms: DataFrame, repeats: bool = False, limit: int | None = model.TERM_LIMIT) -> DataFrame:
+    """(qid, term, q): each query's terms in a unit vector; of these the heaviest ``limit``."""
+    q = _small(query_terms(queries))
+    q = terms.select("term", "w").join(q, "term").withColumn("qw", (F.col("qf") if repeats else F.lit(1)) * F.col("w"))
+    by = Window.partitionBy("qid")
+    q = q.withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(by)))
     if limit:
-        q = q.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("qw").desc(), "term"))).where(F.col("rn") <= limit)
-    dots = doc.join(q.select("qid", "term", "qw"), "term").groupBy("qid", "id").agg(F.sum(F.col("dw") * F.col("qw")).alias("dot"))
-    out = dots.join(norm, "id").join(qn, "qid")
-    return out.select("qid", "id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("sim"))
+        q = q.withColumn("rn", F.row_number().over(by.orderBy(F.col("qw").desc(), "term"))).where(F.col("rn") <= limit)
+    return q.select("qid", "term", (F.col("qw") / F.col("qn")).alias("q"))
+
+
+def _sums(postings: DataFrame, q: DataFrame, impact: str) -> DataFrame:
+    """(qid, id, sim): sums of impacts over the terms of the queries."""
+    hit = postings.select("term", "id", F.col(impact).alias("x")).join(_small(q), "term")
+    return hit.groupBy("qid", "id").agg(F.round(F.sum(F.col("x") * F.col("q")), 9).alias("sim"))
+
 
+def cosine(index: tuple[DataFrame, DataFrame], queries: DataFrame, repeats: bool = False, limit: int | None = model.TERM_LIMIT) -> DataFrame:
+    """(qid, id, sim) of rows that share a term; index: terms, postings."""
+    terms, postings = index
+    return _sums(postings, weights(queries, terms, repeats, limit), "many" if repeats else "one")
 
-def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
+
+def bm25(index: tuple[DataFrame, DataFrame], queries: DataFrame) -> DataFrame:
     """(qid, id, sim): BM25 scores; a repeated query token counts each time."""
-    post = postings(memories, repeats=True)
-    size = memories.select("id", F.size(text.tokens(F.col("content"))).alias("dl"))
-    stats = size.agg(F.avg("dl").alias("avg"), F.count("*").alias("n"))
-    w = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
-    w = w.select("term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
-    q = query_terms(queries, repeats=True).groupBy("qid", "term").agg(F.count("*").alias("qf")).join(w, "term")
-    hit = post.join(q, "term").join(size, "id")
-    part = F.col("qf") * F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    return hit.groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("sim"))
+    return _sums(index[1], query_terms(queries).withColumnRenamed("qf", "q"), "best")
+
+
+def with_zeros(sims: DataFrame, live: DataFrame, queries: DataFrame, k: int, *order) -> DataFrame:
+    """sims with the rows that match nothing at 0.0, as many a query as may be among its first k: the first k of all
+    live rows by ``order``, which has to be the order of equals."""
+    head = live.select("id", *[c for c in live.columns if c != "id"]).orderBy(*order).limit(k).select("id")
+    rest = head.crossJoin(_small(queries.select("qid"))).join(sims.select("qid", "id"), ["qid", "id"], "left_anti")
+    return sims.unionByName(rest.select("qid", "id", F.lit(0.0).alias("sim")))
 
 
 def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -64,6 +111,9 @@ def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     unit = lambda x: F.when(x == 0, 1.0).otherwise(x)
     v = vectors.withColumn("vn", unit(F.sqrt(dot(F.col("embedding"), F.col("embedding")))))
     q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qe")).withColumn("qn", unit(F.sqrt(dot(F.col("qe"), F.col("qe")))))
+    n = q.limit(MOST_BROADCAST + 1).count()
+    if n > MOST_BROADCAST:
+        raise ValueError("so many query vectors have to come in batches")
     return v.crossJoin(F.broadcast(q)).select("qid", "id", F.round(dot(F.col("embedding"), F.col("qe")) / (F.col("vn") * F.col("qn")), 6).alias("sim"))
 
 

@@ -1,4 +1,8 @@
-"""Retrieval metrics of records (qid, used, ranked, evidence, stale, chars, budget), by record and by group."""
+"""Retrieval metrics of records (arm, qid, used, ranked, evidence, stale, chars, budget, ...), by record and by group.
+
+Null lists count as empty.  Records without evidence are in no mean of hits and ranks, records without stale ids in no
+mean of leaks; means of nothing are 0.0.  An empty table gives no row.
+"""
 
 from __future__ import annotations
 
@@ -30,18 +34,71 @@ def stale_leak(used: Column, stale: Column) -> Column:
     return F.when(F.size(stale) > 0, F.size(F.array_intersect(stale, used)) / F.size(stale))
 
 
+#: What a record may have besides; missing columns take these values.
+DEFAULTS = {"stale": "array()", "kind": "'unknown'", "source": "'unknown'", "cold": "false", "latency_ms": "0.0D", "judge_state": "'judged'", "judge_score": "0.0D"}
+
+
 def per_record(records: DataFrame) -> DataFrame:
-    u, r, e = F.col("used"), F.col("ranked"), F.col("evidence")
+    """Each record's metrics; null where one has no meaning."""
+    for c, v in DEFAULTS.items():
+        if c not in records.columns:
+            records = records.withColumn(c, F.expr(v) if c != "stale" else F.array().cast("array<string>"))
+    u, r, e, s = (F.coalesce(c, F.array().cast("array<string>")) for c in ("used", "ranked", "evidence", "stale"))
+    has = F.size(e) > 0
+    scored = lambda x: F.round(F.when(has, x), 9)
     return records.select(
-        "arm", "qid", "chars", "budget", F.round(hit(u, e), 9).alias("hit"), F.round(reciprocal_rank(r, e), 9).alias("mrr"), F.round(precision(u, e), 9).alias("precision"), F.round(ndcg(r, e), 9).alias("ndcg10")
+        "arm", "qid", "chars", "budget", scored(hit(u, e)).alias("hit"), scored(reciprocal_rank(r, e)).alias("mrr"), scored(precision(u, e)).alias("precision"), scored(ndcg(r, e)).alias("ndcg10"),
+        scored(reciprocal_rank(u, e)).alias("mrr_packed"), scored(ndcg(u, e)).alias("ndcg10_packed"), F.round(stale_leak(u, s), 9).alias("stale_leak"), "kind", "source", "cold", "latency_ms", "judge_state", "judge_score",
     )
 
 
-def summary(scored: DataFrame, *by: str) -> DataFrame:
+def outputs() -> list[Column]:
+    """The aggregates of summary()."""
+    mean = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9).alias(name)
+    count = lambda c, name: F.count(F.when(c, 1)).cast("double").alias(name)
+    judged, warm = F.col("judge_state") == "judged", ~F.col("cold")
+    late = F.when(warm, F.col("latency_ms"))
     rate = F.avg("hit")
-    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9).alias(c)
-    cost = F.when(rate > 0, F.round(F.avg("chars") / rate, 6)).otherwise(F.lit(float("inf")))
-    return scored.groupBy(*by).agg(F.count("*").alias("n"), mean("hit"), mean("mrr"), mean("precision"), mean("ndcg10"), F.round(F.avg(F.col("chars") / F.col("budget")), 9).alias("used_share"), cost.alias("chars_per_hit"))
+    return [
+        F.count("*").cast("double").alias("queries"), count(F.col("hit").isNotNull(), "scored_queries"), count(judged, "judged_queries"),
+        count(F.col("judge_state") == "skipped", "judge_skipped"), count(F.col("judge_state") == "errored", "judge_errors"),
+        mean(F.when(judged, F.col("judge_score")), "task_success"), mean("hit", "hit_rate"), mean("mrr", "mrr"), mean("ndcg10", "ndcg10"), mean("mrr_packed", "mrr_packed"), mean("ndcg10_packed", "ndcg10_packed"),
+        mean("precision", "evidence_precision"), mean("stale_leak", "stale_leak_rate"), mean("chars", "mean_chars"), mean(F.col("chars") / F.col("budget"), "budget_utilisation"),
+        mean(late, "mean_latency_ms"), *[F.coalesce(F.percentile(late, q), F.lit(0.0)).alias(f"p{round(100 * q)}_latency_ms") for q in (0.5, 0.95, 0.99)],
+        mean(F.when(F.col("cold"), F.col("latency_ms")), "cold_ms"), count(warm, "warm_samples"),
+        F.when(rate > 0, F.round(F.avg("chars") / rate, 6)).otherwise(F.lit(float("inf"))).alias("chars_per_hit"),
+    ]
+
+
+def summary(scored: DataFrame, *by: str) -> DataFrame:
+    """The 22 outputs by group."""
+    return scored.groupBy(*by).agg(*outputs())
+
+
+def summary_by(scored: DataFrame, *fields: str) -> DataFrame:
+    """The 22 outputs of each arm as a whole and by each of the fields, in one pass: (arm, field, value, ...)."""
+    sets = F.explode(F.array(F.struct(F.lit("all").alias("field"), F.lit("all").alias("value")), *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
+    return scored.withColumn("g", sets).select("*", "g.field", "g.value").groupBy("arm", "field", "value").agg(*outputs())
+
+
+def cold_first(records: DataFrame) -> DataFrame:
+    """records with ``cold``: the first of its arm and scenario, by session and qid."""
+    w = Window.partitionBy("arm", "scenario").orderBy("session", "qid")
+    return records.withColumn("cold", F.row_number().over(w) == 1)
+
+
+def pool_gap(rows: DataFrame, *by: str) -> DataFrame:
+    """Of rows (pool_hit, hit): their means, the gap, and which stage the rest is lost in."""
+    out = rows.groupBy(*by).agg(F.round(F.avg("pool_hit"), 9).alias("pool_hit"), F.round(F.avg("hit"), 9).alias("hit"), F.count("*").alias("n"))
+    gap = F.round(F.col("pool_hit") - F.col("hit"), 9)
+    return out.withColumn("gap", gap).withColumn("loss", F.when(gap <= 0.05, "generation").when(gap >= 0.15, "ordering").otherwise("mixed"))
+
+
+def table(rows: list[dict], columns: list[str]) -> str:
+    """A Markdown table of collected summary rows, a few dozen at the most."""
+    show = lambda x: "-" if x is None else "inf" if x == float("inf") else (f"{x:.0f}" if abs(x) >= 1000 else f"{x:.3f}") if isinstance(x, float) else str(x)
+    lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in rows])
 
 
 def aligned(scored: DataFrame, a: str, b: str, value: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Rankings: windows by query with complete orders, so ties never depend on partitions."""
+"""Rankings: windows by query with complete orders, so ties never depend on partitions.
+
+Null strengths sort last; rows without id are the caller's fault.  An empty store gives no row.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +10,50 @@ from pyspark.sql import functions as F
 
 from ..functions import model
 
+#: Rows of (id, strength, ...) that go to every executor at once; more are met by a shuffled join.
+MOST_BROADCAST = 1 << 20
+
 
 def top(scores: DataFrame, k: int, *order) -> DataFrame:
-    """The first k rows of each query; Spark cuts each partition to k before the shuffle."""
+    """The first k rows of each query; Spark cuts each partition to k before the shuffle.  0: all rows."""
     w = Window.partitionBy("qid").orderBy(*(order or (F.col("sim").desc(), "id")))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = scores.withColumn("rank", F.row_number().over(w))
+    return out.where(F.col("rank") <= k) if k else out
+
 
+def placed(sims: DataFrame, state: DataFrame, *columns: str) -> DataFrame:
+    """sims with columns of their rows' state."""
+    slim = state.select("id", *columns)
+    return sims.join(F.broadcast(slim) if slim.count() <= MOST_BROADCAST else slim, "id")
 
-def candidates(sims: DataFrame, state: DataFrame, qids: DataFrame, prior: float = 0.0, pool: int = model.POOL) -> DataFrame:
-    """(qid, id, rank, utility, ...): live rows by pins, blended score, strength and id. Rows without a similarity
-    rank by strength alone where the prior gives it weight, and have no utility where it doesn't.
 
-    ``qids`` names each query that has a similarity with any row. A row without one can only be among the first
-    ``pool`` of a query if it is among the first ``pool`` by pins, strength and id, since a similarity never lowers a
-    score; so each query meets that many rows besides its matches, at any size of the store.
+def candidates(sims: DataFrame, state: DataFrame, queries: DataFrame, prior: float = 0.0, pool: int = model.POOL) -> DataFrame:
+    """(qid, id, rank, utility, sim, and the state's columns): for every query the live rows by pins, blended score,
+    strength and id; rows without a similarity have 0.
+
+    A row without one can only be among the first ``pool`` of a query if it is among the first ``pool`` by pins,
+    strength and id, since a similarity never lowers a score; so each query meets that many rows besides its matches, at
+    any size of the store.
     """
     live = state.where("NOT retired")
-    # Without a prior, a row without similarity can't be packed unless it is pinned.
-    head = (live if prior else live.where("pinned")).orderBy(F.col("pinned").desc(), F.col("strength").desc(), "id").limit(pool)
-    rest = head.crossJoin(F.broadcast(qids)).join(sims.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("sim", F.lit(0.0))
-    hit = live.join(sims, "id")
-    rows = hit.unionByName(rest.select(hit.columns))
+    slim = live.select("id", "pinned", "strength")
+    head = slim.orderBy(F.col("pinned").desc(), F.col("strength").desc(), "id")
+    head = head.limit(pool) if pool else head
+    n = queries.select("qid").distinct()
+    rest = head.crossJoin(F.broadcast(n) if n.count() <= MOST_BROADCAST else n).join(sims.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("sim", F.lit(0.0))
+    rows = placed(sims, slim, "pinned", "strength")
+    rows = rows.unionByName(rest.select(rows.columns))
     value = F.round(F.col("sim") + prior * F.col("strength"), 9)
     rows = rows.withColumn("utility", value + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
     order = (F.col("pinned").desc(), value.desc(), F.col("strength").desc(), "id")
-    return top(rows, pool, *order)
+    return top(rows, pool, *order).drop("pinned", "strength").join(live, "id")
+
+
+def blind_order() -> tuple:
+    return F.col("pinned").desc(), F.col("strength").desc(), F.col("last_access").desc(), F.col("created").desc(), "id"
 
 
-def query_blind(state: DataFrame) -> DataFrame:
-    """Live rows by pins, strength, last access, creation and id."""
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("pinned").desc(), F.col("strength").desc(), F.col("last_access").desc(), F.col("created").desc(), "id")
-    return state.where("NOT retired").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= model.POOL)
+def query_blind(state: DataFrame, pool: int = model.POOL) -> DataFrame:
+    """Live rows by pins, strength, last access, creation and id: the first ``pool``, which one task may hold."""
+    first = state.where("NOT retired").orderBy(*blind_order()).limit(pool)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*blind_order())))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import metrics
+
 
 def exact_p(ranks: list[float], w_plus: float) -> float:
     """Two-sided p of the signed-rank sum over all sign patterns; ranks may be halves."""
@@ -50,16 +53,90 @@ def paired_p(pairs: DataFrame) -> DataFrame:
     return pairs.select("name", "a", "b").groupBy("name").applyInPandas(run, "name string, n long, p double")
 
 
-def bootstrap(pairs: DataFrame, times: int = 1000) -> DataFrame:
-    """Percentile interval of the mean difference by Poisson bootstrap: each row draws its weight in each replicate from
-    a hash, so replicates are sums that combine before the shuffle."""
-    u = F.pmod(F.xxhash64("qid", "r"), F.lit(1 << 30)) / float(1 << 30)
+def bootstrap(pairs: DataFrame, times: int = 10_000, seed: int = 0) -> DataFrame:
+    """Percentile interval (95 %) of the mean difference by Poisson bootstrap: each row draws its weight in each
+    replicate from a hash, so replicates are sums that combine before the shuffle.
+
+    Weights are read from the whole distribution as far as doubles tell it apart (up to 17, beyond which 1e-15 lies).
+    """
+    u = F.pmod(F.xxhash64("qid", "r", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     w, p = F.lit(0), math.exp(-1)
-    total, k = p, 0
-    for k in range(1, 9):
+    total = p
+    for k in range(1, 18):
         w = F.when(u >= total, k).otherwise(w)
         p /= k
         total += p
     r = pairs.select("qid", (F.col("a") - F.col("b")).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("r")).withColumn("w", w)
-    means = r.groupBy("r").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("m"))
+    means = r.groupBy("r").agg((F.sum(F.col("d") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+
+
+def interval(d: np.ndarray, times: int = 10_000, seed: int = 0) -> tuple[float, float]:
+    """The same of one group's differences, drawn with replacement."""
+    if not len(d):
+        return 0.0, 0.0
+    rng = np.random.default_rng(seed)
+    means = np.concatenate([rng.choice(d, (100, len(d))).mean(axis=1) for _ in range(times // 100)])
+    return float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
+
+
+def delta(a: np.ndarray, b: np.ndarray) -> float:
+    """Cliff's delta, from ranks among the sorted other side."""
+    if not len(a) or not len(b):
+        return 0.0
+    s = np.sort(b)
+    return float((np.searchsorted(s, a, "left") - (len(s) - np.searchsorted(s, a, "right"))).sum() / (len(a) * len(b)))
+
+
+SUMMARY = "name string, n long, mean_a double, mean_b double, mean_diff double, ci_low double, ci_high double, win_rate double, delta double, p_value double, sd_diff double"
+
+
+def paired_summary(pairs: DataFrame) -> DataFrame:
+    """Per name of pairs (name, qid, a, b): n, means, mean difference a - b with its interval, share of pairs that a
+    wins (ties half), Cliff's delta and Wilcoxon's p.  A group has a row a query of an evaluation, which one task holds.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("qid")
+        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
+        d = a - b
+        low, high = interval(d)
+        sd = float(d.std(ddof=1)) if len(d) > 1 else 0.0
+        return pd.DataFrame([[pdf["name"].iloc[0], len(d), a.mean(), b.mean(), d.mean(), low, high, float(((d > 0) + 0.5 * (d == 0)).mean()), delta(a, b), wilcoxon_p(d), sd]], columns=[c.split()[0] for c in SUMMARY.split(", ")])
+
+    return pairs.select("name", "qid", "a", "b").where("a IS NOT NULL AND b IS NOT NULL").groupBy("name").applyInPandas(run, SUMMARY)
+
+
+def against(scored: DataFrame, hero: str, value: str = "judge_score") -> DataFrame:
+    """Every other arm paired with the hero by qid (a: the hero), with Holm's correction over the arms."""
+    one = scored.where(F.col("arm") == hero).select("qid", F.col(value).alias("a"))
+    pairs = scored.where(F.col("arm") != hero).select(F.col("arm").alias("name"), "qid", F.col(value).alias("b")).join(one, "qid")
+    rows = paired_summary(pairs).where("n > 1")
+    holm_ = metrics.holm(rows.select("name", F.col("p_value").alias("p"))).select("name", F.col("adjusted").alias("p_adjusted"))
+    return rows.join(holm_, "name").withColumn("significant", F.col("p_adjusted") < 0.05)
+
+
+def verdict(summaries: dict, by_source: dict, pairs: list[dict], hero: str, flats: list[str], semantic: list[str], engines: list[str], scale: dict | None = None) -> list[dict]:
+    """The seven criteria over collected one-row summaries: text, status, detail.
+
+    A criterion whose inputs were not measured says so and doesn't count; the one on wall clock is informational.
+    """
+    mine, flat, none = summaries.get(hero, {}), summaries.get(flats[0], {}), float("inf")
+    base = max((a for a in semantic if a in summaries), key=lambda a: summaries[a]["hit_rate"], default=None)
+    best = max((a for a in engines if a in summaries), key=lambda a: summaries[a]["hit_rate"], default=None)
+    lead = lambda arm: summaries[base]["hit_rate"] - summaries.get(arm, {}).get("hit_rate", 0.0) if base else None
+    leak = lambda source: by_source.get((hero, source), {}).get("stale_leak_rate")
+    flat_rows = [p for p in pairs if p["name"] in flats]
+    out = []
+
+    def criterion(text: str, ok: bool, detail: str, measured: bool = True, counted: bool = True) -> None:
+        out.append({"criterion": text, "status": "NOT MEASURED" if not measured else "INFORMATIONAL" if not counted else "PASS" if ok else "FAIL", "detail": detail if measured else ""})
+
+    criterion("characters a hit at most those of order of arrival", mine.get("chars_per_hit", none) <= flat.get("chars_per_hit", none), f"{mine.get('chars_per_hit')} against {flat.get('chars_per_hit')}")
+    criterion("hit rate within 0.05 of the best baseline", base is None or lead(hero) <= 0.05, f"{base}")
+    criterion("best engine within 0.05 of the best baseline", base is not None and best is not None and lead(best) <= 0.05, f"{best} and {base}")
+    criterion("under 0.2 of superseded facts surface", (leak("staleness") or 0.0) < 0.2, f"{leak('staleness')}", leak("staleness") is not None)
+    criterion("decay alone lets superseded facts fade", (leak("staleness-decay") or 0.0) < 0.2, f"{leak('staleness-decay')}", leak("staleness-decay") is not None)
+    criterion("faster at the 95th percentile than BM25", bool(scale) and scale["hero"] < scale["bm25"], f"{scale}", bool(scale), False)
+    criterion("better than both flat baselines", bool(flat_rows) and all(p["significant"] and p["mean_diff"] > 0 for p in flat_rows), f"{[p['name'] for p in flat_rows]}", bool(flat_rows))
+    return out

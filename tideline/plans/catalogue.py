@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import model, text
-from ..operators import index, metrics, pack, rank, stats, strength
+from ..functions import judge, model, text
+from ..operators import index, ledger, metrics, pack, rank, replay, stats, strength
+from ..sources import scratch
 from ..sources import tables as t
 from .oracles import ORACLES
 
@@ -23,8 +24,25 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return t.table(s, d, "documents")
 
 
+def _once(s: SparkSession, d: str, name: str, make) -> DataFrame:
+    """A derived table of the store in d, made when its files are first seen."""
+    return scratch.once(s, name, scratch.version(_docs(s, d), t.table(s, d, "events")), make)
+
+
 def _state(s: SparkSession, d: str) -> DataFrame:
-    return strength.fold(t.base_memories(s, d), t.mem_events(s, d), t.NOW)
+    """All rows folded at NOW, with the bodies of their details."""
+    return _once(s, d, "state", lambda: pack.with_bodies(strength.fold(t.base_memories(s, d), t.mem_events(s, d), t.NOW)))
+
+
+def _live(s, d):
+    return _state(s, d).where("NOT retired")
+
+
+def _index(s, d) -> tuple[DataFrame, DataFrame]:
+    """(terms, postings) of the live rows."""
+    terms = _once(s, d, "terms", lambda: index.idf_terms(index.document_frequency(_live(s, d)), _live(s, d)))
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
+    return terms, _once(s, d, "postings", lambda: index.sorted_postings(index.impacts(_live(s, d), terms), parts))
 
 
 def _texts(name: str, expr):
@@ -98,41 +116,77 @@ def identity_collapse(s, d):
 
 @query
 def merge_duplicates(s, d):
-    return strength.merged(_state(s, d)).select("id", "n_access", "strength", "last_access", "created", "pinned")
+    return strength.merged(_state(s, d)).select("id", "n_access", "strength", "last_access", "created", "pinned", "retired")
 
 
 @query
 def prune_weakest(s, d):
     """What goes if four fifths may stay."""
-    state = _state(s, d)
-    return strength.pruned(state, state.count() * 4 // 5).select("id", "strength")
+    most = _docs(s, d).agg(F.floor(F.count("*") * 4 / 5).cast("long").alias("most"))
+    return strength.pruned(_state(s, d), most).select("id", "strength")
+
+
+@query
+def refresh_full(s, d):
+    """All five fields of a refresh a week after the last, with room for four fifths."""
+    n = _docs(s, d).count()
+    return strength.refresh_report(_state(s, d), t.NOW - 7 * 86400, t.NOW, n * 4 // 5)
+
+
+@query
+def strength_as_of(s, d):
+    """The fold at an earlier time: later pins, retires and accesses don't count."""
+    return strength.fold(t.base_memories(s, d), t.mem_events(s, d), t.NOW - 40 * 86400).select("id", "n_access", "strength", "pinned", "retired", "tier")
+
+
+def _ledger(s, d):
+    """(rows, events) of the whole log, written once."""
+    made = []
+
+    def part(i: int):
+        made.extend(ledger.resolve(t.mem_log(s, d)) if not made else ())
+        return made[i]
+
+    return _once(s, d, "ledger-rows", lambda: part(0)), _once(s, d, "ledger-events", lambda: part(1))
+
+
+@query
+def ledger_state(s, d):
+    """The log with restated and replaced texts, folded at NOW."""
+    rows, events = _ledger(s, d)
+    return strength.fold(rows, events, t.NOW).select("id", "category", "n_access", "strength", "retired", "tier")
+
+
+@query
+def supersession(s, d):
+    return _ledger(s, d)[0].where("superseded_by IS NOT NULL").select("id", "superseded_by")
 
 
 @query
-def refresh_report(s, d):
-    m, e = t.base_memories(s, d), t.mem_events(s, d)
-    return strength.refresh_report(strength.fold(m, e, t.NOW), strength.fold(m, e, t.NOW - 7 * 86400))
+def restate_after_retire(s, d):
+    """Rows made by saying a retired text again."""
+    return _ledger(s, d)[0].where("id LIKE 'r%'").select("id", "created")
+
+
+@query
+def days_dormant(s, d):
+    return _state(s, d).select("id", F.round(model.days_since(F.col("last_access"), t.NOW), 6).alias("days"))
 
 
 @query
 def priority_order(s, d):
-    w = Window.orderBy("retired", F.col("pinned").desc(), F.col("strength").desc(), F.col("last_access").desc(), F.col("created").desc(), "id")
-    return _state(s, d).select("id", F.row_number().over(w).cast("long").alias("rank"))
+    order = ("retired", *rank.blind_order())
+    return strength.ranked(_state(s, d).select("id", "retired", "pinned", "strength", "last_access", "created"), *order).select("id", "rank")
 
 
 @query
 def idf(s, d):
-    live = _state(s, d).where("NOT retired")
-    return index.idf(index.postings(live), live.count()).select("term", "df", F.round("w", 9).alias("w"))
+    return _index(s, d)[0].select("term", "df", F.round("w", 9).alias("w"))
 
 
 @query
 def df_topk(s, d):
-    return index.postings(t.base_memories(s, d)).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(25)
-
-
-def _live(s, d):
-    return _state(s, d).where("NOT retired")
+    return index.document_frequency(t.base_memories(s, d)).orderBy(F.col("df").desc(), "term").limit(25)
 
 
 def _ranked(df):
@@ -141,40 +195,52 @@ def _ranked(df):
 
 @query
 def cosine_top10(s, d):
-    return _ranked(rank.top(index.cosine(_live(s, d), t.mem_queries(s, d)), TOP))
+    return _ranked(rank.top(index.cosine(_index(s, d), t.mem_queries(s, d)), TOP))
+
+
+def _by_counts(s, d, k):
+    """The order of the counted cosine: similarity, last access, id; rows that match nothing count as 0."""
+    live, q = _live(s, d).select("id", "last_access"), t.mem_queries(s, d)
+    order = (F.col("last_access").desc(), "id")
+    sims = index.with_zeros(index.cosine(_index(s, d), q, repeats=True, limit=None), live, q, k, *order)
+    return rank.top(rank.placed(sims, live, "last_access"), k, F.col("sim").desc(), *order)
 
 
 @query
 def cosine_tf_top10(s, d):
-    return _ranked(rank.top(index.cosine(_live(s, d), t.mem_queries(s, d), repeats=True, limit=None), TOP))
+    return _ranked(_by_counts(s, d, TOP))
 
 
 @query
 def bm25_top10(s, d):
-    return _ranked(rank.top(index.bm25(_live(s, d), t.mem_queries(s, d)), TOP))
+    return _ranked(rank.top(index.bm25(_index(s, d), t.mem_queries(s, d)), TOP))
+
+
+def _dense(s, d, queries: str):
+    v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return rank.top(index.dense(v, v.where(queries)).where("qid <> id"), TOP)
 
 
 @query
 def dense_top10(s, d):
-    v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return _ranked(rank.top(index.dense(v.where("id >= 10"), v.where("id < 10")), TOP))
+    """Vectors 0 to 9 are the queries; each is compared with all others."""
+    return _ranked(_dense(s, d, "id < 10"))
 
 
 @query
 def fifo_rank(s, d):
-    return _live(s, d).select("id", F.row_number().over(Window.orderBy("created", "id")).cast("long").alias("rank"))
+    return strength.ranked(_live(s, d).select("id", "created"), "created", "id").select("id", "rank")
 
 
 @query
 def recency_rank(s, d):
-    w = Window.orderBy(F.col("last_access").desc(), F.col("created").desc(), "id")
-    return _live(s, d).select("id", F.row_number().over(w).cast("long").alias("rank"))
+    rows = _live(s, d).select("id", "last_access", "created")
+    return strength.ranked(rows, F.col("last_access").desc(), F.col("created").desc(), "id").select("id", "rank")
 
 
 def _candidates(s, d, prior=0.0):
-    state = pack.with_bodies(_state(s, d))  # once a memory, not once a candidate
-    live, queries = state.where("NOT retired"), t.mem_queries(s, d)
-    return rank.candidates(index.cosine(live, queries), state, index.answerable(live, queries), prior)
+    q = t.mem_queries(s, d)
+    return rank.candidates(index.cosine(_index(s, d), q), _state(s, d), q, prior)
 
 
 @query
@@ -187,76 +253,110 @@ def query_blind_rank(s, d):
     return rank.query_blind(_state(s, d)).select("id", F.col("rank").cast("long").alias("rank"))
 
 
+def _ids_in_order(rows):
+    per = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
+    return per.select("qid", F.transform("r", lambda x: x["id"]).alias("ranked"))
+
+
 @query
 def pool_600(s, d):
-    return _candidates(s, d).groupBy("qid").agg(F.count("*").alias("n"), F.max("rank").cast("long").alias("last"))
+    """The ids each query's packer is handed, in order."""
+    out = _ids_in_order(_candidates(s, d))
+    return out.select("qid", F.size("ranked").cast("long").alias("n"), F.array_join("ranked", ",").alias("ids"))
 
 
 def _bm25(s, d):
-    live = pack.with_bodies(_live(s, d))
+    live = _live(s, d)
+    sims = rank.placed(index.bm25(_index(s, d), t.mem_queries(s, d)), live, "last_access", "created")
     order = (F.col("sim").desc(), F.col("last_access").desc(), F.col("created").desc(), "id")
-    return rank.top(index.bm25(live, t.mem_queries(s, d)).join(live.select("id", "content", "last_access", "created", "full", "summary", "gist"), "id"), model.POOL, *order)
+    return rank.top(sims, model.POOL, *order).drop("last_access", "created").join(live, "id")
+
+
+def _all(s, d, packed):
+    return pack.for_all(packed, t.mem_queries(s, d))
 
 
 @query
 def pack_full(s, d):
-    return pack.pack_in_order(_bm25(s, d), "full")
+    return pack.ids(_all(s, d, pack.in_order(_bm25(s, d), F.lit("full"))))
 
 
 @query
 def pack_tiered(s, d):
-    return pack.pack_tiered(_candidates(s, d))
+    return pack.ids(_all(s, d, pack.tiered(_candidates(s, d))))
 
 
 @query
 def pack_knapsack(s, d):
-    return pack.pack_by_worth(_candidates(s, d))
+    return pack.ids(_all(s, d, pack.by_worth(_candidates(s, d))))
 
 
 @query
 def recall_flagship(s, d):
     """Decay, tiers, cosine, pool and packer in one plan, blended with strength as the older policies do."""
-    return pack.pack_by_worth(_candidates(s, d, 0.35))
+    return pack.ids(_all(s, d, pack.by_worth(_candidates(s, d, 0.35))))
+
+
+@query
+def recall_text(s, d):
+    """The context itself, with how many rows of each tier it holds and how many retired rows were left out."""
+    state, rows = _state(s, d), _candidates(s, d, 0.35)
+    out = pack.rendered(_all(s, d, pack.by_worth(rows)), state)
+    gone = state.agg(F.sum(F.col("retired").cast("long")).alias("retired_excluded"))
+    tier = lambda name: F.coalesce(F.element_at("tiers", F.lit(name)), F.lit(0)).cast("long").alias(name)
+    return out.crossJoin(F.broadcast(gone)).select("qid", "text", "chars", *map(tier, model.LADDER), "retired_excluded")
 
 
 @query
 def pack_truncate(s, d):
-    return pack.pack_truncated(_bm25(s, d))
+    return pack.ids(_all(s, d, pack.truncated(_bm25(s, d))))
+
+
+@query
+def truncated_text(s, d):
+    out = pack.rendered(_all(s, d, pack.truncated(_bm25(s, d))), _state(s, d))
+    return out.select("qid", "chars", "text")
 
 
 @query
 def pack_ladder(s, d):
-    b = _bm25(s, d).withColumn("tier", pack.ladder_tier(F.col("rank")))
-    cost = F.when(F.col("tier") == "active", F.col("full")).when(F.col("tier") == "latent", F.col("summary")).otherwise(F.col("gist"))
-    return pack.pack_in_order(b.withColumn("cost", cost), "cost")
+    return pack.ids(_all(s, d, pack.in_order(_bm25(s, d), pack.ladder_detail(F.col("rank")))))
 
 
 @query
 def pack_bm25_knapsack(s, d):
     b = _bm25(s, d).withColumn("tier", pack.ladder_tier(F.col("rank"))).withColumn("utility", 1.0 / F.col("rank"))
-    return pack.pack_by_worth(b)
+    return pack.ids(_all(s, d, pack.by_worth(b)))
 
 
 def _records(s, d):
-    """Two arms over all queries: BM25 with whole texts, cosine with the packer by worth."""
-    ev = t.evidence(s, d).groupBy("qid").agg(F.collect_set("id").alias("evidence"))
-    arms = []
-    for arm, rows, packed in (("bm25", _bm25(s, d), pack_full(s, d)), ("cosine", _candidates(s, d), pack_knapsack(s, d))):
-        ranked = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
-        x = packed.join(ranked, "qid").join(ev, "qid")
-        used = F.when(F.col("used_ids") == "", F.array().cast("array<string>")).otherwise(F.split("used_ids", ","))
-        arms.append(x.select(F.lit(arm).alias("arm"), "qid", used.alias("used"), F.transform("r", lambda y: y["id"]).alias("ranked"), "evidence", "chars", F.lit(model.BUDGET).alias("budget")))
-    return arms[0].unionByName(arms[1])
+    """Two arms over all queries that have evidence: BM25 with whole texts, cosine with the packer by worth.
+
+    Each arm's rows are ranked once, written, and give both what is ranked and what is packed.
+    """
+
+    def make():
+        ev = t.evidence(s, d).groupBy("qid").agg(F.collect_set("id").alias("evidence"))
+        arms = []
+        for arm, rows, packer in (("bm25", _bm25(s, d), lambda r: pack.in_order(r, F.lit("full"))), ("cosine", _candidates(s, d), pack.by_worth)):
+            slim = [c for c in rows.columns if c in ("qid", "id", "rank", "utility", "tier", "full", "summary", "gist")]
+            rows = scratch.written(rows.select(*slim), scratch.folder(s, arm))
+            x = _all(s, d, packer(rows)).join(ev, "qid").join(_ids_in_order(rows), "qid", "left")
+            arms.append(x.select(F.lit(arm).alias("arm"), "qid", F.transform("used", lambda u: u["id"]).alias("used"), F.coalesce("ranked", F.array().cast("array<string>")).alias("ranked"), "evidence", "chars", F.lit(model.BUDGET).alias("budget")))
+        return arms[0].unionByName(arms[1])
+
+    return _once(s, d, "records", make)
 
 
 @query
 def record_metrics(s, d):
-    return metrics.per_record(_records(s, d)).drop("budget")
+    return metrics.per_record(_records(s, d)).select("arm", "qid", "chars", "hit", "mrr", "precision", "ndcg10", "mrr_packed", "ndcg10_packed")
 
 
 @query
 def summary_by_arm(s, d):
-    return metrics.summary(metrics.per_record(_records(s, d)), "arm")
+    out = metrics.summary(metrics.per_record(_records(s, d)), "arm")
+    return out.select("arm", "queries", "scored_queries", "hit_rate", "mrr", "ndcg10", "mrr_packed", "ndcg10_packed", "evidence_precision", "mean_chars", "budget_utilisation", "chars_per_hit")
 
 
 @query
@@ -284,6 +384,90 @@ def bootstrap_ci(s, d):
     return stats.bootstrap(align_arms(s, d))
 
 
+@query
+def paired_summary(s, d):
+    return stats.paired_summary(align_arms(s, d).withColumn("name", F.lit("bm25-cosine")))
+
+
+def _arms(s, d):
+    """What every policy recalls at the last turn of every conversation, as of the turn before."""
+
+    def make():
+        out = replay.replay(replay.ARMS, t.conv_events(s, d), t.conv_queries(s, d))
+        return out.withColumn("pool_hit", F.arrays_overlap(F.slice("ranked", 1, model.POOL), "evidence").cast("double"))
+
+    return scratch.once(s, "arms", scratch.version(t.table(s, d, "conversations")), make)
+
+
+@query
+def replay_records(s, d):
+    """All policies over the conversations: what was used, in the order of the text."""
+    r = _arms(s, d)
+    return r.select("arm", "qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
+
+
+@query
+def summary_all_arms(s, d):
+    """The 22 outputs of every policy, as a whole and by kind."""
+    return metrics.summary_by(metrics.per_record(metrics.cold_first(_arms(s, d))), "kind")
+
+
+@query
+def pool_gap(s, d):
+    r = _arms(s, d)
+    return metrics.pool_gap(r.withColumn("hit", F.arrays_overlap("used", "evidence").cast("double")), "arm")
+
+
+@query
+def against_hero(s, d):
+    """Every policy paired with M8 by judged answers, with Holm's correction."""
+    return stats.against(metrics.per_record(_arms(s, d)), "M8").drop("ci_low", "ci_high", "sd_diff")
+
+
+@query
+def verdict(s, d):
+    """The seven criteria over the conversations and the scenarios in which facts change."""
+    from ..sources import synthetic
+
+    scored = metrics.per_record(_arms(s, d))
+    summaries = {r["arm"]: r.asDict() for r in metrics.summary(scored, "arm").collect()}  # a row an arm
+    hero = next(a for a in replay.ARMS if a.name == "M9")
+    stale = {}
+    for how in ("retire", "decay", "update"):
+        e, q = synthetic.staleness(s, how)
+        for r in metrics.summary(metrics.per_record(replay.replay([hero], e, q)), "arm", "source").collect():
+            stale[r["arm"], r["source"]] = r.asDict()
+    pairs = [r.asDict() for r in stats.against(scored, "M9").collect()]
+    engines = [a.name for a in replay.ARMS if a.order in ("blend", "blind")]
+    rows = stats.verdict(summaries, stale, pairs, "M9", ["M1", "M2"], ["M3", "M4"], engines)
+    return s.createDataFrame([(i, r["criterion"], r["status"]) for i, r in enumerate(rows, 1)], "n int, criterion string, status string")
+
+
+@query
+def judge_expressions(s, d):
+    """What the offline judge makes of each turn and the one before."""
+    c = t.table(s, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = c.withColumn("before", F.coalesce(F.lag("text").over(w), F.lit("")))
+    return x.select(
+        "conv_id", "turn", F.array_join(F.array_sort(judge.numbers(F.col("text"))), ",").alias("numbers"), F.size(judge.months(F.col("text"))).cast("long").alias("months"),
+        judge.gold_in(F.col("text"), text.normalized(F.col("before"))).alias("gold"), judge.oracle_grade(F.col("text"), F.col("before"), F.col("text"), F.lit("exact")).alias("exact"),
+    )
+
+
+@query
+def nth_by_kind(s, d):
+    """Values of events by type: the element at floor(q n), and the interpolated percentile."""
+    e = t.table(s, d, "events").where("value IS NOT NULL")
+    return e.groupBy("event_type").agg(F.percentile("value", 0.95).alias("v")).select("event_type", F.round("v", 9).alias("p95"))
+
+
+@query
+def formatted_p(s, d):
+    p = t.table(s, d, "events").groupBy(F.col("event_type").alias("name")).agg((F.lit(1.0) / (1 + F.count("*") % 9973)).alias("p"))
+    return p.select("name", judge.format_p(F.col("p")).alias("p"), judge.cell(1 / F.col("p")).alias("cell"))
+
+
 @query
 def holm(s, d):
     p = t.table(s, d, "events").groupBy(F.col("event_type").alias("name")).agg((F.lit(1.0) / (1 + F.count("*") % 97)).alias("p"))

@@ -1,4 +1,8 @@
-"""Logical views of the shared tables: documents as memories, events as their history, benchmark items as queries."""
+"""Logical views of the shared tables: documents as memories, events as their history, benchmark items as queries.
+
+Null texts are empty memories; rows whose doc_id, event_id or item_id is null give rows with null ids, which no event or
+query meets.  Repeated ids stay repeated.  Empty tables give no row.
+"""
 
 from __future__ import annotations
 
@@ -53,13 +57,55 @@ def mem_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.concat(F.lit("q"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("qid"), F.col("text").alias("query"))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, id of the memories that hold a query's text."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    # The queries are the stated set; it meets each document in one scan.
-    return d.join(F.broadcast(b.select("item_id", F.col("text").alias("q"))), F.expr("contains(text, q)")).select(
-        F.concat(F.lit("q"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("qid"), memory_id(F.col("doc_id")).alias("id")
-    )
+def mem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole history as a log of model.EVENT: an add a document, mem_events, some texts said again, some replaced."""
+    none = F.lit(None).cast("string")
+    m = base_memories(spark, sf_dir)
+    adds = m.select(F.col("doc_id").alias("seq"), F.lit("add").alias("op"), F.col("created").alias("ts"), "id", "content", "category", F.lit(False).alias("protected"), none.alias("supersedes"))
+    n = table(spark, sf_dir, "documents").count()
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", memory_id((F.col("event_id") * 31 + F.col("user_id")) % n).alias("target"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    seq = (F.col("event_id") + 1_000_000_000).alias("seq")
+    again = e.where("event_type = 'signup' AND event_id % 20 = 5").join(m.select(F.col("id").alias("target"), "content", "category"), "target")
+    again = again.select(seq, F.lit("add").alias("op"), "ts", F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"), "content", "category", F.lit(False).alias("protected"), none.alias("supersedes"))
+    number = F.col("event_id").cast("string")
+    news = e.where("event_type = 'purchase' AND event_id % 50 = 7").select(seq, F.lit("add").alias("op"), "ts", F.concat(F.lit("u"), number).alias("id"), F.concat(F.lit("update "), number).alias("content"), F.lit("task").alias("category"), F.lit(False).alias("protected"), F.col("target").alias("supersedes"))
+    uses = mem_events(spark, sf_dir).select((F.col("seq") + 1_000_000_000).alias("seq"), "op", "ts", "id", none.alias("content"), none.alias("category"), F.lit(False).alias("protected"), none.alias("supersedes"))
+    return adds.unionByName(uses).unionByName(again).unionByName(news)
 
 
-__all__ = ["base_memories", "evidence", "line_memories", "mem_events", "mem_queries", "model", "table"]
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, id of the memories that hold a query's text.
+
+    A text that holds a query has all its inner words as whole words, so only documents with the longest of these are
+    searched.  Queries of under three words go to all documents; they are part of the stated set.
+    """
+    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
+    inner = F.expr("slice(t, 2, greatest(size(t) - 2, 0))")
+    b = b.withColumn("t", text.tokens(F.col("q"))).withColumn("inner", inner)
+    b = b.withColumn("term", F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]).drop("t", "inner")
+    if b.count() > 1 << 20:
+        raise ValueError("so many queries have to come in batches")
+    words = d.select("doc_id", F.explode(text.token_set(F.col("text"))).alias("term"))
+    near = words.join(F.broadcast(b.where("term IS NOT NULL").select("item_id", "term")), "term").select("doc_id", "item_id")
+    found = d.join(near, "doc_id").join(F.broadcast(b.select("item_id", "q")), "item_id").where(F.expr("contains(text, q)"))
+    short = d.join(F.broadcast(b.where("term IS NULL").select("item_id", "q")), F.expr("contains(text, q)"))
+    out = found.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
+    return out.select(F.concat(F.lit("q"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("qid"), memory_id(F.col("doc_id")).alias("id"))
+
+
+def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as adds: scenario, seq, day, op, id, content, category, protected, supersedes."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("scenario"), F.col("turn").alias("seq"), F.col("turn").cast("double").alias("day"), F.lit("add").alias("op"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.concat("role", F.lit(": "), "text").alias("content"), F.lit("ephemeral").alias("category"), F.lit(False).alias("protected"), F.lit(None).cast("string").alias("supersedes"))
+
+
+def conv_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last turn of a conversation asks on its day, and the turn before is the evidence and holds the answer."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    last = c.groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "text"), "turn").alias("q"))
+    before = c.select(F.col("conv_id"), F.col("turn").alias("pt"), F.col("text").alias("answer"))
+    q = last.join(before, (last["conv_id"] == before["conv_id"]) & (F.col("pt") == F.col("q.turn") - 1)).drop(before["conv_id"])
+    return q.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("qid"), F.col("conv_id").cast("string").alias("scenario"), (F.col("q.turn") - 1).cast("double").alias("session"), F.col("q.text").alias("query"), "answer", F.array(F.concat(F.lit("t"), F.col("pt").cast("string"))).alias("evidence"), F.array().cast("array<string>").alias("stale"), F.col("q.role").alias("kind"), F.lit("conversations").alias("source"))
+
+
+__all__ = ["base_memories", "conv_events", "conv_queries", "evidence", "line_memories", "mem_events", "mem_log", "mem_queries", "model", "table"]
