@@ -4,8 +4,8 @@ The index holds, for each term, the items it is in, in their order, with its BM2
 against its own text, so one threshold holds for all items.  Postings are in blocks of items, and the index has each
 term's largest impact in all items and in each block.  Every passage of every document is a query: windows of twice the
 longest item's words, which begin every that many words, so each run of words as long as an item lies whole in one.
-Passages whose terms' largest impacts sum to less than the threshold are left at once, all of a batch together.  Each of
-the others is searched by block-max WAND: cursors of its terms stand on items; the pivot is the first item at which the
+Passages of which neither all terms' largest impacts nor those of any one block reach the threshold are left at once, all
+of a batch together.  Each of the others is searched by block-max WAND: cursors of its terms stand on items; the pivot is the first item at which the
 largest impacts reach the threshold; if the blocks' largest impacts at the pivot don't, the cursors skip to the end of
 the nearest block, else, once all cursors in front stand on the pivot, it is scored in full.  All items at or above the
 threshold are retrieved, none cut off by a count.
@@ -202,11 +202,27 @@ class Index:
         hit = self.terms[at] == names
         bound = np.zeros(len(names) + 1)
         np.cumsum(np.where(hit, self.most[at], 0.0), out=bound[1:])
-        found = []
-        for p in np.flatnonzero(bound[last] - bound[first] >= least - slack).tolist():  # repeated terms only raise the bound
-            here = np.unique(at[first[p] : last[p]][hit[first[p] : last[p]]])
-            if self.most[here].sum() >= least - slack:
-                found += [(p, item, score) for item, score in self.wand(here.tolist(), least - slack)]
+        alive = np.flatnonzero(bound[last] - bound[first] >= least - slack)  # repeated terms only raise the bound
+        if not len(alive):
+            return none
+        n = last[alive] - first[alive]
+        place = np.arange(int(n.sum())) + np.repeat(first[alive] - (np.cumsum(n) - n), n)
+        p = np.repeat(alive, n)[hit[place]]
+        pair = np.unique(p * np.int64(len(self.terms)) + at[place[hit[place]]])
+        p, t = pair // len(self.terms), pair % len(self.terms)
+        # The blocks' bounds of all these at once: most passages have no block that can reach the threshold.
+        n = self.block_at[t + 1] - self.block_at[t]
+        j = np.arange(int(n.sum())) + np.repeat(self.block_at[t] - (np.cumsum(n) - n), n)
+        n_blocks = -(-len(self.items) // BLOCK_ITEMS)
+        code = np.repeat(p, n) * np.int64(n_blocks) + self.block[j]
+        if len(first) * n_blocks <= 1 << 22:
+            some = np.flatnonzero(np.bincount(code, weights=self.block_most[j]) >= least - slack) // n_blocks
+        else:
+            code, which = np.unique(code, return_inverse=True)
+            some = code[np.bincount(which, weights=self.block_most[j]) >= least - slack] // n_blocks
+        found, begin = [], np.searchsorted(p, np.arange(len(first) + 1))
+        for x in np.unique(some).tolist():
+            found += [(x, item, score) for item, score in self.wand(t[begin[x] : begin[x + 1]].tolist(), least - slack)]
         if not found:
             return none
         p, k, s = zip(*found, strict=True)
