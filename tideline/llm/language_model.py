@@ -706,8 +706,10 @@ class LanguageModel:
         """Sums over the buckets."""
         return [x or 0 for x in self._of(rows, TOTALS).agg(*[F.sum(F.col("v")[i]) for i in range(n)]).first()]
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.  Of the table that the model
+    def score(self, docs: DataFrame, keep: bool = True) -> DataFrame:
+        """Without ``keep`` the model's tables go once the blocks have their answers, so this is its last use.
+
+        Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.  Of the table that the model
         was made of, each row is scored as what it was there, trained on or not; rows of others never were."""
         short, k, d, buckets = self.short, self.rounds, self.d, self.buckets
         parts, asked_, folder = self.parts, self.asked, store.scratch(self.spark, "lm-score")
@@ -724,6 +726,11 @@ class LanguageModel:
         met = store.written(met, f"{folder}/met")
         store.tidy(self.spark)
         known = store.written(known, f"{folder}/known")
+        del asked_, asks, state
+        if not keep:
+            for x in ("words", "pairs", f"words-{ROUNDS - 1}", f"seats-{ROUNDS - 1}"):
+                store.remove(self.spark, f"{self.folder}/{x}")
+            self.asked = self.wanted = self.seats = self.words = self.told = None
         store.tidy(self.spark)
         parents, uniform = self.parents, float(np.log10(self.n + self.v + 1))
 
@@ -769,6 +776,6 @@ class LanguageModel:
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.light_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = LanguageModel(docs, fold("doc_id", 7) != 2).score(docs)
+    out = LanguageModel(docs, fold("doc_id", 7) != 2).score(docs, keep=False)
     held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
