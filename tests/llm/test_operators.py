@@ -192,6 +192,15 @@ def test_secrets_equal_duckdb(spark, docs):
     assert any("entropy" in x[1] for x in want)
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert "0123456789abcdef" not in clean[13] and clean[5] == PROSE and clean[0] is None
+    key = "k9Zx2Lq8Vb4Nn7Mw1Tt5Rr3Yc6Jd0Hs"
+    glued = spark.createDataFrame([(1, f"see uploads/2024/01/02/{key} or sample_{key} and {key}_token=abcdef"), (2, "sample/2024/01/02/some-plain-words-of-a-title")], "doc_id long, text string")
+    spans = {r["doc_id"]: r["s"] for r in secrets.find_secrets(glued).select("doc_id", secrets.written_out(F.col("secrets.found")).alias("s")).collect()}
+    assert spans[2] == "" and spans[1].count("entropy") == 3 and spans[1].count("assign") == 1
+    assert not any(key in r["text"] for r in secrets.redact(glued).collect())
+    peaks = [key, key + key[:7], "a" * 25, "ab" * 15, "short"]
+    count = lambda v: [sum(v[i : i + 20].count(c) * math.log2(v[i : i + 20].count(c)) for c in set(v[i : i + 20])) for i in range(len(v) - 19)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in peaks], "v string").select(secrets.peak_entropy(F.col("v"))).collect()]
+    assert got == pytest.approx([math.log2(20) - min(count(v)) / 20 if count(v) else 0.0 for v in peaks], abs=1e-9)
     odd = spark.createDataFrame([(1, HEX, "a", 2, 3, 4)], "doc_id long, text string, found string, base int, secrets int, _secrets_base int")
     [row] = secrets.redact(odd).collect()
     assert row.asDict() == {"doc_id": 1, "text": clean[13], "found": "a", "base": 2, "secrets": 3, "_secrets_base": 4}

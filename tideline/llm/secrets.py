@@ -4,8 +4,9 @@ Base spans are the matches of three patterns.  The method adds candidate strings
 base64 or URL alphabet that mix letters and digits, in which some window of ``WINDOW`` characters has an entropy at or
 above the limit of the candidate's character class.  The entropy of a window is log2(w) - sum(n log2 n) / w over the
 counts n of its characters; moving the window by one changes two counts, and the sum is kept by these changes.
-Candidates that an allow-list pattern matches (dates, paths, words joined by hyphens, and so on), or that overlap a
-base span, are dropped whole: a secret glued to a date or to "example" by a sign of the alphabet is not found.
+Base spans, dates and words of samples are cut out of a candidate, and each rest that still has 20 characters is one of
+its own, so a secret glued to them is found.  Rests that are wholly what the allow-list describes (paths, words joined
+by hyphens, digits alone) are dropped.
 
 Positions are code points, ends exclusive.  Null texts are empty: no spans, and the SHA-256 of the empty string.
 Repeated rows and rows without doc_id stay rows.  An empty table gives no row.  Other columns are ignored.
@@ -35,10 +36,10 @@ LIMITS = {"hex": 2.85, "alnum": 3.55, "base64": 3.75}
 ALLOWED = (
     r"^[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*[0-9]{0,4}$",
     r"^[0-9_/=+-]+$",
-    r"(?:19|20)[0-9]{2}[-/][0-9]{2}[-/][0-9]{2}",
     r"^/*(?:[A-Za-z]+[0-9]{0,4}[-_/]+)+[A-Za-z0-9]{0,12}$",
-    r"(?i)(?:example|sample|placeholder|changeme|xxxx|0000|1234567)",
 )
+#: What is cut out of a candidate, and how long it is.
+PIECES = ((r"(?:19|20)[0-9]{2}[-/][0-9]{2}[-/][0-9]{2}", 10), *((f"(?i){w}", len(w)) for w in ("example", "sample", "placeholder", "changeme", "xxxx", "0000", "1234567")))
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 
 
@@ -95,9 +96,26 @@ def peak_entropy(value: Column, w: int = WINDOW) -> Column:
     return F.aggregate(steps, start, move, lambda acc: F.when(acc["least"] > 1e8, F.lit(0.0)).otherwise(F.lit(math.log2(w)) - acc["least"] / w))
 
 
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
+def _cut(m: Column, spans: Column) -> Column:
+    """The value of a candidate m with blanks for what the spans, and pieces that are no secrets, take of it."""
+
+    def blank(v, b):
+        start, end = F.greatest(b["start"] - m["start"], F.lit(0)), F.least(b["end"], m["end"]) - m["start"]
+        return F.concat(F.substring(v, F.lit(1), start), F.repeat(F.lit(" "), end - start), F.substring(v, end + 1, F.length(v)))
+
+    out = F.aggregate(F.filter(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), m["value"], blank)
+    for pattern, size in PIECES:
+        out = F.regexp_replace(out, pattern, " " * size)
+    return out
+
+
 def suspicious(value: Column) -> Column:
     """Whether a candidate string mixes letters and digits, is on no allow-list, and has a window of high entropy."""
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    mixed = _mixed(value)
     allowed = F.lit(False)
     for p in ALLOWED:
         allowed = allowed | value.rlike(p)
@@ -128,8 +146,11 @@ def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") ->
     # Each column is computed once: later ones refer to it by name.
     base, maybe = _free(docs, f"{into}_base"), _free(docs, f"{into}_maybe")
     out = docs.withColumn(base, F.concat(*[tagged(k, s) for k, s in kinds])).withColumn(maybe, located(t, CANDIDATE))
-    clear = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    out = out.withColumn(maybe, F.filter(maybe, lambda m: F.when(clear(m), suspicious(m["value"])).otherwise(False)))
+    rest = lambda m: F.struct(m["start"].alias("at"), _cut(m, F.col(base)).alias("value"))
+    out = out.withColumn(maybe, F.transform(F.filter(maybe, lambda m: _mixed(m["value"])), rest))
+    hot = lambda r: F.filter(located(r["value"], CANDIDATE), lambda m: suspicious(m["value"]))
+    moved = lambda r: F.transform(hot(r), lambda m: F.struct((r["at"] + m["start"]).alias("start"), (r["at"] + m["end"]).alias("end")))
+    out = out.withColumn(maybe, F.flatten(F.transform(maybe, moved)))
     every = F.array_sort(F.concat(base, tagged("entropy", F.col(maybe))))
     return out.withColumn(into, F.struct(F.array_sort(base).alias("base"), every.alias("found"))).drop(base, maybe)
 
@@ -169,25 +190,31 @@ def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_spans(kind: str, pattern: str, keep: str = "true") -> str:
+def _sql_spans(kind: str, pattern: str, keep: str = "true", table: str = "d") -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT doc_id, rid, '{kind}' AS kind, {ORDER[kind]} AS rnk, s AS a, s + length(v) AS b, v FROM (
       SELECT doc_id, rid, v, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS s
       FROM (SELECT doc_id, rid, hits, gaps, unnest(hits) AS v, generate_subscripts(hits, 1) AS i
-            FROM (SELECT doc_id, rid, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS gaps FROM d))) WHERE {keep}"""
+            FROM (SELECT doc_id, rid, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS gaps FROM {table}))) WHERE {keep}"""
 
 
 _HEAD = ASSIGN_HEAD.replace("'", "''")
 _ALLOW = " OR ".join(f"regexp_matches(v, '{p}')" for p in ALLOWED)
+_CUT = "array_to_string(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN len(list_filter(spans, lambda x: x.a < m.a + i AND m.a + i <= x.b)) > 0 THEN ' ' ELSE v[i] END), '')"
+for _pattern, _size in PIECES:
+    _CUT = f"regexp_replace({_CUT}, '{_pattern}', '{' ' * _size}', 'g')"
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 base AS ({_sql_spans("assign", ASSIGN, f"length(regexp_replace(v, '^{_HEAD}', '')) >= 6")}
   UNION ALL {_sql_spans("access", ACCESS)}
   UNION ALL {_sql_spans("hex", HEX)}),
 maybe AS ({_sql_spans("entropy", CANDIDATE, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")}),
-hot AS (SELECT m.doc_id, m.rid, m.kind, m.rnk, m.a, m.b, m.v FROM maybe m
+met AS (SELECT m.doc_id, m.rid, m.a, any_value(m.v) AS v, coalesce(list({{'a': x.a, 'b': x.b}}) FILTER (WHERE x.a IS NOT NULL), []) AS spans
+  FROM maybe m LEFT JOIN base x ON x.rid = m.rid AND x.a < m.b AND m.a < x.b GROUP BY ALL),
+rest AS (SELECT doc_id, rid AS doc, a AS at, row_number() OVER () AS rid, {_CUT} AS t FROM met m),
+left_ AS ({_sql_spans("entropy", CANDIDATE, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')", "rest")}),
+hot AS (SELECT l.doc_id, r.doc AS rid, l.kind, l.rnk, r.at + l.a AS a, r.at + l.b AS b, l.v FROM left_ l JOIN rest r ON r.rid = l.rid
   WHERE NOT ({_ALLOW})
-    AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = m.rid AND x.a < m.b AND m.a < x.b)
     AND round(list_max(list_transform(range(1, length(v) - {WINDOW} + 2), lambda i: list_entropy(string_split(v[i:i + {WINDOW} - 1], '')))), 9) >=
       CASE WHEN regexp_matches(v, '^([0-9a-f]+|[0-9A-F]+)$') THEN {LIMITS["hex"]} WHEN regexp_matches(v, '^[A-Za-z0-9]+$') THEN {LIMITS["alnum"]} ELSE {LIMITS["base64"]} END),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM hot),
