@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tideline.engine import Engine
 from tideline.functions import judge, model, text
-from tideline.operators import index, ledger, metrics, pack, rank, replay, stats, strength
+from tideline.operators import identity, index, ledger, metrics, pack, rank, replay, stats, strength
 from tideline.plans.catalogue import ORACLES, QUERIES
 from tideline.streaming.strength import step
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "stream_strength", "merge_duplicates", "refresh_full", "strength_as_of", "pool_600", "cosine_tf_top10", "recall_text", "ledger_state", "supersession", "restate_after_retire", "judge_expressions"]
+QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "restatements", "sketch_bottom8", "sketch_candidates", "stream_strength", "merge_duplicates", "refresh_full", "strength_as_of", "pool_600", "cosine_tf_top10", "recall_text", "ledger_state", "supersession", "restate_after_retire", "judge_expressions"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -182,6 +182,17 @@ def test_sketches_are_the_smallest_checksums(spark):
     assert {(r["a"], r["b"]) for r in index.sketch_candidates(m).collect()} == {("a", "b"), ("b", "a")}
 
 
+def test_restatements_and_updates(spark):
+    """Equal sets: the stronger wins, then the older. Others at 0.9: the newer wins, though it is weaker."""
+    words = " ".join(f"w{i}" for i in range(19))
+    rows = [("a", f"{words} old", 0.9, 0.0), ("b", f"old {words}", 0.5, 1.0), ("c", f"{words} old new", 0.4, 2.0), ("d", "something else", 0.9, 0.0), ("e", "", 0.9, 0.0), ("f", None, 0.9, 0.0)]
+    m = spark.createDataFrame(rows, "id string, content string, strength double, created double")
+    pairs = identity.verified(m.alias("x").join(m.alias("y"), F.expr("x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).where("a <> 'e'"), m)
+    got = {tuple(r) for r in identity.matched(pairs, m).collect()}
+    assert got == {("a", "b", "restatement", "a"), ("b", "a", "restatement", "a"), ("c", "a", "update", "c")}
+    assert identity.matched(pairs.limit(0), m).count() == 0
+
+
 def test_long_runs_of_blanks_are_read_once(spark):
     import time
 

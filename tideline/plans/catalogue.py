@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import judge, model, text
-from ..operators import index, ledger, metrics, pack, rank, replay, stats, strength
+from ..operators import identity, index, ledger, metrics, pack, rank, replay, stats, strength
 from ..sources import scratch
 from ..sources import tables as t
 from .oracles import ORACLES
@@ -477,11 +477,15 @@ def holm(s, d):
 @query
 def near_duplicates_090(s, d):
     """Pairs at 0.9 and more of token sets, among those that share a sketch value; all caps lifted."""
-    k = t.base_memories(s, d).select("id", text.token_set(F.col("content")).alias("k"))
-    p = index.sketch_candidates(t.base_memories(s, d), 0, 0).where("a < b")
-    p = p.join(k.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-    p = p.where(F.least(F.size("ka"), F.size("kb")) >= 0.9 * F.greatest(F.size("ka"), F.size("kb")))
-    return p.withColumn("jaccard", F.round(text.jaccard(F.col("ka"), F.col("kb")), 9)).where("jaccard >= 0.9").select("a", "b", "jaccard")
+    m = t.base_memories(s, d)
+    return identity.verified(index.sketch_candidates(m, 0, 0).where("a < b"), m).select("a", "b", "jaccard")
+
+
+@query
+def restatements(s, d):
+    """What a refresh of near-duplicate identity meets first for each live row: its match, and which of them wins."""
+    live = _live(s, d)
+    return identity.matched(identity.verified(index.sketch_candidates(live, 0, 0).where("a < b"), live), live)
 
 
 @query
@@ -501,26 +505,21 @@ def oracle_answer(s, d):
 
 @query
 def stream_strength(s, d):
-    """The stream's final strength at now, from the events as a stream; it must equal the batch fold."""
-    import tempfile
-
+    """The stream's final strength at now, from the events up to now as a stream; it must equal the batch fold."""
     from ..streaming.strength import stream_strength as fold
 
     n = _docs(s, d).count()
     raw = s.readStream.schema(t.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     op = F.when(F.col("event_type").isin("click", "view", "purchase"), "access").when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), "retire").when((F.col("event_type") == "signup") & (F.col("event_id") % 100 == 0), "pin")
-    e = raw.select(F.col("event_id").alias("seq"), t.memory_id((F.col("event_id") * 31 + F.col("user_id")) % n).alias("id"), op.alias("op"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("ts").cast("timestamp").alias("event_time")).where("op is not null")
+    e = raw.select(F.col("event_id").alias("seq"), t.memory_id((F.col("event_id") * 31 + F.col("user_id")) % n).alias("id"), op.alias("op"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("ts").cast("timestamp").alias("event_time")).where(f"op is not null AND ts <= {t.NOW}")
     m = t.base_memories(s, d).select("id", "created", model.rate(F.col("category")).alias("rate"))
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    root = scratch.folder(s, "stream")
     q = fold(e.join(m, "id")).writeStream.outputMode("update").option("checkpointLocation", f"{root}/check").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.parquet(f"{root}/out/{i}")).trigger(availableNow=True).start()
     q.awaitTermination()
     out = s.read.option("recursiveFileLookup", True).parquet(f"{root}/out")
     last = out.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.col("batch").desc()))).where("rn = 1")
     now = F.col("score") * F.exp(-F.col("rate") * (t.NOW - F.col("score_at")) / model.DAY)
-    return last.join(m, "id").where("score_at <= " + str(t.NOW)).select("id", "n_access", F.round(F.when(F.col("pinned"), 1.0).otherwise(now), 9).alias("strength"))
+    return last.join(m, "id").select("id", "n_access", F.round(F.when(F.col("pinned"), 1.0).otherwise(now), 9).alias("strength"))
 
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -189,7 +189,21 @@ RECORDS = (
 )
 PAIRS = ", pr AS (SELECT x.qid, x.ndcg10 AS a, y.ndcg10 AS b FROM met x JOIN met y ON x.qid = y.qid AND x.arm = 'bm25' AND y.arm = 'cosine')"
 
+def _sketches(key: str, column: str, source: str) -> str:
+    """sk(key, sketch): the eight smallest CRC-32 values of the keywords, by the checksum's table of bytes."""
+    return f"""crc AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+kw AS (SELECT {key}, CASE WHEN len(k) > 0 THEN k ELSE t[1:4] END AS kw FROM (SELECT {key}, t, list_filter(t, lambda x: x NOT IN ({_STOP})) AS k FROM (SELECT {key}, {_TOK.format(column)} AS t FROM {source}))),
+words AS (SELECT DISTINCT {key}, unnest(kw) AS word FROM kw),
+sums AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(word, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS v FROM (SELECT DISTINCT word FROM words), crc),
+sk AS (SELECT {key}, list_sort(list(DISTINCT v))[1:8] AS sketch FROM words JOIN sums USING (word) GROUP BY {key})"""
+
+
 ORACLES: dict[str, str] = {
+    "sketch_bottom8": "WITH " + _sketches("doc_id", "text", "documents") + " SELECT doc_id, coalesce(array_to_string(sketch, ','), '') AS value FROM documents LEFT JOIN sk USING (doc_id)",
+    "sketch_candidates": MEM + ", " + _sketches("id", "content", "mem") + """, ks AS (SELECT id, unnest(sketch) AS key FROM sk), kd AS (SELECT id, key, count(*) OVER (PARTITION BY key) AS df FROM ks),
+rd AS (SELECT *, coalesce(sum(df) OVER (PARTITION BY id ORDER BY df, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kd),
+pp AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM rd x JOIN ks y ON x.key = y.key AND x.id <> y.id WHERE x.before < 96 GROUP BY 1, 2)
+SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rn FROM pp) WHERE rn <= 64""",
     "tokens_per_doc": _over_docs(f"len({_TOK.format('text')})::BIGINT"),
     "normalized_text": _over_docs(f"array_to_string({_TOK.format('text')}, ' ')"),
     "keyword_fallback": f"SELECT doc_id, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE t[1:4] END, ' ') AS value FROM (SELECT doc_id, t, list_filter(t, lambda x: x NOT IN ({_STOP})) AS k FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents))",
@@ -233,7 +247,7 @@ ORACLES: dict[str, str] = {
     "wilcoxon_w": RECORDS + PAIRS + ", d AS (SELECT a - b AS d FROM pr WHERE a <> b), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d) SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0)::DOUBLE AS w_minus FROM r",
     "cliffs_delta": RECORDS + PAIRS + " SELECT round(sum(sign(x.a - y.b))::DOUBLE / count(*), 9) AS delta FROM pr x, pr y",
     "holm": "WITH p AS (SELECT event_type AS name, 1.0::DOUBLE / (1 + count(*) % 97) AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM p) SELECT name, round(p, 12) AS p, round(max(least(1.0::DOUBLE, (m - i + 1) * p)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 12) AS adjusted FROM r",
-    "stream_strength": MEM + " SELECT id, n_access, strength FROM state WHERE id IN (SELECT id FROM ev)",
+    "stream_strength": MEM + f" SELECT id, n_access, strength FROM state WHERE id IN (SELECT id FROM ev WHERE ts <= {NOW})",
     "refresh_full": MEM + f""", lim AS (SELECT count(*) * 4 // 5 AS most FROM documents),
 mrg AS (SELECT max(strength) AS strength, bool_or(pinned) AS pinned FROM live GROUP BY content UNION ALL SELECT strength, pinned FROM state WHERE retired),
 c AS (SELECT CAST(sum(CASE WHEN NOT pinned AND strength * (exp(rate * greatest(0, {NOW} - greatest({NOW - 7 * 86400}::DOUBLE, last_access)) / 86400) - 1) > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS decayed, count(*) AS total0 FROM state),
@@ -258,6 +272,11 @@ SELECT conv_id, turn, array_to_string(list_sort(nums), ',') AS numbers, len(mons
     "nth_by_kind": "SELECT event_type, round(quantile_cont(value, 0.95), 9) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "formatted_p": "WITH p AS (SELECT event_type AS name, 1.0::DOUBLE / (1 + count(*) % 9973) AS p FROM events GROUP BY 1) SELECT name, CASE WHEN p < 0.001 THEN 'p<0.001' ELSE 'p=' || printf('%.3f', p) END AS p, CASE WHEN 1 / p >= 1000 THEN printf('%.0f', 1 / p) ELSE printf('%.3f', 1 / p) END AS cell FROM p",
     "near_duplicates_090": MEM + f", k AS (SELECT id, list_distinct({_TOK.format('content')}) AS k FROM mem), p AS (SELECT a.id AS a, b.id AS b, CASE WHEN len(a.k) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.k, b.k))::DOUBLE / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) END AS j FROM k a JOIN k b ON a.id < b.id AND least(len(a.k), len(b.k)) >= 0.9 * greatest(len(a.k), len(b.k)) AND len(a.k) > 0) SELECT a, b, round(j, 9) AS jaccard FROM p WHERE round(j, 9) >= 0.9",
+    "restatements": MEM + f""", k AS (SELECT id, strength, created, list_distinct({_TOK.format('content')}) AS k FROM live),
+p AS (SELECT a.id, b.id AS match, a.strength AS s, a.created AS c, b.strength AS s2, b.created AS c2, len(list_intersect(a.k, b.k)) AS n, len(a.k) AS na, len(b.k) AS nb FROM k a JOIN k b ON a.id <> b.id AND least(len(a.k), len(b.k)) >= 0.9 * greatest(len(a.k), len(b.k)) AND len(a.k) > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s2 DESC, c2, match) AS rn FROM p WHERE round(n::DOUBLE / (na + nb - n), 9) >= 0.9)
+SELECT id, match, CASE WHEN n = na AND n = nb THEN 'restatement' ELSE 'update' END AS outcome,
+  CASE WHEN n = na AND n = nb THEN CASE WHEN s > s2 OR (s = s2 AND c < c2) THEN id ELSE match END WHEN c >= c2 THEN id ELSE match END AS winner FROM f WHERE rn = 1""",
     "oracle_answer": MEM + f""", ln0 AS (SELECT doc_id, id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS n FROM mem),
 ln1 AS (SELECT doc_id, id || '-' || lpad(CAST(n AS VARCHAR), 5, '0') AS id, {_trim("line")} AS content FROM ln0),
 pr AS (SELECT 'q' || lpad(CAST(item_id AS VARCHAR), 5, '0') AS qid, d.doc_id, list_distinct({_TOK.format("b.text")}) AS k FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
