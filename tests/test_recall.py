@@ -10,10 +10,11 @@ from tideline.engine import Engine
 from tideline.functions import judge, model, text
 from tideline.operators import identity, index, ledger, metrics, pack, rank, replay, stats, strength
 from tideline.plans.catalogue import ORACLES, QUERIES
+from tideline.sources import synthetic
 from tideline.streaming.strength import step
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "restatements", "sketch_bottom8", "sketch_candidates", "stream_strength", "merge_duplicates", "refresh_full", "strength_as_of", "pool_600", "cosine_tf_top10", "recall_text", "ledger_state", "supersession", "restate_after_retire", "judge_expressions"]
+QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "truncated_text", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "restatements", "sketch_bottom8", "sketch_candidates", "stream_strength", "merge_duplicates", "refresh_full", "strength_as_of", "pool_600", "cosine_tf_top10", "recall_text", "ledger_state", "supersession", "restate_after_retire", "judge_expressions"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -214,6 +215,18 @@ def test_replay_is_as_of_each_query(spark):
     assert set(got["M10", "q2"][0]) == {"new", "x"}
 
 
+def test_made_corpus_and_sweep(spark):
+    e, q = synthetic.corpus(spark, 40, tail=10), synthetic.corpus_queries(spark, 40)
+    assert e.where("op = 'add'").count() == 40 and e.where("op = 'access'").count() == 110 and q.count() == 5
+    assert synthetic.corpus(spark, 0, tail=0, hot=0).count() == 0 and synthetic.corpus_queries(spark, 40, most=0).count() == 0
+    arms = replay.swept(replay.ARMS[9], "prior", (0.0, 0.5))
+    assert [(a.name, a.prior, a.order) for a in arms] == [("prior=0", 0.0, "blend"), ("prior=0.5", 0.5, "blend")]
+    with pytest.raises(ValueError):
+        replay.swept(replay.ARMS[9], "order", ("bm25",))
+    r = replay.replay(arms, e, q).collect()
+    assert len(r) == 10 and all(x["evidence"][0] in x["used"] and x["judge_score"] == 1.0 for x in r)
+
+
 def test_engine(spark, tmp_path):
     now = [0.0]
     with Engine(spark, str(tmp_path / "store"), clock=lambda: now[0]) as e:

@@ -13,7 +13,7 @@ Scenarios without queries give no row; queries without rows an empty result.  Nu
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +47,13 @@ ARMS = [
 ]
 
 
+def swept(arm: Arm, constant: str, values) -> list[Arm]:
+    """The arm once for each value of one of its numeric constants, named after it; they share folds and similarities."""
+    if isinstance(getattr(arm, constant), (bool, str)):
+        raise ValueError(f"{constant} is no numeric constant")
+    return [replace(arm, name=f"{constant}={value:g}", **{constant: value}) for value in values]
+
+
 def snapshots(events: DataFrame, queries: DataFrame) -> DataFrame:
     """The log of each query's own store: events of its scenario up to its day, shifted so that its now is 0."""
     q = queries.select("qid", "scenario", "session")

@@ -424,6 +424,24 @@ def against_hero(s, d):
     return stats.against(metrics.per_record(_arms(s, d)), "M8").drop("ci_low", "ci_high", "sd_diff")
 
 
+@query
+def constant_sweep(s, d):
+    """The weight of strength in M9's ranking, value by value, over the conversations; as a whole and by source."""
+    arms = replay.swept(next(a for a in replay.ARMS if a.name == "M9"), "prior", (0.0, 0.1, 0.2, 0.35, 0.5, 1.0))
+    r = replay.replay(arms, t.conv_events(s, d), t.conv_queries(s, d))
+    return metrics.summary_by(metrics.per_record(metrics.cold_first(r)), "source")
+
+
+@query
+def scale_records(s, d):
+    """What M8 recalls from a made store with as many rows as there are documents."""
+    from ..sources import synthetic
+
+    n = _docs(s, d).count()
+    r = replay.replay([a for a in replay.ARMS if a.name == "M8"], synthetic.corpus(s, n), synthetic.corpus_queries(s, n))
+    return r.select("arm", "qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
+
+
 @query
 def verdict(s, d):
     """The seven criteria over the conversations and the scenarios in which facts change."""

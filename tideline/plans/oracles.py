@@ -152,14 +152,15 @@ items AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ratio DESC, i
 
 PACK_FULL = MEM + POST_TF + BM25 + _bodies("bm") + ", items AS (SELECT qid, rank AS pos, id, [c_full] AS costs, ['full'] AS kinds FROM body)" + FOLD
 PACK_KNAPSACK = MEM + POST + _cand(0.0) + _bodies("cand") + _worth() + FOLD
-_TRUNC = """, items AS (SELECT qid, rank AS pos, id, flat FROM flat),
+_TRUNC_ROWS = """, items AS (SELECT qid, rank AS pos, id, flat FROM flat),
 n AS (SELECT qid, max(pos) AS n FROM items GROUP BY qid),
-run AS (SELECT qid, 0::BIGINT AS pos, 0::BIGINT AS spent, []::VARCHAR[] AS used FROM n
-  UNION ALL SELECT qid, p + 1, spent + CASE WHEN ok THEN size + gap ELSE 0 END, CASE WHEN ok THEN list_append(used, id) ELSE used END FROM (
+run AS (SELECT qid, 0::BIGINT AS pos, 0::BIGINT AS spent, []::VARCHAR[] AS used, []::BIGINT[] AS rooms FROM n
+  UNION ALL SELECT qid, p + 1, spent + CASE WHEN ok THEN size + gap ELSE 0 END, CASE WHEN ok THEN list_append(used, id) ELSE used END, CASE WHEN ok THEN list_append(rooms, room) ELSE rooms END FROM (
     SELECT *, room >= 40 AND size > 0 AS ok FROM (SELECT *, CASE WHEN length(flat) <= room THEN length(flat) ELSE length(rtrim(substr(flat, 1, room - 3))) + 3 END AS size FROM (
-      SELECT r.qid, r.pos AS p, r.spent, r.used, i.id, i.flat, CASE WHEN len(r.used) > 0 THEN 1 ELSE 0 END AS gap, 2200 - r.spent - CASE WHEN len(r.used) > 0 THEN 1 ELSE 0 END AS room
-      FROM run r JOIN items i ON i.qid = r.qid AND i.pos = r.pos + 1))))
-SELECT qs.qid, coalesce(len(used), 0)::BIGINT AS used_count, coalesce(spent, 0) AS chars, coalesce(array_to_string(used, ','), '') AS used_ids FROM qs LEFT JOIN (SELECT run.* FROM run JOIN n ON n.qid = run.qid AND n.n = run.pos) USING (qid)"""
+      SELECT r.qid, r.pos AS p, r.spent, r.used, r.rooms, i.id, i.flat, CASE WHEN len(r.used) > 0 THEN 1 ELSE 0 END AS gap, 2200 - r.spent - CASE WHEN len(r.used) > 0 THEN 1 ELSE 0 END AS room
+      FROM run r JOIN items i ON i.qid = r.qid AND i.pos = r.pos + 1)))),
+cut AS (SELECT run.* FROM run JOIN n ON n.qid = run.qid AND n.n = run.pos)"""
+_TRUNC = _TRUNC_ROWS + " SELECT qs.qid, coalesce(len(used), 0)::BIGINT AS used_count, coalesce(spent, 0) AS chars, coalesce(array_to_string(used, ','), '') AS used_ids FROM qs LEFT JOIN cut USING (qid)"
 
 
 def _wrapped(sql: str, name: str) -> str:
@@ -239,6 +240,10 @@ SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s
     "pack_knapsack": PACK_KNAPSACK,
     "recall_flagship": MEM + POST + _cand(0.35) + _bodies("cand") + _worth() + FOLD,
     "pack_truncate": MEM + POST_TF + BM25 + _bodies("bm") + _TRUNC,
+    "truncated_text": MEM + POST_TF + BM25 + _bodies("bm") + _TRUNC_ROWS + """,
+u AS (SELECT qid, unnest(used) AS id, unnest(rooms) AS room, generate_subscripts(used, 1) AS nth FROM cut),
+g AS (SELECT u.qid, string_agg(CASE WHEN length(flat) <= room THEN flat ELSE rtrim(substr(flat, 1, room - 3)) || '...' END, chr(10) ORDER BY nth) AS text FROM u JOIN flat f ON f.qid = u.qid AND f.id = u.id GROUP BY u.qid)
+SELECT qs.qid, coalesce(spent, 0) AS chars, coalesce(text, '') AS text FROM qs LEFT JOIN cut USING (qid) LEFT JOIN g USING (qid)""",
     "pack_ladder": MEM + POST_TF + BM25 + _bodies("bm") + f", items AS (SELECT qid, rank AS pos, id, [CASE {_RANK_TIER} WHEN 'active' THEN c_full WHEN 'latent' THEN c_summary ELSE c_gist END] AS costs, []::VARCHAR[] AS kinds FROM body)" + FOLD,
     "pack_bm25_knapsack": MEM + POST_TF + BM25 + _bodies("bm") + _worth("(1.0::DOUBLE / rank)", _RANK_TIER) + FOLD,
     "record_metrics": RECORDS + " SELECT * FROM met",

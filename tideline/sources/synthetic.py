@@ -32,6 +32,15 @@ def corpus(spark: SparkSession, n: int = 10_000, days: int = 60, seed: int = 0,
     return out.select(F.lit("scale").alias("scenario"), "seq", "day", "op", "id", "content", "category", F.lit(False).alias("protected"), F.lit(None).cast("string").alias("supersedes"))
 
 
+def corpus_queries(spark: SparkSession, n: int = 10_000, days: int = 60, seed: int = 0, hot: int = 20, most: int = 5) -> DataFrame:
+    """Up to ``most`` questions about hot rows of corpus(), asked after its last day; the row is the evidence."""
+    e = corpus(spark, n, days, seed, hot).where(F.col("op") == "add").where(F.col("seq") < min(most, hot))
+    topic = pick(TOPICS, F.col("seq"), F.lit(seed), F.lit(1))
+    asked = F.concat(F.lit("What is known of "), topic, F.lit(" number "), F.col("seq").cast("string"), F.lit("?"))
+    none = F.array().cast("array<string>")
+    return e.select(F.concat(F.lit("scale-q"), F.col("seq").cast("string")).alias("qid"), "scenario", F.lit(float(days + 5)).alias("session"), asked.alias("query"), pick(THINGS, F.col("seq"), F.lit(seed), F.lit(2)).alias("answer"), F.array("id").alias("evidence"), none.alias("stale"), F.lit("continuity").alias("kind"), F.lit("scale").alias("source"))
+
+
 def staleness(spark: SparkSession, how: str, scenarios: int = 3, filler: int = 225, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(events, queries) in which a fact changes: ``retire`` says so, ``decay`` doesn't, ``update`` supersedes.
 
