@@ -7,11 +7,12 @@ from .language_model import op3_pitman_yor
 from .lines import op8_line_crf
 from .neardup import op4_odd_sketch
 from .packing import op5_pack
+from .periodic import op13_lyndon_runs
 from .planes import op10_bit_planes
 from .quality import op6_nearest_vote
 from .secrets import OP9_SQL, op9_entropy_secrets
 from .tokencount import op2_separator_scan
 from .toxicity import op7_noisy_or
 
-QUERIES = {f.__name__: f for f in (op1_block_max_wand, op2_separator_scan, op3_pitman_yor, op4_odd_sketch, op5_pack, op6_nearest_vote, op7_noisy_or, op8_line_crf, op9_entropy_secrets, op10_bit_planes)}
+QUERIES = {f.__name__: f for f in (op1_block_max_wand, op2_separator_scan, op3_pitman_yor, op4_odd_sketch, op5_pack, op6_nearest_vote, op7_noisy_or, op8_line_crf, op9_entropy_secrets, op10_bit_planes, op13_lyndon_runs)}
 ORACLES: dict[str, str] = {"op9_entropy_secrets": OP9_SQL}
