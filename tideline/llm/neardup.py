@@ -17,7 +17,8 @@ A pair at the threshold shares no band with a chance of 2.4e-7 at 0.85 and 3.3e-
 on the driver, and no group is held in one task as a whole.
 
 Null texts and texts without words have no shingle and are linked with nothing.  Rows without doc_id are left out.
-Rows that repeat a doc_id stay and count as one document; if their texts differ, one of them is compared.  An empty table gives no row.  Other columns are ignored.
+Rows that repeat a doc_id stay; each distinct set of theirs is compared by itself, and such a row is kept if its component
+has no smaller doc_id.  An empty table gives no row.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import store
+from . import classes, store
 from .words import U, blocks, mix, shingles, word_names
 
 BANDS, ROWS, SKETCH_BITS, SET_BITS, PIVOTS = 26, 5, 512, 1024, 8
-#: A class with this share of all rows, or more, counts as large; so there are at most as many.
-LARGE = 1000
-#: Words of 64 bits in the bitmap of document hashes that goes to every executor.
-MAP_WORDS = 1 << 17
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -97,18 +94,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for b in blocks(batch.column(1)):
                 h, to = shingles(*word_names(b), k)
                 n = np.diff(to)
-                keyed = np.zeros((b.n, 2), U)
-                full = np.flatnonzero(n)
-                if len(full):
-                    keyed[full, 0] = np.add.reduceat(mix(h), to[:-1][full])
-                    keyed[full, 1] = np.add.reduceat(mix(h ^ U(0xA5A5A5A5DEADBEEF)), to[:-1][full])
+                keyed = classes.fingerprints(h, to)
                 mins = min_hashes(h, to, BANDS * ROWS)
                 bands = band_keys(mins, BANDS, ROWS)
                 sketch = odd_sketches(mins, SKETCH_BITS)
                 whole = parities(np.repeat(np.arange(b.n), n), (mix(h + U(77)) % U(SET_BITS)).astype(np.int64), b.n, SET_BITS)
                 fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, b.n), pa.array(n), pa.array(keyed[:, 0].copy().view(np.int64)), pa.array(keyed[:, 1].copy().view(np.int64)), fixed(bands), fixed(sketch), fixed(whole)],
+                    [batch.column(0).slice(b.first, b.n), pa.array(n), pa.array(keyed[0].view(np.int64)), pa.array(keyed[1].view(np.int64)), fixed(bands), fixed(sketch), fixed(whole)],
                     ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "whole"],
                 )
 
@@ -131,48 +124,6 @@ def _possible(percent: int) -> str:
         AND NOT arrays_overlap(slice(x.bands, 1, x.band), slice(y.bands, 1, x.band))"""
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full shingle sets have 100 * both >= percent * either."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-
-    def run(batches):
-        for batch in batches:
-            ta, tb = batch.column(2), batch.column(3)
-            for lo in range(0, len(ta), 64):  # few texts at once
-                n = min(64, len(ta) - lo)
-                sides = []
-                for t in (ta, tb):
-                    rows = []
-                    for b in blocks(t.slice(lo, n)):
-                        h, to = shingles(*word_names(b), k)
-                        rows += [h[x:y] for x, y in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
-                    sides.append(rows)
-                keep = []
-                for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common and 100 * common >= percent * (len(x) + len(y) - common):
-                        keep.append(lo + i)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep)) for j in (0, 1)], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _texts(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of the ends of pairs, written.
-
-    Texts off a bitmap of the ends' hashes are left out first, so that few texts are dealt out where the ends are too
-    many to broadcast.  The bitmap has at most MAP_WORDS rows at any size; the more ends, the more texts pass it.
-    """
-    some = store.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{path}-ends")
-    word, bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_WORDS)), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, 1), 64) AS int))")
-    bitmap = store.written(some.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), f"{path}-bitmap")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    near = texts.join(F.broadcast(bitmap), (word == bitmap["word"]) & (bit.bitwiseAND(bitmap["bits"]) != 0), "left_semi")
-    return store.written(near.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), path)
-
-
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     """(doc_id, component): the smallest doc_id reachable, for every end of a link (a, b), by alternating stars.
 
@@ -200,13 +151,12 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, class_id (smallest doc_id of
+    an equal set), n_copies (rows with an equal set)."""
     spark = docs.sparkSession
     folder = store.scratch(spark, "neardup")
     sig = store.written(signatures(docs, k), f"{folder}/sig")
-    least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "whole")).alias("s")
-    classes = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(least, F.count("*").alias("members")).select("f1", "f2", "members", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch", "s.whole")
-    reps = store.written(classes, f"{folder}/reps")
+    reps = classes.of_rows(sig, "n_shingles", ["bands", "sketch", "whole"], folder)
     # Keys alone are dealt out by bucket; sketches follow, by doc_id, for members of buckets of two and more.
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -225,32 +175,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
     star = store.written(pairs.select(*ends).distinct(), f"{folder}/star")
     store.remove(spark, f"{folder}/members")  # star is written, nothing goes back to them
-    links = store.written(confirmed(star, _texts(docs, star, f"{folder}/texts1"), k, percent), f"{folder}/links")
-    comp = store.written(components(spark, links, f"{folder}/cc1"), f"{folder}/comp1")
+    ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    links = store.written(classes.confirmed(star, classes.texts(docs, reps, ends_of(star), k, f"{folder}/texts1"), k, percent), f"{folder}/links")
+    comp = store.written(components(spark, links, f"{folder}/cc1"), f"{folder}/comp1").withColumnRenamed("doc_id", "rep")
     # Second round: pairs of a bucket across components.
-    placed = slim.select("key", "rep", "band").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("c"))
+    placed = slim.select("key", "rep", "band").join(comp, "rep", "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("c"))
     # One of a pair across components is outside the bucket's largest component.
     largest = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     placed = store.written(placed.join(largest, "key").join(sketches, "rep"), f"{folder}/placed")
     cross = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {_possible(percent)}")).select(*ends)
     cross = store.written(cross.join(star, ["a", "b"], "left_anti"), f"{folder}/cross")
     store.remove(spark, f"{folder}/placed")
-    more = store.written(confirmed(cross, _texts(docs, cross, f"{folder}/texts2"), k, percent), f"{folder}/more")
+    more = store.written(classes.confirmed(cross, classes.texts(docs, reps, ends_of(cross), k, f"{folder}/texts2"), k, percent), f"{folder}/more")
     if more.take(1):
-        comp = store.written(components(spark, comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/cc2"), f"{folder}/comp2")
-    # Classes to components, once a class; then rows to classes.  Rows without shingles are their own; rows of large
-    # classes, of which there are at most LARGE, meet these by broadcast, so none waits for its class in one task.
-    named = reps.select("f1", "f2", "rep", "members").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    named = store.written(named.select("f1", "f2", "members", F.coalesce("component", "rep").alias("c")), f"{folder}/named")
-    rows = sig.select("doc_id", "n_shingles", "f1", "f2")
-    least_members = max(2, -(-(named.agg(F.sum("members")).first()[0] or 0) // LARGE))
-    large = F.broadcast(named.where(F.col("members") >= least_members).select("f1", "f2", F.col("c").alias("large")))
-    met = rows.where("n_shingles > 0").join(large, ["f1", "f2"], "left")
-    small = met.where("large IS NULL").join(named.where(F.col("members") < least_members).select("f1", "f2", "c"), ["f1", "f2"])
-    out = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = out.unionByName(met.where("large IS NOT NULL").select("doc_id", "n_shingles", F.col("large").alias("component_id")))
-    out = out.unionByName(small.select("doc_id", "n_shingles", F.col("c").alias("component_id")))
-    return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+        comp = store.written(components(spark, comp.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/cc2"), f"{folder}/comp2").withColumnRenamed("doc_id", "rep")
+    out = classes.to_rows(sig, "n_shingles", reps, comp, folder)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"), "class_id", "n_copies")
 
 
 def op4_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
