@@ -200,9 +200,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Second round: pairs of a bucket across components, once a pair, with one outside the bucket's largest component.
     placed = slim.select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     main = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    placed = store.written(placed.join(main, "key").join(sketches, "rep"), f"{folder}/placed")
-    cross = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {possible}")).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q")).distinct()
+    open_ = store.written(placed.join(main, "key"), f"{folder}/open")
+    # A pair meets in the first bucket that it shares: each member has its keys before this one.
+    own = open_.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("own"))
+    before = F.expr("slice(own, 1, CAST(array_position(own, key) AS int) - 1)")
+    placed = store.written(open_.join(own.join(sketches, "rep"), "rep").withColumn("before", before).drop("own"), f"{folder}/placed")
+    met = f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {possible} AND NOT arrays_overlap(x.before, y.before)"
+    cross = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(met)).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q")).distinct()
     cross = store.written(cross.join(star, ["p", "q"], "left_anti"), f"{folder}/cross")
+    store.remove(spark, f"{folder}/placed")  # cross is written, nothing goes back to it
     if cross.take(1):
         more = compared(cross, "cross")
         comp = store.written(components(spark, comp.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/cc2"), f"{folder}/comp2").withColumnRenamed("doc_id", "rep")
