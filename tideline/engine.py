@@ -1,9 +1,12 @@
 """The store as an object: adds, uses, retires, pins, recalls and refreshes over a log, with its state folded on demand.
 
-The log is the store: every change appends rows of model.EVENT, and the state at any time is ``ledger.resolve`` and
-``strength.fold`` of it.  Batches of changes go in as DataFrames (``extend``); the single calls are for front doors that
-change one row at a time.  A refresh changes no strength, since strengths are functions of time; it drops what it
-prunes and merges what a loaded store holds twice.
+A store is a base and a log: rows of a snapshot, and the changes since, rows of model.EVENT.  The state at any time is
+``ledger.resolve`` and ``strength.fold`` of them.  Batches of changes go in as DataFrames (``extend``).  The single calls are
+for front doors that change one row at a time: they append to a tail of at most TAIL events on the driver, which knows the
+rows it made, and look up others by key, so that a change folds nothing.  A full tail, and ``compact``, make a new base.
+
+A refresh changes no strength, since strengths are functions of time; what it merges or prunes is gone for good, as the
+state without it becomes the base.
 
 Errors are those of the front doors: empty content, a taken id, and an unknown or own id to supersede.  Accesses and
 pins of unknown or retired rows return False and leave the store as it is; any known row may be retired.
@@ -11,8 +14,10 @@ pins of unknown or retired rows return False and leave the store as it is; any k
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
@@ -40,45 +45,120 @@ class Result:
     retired_excluded: int = 0
 
 
+#: Changes that the driver holds before they become a base.
+TAIL = 4096
+
+
 class Engine:
     """A store at ``path`` that this process owns, or one in memory (``path`` None with in_memory)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, in_memory: bool = False, clock: Callable[[], float] = time.time, similarity: bool = True, knapsack: bool = True, stale_retirement: bool = True, prior_weight: float = 0.0, recall_pool: int = model.POOL):
         self.spark, self.clock = spark, clock
         self.similarity, self.knapsack, self.stale_retirement, self.prior_weight, self.recall_pool = similarity, knapsack, stale_retirement, prior_weight, recall_pool
-        self.log = spark.createDataFrame([], model.EVENT)
-        self.seq, self.last_refresh, self._state = 0, float("-inf"), {}
+        self.last_refresh = float("-inf")
+        self._start(None, None)
         self.path = None if in_memory else store.store_path(path)
         self.owner = store.Owner(self.path) if self.path else None
         if self.path and os.path.exists(self.path):
             self.load(self.path)
 
+    def _start(self, base: DataFrame | None, log: DataFrame | None) -> None:
+        """Go on from a base and a log, with an empty tail."""
+        self.base, self._log, self.seq = base, log, 0
+        self._tail: list[tuple] = []
+        self._texts: dict[str, str] = {}  # live texts of the tail, and who holds them
+        self._gone: dict[str, bool] = {}  # ids that the tail made or changed: retired
+        self._state: dict[float, DataFrame] = {}
+        self._settled: DataFrame | None = None
+
     # the log
 
+    @property
+    def log(self) -> DataFrame:
+        """All changes since the base."""
+        tail = self.spark.createDataFrame(self._tail, model.EVENT)
+        return tail if self._log is None else self._log.unionByName(tail) if self._tail else self._log
+
     def _append(self, **event) -> None:
-        row = {c.split()[0]: None for c in model.EVENT.split(", ")} | {"seq": self.seq} | event
+        row = {c.split()[0]: None for c in model.EVENT.split(", ")} | {"seq": self.seq, "protected": False} | event
         self.seq += 1
-        self.extend(self.spark.createDataFrame([tuple(row.values())], model.EVENT))
+        self._tail.append(tuple(row.values()))
+        self._state = {}
+        if len(self._tail) >= TAIL:
+            self.compact()
 
     def extend(self, events: DataFrame) -> None:
         """Append a batch of model.EVENT; its seq must go on where the log ends."""
-        self.log, self._state = self.log.unionByName(events.select(*self.log.columns)), {}
-
-    def compact(self) -> None:
-        """Write the log and read it back, which ends its lineage."""
-        self.log = scratch.written(self.log, scratch.folder(self.spark, "log"))
+        batch = events.select(*[c.split()[0] for c in model.EVENT.split(", ")])
+        base, log = self.base, self.log.unionByName(batch)
+        last = batch.agg(F.max("seq")).first()[0]
+        seq = max(self.seq, (-1 if last is None else last) + 1)
+        self._start(base, log)
+        self.seq = seq
+
+    def compact(self, now: float | None = None) -> None:
+        """Make the state the base; changes after now stay in the log."""
+        now = max([self.clock()] + [t[2] for t in self._tail]) if now is None else now
+        self._base_of(self.state(now).select("id", "content", "category", "created", "superseded_by", "strength", "n_access", "last_access", "pinned", "retired"), now)
+
+    def _base_of(self, state: DataFrame, now: float) -> None:
+        later, seq = self.log.where(F.col("ts") > now), self.seq
+        rows = strength.snapshot_of(state, now, "content", "category", "created", "superseded_by").withColumn("seq", -1 - F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)))
+        folder = scratch.folder(self.spark, "base")
+        self._start(scratch.written(rows, f"{folder}/base"), scratch.written(later, f"{folder}/log"))
+        self.seq = seq
 
     def state(self, now: float | None = None) -> DataFrame:
         """Rows at a time: id, content, category, created, seq, superseded_by, n_access, last_access, strength, pinned,
         retired, tier."""
         now = self.clock() if now is None else now
         if now not in self._state:
-            rows, events = ledger.resolve(self.log.where(F.col("ts") <= now), self.stale_retirement)
+            rows, events = ledger.resolve(self.log.where(F.col("ts") <= now), self.stale_retirement, self.base)
             self._state = {now: scratch.written(pack.with_bodies(strength.fold(rows, events, now)), scratch.folder(self.spark, "state"))}
         return self._state[now]
 
-    def _row(self, id_: str, now: float):
-        return self.state(now).where(F.col("id") == id_).select("id", "content", "retired").first()
+    # rows by key: the tail knows its own, others are looked up in what was settled before it
+
+    def _others(self) -> DataFrame | None:
+        """id, identity, created, retired of the rows before the tail; None if there are none."""
+        if self._settled is None and (self.base is not None or self._log is not None):
+            if self._log is not None and self._log.take(1):
+                rows, events = ledger.resolve(self._log, self.stale_retirement, self.base)
+                rows = strength.fold(rows, events, float("inf")).withColumn("gone", F.col("retired"))
+            else:
+                rows = self.base
+            if rows is not None:
+                rows = rows.select("id", text.identity(F.col("content")).alias("identity"), "created", F.col("gone").alias("retired"))
+                self._settled = scratch.written(rows, scratch.folder(self.spark, "settled"))
+        return self._settled
+
+    def _retired(self, id_: str) -> bool | None:
+        """Whether a row is retired; None if there is none."""
+        if id_ not in self._gone and (others := self._others()) is not None:
+            row = others.where(F.col("id") == id_).select("retired").first()
+            return row and row["retired"]
+        return self._gone.get(id_)
+
+    def _holder(self, body: str) -> str | None:
+        """The live row of a text."""
+        if body in self._texts:
+            return self._texts[body]
+        if (others := self._others()) is None:
+            return None
+        mine = others.where(~F.col("retired") & (F.col("identity") == hashlib.md5(body.encode()).hexdigest())).select("id", "created")
+        rows = [r for r in mine.orderBy(F.col("created").desc(), F.col("id").desc()).limit(1 + len(self._gone)).collect() if not self._gone.get(r["id"])]
+        return rows[0]["id"] if rows else None
+
+    def _new_id(self, body: str) -> str:
+        """The text's digest, with the first number behind it that is free."""
+        name = "m-" + hashlib.sha1(" ".join(re.findall("[a-z0-9]+", body.lower())).encode()).hexdigest()[:10]
+        taken = {i for i in self._gone if i.startswith(name)}
+        if (others := self._others()) is not None:
+            taken |= {r["id"] for r in others.where(F.col("id").startswith(name)).select("id").collect()}  # rows of one digest
+        n = 1
+        while (id_ := name if n == 1 else f"{name}-{n}") in taken:
+            n += 1
+        return id_
 
     # changes
 
@@ -87,27 +167,36 @@ class Engine:
         body = (content or "").strip()
         if not body:
             raise ValueError("content must not be empty")
-        if memory_id is not None and self._row(memory_id, now):
+        if memory_id is not None and self._retired(memory_id) is not None:
             raise ValueError(f"the id {memory_id} is taken")
-        mine = F.lit(body)
-        twin = self.state(now).where(~F.col("retired") & (text.trimmed(F.col("content")) == mine)).select("id").first()
-        if supersedes is not None and self.stale_retirement:
-            if not self._row(supersedes, now):
-                raise ValueError(f"there is no row {supersedes} to supersede")
-            if supersedes == memory_id or (twin and twin["id"] == supersedes):
+        twin = self._holder(body)
+        replaces = supersedes if self.stale_retirement else None
+        if replaces is not None:
+            if self._retired(replaces) is None:
+                raise ValueError(f"there is no row {replaces} to supersede")
+            if replaces in (memory_id, twin):
                 raise ValueError("a row cannot supersede itself")
-        self._append(op="add", ts=now, id=memory_id, content=body, category=category, protected=protected, supersedes=supersedes)
-        if memory_id is not None and not twin:
-            return memory_id
-        found = self.state(now).where(~F.col("retired") & (text.trimmed(F.col("content")) == mine)).select("id").first()
-        return found["id"]
-
-    def _change(self, op: str, id_: str, now: float | None, dead: bool = False) -> bool:
-        now = self.clock() if now is None else now
-        row = self._row(id_, now)
-        if not row or (row["retired"] and not dead):
+        id_ = twin or memory_id or self._new_id(body)
+        self._note(id_, body, False)
+        if replaces is not None:
+            self._note(replaces, None, True)
+        self._append(op="add", ts=now, id=None if twin else id_, content=body, category=category, protected=protected, supersedes=replaces)
+        return id_
+
+    def _note(self, id_: str, body: str | None, gone: bool) -> None:
+        self._gone[id_] = gone
+        if gone:
+            self._texts = {t: i for t, i in self._texts.items() if i != id_}
+        elif body is not None:
+            self._texts[body] = id_
+
+    def _change(self, op: str, id_: str, now: float | None, by: str | None = None) -> bool:
+        retired = self._retired(id_)
+        if retired is None or (retired and op != "retire"):
             return False
-        self._append(op=op, ts=now, id=id_)
+        if op == "retire":
+            self._note(id_, None, True)
+        self._append(op=op, ts=self.clock() if now is None else now, id=id_, supersedes=by)
         return True
 
     def access(self, memory_id: str, now: float | None = None) -> bool:
@@ -116,8 +205,9 @@ class Engine:
     def reinforce(self, memory_ids: Iterable[str], now: float | None = None) -> int:
         return sum(self.access(x, now) for x in memory_ids)
 
-    def retire(self, memory_id: str, now: float | None = None) -> bool:
-        return self._change("retire", memory_id, now, dead=True)
+    def retire(self, memory_id: str, superseded_by: str | None = None, now: float | None = None) -> bool:
+        """Any known row may be retired; the row that replaces it need not be known."""
+        return self._change("retire", memory_id, now, superseded_by or None)
 
     def pin(self, memory_id: str, now: float | None = None) -> bool:
         return self._change("pin", memory_id, now)
@@ -139,7 +229,7 @@ class Engine:
         asked = queries.where(F.coalesce(F.length("query"), F.lit(0)) > 0) if similar else queries.limit(0)
         rows = rank.candidates(index.cosine(self.index(now), asked), state, asked, self.prior_weight, self.recall_pool)
         blind = queries.join(asked.select("qid"), "qid", "left_anti").select("qid")
-        first = rank.query_blind(state, self.recall_pool or 1 << 31).withColumn("sim", F.lit(0.0)).withColumn("utility", F.lit(self.prior_weight) * F.col("strength") + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
+        first = rank.query_blind(state, self.recall_pool).withColumn("sim", F.lit(0.0)).withColumn("utility", F.lit(self.prior_weight) * F.col("strength") + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
         return rows.unionByName(first.crossJoin(F.broadcast(blind)).select(*rows.columns))
 
     def recall_all(self, queries: DataFrame, budget: int = model.BUDGET, now: float | None = None, similar: bool | None = None) -> DataFrame:
@@ -194,14 +284,13 @@ class Engine:
         state = self.state(now)
         report = strength.refresh_report(state, self.last_refresh, now, max_entries).first().asDict()
         self.last_refresh = now
-        if report["pruned"]:
-            gone = strength.pruned(state, self.spark.createDataFrame([(max_entries,)], "most long")).select("id")
-            gone = scratch.written(gone, scratch.folder(self.spark, "gone"))
-            texts = state.join(gone, "id").select(text.identity(F.col("content")).alias("identity"))
-            log = self.log.withColumn("identity", text.identity(F.col("content")))
-            log = log.join(gone.select("id"), "id", "left_anti").join(texts, (log["op"] == "add") & log["id"].isNull() & (log["identity"] == texts["identity"]), "left_anti")
-            self.log, self._state = log.drop("identity"), {}
-            self.compact()
+        if report["merged"] or report["pruned"]:
+            # What merged() leaves of a row besides its numbers is what the row was.
+            rest = state.select("id", "content", "category", "superseded_by")
+            left = strength.merged(state).join(rest, "id").withColumn("tier", model.tier(F.col("strength"), F.col("pinned")))
+            left = scratch.written(left, scratch.folder(self.spark, "merged"))
+            gone = strength.pruned(left, self.spark.createDataFrame([(max_entries,)], "most long")).select("id")
+            self._base_of(left.join(gone, "id", "left_anti"), now)
         return report
 
     # persistence
@@ -217,7 +306,7 @@ class Engine:
         return {"schema": model.SCHEMA_VERSION, "memories": [json.loads(r) for r in self.memories(now).orderBy("id").toJSON().toLocalIterator()]}
 
     def save(self, path: str | None = None) -> str:
-        """The whole log in Parquet beside the document, so that nothing a fold needs is lost."""
+        """Base and log in Parquet beside a pointer to them, so that nothing a fold needs is lost."""
         target = store.store_path(path) if path else self.path
         if target is None:
             raise ValueError("a store in memory needs a path to be saved at")
@@ -225,14 +314,15 @@ class Engine:
             raise ValueError("a store that is owned stays at its path")
         if not self.owner and os.path.exists(target):
             raise ValueError(f"{target} exists already")
-        self.compact()
-        return store.write_log(self.log, target)
+        return store.write_store(self.spark, self.base, self.log, target)
 
     def load(self, path: str) -> int:
         if self.owner and os.path.realpath(path) != self.path:
             raise ValueError("a store that is owned stays at its path")
-        self.log, self._state = store.read_log(self.spark, path), {}
-        self.seq = (self.log.agg(F.max("seq")).first()[0] or 0) + 1
+        base, log = store.read_store(self.spark, path)
+        last = log.agg(F.max("seq")).first()[0]
+        self._start(base, log if last is not None else None)
+        self.seq = (last or 0) + 1
         return self.size()
 
     def close(self) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: seconds of a day.
 DAY = 86400.0
 #: Decay a day by category.
 RATES = {"identity": 0.002, "preference": 0.010, "user": 0.010, "general": 0.030, "task": 0.050, "ephemeral": 0.100}
@@ -18,8 +19,8 @@ WORTH = {"full": 1.0, "summary": 0.55, "gist": 0.25}
 #: A store document's version and the fields of its rows.
 SCHEMA_VERSION = 3
 MEMORY = "id string, content string, summary string, category string, created double, last_access double, access_count bigint, score double, score_at double, protected boolean, tier string, retired boolean, superseded_by string"
+#: The log: add, access, retire, pin, in the order of ts and seq. A retire's ``supersedes`` names the row that replaces it.
 EVENT = "seq bigint, op string, ts double, id string, content string, category string, protected boolean, supersedes string"
-#: The log: add, access, retire, pin, in the order of ts and seq.
 
 
 def rate(category: Column) -> Column:

@@ -10,7 +10,10 @@ before they meet; what is folded in order is one entry a generation.
 
 Adds without text (null or blank) and events with a null ts or op are dropped, as the front doors refuse them.  An add
 without id gets one of its text's digest, and a number behind it if other rows have the same.  Adds whose id is taken by
-an earlier add, and events of unknown rows, are dropped.  Order is by ts, then add before retire before others, then seq.
+an earlier add, and events of unknown rows, are dropped.  A retire may name the row that replaces its own.
+
+A base is a snapshot: rows that were there before the log.  Its live rows own their texts (of equal ones the last made),
+its ids are taken, and numbers behind digests go on from it.  Order is by ts, then add before retire before others, then seq.
 """
 
 from __future__ import annotations
@@ -20,27 +23,31 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import scratch
-
-ORDER = {"add": 0, "retire": 1}
-
+from . import strength
 
 def _order(op: Column) -> Column:
     return F.when(op == "add", 0).when(op == "retire", 1).otherwise(2)
 
 
-def numbered_ids(rows: DataFrame) -> DataFrame:
+def numbered_ids(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """rows (content, id or null, ts, seq) with an id each: the given one, or the text's digest; of rows with one digest
-    the second and later ones get -2, -3, ... in their order."""
+    the second and later ones get -2, -3, ... in their order, after those of the base (id)."""
     made = rows.withColumn("digest", F.when(F.col("id").isNull(), text.content_id(F.col("content"))))
     nth = F.row_number().over(Window.partitionBy("digest").orderBy("ts", "seq"))
     given = made.where("digest IS NULL")
     own = made.where("digest IS NOT NULL").withColumn("nth", nth)
+    if base is not None:
+        # The largest number behind a digest; the digest alone is number 1.
+        before = base.select(F.regexp_extract("id", "^(m-[0-9a-f]{10})(-[0-9]+)?$", 1).alias("digest"), F.coalesce(F.nullif(F.regexp_extract("id", "^m-[0-9a-f]{10}-([0-9]{1,9})$", 1), F.lit("")).cast("int"), F.lit(1)).alias("number"))
+        before = before.where("digest <> ''").groupBy("digest").agg(F.max("number").alias("before"))
+        own = own.join(before, "digest", "left").withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0))).drop("before")
     own = own.withColumn("id", F.when(F.col("nth") == 1, F.col("digest")).otherwise(F.concat("digest", F.lit("-"), F.col("nth").cast("string")))).drop("nth")
     return given.unionByName(own).drop("digest")
 
 
-def resolve(log: DataFrame, stale_retirement: bool = True) -> tuple[DataFrame, DataFrame]:
+def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows: id, content, category, created, seq, superseded_by; events: seq, id, op, ts) of a log of model.EVENT.
+    With a base of such rows and strength.SNAPSHOT's columns (seq below 0), rows have these, too.
 
     The events are what strength.fold() takes: explicit ones on rows that exist, collapsed adds as accesses (and pins),
     protected rows as pins from the start, supersessions as retires.  Without ``stale_retirement`` nothing is superseded.
@@ -51,6 +58,12 @@ def resolve(log: DataFrame, stale_retirement: bool = True) -> tuple[DataFrame, D
     adds = e.where("op = 'add'").withColumn("content", text.trimmed(F.col("content"))).where("content <> ''")
     adds = adds.withColumn("identity", text.identity(F.col("content"))).withColumn("category", F.lower(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("general"))))
     at = F.struct("ts", "o", "seq")
+    if base is not None:
+        adds = adds.join(base.select(F.col("id").alias("taken")), F.col("id") == F.col("taken"), "left_anti")
+        live = base.where("NOT gone").withColumn("identity", text.identity(F.col("content")))
+        owners = live.groupBy("identity").agg(F.max_by(F.struct("id", "content", "category", "seq"), F.struct("created", "id")).alias("o")).select("identity", "o.*")
+        first = owners.withColumns({"op": F.lit("add"), "ts": F.lit(float("-inf")), "protected": F.lit(False), "o": F.lit(0), "supersedes": F.lit(None).cast("string")})
+        adds = adds.unionByName(first.select(*adds.columns))
     named = adds.where("id IS NOT NULL").groupBy("id").agg(F.min(at).alias("first"))
     adds = adds.withColumn("at", at).join(named, "id", "left").where("id IS NULL OR at = first").drop("first")
     adds = kept(adds, "adds")
@@ -86,8 +99,9 @@ def resolve(log: DataFrame, stale_retirement: bool = True) -> tuple[DataFrame, D
 
     makes = per.select("identity", F.explode(F.aggregate("gens", digest, step, lambda acc: acc["makes"])).alias("seq"))
     makes = makes.unionByName(heads.join(cut, "identity", "left_anti").select("identity", F.col("head.seq").alias("seq")))
-    made = numbered_ids(adds.join(makes, ["identity", "seq"], "left_semi").select("identity", "id", "content", "category", "ts", "seq", "at", "protected"))
+    made = numbered_ids(adds.join(makes, ["identity", "seq"], "left_semi").select("identity", "id", "content", "category", "ts", "seq", "at", "protected"), base)
     made = kept(made, "made")
+    ids = made.select("id") if base is None else made.select("id").union(base.select("id")).distinct()
     # A collapsed add belongs to the last row of its text made before it; without retires there is one row a text.
     slim = adds.select("identity", "at", "seq", "ts", "protected", "supersedes")
     keyed = slim.join(cut, "identity", "left_semi").join(made.select("identity", "at", F.col("id").alias("row")), ["identity", "at"], "left")
@@ -98,16 +112,23 @@ def resolve(log: DataFrame, stale_retirement: bool = True) -> tuple[DataFrame, D
     events = [
         placed.where("row IS NULL").select("seq", F.col("of").alias("id"), F.lit("access").alias("op"), "ts"),
         placed.where("protected").select("seq", F.col("of").alias("id"), F.lit("pin").alias("op"), "ts"),
-        e.where("op IN ('access', 'pin', 'retire')").join(made.select("id"), "id", "left_semi").select("seq", "id", "op", "ts"),
+        e.where("op IN ('access', 'pin', 'retire')").join(ids, "id", "left_semi").select("seq", "id", "op", "ts"),
     ]
-    superseded = None
+    # Which row replaced one: a later add that superseded it, or what its retire names; the last word counts.
+    swaps = e.where("op = 'retire' AND supersedes IS NOT NULL").join(ids, "id", "left_semi").select("id", F.col("supersedes").alias("of"), "ts", "seq")
     if stale_retirement:
-        swaps = placed.where("supersedes IS NOT NULL AND supersedes <> of").join(made.select(F.col("id").alias("supersedes")), "supersedes", "left_semi")
-        events.append(swaps.select("seq", F.col("supersedes").alias("id"), F.lit("retire").alias("op"), "ts"))
-        superseded = swaps.groupBy(F.col("supersedes").alias("id")).agg(F.max_by("of", F.struct("ts", "seq")).alias("superseded_by"))
+        newer = placed.where("supersedes IS NOT NULL AND supersedes <> of").join(ids.select(F.col("id").alias("supersedes")), "supersedes", "left_semi")
+        newer = newer.select(F.col("supersedes").alias("id"), "of", "ts", "seq")
+        events.append(newer.select("seq", "id", F.lit("retire").alias("op"), "ts"))
+        swaps = swaps.unionByName(newer)
+    superseded = swaps.groupBy("id").agg(F.max_by("of", F.struct("ts", "seq")).alias("superseded_by"))
     out = events[0]
     for x in events[1:]:
         out = out.unionByName(x)
     rows = made.select("id", "content", "category", F.col("ts").alias("created"), "seq")
-    rows = rows.join(superseded, "id", "left") if superseded is not None else rows.withColumn("superseded_by", F.lit(None).cast("string"))
-    return rows, out
+    if base is None:
+        return rows.join(superseded, "id", "left"), out
+    rows = rows.where("seq >= 0").withColumn("before", F.lit(None).cast("string"))
+    old = base.select(*rows.columns[:-1], F.col("superseded_by").alias("before"), *strength.snapshot(base))
+    rows = rows.select("*", *strength.snapshot(rows)).unionByName(old).join(superseded, "id", "left")
+    return rows.withColumn("superseded_by", F.coalesce("superseded_by", "before")).drop("before"), out

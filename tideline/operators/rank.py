@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import model
+from . import strength
 
 #: Rows of (id, strength, ...) that go to every executor at once; more are met by a shuffled join.
 MOST_BROADCAST = 1 << 20
@@ -54,6 +55,10 @@ def blind_order() -> tuple:
 
 
 def query_blind(state: DataFrame, pool: int = model.POOL) -> DataFrame:
-    """Live rows by pins, strength, last access, creation and id: the first ``pool``, which one task may hold."""
-    first = state.where("NOT retired").orderBy(*blind_order()).limit(pool)
+    """Live rows by pins, strength, last access, creation and id: the first ``pool``, which one task may hold; 0: all,
+    ranked in slices."""
+    live = state.where("NOT retired")
+    if not pool:
+        return strength.ranked(live, *blind_order())
+    first = live.orderBy(*blind_order()).limit(pool)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*blind_order())))

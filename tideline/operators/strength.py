@@ -3,6 +3,10 @@
 A boost is affine and decay is exponential at a constant rate, so the strength after n accesses is a sum over them:
 one window and one aggregation, whatever the number of refreshes between.
 
+Rows of a snapshot go on from it: score at score_at, access_count, last_access, protected and retired stand for all that
+was before, and only later events are folded.  So a state is carried forward from what is new, and rows that no event
+touches cost nothing but a column expression.
+
 Events with a null id, ts or op, of unknown ids, before a memory is made, after ``now`` or after its retirement count
 for nothing.  Repeated ids among memories are the caller's fault and stay rows.  An empty table gives no row.  Other
 columns of memories are kept, so long as they don't have the names of results.
@@ -24,25 +28,41 @@ def lifecycle(memories: DataFrame, events: DataFrame, now: float) -> DataFrame:
     return out.withColumn("pinned", F.col("pinned_at").isNotNull() & (F.col("retired_at").isNull() | (F.col("pinned_at") < F.col("retired_at"))))
 
 
-def fold(memories: DataFrame, events: DataFrame, now: float) -> DataFrame:
-    """memories with n_access, last_access, strength at now, pinned, retired, tier."""
-    life = lifecycle(memories, events, now)
-    m = memories.withColumn("rate", model.rate(F.col("category")))
-    a = events.where("op = 'access'").join(m.select("id", "created", "rate"), "id").join(life.select("id", "retired_at"), "id", "left")
+#: What a snapshot says of a row; null for rows that are new.
+SNAPSHOT = "score double, score_at double, access_count bigint, used double, protected boolean, gone boolean"
+
+
+def snapshot(memories: DataFrame) -> list:
+    """The columns of SNAPSHOT; all null where memories is no snapshot."""
+    return [(F.col(c) if c in memories.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in SNAPSHOT.split(", "))]
+
+
+def snapshot_of(state: DataFrame, now: float, *columns: str) -> DataFrame:
+    """A state folded at now as memories of a snapshot: id, the columns, and those of SNAPSHOT."""
+    return state.select("id", *columns, F.col("strength").alias("score"), F.lit(float(now)).alias("score_at"), F.col("n_access").cast("long").alias("access_count"), F.col("last_access").alias("used"), F.col("pinned").alias("protected"), F.col("retired").alias("gone"))
+
+
+def fold(memories: DataFrame, events: DataFrame, now: float, exact: bool = False) -> DataFrame:
+    """memories with n_access, last_access, strength at now (to nine digits unless exact), pinned, retired, tier."""
+    own = [c for c in memories.columns if c not in {x.split()[0] for x in SNAPSHOT.split(", ")}]
+    m = memories.select(*own, *snapshot(memories)).withColumn("rate", model.rate(F.col("category"))).withColumn("gone", F.coalesce("gone", F.lit(False)))
+    life = lifecycle(m, events, now)
+    a = events.where("op = 'access'").join(m.where("NOT gone").select("id", "created", "rate"), "id").join(life.select("id", "retired_at"), "id", "left")
     a = a.where((F.col("ts") >= F.col("created")) & (F.col("ts") <= now) & (F.col("retired_at").isNull() | (F.col("ts") < F.col("retired_at"))))
     by = Window.partitionBy("id")
     a = a.withColumn("k", F.row_number().over(by.orderBy("ts", "seq"))).withColumn("n", F.count("*").over(by))
     keep = 1 - model.BOOST
     gain = F.sum(F.pow(F.lit(keep), F.col("n") - F.col("k")) * F.exp(-F.col("rate") * (now - F.col("ts")) / model.DAY)).alias("gain")
     sums = a.groupBy("id").agg(gain, F.count("*").alias("n_access"), F.max("ts").alias("accessed_at"))
-    out = m.join(sums, "id", "left").join(life.select("id", "retired_at", "pinned"), "id", "left")
+    out = m.join(sums, "id", "left").join(life.select("id", "retired_at", F.col("pinned").alias("later")), "id", "left")
     out = out.withColumn("n_access", F.coalesce("n_access", F.lit(0)))
-    first = model.INITIAL * F.pow(F.lit(keep), "n_access") * F.exp(-F.col("rate") * model.days_since(F.col("created"), now))
-    pinned = F.coalesce("pinned", F.lit(False))
+    since = model.days_since(F.coalesce("score_at", "created"), now)
+    first = F.coalesce("score", F.lit(model.INITIAL)) * F.pow(F.lit(keep), "n_access") * F.exp(-F.col("rate") * since)
+    pinned = F.coalesce("protected", F.lit(False)) | F.coalesce("later", F.lit(False))
     s = F.when(pinned, 1.0).otherwise(first + model.BOOST * F.coalesce("gain", F.lit(0.0)))
-    out = out.withColumn("strength", F.round(s, 9)).withColumn("pinned", pinned).withColumn("retired", F.col("retired_at").isNotNull())
-    out = out.withColumn("last_access", F.coalesce("accessed_at", "created")).withColumn("tier", model.tier(F.col("strength"), F.col("pinned")))
-    return out.select(*memories.columns, "n_access", "last_access", "strength", "pinned", "retired", "tier")
+    out = out.withColumn("strength", s if exact else F.round(s, 9)).withColumn("pinned", pinned).withColumn("retired", F.col("gone") | F.col("retired_at").isNotNull())
+    out = out.withColumn("n_access", F.coalesce("access_count", F.lit(0)) + F.col("n_access")).withColumn("last_access", F.greatest("accessed_at", F.coalesce("used", "created")))
+    return out.withColumn("tier", model.tier(F.col("strength"), F.col("pinned"))).select(*own, "n_access", "last_access", "strength", "pinned", "retired", "tier")
 
 
 def collapsed(memories: DataFrame) -> DataFrame:
@@ -106,9 +126,10 @@ def refresh_report(state: DataFrame, last: float, now: float, most: int = 0) ->
     return out.select("decayed", "merged", "pruned", F.greatest(F.lit(0), F.col("total") - most).cast("long").alias("prune_deficit"), "total")
 
 
-def ranked(rows: DataFrame, *order, slices: int = 16) -> DataFrame:
+def ranked(rows: DataFrame, *order, per_slice: int = 1 << 18) -> DataFrame:
     """rows with ``rank`` from 1 in one order over all of them: ranges are sorted and counted apart, and each row's
     place in its range is moved by the rows of the ranges before, so no task sees all rows."""
+    slices = max(16, rows.count() // per_slice)
     parts = rows.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     parts = scratch.written(parts, scratch.folder(rows.sparkSession, "ranked"))  # ranges come from a sample: cut once
     counts = parts.groupBy("slice").agg(F.count("*").alias("n"))

@@ -133,6 +133,23 @@ def refresh_full(s, d):
     return strength.refresh_report(_state(s, d), t.NOW - 7 * 86400, t.NOW, n * 4 // 5)
 
 
+def _carried(s, d, now: float):
+    """The state at now as a snapshot, made once and carried forward from there."""
+    def make():
+        state = strength.fold(t.base_memories(s, d), t.mem_events(s, d).where(F.col("ts") <= now), now)
+        return strength.snapshot_of(state, now, "content", "category", "created")
+
+    return _once(s, d, f"carried-{now:.0f}", make)
+
+
+@query
+def refresh_delta(s, d):
+    """refresh_full() from the state of a week before and the events since, instead of a fold of all events."""
+    last = t.NOW - 7 * 86400
+    state = strength.fold(_carried(s, d, last), t.mem_events(s, d).where(F.col("ts") > last), t.NOW)
+    return strength.refresh_report(state, last, t.NOW, _docs(s, d).count() * 4 // 5)
+
+
 @query
 def strength_as_of(s, d):
     """The fold at an earlier time: later pins, retires and accesses don't count."""
@@ -374,19 +391,23 @@ def cliffs_delta(s, d):
     return metrics.cliffs_delta(align_arms(s, d))
 
 
+def _pair(s, d):
+    return align_arms(s, d).withColumn("name", F.lit("bm25-cosine"))
+
+
 @query
 def wilcoxon_p(s, d):
-    return stats.paired_p(align_arms(s, d).withColumn("name", F.lit("bm25-cosine")))
+    return stats.paired_p(_pair(s, d))
 
 
 @query
 def bootstrap_ci(s, d):
-    return stats.bootstrap(align_arms(s, d))
+    return stats.bootstrap(_pair(s, d)).select("low", "high")
 
 
 @query
 def paired_summary(s, d):
-    return stats.paired_summary(align_arms(s, d).withColumn("name", F.lit("bm25-cosine")))
+    return stats.paired_summary(_pair(s, d))
 
 
 def _arms(s, d):
@@ -448,17 +469,11 @@ def verdict(s, d):
     from ..sources import synthetic
 
     scored = metrics.per_record(_arms(s, d))
-    summaries = {r["arm"]: r.asDict() for r in metrics.summary(scored, "arm").collect()}  # a row an arm
     hero = next(a for a in replay.ARMS if a.name == "M9")
-    stale = {}
-    for how in ("retire", "decay", "update"):
-        e, q = synthetic.staleness(s, how)
-        for r in metrics.summary(metrics.per_record(replay.replay([hero], e, q)), "arm", "source").collect():
-            stale[r["arm"], r["source"]] = r.asDict()
-    pairs = [r.asDict() for r in stats.against(scored, "M9").collect()]
+    parts = [metrics.summary(metrics.per_record(replay.replay([hero], *synthetic.staleness(s, how))), "source") for how in ("retire", "decay", "update")]
+    leaks = parts[0].unionByName(parts[1]).unionByName(parts[2])
     engines = [a.name for a in replay.ARMS if a.order in ("blend", "blind")]
-    rows = stats.verdict(summaries, stale, pairs, "M9", ["M1", "M2"], ["M3", "M4"], engines)
-    return s.createDataFrame([(i, r["criterion"], r["status"]) for i, r in enumerate(rows, 1)], "n int, criterion string, status string")
+    return stats.verdict(metrics.summary(scored, "arm"), leaks, stats.against(scored, "M9"), "M9", ["M1", "M2"], ["M3", "M4"], engines)
 
 
 @query
@@ -477,7 +492,12 @@ def judge_expressions(s, d):
 def nth_by_kind(s, d):
     """Values of events by type: the element at floor(q n), and the interpolated percentile."""
     e = t.table(s, d, "events").where("value IS NOT NULL")
-    return e.groupBy("event_type").agg(F.percentile("value", 0.95).alias("v")).select("event_type", F.round("v", 9).alias("p95"))
+    some = e.groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("event_type")
+    some = some.withColumn("upto", F.sum("n").over(by.orderBy("value"))).withColumn("all", F.sum("n").over(by))
+    at = F.least(F.col("all") - 1, F.floor(0.95 * F.col("all")))
+    nth = some.where(F.col("upto") > at).groupBy("event_type").agg(F.min("value").alias("nth"))
+    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 9).alias("p95")).join(nth, "event_type")
 
 
 @query

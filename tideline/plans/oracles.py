@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import SPACE, STOPWORDS
+from ..operators.stats import PRIME, SHARES
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -274,7 +275,7 @@ y AS (SELECT *, list_distinct(regexp_extract_all(coalesce(text, ''), '\\p{Nd}+')
 SELECT conv_id, turn, array_to_string(list_sort(nums), ',') AS numbers, len(mons)::BIGINT AS months,
   g <> '' AND (contains(h, g) OR list_has_any(nums, regexp_extract_all(h, '\\p{Nd}+')) OR list_has_any(mons, string_split(h, ' '))) AS gold,
   CASE WHEN coalesce(text, '') <> '' AND h <> '' AND g = h THEN 1.0::DOUBLE ELSE 0 END AS exact FROM y""",
-    "nth_by_kind": "SELECT event_type, round(quantile_cont(value, 0.95), 9) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
+    "nth_by_kind": "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(quantile_cont(value, 0.95), 9) AS p95, max(value) FILTER (WHERE i = least(n - 1, floor(0.95::DOUBLE * n)::BIGINT)) AS nth FROM e GROUP BY event_type",
     "formatted_p": "WITH p AS (SELECT event_type AS name, 1.0::DOUBLE / (1 + count(*) % 9973) AS p FROM events GROUP BY 1) SELECT name, CASE WHEN p < 0.001 THEN 'p<0.001' ELSE 'p=' || printf('%.3f', p) END AS p, CASE WHEN 1 / p >= 1000 THEN printf('%.0f', 1 / p) ELSE printf('%.3f', 1 / p) END AS cell FROM p",
     "near_duplicates_090": MEM + f", k AS (SELECT id, list_distinct({_TOK.format('content')}) AS k FROM mem), p AS (SELECT a.id AS a, b.id AS b, CASE WHEN len(a.k) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.k, b.k))::DOUBLE / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) END AS j FROM k a JOIN k b ON a.id < b.id AND least(len(a.k), len(b.k)) >= 0.9 * greatest(len(a.k), len(b.k)) AND len(a.k) > 0) SELECT a, b, round(j, 9) AS jaccard FROM p WHERE round(j, 9) >= 0.9",
     "restatements": MEM + f""", k AS (SELECT id, strength, created, list_distinct({_TOK.format('content')}) AS k FROM live),
@@ -289,3 +290,24 @@ jj AS (SELECT qid, id, content, list_distinct({_TOK.format("content")}) AS c, k
 j2 AS (SELECT qid, id, content, round(CASE WHEN len(c) + len(k) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(c, k))::DOUBLE / (len(c) + len(k) - len(list_intersect(c, k))) END, 9) AS j FROM jj)
 SELECT qid, id, j FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY j DESC, length(content) DESC, id) AS rn FROM j2) WHERE rn = 1""",
 }
+
+# Wilcoxon's p over all patterns of signs, for up to 20 pairs that differ; Poisson bootstrap by the same draws.
+_P_VALUE = """, diffs AS (SELECT a - b AS d FROM pr WHERE a <> b),
+ranks AS (SELECT d, (2 * rank() OVER (ORDER BY abs(d)) + count(*) OVER (PARTITION BY abs(d)) - 1)::BIGINT AS r2 FROM diffs),
+ranked AS (SELECT list(r2) AS r, coalesce(sum(r2) FILTER (WHERE d > 0), 0) AS w, count(*) AS m FROM ranks),
+signs AS (SELECT w, coalesce(list_sum(list_transform(range(0, m), lambda i: ((s.range >> i) & 1) * r[i + 1])), 0) AS v FROM ranked, range(0, (1 << (SELECT count(*) FROM diffs))::BIGINT) s),
+pv AS (SELECT round(least(1.0::DOUBLE, 2 * least(avg((v <= w)::INT), avg((v >= w)::INT))), 12) AS p FROM signs)"""
+_DRAWS = f""", drawn AS (SELECT a - b AS d, ('0x' || substr(md5(qid), 1, 7))::BIGINT AS x, ('0x' || substr(md5(qid), 9, 7))::BIGINT + 1 AS y, r.range AS r FROM pr, range(1, 10001) r WHERE a IS NOT NULL AND b IS NOT NULL),
+placed AS (SELECT r, d, ((x + r * y) % {PRIME})::DOUBLE / {PRIME}::DOUBLE AS u FROM drawn),
+weighed AS (SELECT r, d, {" + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in SHARES)} AS w FROM placed),
+means AS (SELECT r, sum(d * w) / nullif(sum(w), 0) AS m FROM weighed GROUP BY r),
+ci AS (SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means)"""
+ORACLES |= {
+    "refresh_delta": ORACLES["refresh_full"],
+    "wilcoxon_p": RECORDS + PAIRS + _P_VALUE + " SELECT 'bm25-cosine' AS name, (SELECT count(*) FROM pr) AS n, p FROM pv",
+    "bootstrap_ci": RECORDS + PAIRS + _DRAWS + " SELECT low, high FROM ci",
+    "paired_summary": RECORDS + PAIRS + _P_VALUE + _DRAWS + """, full_ AS (SELECT * FROM pr WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT 'bm25-cosine' AS name, count(*) AS n, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg(a - b), 9) AS mean_diff,
+  round(avg(CASE WHEN a > b THEN 1.0::DOUBLE WHEN a = b THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 9) AS win_rate, round(coalesce(stddev_samp(a - b), 0), 9) AS sd_diff,
+  (SELECT low FROM ci) AS ci_low, (SELECT high FROM ci) AS ci_high, (SELECT round(sum(sign(x.a - y.b))::DOUBLE / count(*), 9) FROM full_ x, full_ y) AS delta, (SELECT p FROM pv) AS p_value FROM full_""",
+}

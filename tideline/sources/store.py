@@ -57,47 +57,51 @@ def write_parquet(memories: DataFrame, path: str) -> None:
     memories.write.mode("overwrite").parquet(path)
 
 
-def write_log(log: DataFrame, path: str) -> str:
-    """A store as its log: a new folder of Parquet, then a pointer to it, moved into place."""
+def _local(spark: SparkSession, path: str) -> str:
+    """The URI of a plain path, which only a local master's executors can reach."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("on a cluster a store is exchanged as Parquet in a shared folder (write_parquet), not at a plain path")
+    return f"file://{os.path.realpath(path)}"
+
+
+def write_store(spark: SparkSession, base: DataFrame | None, log: DataFrame, path: str) -> str:
+    """A store as its base and log: a new folder of Parquet, then a pointer to it, moved into place."""
     version = f"{path}.d/{uuid.uuid4().hex}"
-    log.write.parquet(f"file://{version}" if path.startswith("/") else version)
+    root = _local(spark, version)
+    log.write.parquet(f"{root}/log")
+    if base is not None:
+        base.write.parquet(f"{root}/base")
     fd, aside = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
     with os.fdopen(fd, "w") as f:
-        json.dump({"schema": model.SCHEMA_VERSION, "log": version}, f, sort_keys=True)
+        json.dump({"schema": model.SCHEMA_VERSION, "store": version, "base": base is not None}, f, sort_keys=True)
         f.flush()
         os.fsync(f.fileno())
     os.replace(aside, path)
     return path
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log of a store; of a document of rows, adds that lead to the same state at the rows' times."""
+def read_store(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame]:
+    """(base, log) of a store; a document of rows is a base."""
     with open(path) as f:
         head = json.load(f)
     if not isinstance(head, dict):
         raise ValueError("not a store")
-    if "log" in head:
-        if not isinstance(head.get("schema"), int) or isinstance(head["schema"], bool) or head["schema"] > model.SCHEMA_VERSION:
-            raise ValueError(f"schema {head.get('schema')} is not one of this store's")
-        where = head["log"]
-        return spark.read.schema(model.EVENT).parquet(f"file://{where}" if where.startswith("/") else where)
-    return log_of(read_json(spark, f"file://{os.path.realpath(path)}"))
-
-
-def log_of(memories: DataFrame) -> DataFrame:
-    """Events that make the rows: an add each, as many accesses as they had, at their last, a pin and a retire.
-
-    Strengths are folded anew, since the log has no place for a bare score.
-    """
-    none = F.lit(None).cast("string")
-    m = memories.withColumn("n", F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)) * 4)
-    row = lambda op, ts, seq: [seq.alias("seq"), F.lit(op).alias("op"), ts.alias("ts"), F.col("id")]
-    bare = [none.alias("content"), none.alias("category"), F.lit(False).alias("protected"), none.alias("supersedes")]
-    n, used = F.col("n"), F.greatest("last_access", "created")
-    out = m.select(*row("add", F.col("created"), n), "content", "category", "protected", none.alias("supersedes"))
-    times = m.where("access_count > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("access_count").cast("int"))))
-    out = out.unionByName(times.select(*row("access", used, n + 1), *bare))
-    return out.unionByName(m.where("retired").select(*row("retire", used, n + 3), *bare))
+    if "store" not in head:
+        return base_of(read_json(spark, _local(spark, path))), spark.createDataFrame([], model.EVENT)
+    if not isinstance(head.get("schema"), int) or isinstance(head["schema"], bool) or head["schema"] > model.SCHEMA_VERSION:
+        raise ValueError(f"schema {head.get('schema')} is not one of this store's")
+    root = _local(spark, head["store"])
+    return spark.read.schema(BASE).parquet(f"{root}/base") if head["base"] else None, spark.read.schema(model.EVENT).parquet(f"{root}/log")
+
+
+#: Rows of a base: what identity needs, and what a fold goes on from.
+BASE = "id string, content string, category string, created double, superseded_by string, score double, score_at double, access_count bigint, used double, protected boolean, gone boolean, seq bigint"
+
+
+def base_of(memories: DataFrame) -> DataFrame:
+    """Rows of a store document as a base: their scores, uses, pins and replacements count as they are."""
+    number = -1 - F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1))
+    return memories.select("id", "content", "category", "created", "superseded_by", "score", "score_at", "access_count", F.col("last_access").alias("used"), "protected", F.col("retired").alias("gone"), number.alias("seq"))
 
 
 class Owner:
