@@ -14,7 +14,7 @@ from tideline.sources import synthetic
 from tideline.streaming.strength import step
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "truncated_text", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "restatements", "sketch_bottom8", "sketch_candidates", "stream_strength", "merge_duplicates", "refresh_full", "strength_as_of", "pool_600", "cosine_tf_top10", "recall_text", "ledger_state", "supersession", "restate_after_retire", "judge_expressions", "refresh_delta", "nth_by_kind", "wilcoxon_p", "bootstrap_ci", "paired_summary"]
+QUICK = ["keyword_fallback", "summary_160", "content_id", "downgrade_100", "strength_after_access", "identity_collapse", "prune_weakest", "cosine_top10", "bm25_top10", "dense_top10", "pack_tiered", "recall_flagship", "pack_truncate", "truncated_text", "record_metrics", "cliffs_delta", "holm", "near_duplicates_090", "restatements", "sketch_bottom8", "sketch_candidates", "stream_strength", "merge_duplicates", "refresh_full", "strength_as_of", "pool_600", "cosine_tf_top10", "recall_text", "ledger_state", "supersession", "restate_after_retire", "judge_expressions", "refresh_delta", "nth_by_kind", "wilcoxon_p", "bootstrap_ci", "paired_summary", "replay_feedback"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -1,14 +1,20 @@
 """Replay of scenarios: what each policy recalls for each query as of the query's day.
 
-Every query sees a store of its own, the fold of its scenario's events up to its day.  Stores of all queries are folded,
-indexed, ranked and packed together, keyed by query: times are shifted so that each query's now is 0, and ids carry the
-query in front.  A scenario's events meet its queries once each, so the work grows with events times queries of a
-scenario, as a replay does.
+Every day on which a scenario is asked has a store of its own, the fold of the scenario's events up to that day.  The
+stores of all queries are folded, indexed, ranked and packed together, keyed by store: times are shifted so that each
+store's now is 0, and ids carry the store in front.  A scenario's events meet its days of questions once each, so the work
+grows with their product, as a replay does.
 
-Policies that learn from judged answers see them as accesses at the query's day: sessions are replayed in turn, one
-round a distinct session of a scenario.
+The older policies without an engine (order of arrival, recency, BM25, counted cosine) keep every add as a row.
 
-Scenarios without queries give no row; queries without rows an empty result.  Null contents are dropped by the ledger.
+Policies that learn use what a right answer had in its context once more, at the query's day, before the next query of
+the scenario, also one of the same day.  Queries go in waves by their place in the scenario: the first of every scenario,
+then the second, and so on.  Nothing is folded again: a use lifts a strength by some amount, which fades with the row's
+rate and with each later access, as the fold is affine; so a wave adds what is left of these amounts to the strengths that
+were folded once, and the amounts of a scenario are the only thing that goes from wave to wave.
+
+Queries of a scenario are ordered by session, ``at`` (where there is one) and qid.  Scenarios without queries give no row;
+queries without rows an empty result.  Null contents are dropped by the ledger.
 """
 
 from __future__ import annotations
@@ -38,9 +44,14 @@ class Arm:
     supersedes: bool = False
     learns: bool = False
 
+    @property
+    def kept(self) -> bool:
+        """Every add is a row."""
+        return self.order in ("arrival", "recency", "bm25", "counts")
+
 
 ARMS = [
-    Arm("M0", "none", "full"), Arm("M1", "arrival", "full"), Arm("M2", "recency", "full"), Arm("M3", "bm25", "full"), Arm("M3t", "bm25", "cut"), Arm("M3p", "bm25", "ladder"), Arm("M3k", "bm25", "worth"),
+    Arm("M0", "none", "full"), Arm("M1", "arrival", "full"), Arm("M2", "recency", "full", learns=True), Arm("M3", "bm25", "full"), Arm("M3t", "bm25", "cut"), Arm("M3p", "bm25", "ladder"), Arm("M3k", "bm25", "worth"),
     Arm("M4", "counts", "full"), Arm("M6", "blind", "tiered", 0.35, retires=False), Arm("M7", "blend", "tiered", 0.35, retires=False), Arm("M8", "blend", "worth", 0.35, retires=False),
     Arm("M9", "blend", "worth", 0.35, supersedes=True), Arm("M10", "blend", "worth", 0.35, supersedes=True, learns=True), Arm("M11", "blend", "worth", 0.0, supersedes=True, learns=True),
     Arm("M12", "blend", "worth", 0.35, 0, supersedes=True, learns=True), Arm("M13", "blend", "worth", 0.35, supersedes=True), Arm("M14", "blend", "worth", 0.0, supersedes=True, learns=True),
@@ -54,39 +65,63 @@ def swept(arm: Arm, constant: str, values) -> list[Arm]:
     return [replace(arm, name=f"{constant}={value:g}", **{constant: value}) for value in values]
 
 
+def _bare(c):
+    """An id without its store."""
+    return F.when(F.contains(c, F.lit(SEP)), F.split(c, SEP, 2)[1]).otherwise(c)
+
+
+def stores_of(queries: DataFrame) -> DataFrame:
+    """queries with sid, the store of their scenario and day."""
+    return queries.withColumn("sid", F.md5(F.to_json(F.struct("scenario", F.col("session").cast("double"))).cast("binary")))
+
+
 def snapshots(events: DataFrame, queries: DataFrame) -> DataFrame:
-    """The log of each query's own store: events of its scenario up to its day, shifted so that its now is 0."""
-    q = queries.select("qid", "scenario", "session")
-    e = events.join(q, "scenario").where("day <= session")
-    own = lambda c: F.when(F.col(c).isNotNull(), F.concat("qid", F.lit(SEP), c))
-    return e.select("qid", "seq", "op", ((F.col("day") - F.col("session")) * model.DAY).alias("ts"), own("id").alias("id"), "content", "category", "protected", own("supersedes").alias("supersedes"))
+    """The log of each store: events of its scenario up to its day, shifted so that its now is 0."""
+    days = queries.select("sid", "scenario", "session").distinct()
+    # Adds without id are named once for all stores: by their text, and a number from the second on.
+    digest = F.when((F.col("op") == "add") & F.col("id").isNull(), text.content_id(F.col("content")))
+    nth = F.row_number().over(Window.partitionBy("scenario", "digest").orderBy("day", "seq"))
+    bare = events.where("op <> 'add' OR id IS NOT NULL")
+    made = events.where("op = 'add' AND id IS NULL").withColumn("digest", digest).withColumn("nth", nth)
+    made = made.withColumn("id", F.when(F.col("nth") == 1, F.col("digest")).otherwise(F.concat("digest", F.lit("-"), F.col("nth").cast("string"))))
+    e = bare.unionByName(made.select(*bare.columns)).join(days, "scenario").where("day <= session")
+    own = lambda c: F.when(F.col(c).isNotNull(), F.concat("sid", F.lit(SEP), c))
+    return e.select("sid", "seq", "op", ((F.col("day") - F.col("session")) * model.DAY).alias("ts"), own("id").alias("id"), "content", "category", "protected", own("supersedes").alias("supersedes"))
 
 
 def folded(log: DataFrame, supersedes: bool, retires: bool) -> DataFrame:
-    """State (qid, sid, id, ...) of all stores at their nows; a text is told apart by its store."""
+    """State (sid, id, ...) of all stores at their nows; a text is told apart by its store."""
     log = log if retires else log.where("op <> 'retire'")
     body = text.trimmed(F.col("content"))
-    mine = log.withColumn("content", F.when(body != "", F.concat("qid", F.lit(SEP), body)))
+    mine = log.withColumn("content", F.when(body != "", F.concat("sid", F.lit(SEP), body)))
     rows, events = ledger.resolve(mine, supersedes)
-    rows = rows.withColumn("qid", F.split(F.col("content"), SEP)[0]).withColumn("content", F.split(F.col("content"), SEP)[1])
-    return strength.fold(rows, events, 0.0)
+    rows = rows.withColumn("sid", F.split(F.col("content"), SEP, 2)[0]).withColumn("content", F.split(F.col("content"), SEP, 2)[1])
+    return strength.fold(rows, events, 0.0, exact=True)
+
+
+def every_add(log: DataFrame) -> DataFrame:
+    """State of all stores with a row an add, whatever it says."""
+    body = text.trimmed(F.col("content"))
+    adds = log.where((F.col("op") == "add") & (body != "")).withColumn("content", body)
+    rows = adds.select("id", "sid", "content", "category", F.col("ts").alias("created"), "seq")
+    return strength.fold(rows, log.where("op IN ('access', 'retire')").select("seq", "id", "op", "ts"), 0.0, exact=True)
 
 
 def _similarities(state: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, blend, counts, bm25) of live rows that share a term with their query."""
-    live = state.where("NOT retired").select("qid", "id", text.tokens(F.col("content")).alias("t"))
-    size = live.groupBy("qid").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
-    post = live.withColumn("dl", F.size("t")).select("qid", "id", "dl", F.explode("t").alias("term")).groupBy("qid", "id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("qid", "term").agg(F.count("*").alias("df")).join(size, "qid")
+    """(qid, id, blend, counts, bm25) of live rows that share a term with a query of their store."""
+    live = state.where("NOT retired").select("sid", "id", text.tokens(F.col("content")).alias("t"))
+    size = live.groupBy("sid").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
+    post = live.withColumn("dl", F.size("t")).select("sid", "id", "dl", F.explode("t").alias("term")).groupBy("sid", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = post.groupBy("sid", "term").agg(F.count("*").alias("df")).join(size, "sid")
     d, n = F.col("df"), F.col("n")
-    w = df.select("qid", "term", "avg", (F.log((n + 1) / (d + 1)) + 1).alias("w"), F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("bw"))
-    q = index.query_terms(queries).join(w, ["qid", "term"])
-    by, per = Window.partitionBy("qid"), Window.partitionBy("qid", "id")
+    w = df.select("sid", "term", "avg", (F.log((n + 1) / (d + 1)) + 1).alias("w"), F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("bw"))
+    q = index.query_terms(queries).join(queries.select("qid", "sid"), "qid").join(w, ["sid", "term"])
+    by, per = Window.partitionBy("qid"), Window.partitionBy("id")
     root = lambda x, over: F.sqrt(F.sum(x * x).over(over))
     q = q.withColumn("q1", F.col("w") / root(F.col("w"), by)).withColumn("q2", F.col("qf") * F.col("w") / root(F.col("qf") * F.col("w"), by))
     q = q.withColumn("rn", F.row_number().over(by.orderBy(F.col("w").desc(), "term")))
-    p = post.join(w, ["qid", "term"]).withColumn("n1", root(F.col("w"), per)).withColumn("n2", root(F.col("tf") * F.col("w"), per)).drop("w")
-    hit = p.join(q.select("qid", "term", "qf", "w", "q1", "q2", "rn"), ["qid", "term"])
+    p = post.join(w, ["sid", "term"]).withColumn("n1", root(F.col("w"), per)).withColumn("n2", root(F.col("tf") * F.col("w"), per)).drop("w")
+    hit = p.join(q.select("qid", "sid", "term", "qf", "w", "q1", "q2", "rn"), ["sid", "term"])
     part = F.col("qf") * F.col("bw") * F.col("tf") * (index.K1 + 1) / (F.col("tf") + index.K1 * (1 - index.B + index.B * F.col("dl") / F.col("avg")))
     return hit.groupBy("qid", "id").agg(
         F.round(F.sum(F.when(F.col("rn") <= model.TERM_LIMIT, F.col("w") / F.col("n1") * F.col("q1")).otherwise(0.0)), 9).alias("blend"),
@@ -94,14 +129,13 @@ def _similarities(state: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def ranking(arm: Arm, state: DataFrame, sims: dict[str, DataFrame]) -> DataFrame:
-    """The arm's ranked rows of every query, with ``rank`` and ``utility``."""
-    live = state.where("NOT retired")
+def ranking(arm: Arm, live: DataFrame, sims: dict[str, DataFrame]) -> DataFrame:
+    """The arm's ranked rows of every query, with ``rank`` and ``utility``; live: each query's live rows."""
     late, made = F.col("last_access").desc(), F.col("created").desc()
     if arm.order == "none":
         return rank.top(live.limit(0), 0, "id").withColumn("utility", F.lit(0.0)).withColumn("sim", F.lit(0.0))
     if arm.order in ("arrival", "recency"):
-        order = ("seq",) if arm.order == "arrival" else (late, made, "id")
+        order = ("created", "seq") if arm.order == "arrival" else (late, made, "id")
         return rank.top(live.withColumn("sim", F.lit(0.0)).withColumn("utility", F.lit(0.0)), 0, *order)
     if arm.order == "bm25":
         return rank.top(live.join(sims["bm25"], ["qid", "id"]), 0, F.col("sim").desc(), late, made, "id").withColumn("utility", 1.0 / F.col("rank"))
@@ -128,57 +162,87 @@ def packed(arm: Arm, rows: DataFrame, budget: int) -> DataFrame:
 
 
 class Stores:
-    """States and similarities of all queries' stores, made once for all arms that fold alike."""
+    """States and similarities of all stores, made once for all arms that fold alike."""
 
     def __init__(self, events: DataFrame, queries: DataFrame):
-        self.log, self.queries, self._made = snapshots(events, queries), queries, {}
+        self.queries = stores_of(queries)
+        self.log, self._made = snapshots(events, self.queries), {}
 
     def of(self, arm: Arm) -> tuple[DataFrame, dict[str, DataFrame]]:
-        key = (arm.supersedes, arm.retires)
+        key = (arm.kept, arm.supersedes and not arm.kept, arm.retires)
         if key not in self._made:
             folder = scratch.folder(self.queries.sparkSession, "stores")
-            state = scratch.written(pack.with_bodies(folded(self.log, *key)), f"{folder}/state")
+            state = every_add(self.log) if arm.kept else folded(self.log, arm.supersedes, arm.retires)
+            # The exact strength, for what learning adds; the tier's bounds are checked anew then.
+            state = scratch.written(pack.with_bodies(state.withColumn("exact", F.col("strength")).withColumn("strength", F.round("strength", 9))), f"{folder}/state")
             sims = scratch.written(_similarities(state, self.queries), f"{folder}/sims")
             self._made[key] = state, {k: sims.select("qid", "id", F.col(k).alias("sim")) for k in ("blend", "counts", "bm25")}
         return self._made[key]
 
 
-def records(arm: Arm, stores: Stores, budget: int = model.BUDGET) -> DataFrame:
-    """(arm, qid, used, ranked, chars, budget, text, judge_score, and the query's columns) of one arm.
+#: What is left of uses: ``extra`` strength at day ``on``, when the row had been accessed ``uses`` times.
+LEARNED = "scenario string, bare string, extra double, on double, uses long"
+
+
+def lifted(live: DataFrame, learned: DataFrame) -> DataFrame:
+    """live (of queries, with scenario and session) with what is left of uses added to exact, strength and last_access."""
+    keep = 1 - model.BOOST
+    x = live.withColumn("bare", _bare(F.col("id"))).join(learned, ["scenario", "bare"], "left")
+    left = F.col("extra") * F.exp(-model.rate(F.col("category")) * (F.col("session") - F.col("on"))) * F.pow(F.lit(keep), F.col("n_access") - F.col("uses"))
+    x = x.withColumn("folded", F.col("exact")).withColumn("exact", F.when(F.col("pinned"), 1.0).otherwise(F.col("exact") + F.coalesce(left, F.lit(0.0))))
+    x = x.withColumn("last_access", F.greatest("last_access", (F.col("on") - F.col("session")) * model.DAY))
+    x = x.withColumn("strength", F.round("exact", 9)).withColumn("tier", model.tier(F.col("strength"), F.col("pinned")))
+    return x.drop("extra", "on", "uses")
+
+
+def records(arm: Arm, stores: Stores, budget: int = model.BUDGET, queries: DataFrame | None = None, learned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, ranked rows) of one arm: arm, qid, used, ranked, chars, budget, text, judge_score, and the query's columns.
 
-    queries: qid, scenario, session, query, answer, evidence, stale, kind, source.
+    queries: qid, scenario, session, query, answer, evidence, stale, kind, source; of the stores', all if not given.
     """
-    queries = stores.queries
+    queries = stores.queries if queries is None else queries
     state, sims = stores.of(arm)
-    rows = ranking(arm, state, sims)
-    rows = scratch.written(rows.select("qid", "id", "rank", "utility", "tier", "full", "summary", "gist", "content"), scratch.folder(queries.sparkSession, arm.name))
+    live = state.where("NOT retired").join(queries.select("qid", "sid", "scenario", "session"), "sid")
+    live = lifted(live, learned) if learned is not None else live.withColumn("folded", F.col("exact"))
+    columns = ["qid", "id", "rank", "utility", "tier", "full", "summary", "gist", "content", "summary_text", "gist_text", "exact", "folded", "n_access", "scenario", "session"]
+    rows = scratch.written(ranking(arm, live, sims).select(*columns), scratch.folder(queries.sparkSession, arm.name))
     result = pack.for_all(packed(arm, rows, budget), queries)
-    result = pack.rendered(result, state)
+    # Bodies as of the query: a row's tier is the query's, also where only uses differ.
+    bodies = rows.select(F.concat("qid", F.lit(SEP), "id").alias("id"), "content", "summary_text", "gist_text", "tier")
+    named = result.withColumn("used", F.transform("used", lambda u: F.struct(F.concat("qid", F.lit(SEP), u["id"]).alias("id"), u["detail"].alias("detail"))))
+    result = pack.rendered(named, bodies)
     order = rows.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ranked"))
-    bare = lambda c: F.transform(c, lambda x: F.element_at(F.split(x, SEP), -1))
-    out = queries.join(result, "qid").join(order, "qid", "left").withColumn("used", bare(F.transform("used", lambda u: u["id"])))
-    out = out.withColumn("ranked", F.coalesce(bare(F.col("ranked")), F.array().cast("array<string>"))).withColumn("arm", F.lit(arm.name)).withColumn("budget", F.lit(budget))
-    return out.withColumn("judge_score", judge.oracle_grade(F.col("answer"), F.lit(""), F.col("text"), F.lit("contains")))
+    out = queries.join(result, "qid").join(order, "qid", "left").withColumn("used", F.transform("used", lambda u: _bare(F.split(u["id"], SEP, 2)[1])))
+    out = out.withColumn("ranked", F.coalesce(F.transform("ranked", _bare), F.array().cast("array<string>"))).withColumn("arm", F.lit(arm.name)).withColumn("budget", F.lit(budget))
+    return out.withColumn("judge_score", judge.oracle_grade(F.col("answer"), F.lit(""), F.col("text"), F.lit("contains"))), rows
+
+
+def taught(arm: Arm, stores: Stores, budget: int) -> DataFrame:
+    """records() of an arm that learns, in waves."""
+    spark = stores.queries.sparkSession
+    folder = scratch.folder(spark, f"learn-{arm.name}")
+    at = ["at"] if "at" in stores.queries.columns else []
+    nth = F.row_number().over(Window.partitionBy("scenario").orderBy("session", *at, "qid"))
+    asked = scratch.written(stores.queries.withColumn("wave", nth), f"{folder}/asked")
+    learned, out = spark.createDataFrame([], LEARNED), None
+    for wave in range(1, (asked.agg(F.max("wave")).first()[0] or 0) + 1):  # the most queries of a scenario
+        found, rows = records(arm, stores, budget, asked.where(F.col("wave") == wave).drop("wave"), learned)
+        found = scratch.written(found, f"{folder}/found-{wave}")
+        out = found if out is None else out.unionByName(found)
+        good = found.where("judge_score >= 1").select("qid", F.explode("used").alias("bare"))
+        used = rows.withColumn("bare", _bare(F.col("id"))).join(good, ["qid", "bare"])
+        extra = F.col("exact") + model.BOOST * (1 - F.col("exact")) - F.col("folded")
+        now = used.select("scenario", "bare", extra.alias("extra"), F.col("session").cast("double").alias("on"), F.col("n_access").cast("long").alias("uses"))
+        learned = scratch.written(learned.join(now, ["scenario", "bare"], "left_anti").select(*now.columns).unionByName(now), f"{folder}/learned-{wave}")
+    return records(arm, stores, budget, asked.limit(0).drop("wave"))[0] if out is None else out
 
 
 def replay(arms: list[Arm], events: DataFrame, queries: DataFrame, budget: int = model.BUDGET) -> DataFrame:
-    """records() of all arms.  An arm that learns is replayed session by session, where a scenario has several: what a
-    right answer had in its context is used once more at that day, for later sessions."""
+    """records() of all arms; those that learn see each query's outcome before the next of the scenario."""
     spark = queries.sparkSession
     stores = Stores(events, queries)
-    turns = queries.withColumn("turn", F.dense_rank().over(Window.partitionBy("scenario").orderBy("session")))
-    last = turns.agg(F.max("turn")).first()[0] or 0
     out = None
     for arm in arms:
-        parts, log = [], events
-        if not arm.learns or last < 2:
-            parts = [records(arm, stores, budget)]
-        else:
-            for t in range(1, last + 1):
-                now = records(arm, Stores(log, turns.where(F.col("turn") == t).drop("turn")), budget)
-                parts.append(scratch.written(now, scratch.folder(spark, "turn")))
-                good = parts[-1].where("judge_score >= 1").select("scenario", (F.lit(1 << 40) + F.xxhash64("qid") % (1 << 30)).alias("seq"), F.lit("access").alias("op"), F.col("session").cast("double").alias("day"), F.explode("used").alias("id"))
-                log = log.unionByName(good, allowMissingColumns=True)
-        for x in parts:
-            out = x if out is None else out.unionByName(x)
-    return scratch.written(out, scratch.folder(spark, "replay"))
+        x = taught(arm, stores, budget) if arm.learns else records(arm, stores, budget)[0]
+        out = x if out is None else out.unionByName(x)
+    return scratch.written(out.drop("sid"), scratch.folder(spark, "replay"))

@@ -427,6 +427,20 @@ def replay_records(s, d):
     return r.select("arm", "qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
 
 
+@query
+def replay_feedback(s, d):
+    """The order of last use, taught by its own right answers, over two questions a day and a small budget."""
+    r = replay.replay([a for a in replay.ARMS if a.name == "M2"], t.conv_events(s, d), t.conv_questions(s, d), 700)
+    return r.select("qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
+
+
+@query
+def taught_records(s, d):
+    """All policies over two questions a day and a small budget: those that learn go their own ways."""
+    r = replay.replay(replay.ARMS, t.conv_events(s, d), t.conv_questions(s, d), 700)
+    return r.select("arm", "qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
+
+
 @query
 def summary_all_arms(s, d):
     """The 22 outputs of every policy, as a whole and by kind."""

@@ -311,3 +311,24 @@ SELECT 'bm25-cosine' AS name, count(*) AS n, round(avg(a), 9) AS mean_a, round(a
   round(avg(CASE WHEN a > b THEN 1.0::DOUBLE WHEN a = b THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 9) AS win_rate, round(coalesce(stddev_samp(a - b), 0), 9) AS sd_diff,
   (SELECT low FROM ci) AS ci_low, (SELECT high FROM ci) AS ci_high, (SELECT round(sum(sign(x.a - y.b))::DOUBLE / count(*), 9) FROM full_ x, full_ y) AS delta, (SELECT p FROM pv) AS p_value FROM full_""",
 }
+
+# The order of last use with its uses carried from question to question. A row of the list to fold is an accumulator
+# with one row, so that one function folds them.
+_NORM = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), ' ')"
+ORACLES["replay_feedback"] = f"""WITH RECURSIVE c AS (SELECT conv_id::VARCHAR AS scenario, conv_id, turn, text, role || ': ' || text AS content FROM conversations),
+asked AS (SELECT a.scenario, a.turn * 2 + n.range AS nth, 'c' || a.scenario || '-' || (a.turn * 2 + n.range) AS qid, a.turn - 1 AS session, array_to_string(list_slice(string_split(b.text, ' '), 1, 4), ' ') AS answer
+  FROM c a, range(0, 2) n, c b WHERE a.turn > 0 AND b.scenario = a.scenario AND b.turn = CASE WHEN n.range = 0 THEN (a.turn * a.turn + a.conv_id) % a.turn ELSE (a.turn + 3 * a.conv_id) % a.turn END),
+q AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY session, nth) AS k,
+  (SELECT list(struct_pack(id := 't' || turn, made := turn, body := content)) FROM c WHERE c.scenario = asked.scenario AND c.turn <= asked.session) AS rows FROM asked),
+run AS (
+  SELECT scenario, 0::BIGINT AS k, ''::VARCHAR AS qid, []::VARCHAR[] AS used, 0::BIGINT AS chars, 0.0::DOUBLE AS score, []::STRUCT(id VARCHAR, day BIGINT)[] AS uses FROM (SELECT DISTINCT scenario FROM q)
+  UNION ALL
+  SELECT scenario, k, qid, p.ids, p.spent, score, CASE WHEN score >= 1 THEN list_concat(uses, list_transform(p.ids, lambda i: struct_pack(id := i, day := session))) ELSE uses END
+  FROM (SELECT *, CASE WHEN contains({_NORM.format("p.body")}, {_NORM.format("answer")}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+    FROM (SELECT r.scenario, q.k, q.qid, q.session, q.answer, r.uses,
+        list_reduce(list_concat([struct_pack(spent := 0::BIGINT, ids := []::VARCHAR[], body := ''::VARCHAR)], list_transform(list_sort(list_transform(q.rows, lambda x:
+            struct_pack(late := -greatest(x.made, coalesce(list_max(list_transform(list_filter(r.uses, lambda u: u.id = x.id), lambda u: u.day)), -1)), young := -x.made, id := x.id, body := x.body))),
+          lambda x: struct_pack(spent := length(x.body)::BIGINT, ids := [x.id], body := x.body))),
+          lambda acc, x: CASE WHEN acc.spent + x.spent + (len(acc.ids) > 0)::BIGINT <= 700 THEN struct_pack(spent := acc.spent + x.spent + (len(acc.ids) > 0)::BIGINT, ids := list_concat(acc.ids, x.ids), body := CASE WHEN len(acc.ids) > 0 THEN acc.body || chr(10) || x.body ELSE x.body END) ELSE acc END) AS p
+      FROM run r JOIN q ON q.scenario = r.scenario AND q.k = r.k + 1)))
+SELECT qid, array_to_string(used, ',') AS used_ids, chars, score AS judge_score FROM run WHERE k > 0"""

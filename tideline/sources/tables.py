@@ -108,4 +108,18 @@ def conv_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("qid"), F.col("conv_id").cast("string").alias("scenario"), (F.col("q.turn") - 1).cast("double").alias("session"), F.col("q.text").alias("query"), "answer", F.array(F.concat(F.lit("t"), F.col("pt").cast("string"))).alias("evidence"), F.array().cast("array<string>").alias("stale"), F.col("q.role").alias("kind"), F.lit("conversations").alias("source"))
 
 
-__all__ = ["base_memories", "conv_events", "conv_queries", "evidence", "line_memories", "mem_events", "mem_log", "mem_queries", "model", "table"]
+def conv_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two questions on the day before each turn from the second on, each answered by the first four words of an earlier
+    turn, which is the evidence; the second asks what the turn itself says."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    q = c.where("turn > 0").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    pick = F.when(F.col("n") == 0, (F.col("turn") * F.col("turn") + F.col("conv_id")) % F.col("turn")).otherwise((F.col("turn") + 3 * F.col("conv_id")) % F.col("turn"))
+    q = q.withColumn("pt", pick.cast("long"))
+    old = c.select("conv_id", F.col("turn").cast("long").alias("pt"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("answer"), F.col("text").alias("was"))
+    q = q.join(old, ["conv_id", "pt"])
+    at = F.col("turn") * 2 + F.col("n")
+    none = F.array().cast("array<string>")
+    return q.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), at.cast("string")).alias("qid"), F.col("conv_id").cast("string").alias("scenario"), (F.col("turn") - 1).cast("double").alias("session"), at.cast("long").alias("at"), F.when(F.col("n") == 0, F.col("was")).otherwise(F.col("text")).alias("query"), "answer", F.array(F.concat(F.lit("t"), F.col("pt").cast("string"))).alias("evidence"), none.alias("stale"), F.col("role").alias("kind"), F.lit("questions").alias("source"))
+
+
+__all__ = ["base_memories", "conv_events", "conv_queries", "conv_questions", "evidence", "line_memories", "mem_events", "mem_log", "mem_queries", "model", "table"]
