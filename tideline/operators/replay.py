@@ -26,14 +26,18 @@ from pyspark.sql import functions as F
 
 from ..functions import judge, model, text
 from ..sources import scratch
-from . import index, ledger, pack, rank, strength
+from . import facts, index, ledger, pack, rank, strength
 
 SEP = "\u0001"
 
 
 @dataclass(frozen=True)
 class Arm:
-    """order: none, arrival, recency, bm25, counts, blend or blind; packer: full, cut, ladder, worth or tiered."""
+    """order: none, arrival, recency, bm25, counts, blend or blind; packer: full, cut, ladder, worth or tiered.
+
+    alike: near-duplicate identity (operators/facts.py), with updates that retire (auto) or are merged later; else texts are
+    told apart exactly.
+    """
 
     name: str
     order: str
@@ -43,6 +47,8 @@ class Arm:
     retires: bool = True
     supersedes: bool = False
     learns: bool = False
+    alike: bool = False
+    auto: bool = True
 
     @property
     def kept(self) -> bool:
@@ -52,9 +58,9 @@ class Arm:
 
 ARMS = [
     Arm("M0", "none", "full"), Arm("M1", "arrival", "full"), Arm("M2", "recency", "full", learns=True), Arm("M3", "bm25", "full"), Arm("M3t", "bm25", "cut"), Arm("M3p", "bm25", "ladder"), Arm("M3k", "bm25", "worth"),
-    Arm("M4", "counts", "full"), Arm("M6", "blind", "tiered", 0.35, retires=False), Arm("M7", "blend", "tiered", 0.35, retires=False), Arm("M8", "blend", "worth", 0.35, retires=False),
-    Arm("M9", "blend", "worth", 0.35, supersedes=True), Arm("M10", "blend", "worth", 0.35, supersedes=True, learns=True), Arm("M11", "blend", "worth", 0.0, supersedes=True, learns=True),
-    Arm("M12", "blend", "worth", 0.35, 0, supersedes=True, learns=True), Arm("M13", "blend", "worth", 0.35, supersedes=True), Arm("M14", "blend", "worth", 0.0, supersedes=True, learns=True),
+    Arm("M4", "counts", "full"), Arm("M6", "blind", "tiered", 0.35, retires=False, alike=True), Arm("M7", "blend", "tiered", 0.35, retires=False, alike=True), Arm("M8", "blend", "worth", 0.35, retires=False, alike=True),
+    Arm("M9", "blend", "worth", 0.35, supersedes=True, alike=True), Arm("M10", "blend", "worth", 0.35, supersedes=True, learns=True, alike=True), Arm("M11", "blend", "worth", 0.0, supersedes=True, learns=True, alike=True),
+    Arm("M12", "blend", "worth", 0.35, 0, supersedes=True, learns=True, alike=True), Arm("M13", "blend", "worth", 0.35, supersedes=True, alike=True, auto=False), Arm("M14", "blend", "worth", 0.0, supersedes=True, learns=True),
 ]
 
 
@@ -107,6 +113,13 @@ def every_add(log: DataFrame) -> DataFrame:
     return strength.fold(rows, log.where("op IN ('access', 'retire')").select("seq", "id", "op", "ts"), 0.0, exact=True)
 
 
+def alike(log: DataFrame, arm: Arm) -> DataFrame:
+    """State of all stores with near-duplicate identity.  Uses by learning don't decide which of two rows a merge keeps."""
+    log = log if arm.retires else log.where("op <> 'retire'")
+    rows = facts.resolve(log, 0.0, arm.auto, arm.supersedes, exact=True)
+    return rows.withColumn("n_access", F.col("boosts")).drop("boosts", "merged")
+
+
 def _similarities(state: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, blend, counts, bm25) of live rows that share a term with a query of their store."""
     live = state.where("NOT retired").select("sid", "id", text.tokens(F.col("content")).alias("t"))
@@ -169,10 +182,10 @@ class Stores:
         self.log, self._made = snapshots(events, self.queries), {}
 
     def of(self, arm: Arm) -> tuple[DataFrame, dict[str, DataFrame]]:
-        key = (arm.kept, arm.supersedes and not arm.kept, arm.retires)
+        key = (arm.kept, arm.supersedes and not arm.kept, arm.retires, arm.alike, arm.alike and arm.auto and arm.supersedes)
         if key not in self._made:
             folder = scratch.folder(self.queries.sparkSession, "stores")
-            state = every_add(self.log) if arm.kept else folded(self.log, arm.supersedes, arm.retires)
+            state = every_add(self.log) if arm.kept else alike(self.log, arm) if arm.alike else folded(self.log, arm.supersedes, arm.retires)
             # The exact strength, for what learning adds; the tier's bounds are checked anew then.
             state = scratch.written(pack.with_bodies(state.withColumn("exact", F.col("strength")).withColumn("strength", F.round("strength", 9))), f"{folder}/state")
             sims = scratch.written(_similarities(state, self.queries), f"{folder}/sims")

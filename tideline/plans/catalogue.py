@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import judge, model, text
-from ..operators import identity, index, ledger, metrics, pack, rank, replay, stats, strength
+from ..operators import facts, identity, index, ledger, metrics, pack, rank, replay, stats, strength
 from ..sources import scratch
 from ..sources import tables as t
 from .oracles import ORACLES
@@ -174,6 +174,13 @@ def ledger_state(s, d):
     return strength.fold(rows, events, t.NOW).select("id", "category", "n_access", "strength", "retired", "tier")
 
 
+@query
+def ledger_legacy(s, d):
+    """The log under near-duplicate identity: uses, updates that retire, and the chain of merges at each day's end."""
+    rows = facts.resolve(t.mem_log(s, d), t.NOW)
+    return rows.select("id", "n_access", "strength", "retired", "superseded_by", "merged")
+
+
 @query
 def supersession(s, d):
     return _ledger(s, d)[0].where("superseded_by IS NOT NULL").select("id", "superseded_by")
