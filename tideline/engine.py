@@ -113,7 +113,7 @@ class Engine:
         retired, tier."""
         now = self.clock() if now is None else now
         if now not in self._state:
-            rows, events = ledger.resolve(self.log.where(F.col("ts") <= now), self.stale_retirement, self.base)
+            rows, events = ledger.resolve(self.log.where(F.col("ts") <= now), self.stale_retirement, self.base, True)
             self._state = {now: scratch.written(pack.with_bodies(strength.fold(rows, events, now)), scratch.folder(self.spark, "state"))}
         return self._state[now]
 
@@ -123,7 +123,7 @@ class Engine:
         """id, identity, created, retired of the rows before the tail; None if there are none."""
         if self._settled is None and (self.base is not None or self._log is not None):
             if self._log is not None and self._log.take(1):
-                rows, events = ledger.resolve(self._log, self.stale_retirement, self.base)
+                rows, events = ledger.resolve(self._log, self.stale_retirement, self.base, True)
                 rows = strength.fold(rows, events, float("inf")).withColumn("gone", F.col("retired"))
             else:
                 rows = self.base

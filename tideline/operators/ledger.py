@@ -26,6 +26,7 @@ from ..sources import scratch
 from . import strength
 
 def _order(op: Column) -> Column:
+    """Within one time."""
     return F.when(op == "add", 0).when(op == "retire", 1).otherwise(2)
 
 
@@ -45,9 +46,9 @@ def numbered_ids(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return given.unionByName(own).drop("digest")
 
 
-def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | None = None, as_called: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows: id, content, category, created, seq, superseded_by; events: seq, id, op, ts) of a log of model.EVENT.
-    With a base of such rows and strength.SNAPSHOT's columns (seq below 0), rows have these, too.
+    as_called: events of one time are in the order of seq alone.  With a base of such rows and strength.SNAPSHOT's columns (seq below 0), rows have these, too.
 
     The events are what strength.fold() takes: explicit ones on rows that exist, collapsed adds as accesses (and pins),
     protected rows as pins from the start, supersessions as retires.  Without ``stale_retirement`` nothing is superseded.
@@ -57,7 +58,8 @@ def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | Non
     e = log.where("ts IS NOT NULL AND op IS NOT NULL").withColumn("o", _order(F.col("op")))
     adds = e.where("op = 'add'").withColumn("content", text.trimmed(F.col("content"))).where("content <> ''")
     adds = adds.withColumn("identity", text.identity(F.col("content"))).withColumn("category", F.lower(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("general"))))
-    at = F.struct("ts", "o", "seq")
+    place = lambda o: F.struct("ts", F.col("seq").alias("x"), o.cast("long").alias("y")) if as_called else F.struct("ts", o.cast("long").alias("x"), F.col("seq").alias("y"))
+    at = place(F.col("o"))
     if base is not None:
         adds = adds.join(base.select(F.col("id").alias("taken")), F.col("id") == F.col("taken"), "left_anti")
         live = base.where("NOT gone").withColumn("identity", text.identity(F.col("content")))
@@ -72,7 +74,7 @@ def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | Non
     digests = adds.where("id IS NULL").select(text.content_id(F.col("content")).alias("digest"), "identity").distinct()
     retires = e.where("op = 'retire'").select(F.col("id").alias("target"), at.alias("at"))
     if stale_retirement:
-        retires = retires.unionByName(adds.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("target"), F.struct("ts", F.lit(1).alias("o"), "seq").alias("at")))
+        retires = retires.unionByName(adds.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("target"), place(F.lit(1)).alias("at")))
     known = retires.join(owners, "target")
     known = known.unionByName(retires.join(owners, "target", "left_anti").withColumn("digest", F.regexp_extract("target", "^(m-[0-9a-f]{10})", 1)).join(digests, "digest").drop("digest"))
     known = kept(known, "known")
