@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .sampling import drawn
+from .sampling import drawn, stretch
 from .words import Block, U, blocks, mix, span_hashes, windows, word_spans
 
 CONTENT, BOILERPLATE = 0, 1
@@ -215,9 +215,7 @@ class Chain:
 def fit_chain(docs: DataFrame, cap: int = 1500, longest: int = 20_000) -> Chain:
     """The model, from at most 2 * cap documents of any length.  Of one with more than ``longest`` characters so many
     are taken, from a place that a hash of its key chooses, so no part of long texts is left out by rule."""
-    size = F.length("text")
-    at = F.when(size > longest, F.pmod(F.xxhash64("doc_id", F.lit(5)), size - longest + 1)).otherwise(F.lit(0))
-    rows = drawn(docs.select("doc_id", "text").where("text is not null"), "doc_id", cap).select("doc_id", F.col("text").substr((at + 1).cast("int"), F.lit(longest)).alias("text"))
+    rows = drawn(docs.select("doc_id", "text").where("text is not null"), "doc_id", cap).select("doc_id", stretch("text", "doc_id", longest).alias("text"))
     rows = rows.orderBy("doc_id", "text").collect()
     xs, ds, ks, base = [], [], [], 0
     for b in blocks(pa.array([r["text"] for r in rows], pa.string())):

@@ -24,7 +24,7 @@ from .sampling import fold, labelled_texts
 from .words import Block, U, blocks, mix, windows, word_names
 
 WORDS, BUCKETS = 4096, 2048
-WORD_WEIGHT, BIN_WEIGHT = np.float32(0.5), np.float32(0.25)
+WORD_WEIGHT, SHAPE_WEIGHT, BIN_WEIGHT = np.float32(1.0), np.float32(0.5), np.float32(0.25)
 REPEATS = (0.0, 0.02, 0.1, 0.3, 0.6)
 LENGTHS = (0, 5, 20, 50, 200, 1000, 5000)
 TERMS = WORDS + BUCKETS
@@ -48,9 +48,13 @@ def features(b: Block) -> tuple[np.ndarray, np.ndarray]:
     shape = _SHAPE[b.data]
     if len(shape) > 2:
         tri = (shape[:-2] * np.uint32(0x9E3779B1) + shape[1:-1] * np.uint32(0x85EBCA77) + shape[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)
-        for d in range(n):
-            if off[d + 1] - off[d] > 2:
-                out[d, WORDS:TERMS] = np.bincount(tri[off[d] : off[d + 1] - 2], minlength=BUCKETS)
+        inside = np.ones(len(tri), bool)  # trigrams that reach into the next document don't count
+        for back in (1, 2):
+            edge = off[1:-1] - back
+            inside[edge[(edge >= 0) & (edge < len(tri))]] = False
+        of = np.repeat(np.arange(n), np.diff(off))[: len(tri)]
+        at = tri[inside] + of[inside] * np.int64(BUCKETS)
+        out[:, WORDS:TERMS] = np.bincount(at, minlength=n * BUCKETS).reshape(n, BUCKETS)
     names, to = word_names(b)
     count = np.diff(to)
     doc = np.repeat(np.arange(n), count)
@@ -75,10 +79,11 @@ def features(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def damped(x: np.ndarray) -> np.ndarray:
-    """Shares of words and of trigrams under a root, so documents of any length compare, beside the bins."""
-    out = x.copy()
-    for part, weight in ((slice(0, WORDS), WORD_WEIGHT), (slice(WORDS, TERMS), 1.0)):
+def damped(x: np.ndarray, own: bool = False) -> np.ndarray:
+    """Shares of words and of trigrams under a root, so documents of any length compare, beside the bins; in place if
+    x is the caller's own.  Words weigh most."""
+    out = x if own else x.copy()
+    for part, weight in ((slice(0, WORDS), WORD_WEIGHT), (slice(WORDS, TERMS), SHAPE_WEIGHT)):
         out[:, part] /= np.maximum(out[:, part].sum(axis=1, keepdims=True), 1)
         np.sqrt(out[:, part], out=out[:, part])
         out[:, part] *= weight
@@ -117,9 +122,15 @@ class Neighbours:
     def fit(cls, rows: list[tuple[str, int]], dims: int = 48, k: int = 15) -> Neighbours:
         if not rows:
             return cls(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
-        x = np.concatenate([features(b) for b in blocks(pa.array([r[0] for r in rows], pa.string()))])
-        idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-        a = damped(x)
+        a, at = np.empty((len(rows), WIDTH), np.float32), 0  # the one large matrix of the driver
+        for lo in range(0, len(rows), 64):
+            for b in blocks(pa.array([r[0] for r in rows[lo : lo + 64]], pa.string())):
+                a[at : at + b.n] = features(b)
+                at += b.n
+        df = sum((a[lo : lo + 256] > 0).sum(axis=0) for lo in range(0, len(a), 256))
+        idf = (np.log((1 + len(a)) / (1 + df)) + 1).astype(np.float32)
+        for lo in range(0, len(a), 256):
+            damped(a[lo : lo + 256], own=True)
         a *= idf
         # The right singular vectors by subspace iteration from a fixed start: the same on every machine.
         dims = min(dims, *a.shape)
