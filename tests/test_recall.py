@@ -273,3 +273,23 @@ def test_rpc_and_command_line(spark, tmp_path):
         assert run("add", "--content", "A fox.", "--id", "f") == 0 and run("pin", "f") == 0 and run("pin", "g") == 1 and run("recall", "--query", "fox") == 0 and run("list") == 0 and run("stats") == 0
     assert "A fox." in out.getvalue() and "1.0000" in out.getvalue()
     assert cli.main(["recall", "--budget", "-1"], spark) == 2
+
+
+def test_a_batch_reads_the_postings_of_its_terms_only(spark):
+    rows = [(f"m{i}", f"word{i % 97} other{i % 31} tail{i}") for i in range(400)]
+    m = spark.createDataFrame(rows, "id string, content string")
+    terms = index.idf_terms(index.document_frequency(m), m)
+    from tideline.sources import scratch
+
+    postings = scratch.written(index.bucketed(index.impacts(m, terms)), scratch.folder(spark, "postings"), ("bucket",))
+
+    def read(*queries):
+        sims = index.cosine((terms, postings), spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(queries)], "qid string, query string"))
+        plan = sims._jdf.queryExecution().executedPlan().toString()
+        return sims.count(), [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:] if "bucket" in x.split("]")[0]]
+
+    one, many = read("word3"), read(*[f"word{i} other{i % 31}" for i in range(60)])
+    assert one[0] == 5 and many[0] > 400 and one[1] and many[1]  # the folders are a filter of the scan
+    folders = lambda q: len({r[0] for r in spark.createDataFrame([(x,) for x in q], "t string").select(index.bucket("t")).collect()})
+    assert folders(["word3"]) == 1 < 30 < folders([w for i in range(60) for w in (f"word{i}", f"other{i % 31}")])
+    assert postings.where("bucket = -1").count() == 0 and {r["id"] for r in postings.where("term = 'word3'").collect()} == {f"m{i}" for i in range(3, 400, 97)}

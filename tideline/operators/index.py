@@ -1,8 +1,9 @@
 """Inverted index of texts with the impacts of each posting, and similarities as sums over a query batch's terms.
 
 The index is made once for a version of the store: ``terms`` (term, df, w, bw: its idf weights) and ``postings`` (term,
-id, and what the term adds to a unit query in each model).  A query batch's terms meet the postings in one scan; only
-what matches is dealt out, and what is broadcast is the batch's terms, behind a check of their number.
+id, and what the term adds to a unit query in each model), in folders of BUCKETS hashes of the term.  A query batch reads
+the folders of its terms in one scan; only what matches is dealt out, and what is broadcast is the batch's terms, behind a
+check of their number.
 
 Null texts have no terms.  Queries without a known term, and null ones, match nothing.  An empty store or batch gives no
 row.  Repeated rows of an id count as rows of their own, so ids must be unique.  Other columns are ignored.
@@ -18,6 +19,13 @@ from ..functions import model, text
 K1, B = 1.2, 0.75
 #: Query terms that go to every executor at once; more are met by a shuffled join.
 MOST_BROADCAST = 1 << 20
+BUCKETS = 64
+#: Terms (a word and a few numbers each) that go to every executor when postings are made.
+MOST_TERMS = 1 << 20
+
+
+def bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def document_frequency(memories: DataFrame) -> DataFrame:
@@ -40,14 +48,18 @@ def idf_terms(df: DataFrame, memories: DataFrame) -> DataFrame:
 def impacts(memories: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, id, one, many, best): what a term adds to a unit query by distinct terms, by counted terms and in BM25.
 
-    A term that many rows hold meets the frequencies through as many salted copies, so no task gets all of its rows.
+    Tokens of a row stay where the row is, so counts and norms need no shuffle but that of the rows.  Terms are
+    broadcast as long as there are few; beyond it a term that many rows hold meets the frequencies through as many salted
+    copies, so no task gets all of its rows.
     """
-    salts = 16
-    t = memories.select("id", text.tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
-    t = t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    t = t.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    w = terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    p = t.join(w, ["term", "salt"])
+    rows = memories.select("id", text.tokens(F.col("content")).alias("t")).repartition("id")
+    t = rows.withColumn("dl", F.size("t")).select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    if terms.count() <= MOST_TERMS:
+        p = t.join(F.broadcast(terms), "term")
+    else:
+        salts = 16
+        w = terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        p = t.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(w, ["term", "salt"])
     by = Window.partitionBy("id")
     one, many = F.col("w"), F.col("tf") * F.col("w")
     p = p.withColumn("n1", F.sqrt(F.sum(one * one).over(by))).withColumn("n2", F.sqrt(F.sum(many * many).over(by)))
@@ -55,9 +67,10 @@ def impacts(memories: DataFrame, terms: DataFrame) -> DataFrame:
     return p.select("term", "id", (one / F.col("n1")).alias("one"), (many / F.col("n2")).alias("many"), part.alias("best"))
 
 
-def sorted_postings(postings: DataFrame, parts: int) -> DataFrame:
-    """By term, so that a scan for few terms reads few row groups; frequent terms are cut by id."""
-    return postings.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id")
+def bucketed(postings: DataFrame) -> DataFrame:
+    """postings with ``bucket``, dealt out so that a folder's files are few and a frequent term's rows lie in several."""
+    n = postings.withColumn("bucket", bucket("term"))
+    return n.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -82,6 +95,8 @@ def weights(queries: DataFrame, terms: DataFrame, repeats: bool = False, limit:
 
 def _sums(postings: DataFrame, q: DataFrame, impact: str) -> DataFrame:
     """(qid, id, sim): sums of impacts over the terms of the queries."""
+    if "bucket" in postings.columns:
+        postings = postings.where(F.col("bucket").isin([r[0] for r in q.select(bucket("term")).distinct().collect()]))  # at most BUCKETS
     hit = postings.select("term", "id", F.col(impact).alias("x")).join(_small(q), "term")
     return hit.groupBy("qid", "id").agg(F.round(F.sum(F.col("x") * F.col("q")), 9).alias("sim"))
 

@@ -9,7 +9,7 @@ of 0 or less packs nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import model, text
@@ -21,7 +21,7 @@ def with_bodies(rows: DataFrame, content: str = "content") -> DataFrame:
     """Texts and lengths of the details of each row."""
     c = F.col(content)
     out = rows.withColumn("summary_text", text.summary(c)).withColumn("gist_text", text.gist(c))
-    return out.withColumn("full", F.length(c)).withColumn("summary", F.length("summary_text")).withColumn("gist", F.length("gist_text"))
+    return out.withColumn("full", F.length(c)).withColumn("summary", F.length("summary_text")).withColumn("gist", F.length("gist_text")).withColumn("flat", F.length(text.collapsed(c)))
 
 
 def _fold(items: Column, step) -> Column:
@@ -89,14 +89,19 @@ def by_worth(rows: DataFrame, budget: int = model.BUDGET) -> DataFrame:
     return _packed(_per_query(options, "r", "id", "o.ord", "o.cost", "o.detail"), step)
 
 
-def truncated(rows: DataFrame, budget: int = model.BUDGET, least: int = 40) -> DataFrame:
+def truncated(rows: DataFrame, budget: int = model.BUDGET, least: int = 40, bodies: DataFrame | None = None) -> DataFrame:
     """Rank order, each text cut to what is left; stops when under ``least`` characters are.  A cut body may be shorter
     than its room by blanks before the ellipsis.  A detail is the room, as text.
 
-    Only as much of a text as may be packed goes to the query's array.
+    A text that doesn't fit takes all that is left but a blank, so rows behind it are never reached: lengths alone say how
+    far a query gets, and only these texts are fetched (from ``bodies``: id, content; else rows have them).
     """
-    flat = text.collapsed(F.col("content"))
-    per = _per_query(rows, "rank", "id", F.substring(flat, 1, max(0, budget) + 1).alias("flat"))
+    size = F.col("flat") if "flat" in rows.columns else F.length(text.collapsed(F.col("content")))
+    slim = rows.select("qid", "rank", "id", size.alias("size"), *([] if bodies is not None else ["content"])).where("size > 0")
+    before = F.sum(F.col("size") + 1).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    near = slim.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= budget)
+    near = near.join(bodies.select("id", "content"), "id") if bodies is not None else near
+    per = _per_query(near, "rank", "id", F.substring(text.collapsed(F.col("content")), 1, max(0, budget) + 1).alias("flat"))
 
     def step(acc, x):
         left = budget - acc["spent"] - _gap(acc)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import judge, model, text
-from ..sources import scratch
+from ..sources import runs, scratch
 from . import facts, index, ledger, pack, rank, strength
 
 SEP = "\u0001"
@@ -250,12 +250,25 @@ def taught(arm: Arm, stores: Stores, budget: int) -> DataFrame:
     return records(arm, stores, budget, asked.limit(0).drop("wave"))[0] if out is None else out
 
 
+def one(arm: Arm, stores: Stores, budget: int) -> DataFrame:
+    """records() of an arm, taught if it learns."""
+    return (taught(arm, stores, budget) if arm.learns else records(arm, stores, budget)[0]).drop("sid")
+
+
 def replay(arms: list[Arm], events: DataFrame, queries: DataFrame, budget: int = model.BUDGET) -> DataFrame:
     """records() of all arms; those that learn see each query's outcome before the next of the scenario."""
-    spark = queries.sparkSession
     stores = Stores(events, queries)
     out = None
     for arm in arms:
-        x = taught(arm, stores, budget) if arm.learns else records(arm, stores, budget)[0]
+        x = one(arm, stores, budget)
         out = x if out is None else out.unionByName(x)
-    return scratch.written(out.drop("sid"), scratch.folder(spark, "replay"))
+    return scratch.written(out, scratch.folder(queries.sparkSession, "replay"))
+
+
+def resumable(arms: list[Arm], events: DataFrame, queries: DataFrame, folder: str, budget: int = model.BUDGET) -> DataFrame:
+    """replay() in a folder, an arm a part: a run that was stopped goes on with the arms that aren't done.  A folder whose
+    arms, budget or inputs differ is refused."""
+    rows = lambda df: [str(x) for x in df.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)"))).first()]
+    identity = {"arms": [repr(a) for a in arms], "budget": budget, "events": rows(events), "queries": rows(queries)}
+    stores = Stores(events, queries)
+    return runs.in_parts(queries.sparkSession, folder, identity, [(a.name, lambda a=a: one(a, stores, budget)) for a in arms])

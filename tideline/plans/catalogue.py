@@ -41,8 +41,8 @@ def _live(s, d):
 def _index(s, d) -> tuple[DataFrame, DataFrame]:
     """(terms, postings) of the live rows."""
     terms = _once(s, d, "terms", lambda: index.idf_terms(index.document_frequency(_live(s, d)), _live(s, d)))
-    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
-    return terms, _once(s, d, "postings", lambda: index.sorted_postings(index.impacts(_live(s, d), terms), parts))
+    key = scratch.version(_docs(s, d), t.table(s, d, "events"))
+    return terms, scratch.once(s, "postings", key, lambda: index.bucketed(index.impacts(_live(s, d), terms)), ("bucket",))
 
 
 def _texts(name: str, expr):
@@ -333,12 +333,12 @@ def recall_text(s, d):
 
 @query
 def pack_truncate(s, d):
-    return pack.ids(_all(s, d, pack.truncated(_bm25(s, d))))
+    return pack.ids(_all(s, d, pack.truncated(_bm25(s, d), bodies=_live(s, d))))
 
 
 @query
 def truncated_text(s, d):
-    out = pack.rendered(_all(s, d, pack.truncated(_bm25(s, d))), _state(s, d))
+    out = pack.rendered(_all(s, d, pack.truncated(_bm25(s, d), bodies=_live(s, d))), _state(s, d))
     return out.select("qid", "chars", "text")
 
 
