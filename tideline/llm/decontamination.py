@@ -118,7 +118,7 @@ class Index:
 
     def __init__(self, items: list[Item], total: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         self.items = items
-        n, lengths = len(items), np.array([len(i.names) for i in items])
+        n, lengths = len(items), np.array([len(i.names) for i in items], np.int64)
         names = np.concatenate([i.names for i in items]) if n else np.zeros(0, U)
         self.terms, which = np.unique(names, return_inverse=True)
         pair, tf = np.unique(which * np.int64(max(n, 1)) + np.repeat(np.arange(n), lengths), return_counts=True)
