@@ -2,6 +2,12 @@
 
 Every stage takes what the one before kept, written and read again as Parquet, and applies its decisions; all but the
 last return the columns of documents.  The result has a row for each piece of a packed sequence.
+
+Null and empty texts are scored by the same vote as others, have no copies, leaks or secrets, and are packed as their end
+id alone.  Repeated rows stay together: of a doc_id that repeats, all rows stay or go, and those that stay are packed as
+pieces of one document each.  Rows without doc_id can't be named by a decision of the copies and benchmark stages, so they
+pass these, and are left out by packing.  Without labels every document passes the first stage; without benchmark items
+the third changes nothing; an empty table gives no row.  Further columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations

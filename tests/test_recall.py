@@ -293,3 +293,42 @@ def test_a_batch_reads_the_postings_of_its_terms_only(spark):
     folders = lambda q: len({r[0] for r in spark.createDataFrame([(x,) for x in q], "t string").select(index.bucket("t")).collect()})
     assert folders(["word3"]) == 1 < 30 < folders([w for i in range(60) for w in (f"word{i}", f"other{i % 31}")])
     assert postings.where("bucket = -1").count() == 0 and {r["id"] for r in postings.where("term = 'word3'").collect()} == {f"m{i}" for i in range(3, 400, 97)}
+
+
+def test_dense_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(-3, 4, (9000, 3)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9100, None), (9101, []), (9102, [1.0]), (9103, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = df.where("id IN (0, 7, 9100, 9102)")
+    got = {}
+    for r in rank.top(index.dense(df, q, 12), 12).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["id"], r["sim"]))
+    unit = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1.0, n)
+    for i in (0, 7):
+        s = np.round(unit @ unit[i], 6)
+        assert [g[0] for g in got[i]] == sorted(range(9000), key=lambda j: (-s[j], j))[:12]
+    assert set(got) == {0, 7} and index.dense(df, df.limit(0), 3).count() == 0
+    import pytest as _pytest
+
+    with _pytest.raises(ValueError):
+        index.dense(df, spark.range(3_000_000).selectExpr("id", "array(1D, 2D, 3D) AS embedding"), 1)
+
+
+def test_scale_rows_and_the_criterion_of_time(spark):
+    from tideline.operators import scale
+
+    e, q = synthetic.corpus(spark, 60, tail=10), synthetic.corpus_queries(spark, 60, most=2)
+    rows = scale.rows(spark, [a for a in replay.ARMS if a.name in ("M3", "M14")], e, q, passes=2)
+    got = {r["arm"]: r for r in rows.collect()}
+    assert set(got) == {"M3", "M14"} and all(r["memories"] == 60 and 0 < r["p50_ms"] <= r["p95_ms"] <= r["total_ms"] and r["cold_ms"] > 0 for r in got.values())
+    assert scale.at([3.0, 1.0, 2.0, 4.0], 0.5) == 3.0 and scale.at([], 0.5) == 0.0
+    one = spark.createDataFrame([("M14", 0.8, 100.0), ("M1", 0.5, 400.0), ("M3", 0.84, 90.0)], "arm string, hit_rate double, chars_per_hit double")
+    leaks = spark.createDataFrame([("staleness", 0.1)], "source string, stale_leak_rate double")
+    pairs = spark.createDataFrame([("M1", True, 0.2), ("M2", False, 0.1)], "name string, significant boolean, mean_diff double")
+    said = [r["status"] for r in stats.verdict(one, leaks, pairs, "M14", ["M1", "M2"], ["M3", "M4"], ["M14"], rows).orderBy("n").collect()]
+    assert said == ["PASS", "PASS", "PASS", "PASS", "NOT MEASURED", "INFORMATIONAL", "FAIL"]
+    none = [r["status"] for r in stats.verdict(one.limit(0), leaks.limit(0), pairs.limit(0), "M14", ["M1", "M2"], ["M3"], ["M14"]).orderBy("n").collect()]
+    assert none == ["PASS", "PASS", "FAIL", "NOT MEASURED", "NOT MEASURED", "NOT MEASURED", "NOT MEASURED"]

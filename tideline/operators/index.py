@@ -11,6 +11,8 @@ row.  Repeated rows of an id count as rows of their own, so ids must be unique.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,16 +122,44 @@ def with_zeros(sims: DataFrame, live: DataFrame, queries: DataFrame, k: int, *or
     return sims.unionByName(rest.select("qid", "id", F.lit(0.0).alias("sim")))
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, sim) of every query with every vector; the stated queries are few and go to all vectors in one scan."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda x: F.when(x == 0, 1.0).otherwise(x)
-    v = vectors.withColumn("vn", unit(F.sqrt(dot(F.col("embedding"), F.col("embedding")))))
-    q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qe")).withColumn("qn", unit(F.sqrt(dot(F.col("qe"), F.col("qe")))))
-    n = q.limit(MOST_BROADCAST + 1).count()
-    if n > MOST_BROADCAST:
+#: Numbers of the query vectors that go to every executor (8 bytes each).
+MOST_NUMBERS = 1 << 23
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, sim): of every query the k vectors (id, embedding) that are most like it, ties by id, among the rows of
+    each block; rank.top() cuts what blocks give to k.
+
+    The query vectors (id, embedding) are one matrix of at most MOST_NUMBERS numbers; more have to come in batches.  Blocks
+    of vectors are multiplied by it.  Null and empty vectors, and those of another length than the queries', are left out;
+    a vector of zeros has similarity 0.
+    """
+    full = lambda df: df.where("embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL)")
+    size = full(queries).agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if size[0] * size[1] > MOST_NUMBERS:
         raise ValueError("so many query vectors have to come in batches")
-    return v.crossJoin(F.broadcast(q)).select("qid", "id", F.round(dot(F.col("embedding"), F.col("qe")) / (F.col("vn") * F.col("qn")), 6).alias("sim"))
+    asked = full(queries).where(F.size("embedding") == size[1]).orderBy("id").collect()
+    width = size[1]
+    unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(axis=1, keepdims=True))) == 0, 1.0, n)
+    q, names = unit(np.array([r["embedding"] for r in asked], float).reshape(len(asked), width)), np.array([r["id"] for r in asked], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.slice(lo, 4096)
+                ids = part.column(0).to_numpy()
+                sims = np.round(unit(part.column(1).flatten().to_numpy().astype(float).reshape(len(part), width)) @ q.T, 6)
+                out = []
+                for j in range(len(names)):
+                    s = sims[:, j]
+                    some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                    some = some[np.lexsort((ids[some], -s[some]))[:k]]
+                    out.append((np.full(len(some), names[j]), ids[some], s[some]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["qid", "id", "sim"])
+
+    rows = full(vectors).where(F.size("embedding") == width).select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
+    return rows.mapInArrow(run, "qid long, id long, sim double")
 
 
 def sketch_candidates(memories: DataFrame, scan: int = 96, most: int = 64) -> DataFrame:

@@ -242,7 +242,7 @@ def bm25_top10(s, d):
 
 def _dense(s, d, queries: str):
     v = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return rank.top(index.dense(v, v.where(queries)).where("qid <> id"), TOP)
+    return rank.top(index.dense(v, v.where(queries), TOP + 1).where("qid <> id"), TOP)  # a query is most like itself
 
 
 @query
