@@ -443,8 +443,9 @@ def replay_feedback(s, d):
 
 @query
 def taught_records(s, d):
-    """All policies over two questions a day and a small budget: those that learn go their own ways."""
-    r = replay.replay(replay.ARMS, t.conv_events(s, d), t.conv_questions(s, d), 700)
+    """The blend of the older policies, taught and not, and today's, over two questions a day and a small budget."""
+    arms = [a for a in replay.ARMS if a.name in ("M9", "M10", "M14")]
+    r = replay.replay(arms, t.conv_events(s, d), t.conv_questions(s, d), 700)
     return r.select("arm", "qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
 
 
