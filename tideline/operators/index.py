@@ -97,9 +97,11 @@ def weights(queries: DataFrame, terms: DataFrame, repeats: bool = False, limit:
 
 def _sums(postings: DataFrame, q: DataFrame, impact: str) -> DataFrame:
     """(qid, id, sim): sums of impacts over the terms of the queries."""
+    rows = q.groupBy(bucket("term").alias("bucket")).agg(F.count("*").alias("n")).collect()  # at most BUCKETS
     if "bucket" in postings.columns:
-        postings = postings.where(F.col("bucket").isin([r[0] for r in q.select(bucket("term")).distinct().collect()]))  # at most BUCKETS
-    hit = postings.select("term", "id", F.col(impact).alias("x")).join(_small(q), "term")
+        postings = postings.where(F.col("bucket").isin([r["bucket"] for r in rows]))
+    q = F.broadcast(q) if sum(r["n"] for r in rows) <= MOST_BROADCAST else q
+    hit = postings.select("term", "id", F.col(impact).alias("x")).join(q, "term")
     return hit.groupBy("qid", "id").agg(F.round(F.sum(F.col("x") * F.col("q")), 9).alias("sim"))
 
 
@@ -118,8 +120,8 @@ def with_zeros(sims: DataFrame, live: DataFrame, queries: DataFrame, k: int, *or
     """sims with the rows that match nothing at 0.0, as many a query as may be among its first k: the first k of all
     live rows by ``order``, which has to be the order of equals."""
     head = live.select("id", *[c for c in live.columns if c != "id"]).orderBy(*order).limit(k).select("id")
-    rest = head.crossJoin(_small(queries.select("qid"))).join(sims.select("qid", "id"), ["qid", "id"], "left_anti")
-    return sims.unionByName(rest.select("qid", "id", F.lit(0.0).alias("sim")))
+    rest = head.crossJoin(_small(queries.select("qid"))).select("qid", "id", F.lit(0.0).alias("sim"))
+    return sims.unionByName(rest).groupBy("qid", "id").agg(F.max("sim").alias("sim"))
 
 
 #: Numbers of the query vectors that go to every executor (8 bytes each).

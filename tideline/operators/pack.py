@@ -1,7 +1,8 @@
 """Budget allocators: greedy packers that skip what does not fit, as one fold over each query's ordered candidates.
 
-A pool has at most 600 rows, so an array of a query's candidates is small at any size of the store; the fold's checks
-of what is packed already cost at most 600 steps a candidate.  Folds see lengths alone; ``rendered`` fetches the bodies
+A pool has at most 600 rows, so an array of a query's candidates is small at any size of the store, and bodies longer than
+the whole budget are never in it; the fold's checks of what is packed already cost at most 600 steps a candidate.  Folds
+see lengths alone; ``rendered`` fetches the bodies
 of what was packed.  Bodies of no length, null texts among them, are only packed in rank order, where they cost their
 separator.  A query without candidates has an empty result where the caller names the queries (``for_all``).  A budget
 of 0 or less packs nothing.
@@ -53,7 +54,8 @@ def in_order(rows: DataFrame, detail: Column, budget: int = model.BUDGET) -> Dat
         total = x["cost"] + _gap(acc)
         return F.when(acc["spent"] + total <= budget, _take(acc, x["id"], x["detail"], total)).otherwise(acc)
 
-    return _packed(_per_query(rows, "rank", "id", cost.alias("cost"), detail.alias("detail")), step)
+    fit = rows.select("qid", "rank", "id", cost.alias("cost"), detail.alias("detail")).where(F.col("cost") <= budget)
+    return _packed(_per_query(fit, "rank", "id", "cost", "detail"), step)
 
 
 def tiered(rows: DataFrame, budget: int = model.BUDGET) -> DataFrame:
@@ -76,7 +78,7 @@ def by_worth(rows: DataFrame, budget: int = model.BUDGET) -> DataFrame:
     ladder = [(t, d, i) for t, ds in model.LADDER.items() for i, d in enumerate(ds)]
     details = F.filter(
         F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(i).alias("ord"), F.col(d).alias("cost"), F.lit(model.WORTH[d]).alias("worth"), F.lit(d).alias("detail")) for t, d, i in ladder]),
-        lambda x: (x["tier"] == F.col("tier")) & (x["cost"] > 0),
+        lambda x: (x["tier"] == F.col("tier")) & (x["cost"] > 0) & (x["cost"] <= budget),
     )
     options = rows.where("utility > 0").select("qid", "id", "utility", F.explode(details).alias("o"))
     options = options.withColumn("r", -F.round(F.col("utility") * F.col("o.worth") / F.col("o.cost"), 12))

@@ -34,19 +34,23 @@ def candidates(sims: DataFrame, state: DataFrame, queries: DataFrame, prior: flo
 
     A row without one can only be among the first ``pool`` of a query if it is among the first ``pool`` by pins,
     strength and id, since a similarity never lowers a score; so each query meets that many rows besides its matches, at
-    any size of the store.
+    any size of the store.  Matches are cut to ``pool`` before these join them: a match that is cut, and so what stands
+    for it at 0, has ``pool`` better ones.
     """
     live = state.where("NOT retired")
     slim = live.select("id", "pinned", "strength")
     head = slim.orderBy(F.col("pinned").desc(), F.col("strength").desc(), "id")
     head = head.limit(pool) if pool else head
     n = queries.select("qid").distinct()
-    rest = head.crossJoin(F.broadcast(n) if n.count() <= MOST_BROADCAST else n).join(sims.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("sim", F.lit(0.0))
-    rows = placed(sims, slim, "pinned", "strength")
-    rows = rows.unionByName(rest.select(rows.columns))
+    rest = head.crossJoin(F.broadcast(n) if n.count() <= MOST_BROADCAST else n).withColumn("sim", F.lit(0.0))
     value = F.round(F.col("sim") + prior * F.col("strength"), 9)
-    rows = rows.withColumn("utility", value + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
     order = (F.col("pinned").desc(), value.desc(), F.col("strength").desc(), "id")
+    rows = placed(sims, slim, "pinned", "strength")
+    rows = top(rows, pool, *order).drop("rank") if pool else rows
+    rows = rows.unionByName(rest.select(rows.columns)).repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+    twin = F.row_number().over(Window.partitionBy("qid", "id").orderBy(F.col("sim").desc()))
+    rows = rows.withColumn("twin", twin).where("twin = 1").drop("twin")
+    rows = rows.withColumn("utility", value + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
     return top(rows, pool, *order).drop("pinned", "strength").join(live, "id")
 
 
