@@ -220,8 +220,9 @@ class Engine:
     def index(self, now: float | None = None) -> tuple[DataFrame, DataFrame]:
         """(terms, postings) of the live rows."""
         live = self.state(now).where("NOT retired")
-        terms = scratch.written(index.idf_terms(index.document_frequency(live), live), scratch.folder(self.spark, "terms"))
-        return terms, scratch.written(index.bucketed(index.impacts(live, terms)), scratch.folder(self.spark, "postings"), ("bucket",))
+        bags = scratch.written(index.bags(live), scratch.folder(self.spark, "bags"))
+        terms = scratch.written(index.terms_of(bags, live), scratch.folder(self.spark, "terms"))
+        return terms, scratch.written(index.bucketed(index.impacts_of(bags, terms)), scratch.folder(self.spark, "postings"), ("bucket",))
 
     def pool(self, queries: DataFrame, now: float | None = None, similar: bool = True) -> DataFrame:
         """Ranked candidates of queries (qid, query); empty queries rank by strength, as all do without similarity."""

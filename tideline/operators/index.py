@@ -43,30 +43,52 @@ def _population(df: DataFrame, memories: DataFrame) -> DataFrame:
 
 def idf_terms(df: DataFrame, memories: DataFrame) -> DataFrame:
     """(term, df, w, bw, avg): weights of the cosine models and of BM25."""
+    return _weighted(_population(df, memories))
+
+
+def _weighted(df: DataFrame) -> DataFrame:
     d, n = F.col("df"), F.col("n")
-    return _population(df, memories).select("term", "df", (F.log((n + 1) / (d + 1)) + 1).alias("w"), F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("bw"), "avg")
+    return df.select("term", "df", (F.log((n + 1) / (d + 1)) + 1).alias("w"), F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("bw"), "avg")
+
+
+def bags(memories: DataFrame) -> DataFrame:
+    """(id, dl, term, tf): how often a row of dl tokens has each term.
+
+    Tokens stay where their row is, so counting them needs no shuffle but that of the rows.
+    """
+    rows = memories.select("id", text.tokens(F.col("content")).alias("t")).repartition("id")
+    return rows.withColumn("dl", F.size("t")).select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def terms_of(bags: DataFrame, memories: DataFrame) -> DataFrame:
+    """idf_terms() of memories, from their written bags: no text is cut again.  Rows without a token count, too."""
+    n = memories.agg(F.count("*").alias("n"))
+    tokens = bags.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("tokens"))
+    size = n.crossJoin(F.broadcast(tokens)).select("n", F.try_divide("tokens", F.col("n").cast("double")).alias("avg"))  # one row each
+    return _weighted(bags.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)))
 
 
 def impacts(memories: DataFrame, terms: DataFrame) -> DataFrame:
+    """impacts_of() the bags of memories."""
+    return impacts_of(bags(memories), terms)
+
+
+def impacts_of(bags: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, id, one, many, best): what a term adds to a unit query by distinct terms, by counted terms and in BM25.
 
-    Tokens of a row stay where the row is, so counts and norms need no shuffle but that of the rows.  Terms are
-    broadcast as long as there are few; beyond it a term that many rows hold meets the frequencies through as many salted
-    copies, so no task gets all of its rows.
+    Terms are broadcast as long as there are few; beyond it a term that many rows hold meets the frequencies through as
+    many salted copies, so no task gets all of its rows.  Norms are one sum a row, cut down before they are shuffled.
     """
-    rows = memories.select("id", text.tokens(F.col("content")).alias("t")).repartition("id")
-    t = rows.withColumn("dl", F.size("t")).select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     if terms.count() <= MOST_TERMS:
-        p = t.join(F.broadcast(terms), "term")
+        p = bags.join(F.broadcast(terms), "term")
     else:
         salts = 16
         w = terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        p = t.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(w, ["term", "salt"])
-    by = Window.partitionBy("id")
+        p = bags.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(w, ["term", "salt"])
     one, many = F.col("w"), F.col("tf") * F.col("w")
-    p = p.withColumn("n1", F.sqrt(F.sum(one * one).over(by))).withColumn("n2", F.sqrt(F.sum(many * many).over(by)))
+    norms = p.groupBy("id").agg(F.sqrt(F.sum(one * one)).alias("n1"), F.sqrt(F.sum(many * many)).alias("n2"))
     part = F.col("bw") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    return p.select("term", "id", (one / F.col("n1")).alias("one"), (many / F.col("n2")).alias("many"), part.alias("best"))
+    return p.join(norms, "id").select("term", "id", (one / F.col("n1")).alias("one"), (many / F.col("n2")).alias("many"), part.alias("best"))
 
 
 def bucketed(postings: DataFrame) -> DataFrame:

@@ -40,9 +40,10 @@ def _live(s, d):
 
 def _index(s, d) -> tuple[DataFrame, DataFrame]:
     """(terms, postings) of the live rows."""
-    terms = _once(s, d, "terms", lambda: index.idf_terms(index.document_frequency(_live(s, d)), _live(s, d)))
+    bags = _once(s, d, "bags", lambda: index.bags(_live(s, d)))
+    terms = _once(s, d, "terms", lambda: index.terms_of(bags, _live(s, d)))
     key = scratch.version(_docs(s, d), t.table(s, d, "events"))
-    return terms, scratch.once(s, "postings", key, lambda: index.bucketed(index.impacts(_live(s, d), terms)), ("bucket",))
+    return terms, scratch.once(s, "postings", key, lambda: index.bucketed(index.impacts_of(bags, terms)), ("bucket",))
 
 
 def _texts(name: str, expr):
