@@ -5,7 +5,12 @@ stores of all queries are folded, indexed, ranked and packed together, keyed by
 store's now is 0, and ids carry the store in front.  A scenario's events meet its days of questions once each, so the work
 grows with their product, as a replay does.
 
-The older policies without an engine (order of arrival, recency, BM25, counted cosine) keep every add as a row.
+The older policies without an engine (order of arrival, recency, BM25, counted cosine, dense cosine) keep every add as a
+row.
+
+Vectors (scenario, id, embedding) are those of rows, and of queries by their qid.  Without one, with another length than
+the query's, or with a null or non-finite number in it, a row's dense similarity is 0, as all are for such a query; a
+vector of zeros is like nothing.  Of several vectors of an id the smallest counts.
 
 Policies that learn use what a right answer had in its context once more, at the query's day, before the next query of
 the scenario, also one of the same day.  Queries go in waves by their place in the scenario: the first of every scenario,
@@ -33,7 +38,7 @@ SEP = "\u0001"
 
 @dataclass(frozen=True)
 class Arm:
-    """order: none, arrival, recency, bm25, counts, blend or blind; packer: full, cut, ladder, worth or tiered.
+    """order: none, arrival, recency, bm25, counts, dense, blend or blind; packer: full, cut, ladder, worth or tiered.
 
     alike: near-duplicate identity (operators/facts.py), with updates that retire (auto) or are merged later; else texts are
     told apart exactly.
@@ -53,7 +58,7 @@ class Arm:
     @property
     def kept(self) -> bool:
         """Every add is a row."""
-        return self.order in ("arrival", "recency", "bm25", "counts")
+        return self.order in ("arrival", "recency", "bm25", "counts", "dense")
 
 
 ARMS = [
@@ -63,6 +68,9 @@ ARMS = [
     Arm("M12", "blend", "worth", 0.35, 0, supersedes=True, learns=True, alike=True), Arm("M13", "blend", "worth", 0.35, supersedes=True, alike=True, auto=False), Arm("M14", "blend", "worth", 0.0, supersedes=True, learns=True),
 ]
 
+#: The policy by vectors, which a replay has to be given.
+M5 = Arm("M5", "dense", "full")
+
 
 def swept(arm: Arm, constant: str, values) -> list[Arm]:
     """The arm once for each value of one of its numeric constants, named after it; they share folds and similarities."""
@@ -142,6 +150,24 @@ def _similarities(state: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def _dense(state: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, id, sim): cosines of live rows with the queries of their store, where both have vectors of one length.
+
+    Vectors are cut to unit length once, before rows meet queries, and travel with their rows: what meets in a store is
+    its rows and its day's queries.
+    """
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    v = vectors.select("scenario", "id", F.col("embedding").cast("array<double>").alias("embedding")).where((F.size("embedding") > 0) & ~odd)
+    v = v.groupBy("scenario", "id").agg(F.min("embedding").alias("e"))
+    v = v.withColumn("n", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
+    v = v.select("scenario", F.col("id").alias("bare"), F.transform("e", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)).alias("u"))
+    rows = state.where("NOT retired").select("sid", "id", _bare(F.col("id")).alias("bare"))
+    rows = rows.join(queries.select("sid", "scenario").distinct(), "sid").join(v, ["scenario", "bare"]).select("sid", "id", "u")
+    asked = queries.select("qid", "sid", "scenario", F.col("qid").alias("bare")).join(v.withColumnRenamed("u", "q"), ["scenario", "bare"]).select("qid", "sid", "q")
+    dot = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(asked, "sid").where(F.size("u") == F.size("q")).select("qid", "id", F.round(dot, 9).alias("sim"))
+
+
 def ranking(arm: Arm, live: DataFrame, sims: dict[str, DataFrame]) -> DataFrame:
     """The arm's ranked rows of every query, with ``rank`` and ``utility``; live: each query's live rows."""
     late, made = F.col("last_access").desc(), F.col("created").desc()
@@ -152,12 +178,12 @@ def ranking(arm: Arm, live: DataFrame, sims: dict[str, DataFrame]) -> DataFrame:
         return rank.top(live.withColumn("sim", F.lit(0.0)).withColumn("utility", F.lit(0.0)), 0, *order)
     if arm.order == "bm25":
         return rank.top(live.join(sims["bm25"], ["qid", "id"]), 0, F.col("sim").desc(), late, made, "id").withColumn("utility", 1.0 / F.col("rank"))
-    kind = "counts" if arm.order == "counts" else "blend"
+    kind = arm.order if arm.order in ("counts", "dense") else "blend"
     rows = live.join(sims[kind], ["qid", "id"], "left") if arm.order != "blind" else live.withColumn("sim", F.lit(0.0))
     rows = rows.withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     value = F.round(F.col("sim") + arm.prior * F.col("strength"), 9)
     rows = rows.withColumn("utility", value + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
-    if arm.order == "counts":
+    if arm.order in ("counts", "dense"):
         return rank.top(rows, 0, F.col("sim").desc(), late, "id")
     if arm.order == "blind":
         return rank.top(rows, arm.pool, *rank.blind_order())
@@ -177,8 +203,8 @@ def packed(arm: Arm, rows: DataFrame, budget: int) -> DataFrame:
 class Stores:
     """States and similarities of all stores, made once for all arms that fold alike."""
 
-    def __init__(self, events: DataFrame, queries: DataFrame):
-        self.queries = stores_of(queries)
+    def __init__(self, events: DataFrame, queries: DataFrame, vectors: DataFrame | None = None):
+        self.queries, self.vectors = stores_of(queries), vectors
         self.log, self._made = snapshots(events, self.queries), {}
 
     def of(self, arm: Arm) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -190,7 +216,12 @@ class Stores:
             state = scratch.written(pack.with_bodies(state.withColumn("exact", F.col("strength")).withColumn("strength", F.round("strength", 9))), f"{folder}/state")
             sims = scratch.written(_similarities(state, self.queries), f"{folder}/sims")
             self._made[key] = state, {k: sims.select("qid", "id", F.col(k).alias("sim")) for k in ("blend", "counts", "bm25")}
-        return self._made[key]
+        state, sims = self._made[key]
+        if arm.order == "dense" and "dense" not in sims:
+            if self.vectors is None:
+                raise ValueError(f"{arm.name} ranks by vectors, and there are none")
+            sims["dense"] = scratch.written(_dense(state, self.queries, self.vectors), scratch.folder(self.queries.sparkSession, "dense"))
+        return state, sims
 
 
 #: What is left of uses: ``extra`` strength at day ``on``, when the row had been accessed ``uses`` times.
@@ -255,9 +286,9 @@ def one(arm: Arm, stores: Stores, budget: int) -> DataFrame:
     return (taught(arm, stores, budget) if arm.learns else records(arm, stores, budget)[0]).drop("sid")
 
 
-def replay(arms: list[Arm], events: DataFrame, queries: DataFrame, budget: int = model.BUDGET) -> DataFrame:
+def replay(arms: list[Arm], events: DataFrame, queries: DataFrame, budget: int = model.BUDGET, vectors: DataFrame | None = None) -> DataFrame:
     """records() of all arms; those that learn see each query's outcome before the next of the scenario."""
-    stores = Stores(events, queries)
+    stores = Stores(events, queries, vectors)
     out = None
     for arm in arms:
         x = one(arm, stores, budget)
@@ -265,10 +296,11 @@ def replay(arms: list[Arm], events: DataFrame, queries: DataFrame, budget: int =
     return scratch.written(out, scratch.folder(queries.sparkSession, "replay"))
 
 
-def resumable(arms: list[Arm], events: DataFrame, queries: DataFrame, folder: str, budget: int = model.BUDGET) -> DataFrame:
+def resumable(arms: list[Arm], events: DataFrame, queries: DataFrame, folder: str, budget: int = model.BUDGET, vectors: DataFrame | None = None) -> DataFrame:
     """replay() in a folder, an arm a part: a run that was stopped goes on with the arms that aren't done.  A folder whose
     arms, budget or inputs differ is refused."""
     rows = lambda df: [str(x) for x in df.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)"))).first()]
     identity = {"arms": [repr(a) for a in arms], "budget": budget, "events": rows(events), "queries": rows(queries)}
-    stores = Stores(events, queries)
+    identity |= {"vectors": rows(vectors)} if vectors is not None else {}
+    stores = Stores(events, queries, vectors)
     return runs.in_parts(queries.sparkSession, folder, identity, [(a.name, lambda a=a: one(a, stores, budget)) for a in arms])

@@ -442,6 +442,13 @@ def replay_feedback(s, d):
     return r.select("qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
 
 
+@query
+def dense_records(s, d):
+    """What the policy by vectors recalls at the last turn of every conversation."""
+    r = replay.replay([replay.M5], t.conv_events(s, d), t.conv_queries(s, d), vectors=t.conv_vectors(s, d))
+    return r.select("qid", F.array_join("used", ",").alias("used_ids"), "chars", "judge_score")
+
+
 @query
 def taught_records(s, d):
     """The blend of the older policies, taught and not, and today's, over two questions a day and a small budget."""

@@ -332,3 +332,16 @@ run AS (
           lambda acc, x: CASE WHEN acc.spent + x.spent + (len(acc.ids) > 0)::BIGINT <= 700 THEN struct_pack(spent := acc.spent + x.spent + (len(acc.ids) > 0)::BIGINT, ids := list_concat(acc.ids, x.ids), body := CASE WHEN len(acc.ids) > 0 THEN acc.body || chr(10) || x.body ELSE x.body END) ELSE acc END) AS p
       FROM run r JOIN q ON q.scenario = r.scenario AND q.k = r.k + 1)))
 SELECT qid, array_to_string(used, ',') AS used_ids, chars, score AS judge_score FROM run WHERE k > 0"""
+ORACLES["dense_records"] = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings),
+c AS (SELECT conv_id, turn, text, role || ': ' || text AS body, list_transform(e, lambda x: x / CASE WHEN list_dot_product(e, e) > 0 THEN sqrt(list_dot_product(e, e)) ELSE 1 END) AS u
+  FROM conversations, v WHERE vec_id = (31 * conv_id + 7 * turn) % n),
+q AS (SELECT a.conv_id, a.u, b.turn AS day, b.text AS answer FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.turn = (SELECT max(turn) FROM c x WHERE x.conv_id = a.conv_id)),
+pool AS (SELECT q.conv_id, q.answer, list(struct_pack(far := -round(list_dot_product(c.u, q.u), 9), late := -c.turn, id := 't' || c.turn, body := trim(c.body, ' ' || chr(9) || chr(10) || chr(13)))
+    ORDER BY -round(list_dot_product(c.u, q.u), 9), -c.turn) AS rows
+  FROM q JOIN c ON c.conv_id = q.conv_id AND c.turn <= q.day GROUP BY ALL),
+packed AS (SELECT conv_id, answer, list_reduce(list_concat([struct_pack(spent := 0::BIGINT, ids := []::VARCHAR[], body := ''::VARCHAR)],
+    list_transform(rows, lambda x: struct_pack(spent := length(x.body)::BIGINT, ids := [x.id], body := x.body))),
+  lambda acc, x: CASE WHEN acc.spent + x.spent + (len(acc.ids) > 0)::BIGINT <= 2200 THEN struct_pack(spent := acc.spent + x.spent + (len(acc.ids) > 0)::BIGINT, ids := list_concat(acc.ids, x.ids),
+    body := CASE WHEN len(acc.ids) > 0 THEN acc.body || chr(10) || x.body ELSE x.body END) ELSE acc END) AS p FROM pool)
+SELECT 'c' || conv_id AS qid, array_to_string(p.ids, ',') AS used_ids, p.spent AS chars,
+  CASE WHEN contains({_NORM.format("p.body")}, {_NORM.format("answer")}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS judge_score FROM packed"""

@@ -108,6 +108,21 @@ def conv_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("qid"), F.col("conv_id").cast("string").alias("scenario"), (F.col("q.turn") - 1).cast("double").alias("session"), F.col("q.text").alias("query"), "answer", F.array(F.concat(F.lit("t"), F.col("pt").cast("string"))).alias("evidence"), F.array().cast("array<string>").alias("stale"), F.col("q.role").alias("kind"), F.lit("conversations").alias("source"))
 
 
+def conv_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scenario, id, embedding) of turns, and of the question of conv_queries, which is the last turn.
+
+    No table says which vector is a text's, so a turn has the one that 31 * conv_id + 7 * turn names, around.
+    """
+    c, v = table(spark, sf_dir, "conversations").select("conv_id", "turn"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = v.count()  # from file footers
+    c = c.withColumn("vec_id", F.pmod(31 * F.col("conv_id") + 7 * F.col("turn"), F.lit(max(1, n))))
+    last = c.groupBy("conv_id").agg(F.max_by("vec_id", "turn").alias("vec_id"))
+    name = F.col("conv_id").cast("string")
+    ids = c.select(name.alias("scenario"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), "vec_id")
+    ids = ids.unionByName(last.select(name.alias("scenario"), F.concat(F.lit("c"), name).alias("id"), "vec_id"))
+    return ids.join(v, "vec_id").select("scenario", "id", "embedding")
+
+
 def conv_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two questions on the day before each turn from the second on, each answered by the first four words of an earlier
     turn, which is the evidence; the second asks what the turn itself says."""
@@ -122,4 +137,4 @@ def conv_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), at.cast("string")).alias("qid"), F.col("conv_id").cast("string").alias("scenario"), (F.col("turn") - 1).cast("double").alias("session"), at.cast("long").alias("at"), F.when(F.col("n") == 0, F.col("was")).otherwise(F.col("text")).alias("query"), "answer", F.array(F.concat(F.lit("t"), F.col("pt").cast("string"))).alias("evidence"), none.alias("stale"), F.col("role").alias("kind"), F.lit("questions").alias("source"))
 
 
-__all__ = ["base_memories", "conv_events", "conv_queries", "conv_questions", "evidence", "line_memories", "mem_events", "mem_log", "mem_queries", "model", "table"]
+__all__ = ["base_memories", "conv_events", "conv_queries", "conv_questions", "conv_vectors", "evidence", "line_memories", "mem_events", "mem_log", "mem_queries", "model", "table"]
