@@ -142,3 +142,15 @@ def test_query_against_all_pairs(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.op11_token_combinations(spark, SF).collect())
     assert got == plain(rows, 3, 90)
     assert len({c for _, _, c in got}) < 0.95 * len(got)
+
+
+def test_second_round_has_no_buckets_of_two(spark, monkeypatch):
+    """Texts that share one sentence with one other each: the first round has compared all there is to compare."""
+    rows = []
+    for i in range(0, 60, 2):
+        shared = " ".join(f"s{i}x{j}" for j in range(30))
+        rows += [(i + e, f"{shared} " + " ".join(f"o{i + e}x{j}" for j in range(6))) for e in (0, 1)]
+    seen, written = {}, jj.store.written
+    monkeypatch.setattr(jj.store, "written", lambda df, path: seen.setdefault(path.rsplit("/", 1)[-1], written(df, path)))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90) == plain(rows, 3, 90)
+    assert seen["star"].count() > 0 and seen["open"].count() == 0

@@ -41,6 +41,8 @@ from .neardup import components, parities
 from .words import STEP, U, blocks, mix, shingles, word_names
 
 RARE, FREQUENT, SET_BITS = 32, 1024, 1024
+#: Keys of a set that travel with its rows of the second round: of pairs that share many, one of the first is shared.
+FIRST_KEYS = 16
 
 
 def spare(n, percent: int):
@@ -193,17 +195,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         texts = classes.texts(docs, reps, some, k, f"{folder}/{name}-texts")
         return store.written(classes.confirmed(near, texts, k, percent), f"{folder}/{name}-links")
 
-    star = slim.join(central, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("p"), F.greatest("rep", "pivot").alias("q")).distinct()
+    others = store.written(slim.join(central, "key").where("rep <> pivot"), f"{folder}/others")
+    star = others.select(F.least("rep", "pivot").alias("p"), F.greatest("rep", "pivot").alias("q")).distinct()
     star = store.written(star, f"{folder}/star")
     links = compared(star, "star")
     comp = store.written(components(spark, links, f"{folder}/cc1"), f"{folder}/comp1").withColumnRenamed("doc_id", "rep")
-    # Second round: pairs of a bucket across components, once a pair, with one outside the bucket's largest component.
-    placed = slim.select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    # Second round: pairs of a bucket across components, once a pair, with one outside the bucket's largest component.  The
+    # central set has met all others, so it is left out, and with it buckets of two.
+    placed = others.where("size > 2").select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     main = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     open_ = store.written(placed.join(main, "key"), f"{folder}/open")
-    # A pair meets in the first bucket that it shares: each member has its keys before this one.
-    own = open_.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("own"))
-    before = F.expr("slice(own, 1, CAST(array_position(own, key) AS int) - 1)")
+    # A pair meets in the first bucket that it shares, or in few: each member has the first of its keys before this one.
+    own = open_.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("own"))
+    before = F.filter("own", lambda k: k < F.col("key"))
     placed = store.written(open_.join(own.join(sketches, "rep"), "rep").withColumn("before", before).drop("own"), f"{folder}/placed")
     met = f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {possible} AND NOT arrays_overlap(x.before, y.before)"
     cross = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(met)).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q")).distinct()
