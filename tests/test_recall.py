@@ -1,6 +1,7 @@
 """Engine queries against DuckDB on the smallest tables, and hand-computed values."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from tideline.engine import Engine
 from tideline.functions import judge, model, text
 from tideline.operators import identity, index, ledger, metrics, pack, rank, replay, stats, strength
 from tideline.plans.catalogue import ORACLES, QUERIES
-from tideline.sources import synthetic
+from tideline.sources import scratch, synthetic
 from tideline.streaming.strength import step
 
 SF = "/root/testdata/sf0.001"
@@ -295,6 +296,26 @@ def test_a_batch_reads_the_postings_of_its_terms_only(spark):
     assert postings.where("bucket = -1").count() == 0 and {r["id"] for r in postings.where("term = 'word3'").collect()} == {f"m{i}" for i in range(3, 400, 97)}
 
 
+def test_large_batches_are_summed_where_rows_are(spark):
+    m = spark.range(300).selectExpr("concat('m', id) AS id", "concat('common word', id % 7, ' word', id, ' word', id, if(id % 2 = 0, ' even', '')) AS content")
+    q = spark.createDataFrame([("q1", "common word3 word17"), ("q2", "even word250 word250"), ("q3", "unknown"), ("q4", None)], "qid string, query string")
+    bags = scratch.keyed(index.bags(m, 8), scratch.folder(spark, "bags"), "id", 8)
+    terms = scratch.written(index.terms_of(bags, m), scratch.folder(spark, "terms"))
+    norms = scratch.keyed(index.norms(bags, terms), scratch.folder(spark, "norms"), "id", 8)
+    got, plain = (terms, bags, norms), (terms, index.impacts(m, terms))
+    rows = lambda df: sorted((r["qid"], r["id"], r["sim"]) for r in df.collect())
+    for f in (index.cosine, index.bm25, lambda i, x: index.cosine(i, x, repeats=True, limit=None)):
+        assert rows(f(got, q)) == rows(f(plain, q))
+        assert not re.search(r"Exchange hashpartitioning\(qid#\d+, id#", f(got, q)._jdf.queryExecution().executedPlan().toString())
+    old = index.MOST_FREQUENT
+    try:
+        index.MOST_FREQUENT = 5
+        few = {r["id"]: (round(r["n1"], 9), round(r["n2"], 9)) for r in index.norms(bags, terms).collect()}
+    finally:
+        index.MOST_FREQUENT = old
+    assert few == {r["id"]: (round(r["n1"], 9), round(r["n2"], 9)) for r in norms.collect()}
+
+
 def test_dense_blocks(spark):
     import numpy as np
 

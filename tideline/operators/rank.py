@@ -13,6 +13,13 @@ from . import strength
 
 #: Rows of (id, strength, ...) that go to every executor at once; more are met by a shuffled join.
 MOST_BROADCAST = 1 << 20
+#: Ranked rows that go to every executor to fetch what else their rows of the state have.
+MOST_FETCHED = 1 << 18
+
+
+def fetched(ranked: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """ranked (at most ``most`` rows) with the columns of their rows, which are not dealt out for a few."""
+    return (F.broadcast(ranked) if most <= MOST_FETCHED else ranked).join(rows, "id")
 
 
 def top(scores: DataFrame, k: int, *order) -> DataFrame:
@@ -25,7 +32,7 @@ def top(scores: DataFrame, k: int, *order) -> DataFrame:
 def placed(sims: DataFrame, state: DataFrame, *columns: str) -> DataFrame:
     """sims with columns of their rows' state."""
     slim = state.select("id", *columns)
-    return sims.join(F.broadcast(slim) if slim.count() <= MOST_BROADCAST else slim, "id")
+    return sims.join(F.broadcast(slim) if slim.count() <= MOST_BROADCAST else slim.hint("shuffle_hash"), "id")
 
 
 def candidates(sims: DataFrame, state: DataFrame, queries: DataFrame, prior: float = 0.0, pool: int = model.POOL) -> DataFrame:
@@ -42,7 +49,8 @@ def candidates(sims: DataFrame, state: DataFrame, queries: DataFrame, prior: flo
     head = slim.orderBy(F.col("pinned").desc(), F.col("strength").desc(), "id")
     head = head.limit(pool) if pool else head
     n = queries.select("qid").distinct()
-    rest = head.crossJoin(F.broadcast(n) if n.count() <= MOST_BROADCAST else n).withColumn("sim", F.lit(0.0))
+    asked = n.count()
+    rest = head.crossJoin(F.broadcast(n) if asked <= MOST_BROADCAST else n).withColumn("sim", F.lit(0.0))
     value = F.round(F.col("sim") + prior * F.col("strength"), 9)
     order = (F.col("pinned").desc(), value.desc(), F.col("strength").desc(), "id")
     rows = placed(sims, slim, "pinned", "strength")
@@ -51,7 +59,8 @@ def candidates(sims: DataFrame, state: DataFrame, queries: DataFrame, prior: flo
     twin = F.row_number().over(Window.partitionBy("qid", "id").orderBy(F.col("sim").desc()))
     rows = rows.withColumn("twin", twin).where("twin = 1").drop("twin")
     rows = rows.withColumn("utility", value + F.when(F.col("pinned"), model.PINNED_PRIOR).otherwise(0.0))
-    return top(rows, pool, *order).drop("pinned", "strength").join(live, "id")
+    ranked = top(rows, pool, *order).drop("pinned", "strength")
+    return fetched(ranked, live, asked * pool) if pool else ranked.join(live, "id")
 
 
 def blind_order() -> tuple:
