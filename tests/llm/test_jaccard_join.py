@@ -154,3 +154,38 @@ def test_second_round_has_no_buckets_of_two(spark, monkeypatch):
     monkeypatch.setattr(jj.store, "written", lambda df, path: seen.setdefault(path.rsplit("/", 1)[-1], written(df, path)))
     assert joined(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90) == plain(rows, 3, 90)
     assert seen["star"].count() > 0 and seen["open"].count() == 0
+
+
+def test_a_group_that_no_set_holds_together_takes_few_pairs(spark, monkeypatch):
+    """Copies with three of sixty changes each: two are linked if they share one, so no set is linked with all."""
+    rng = random.Random(5)
+    base, n = [f"w{i}" for i in range(200)], 400
+    own = [set(rng.sample(range(60), 3)) for _ in range(n)]
+    texts = [" ".join(f"{w}x" if i % 3 == 1 and i // 3 in c else w for i, w in enumerate(base)) for c in own]
+    pairs, real = [], jj.store.written
+
+    def written(df, path, *a, **k):
+        out = real(df, path, *a, **k)
+        if path.endswith("-pairs"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj.store, "written", written)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jj.jaccard_classes(docs, 3, 90).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(198)} for t in texts]
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (396 - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    assert got == {i: top(i) for i in range(n)}
+    assert sum(pairs) < 8 * n

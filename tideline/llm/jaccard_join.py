@@ -16,9 +16,10 @@ more tokens are linked, at most ``spare`` = n - ceil(percent * n / 100) tokens o
    hold k - 1 shared tokens at most; so a prefix is extended until the tokens above that number, over all groups,
    are more than ``spare``.  Sets of one length level use the same groups; a set near a level's edge emits for both.
 5. Sets that share a combination are candidates.  Each bucket's most central set (whose buckets are the largest) is
-   compared with all others in full, unless sizes or odd sketches rule the pair out.  Links give components; then pairs of
-   a bucket that lie in different components are compared in a second round.  So each pair of a bucket is ruled out,
-   compared, or already connected: no link between components is lost, and no group is expanded into all its pairs.
+   compared with all others in full, unless sizes or odd sketches rule the pair out.  Links give components; then pairs
+   that lie in different components are compared in rounds: of large buckets first those within parts of bounded size,
+   dealt out anew each round, so a group of linked sets falls into one component by few pairs a set; in the last round all that are left.  So each pair of a bucket is ruled out, compared, or already connected: no
+   link between components is lost, and no group is expanded into all its pairs.
 
 Result per row with doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable), class_id (smallest doc_id of an
 equal set), n_copies (rows with an equal set, itself included).  Null texts and texts without words have no shingle and are
@@ -29,6 +30,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +45,8 @@ from .words import STEP, U, blocks, mix, shingles, word_names
 RARE, FREQUENT, SET_BITS = 32, 1024, 1024
 #: Keys of a set that travel with its rows of the second round: of pairs that share many, one of the first is shared.
 FIRST_KEYS = 16
+#: Sets of a part of a large bucket in the first round, and rounds in which parts, twice as large each time, are compared.
+PART, ROUNDS = 64, 5
 
 
 def spare(n, percent: int):
@@ -200,22 +204,46 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = store.written(star, f"{folder}/star")
     links = compared(star, "star")
     comp = store.written(components(spark, links, f"{folder}/cc1"), f"{folder}/comp1").withColumnRenamed("doc_id", "rep")
-    # Second round: pairs of a bucket across components, once a pair, with one outside the bucket's largest component.  The
-    # central set has met all others, so it is left out, and with it buckets of two.
-    placed = others.where("size > 2").select("key", "rep").join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    main = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    open_ = store.written(placed.join(main, "key"), f"{folder}/open")
-    # A pair meets in the first bucket that it shares, or in few: each member has the first of its keys before this one.
+    # The central set has met all others of its bucket, so it is left out, and with it buckets of two.  A pair meets in the
+    # first bucket that it shares, or in few: each member has the first of its keys before this one.
+    open_ = others.where("size > 2").select("key", "rep", "size")
     own = open_.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("own"))
     before = F.filter("own", lambda k: k < F.col("key"))
-    placed = store.written(open_.join(own.join(sketches, "rep"), "rep").withColumn("before", before).drop("own"), f"{folder}/placed")
-    met = f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {possible} AND NOT arrays_overlap(x.before, y.before)"
-    cross = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(met)).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q")).distinct()
-    cross = store.written(cross.join(star, ["p", "q"], "left_anti"), f"{folder}/cross")
-    store.remove(spark, f"{folder}/placed")  # cross is written, nothing goes back to it
+
+    def across(comp: DataFrame, name: str, r: int | None = None) -> DataFrame:
+        """Candidates of different components, written, with one outside the bucket's largest component; in round r those
+        of large buckets that lie in one part of these."""
+        most = PART << (r or 0)
+        # Parts are a power of two, so that a pair meets in one part of all its buckets of about a size.
+        part = F.lit(0) if r is None else F.pmod(F.xxhash64("rep", F.lit(r)), F.pow(F.lit(2.0), F.ceil(F.log2("size")) - math.log2(most)).cast("long"))
+        placed = open_.join(comp, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
+        placed = placed.where(F.col("size") > 2 * most) if r is not None else placed
+        main = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+        placed = placed.join(main, "key").withColumn("part", part)
+        placed = store.written(placed.join(own.join(sketches, "rep"), "rep").withColumn("before", before).drop("own"), f"{folder}/{name}-placed")
+        met = f"x.key = y.key AND x.part = y.part AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {possible} AND NOT arrays_overlap(x.before, y.before)"
+        pairs = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(met)).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q")).distinct()
+        pairs = store.written(pairs.join(star, ["p", "q"], "left_anti"), f"{folder}/{name}")
+        store.remove(spark, f"{folder}/{name}-placed")  # pairs are written, nothing goes back to it
+        return pairs
+
+    def joined(comp: DataFrame, more: DataFrame, name: str) -> DataFrame:
+        links = comp.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)
+        return store.written(components(spark, links, f"{folder}/{name}-cc"), f"{folder}/{name}-comp").withColumnRenamed("doc_id", "rep")
+
+    # Parts grow as the sets that no link has met get fewer.
+    for r in range(ROUNDS):
+        pairs = across(comp, f"parts{r}", r)
+        if not pairs.take(1):
+            break
+        more = compared(pairs, f"parts{r}")
+        if not more.take(1):
+            break
+        comp = joined(comp, more, f"parts{r}")
+    # Then all pairs that still lie across components.
+    cross = across(comp, "cross")
     if cross.take(1):
-        more = compared(cross, "cross")
-        comp = store.written(components(spark, comp.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more), f"{folder}/cc2"), f"{folder}/comp2").withColumnRenamed("doc_id", "rep")
+        comp = joined(comp, compared(cross, "cross"), "cross")
     return classes.to_rows(rows, "n", reps, comp, folder)
 
 
