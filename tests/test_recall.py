@@ -353,3 +353,52 @@ def test_scale_rows_and_the_criterion_of_time(spark):
     assert said == ["PASS", "PASS", "PASS", "PASS", "NOT MEASURED", "INFORMATIONAL", "FAIL"]
     none = [r["status"] for r in stats.verdict(one.limit(0), leaks.limit(0), pairs.limit(0), "M14", ["M1", "M2"], ["M3"], ["M14"]).orderBy("n").collect()]
     assert none == ["PASS", "PASS", "FAIL", "NOT MEASURED", "NOT MEASURED", "NOT MEASURED", "NOT MEASURED"]
+
+
+def _most_rows(df):
+    """The most rows that a step of the plan gave when df was collected."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        for inner in ("executedPlan", "plan"):
+            if (inner == "executedPlan") == (node.getClass().getSimpleName() == "AdaptiveSparkPlanExec") and hasattr(node, inner) and (inner == "executedPlan" or "QueryStage" in node.getClass().getSimpleName()):
+                todo.append(getattr(node, inner)())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        m = node.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+    return most
+
+
+@pytest.mark.parametrize("scan,most", [(96, 64), (7, 3), (1, 2), (30, 1)])
+def test_sketch_candidates_do_not_meet_all_rows_of_a_value(spark, scan, most, monkeypatch):
+    """Against plain Python, where all rows share one value and many share others; frequent values and others."""
+    import random
+    import zlib
+
+    monkeypatch.setattr(index, "FREQUENT", 50)
+    monkeypatch.setattr(index, "MOST_VALUES", 1 << 20)
+    rng = random.Random(scan)
+    words = sorted((f"w{i}x" for i in range(400)), key=lambda w: zlib.crc32(w.encode()))
+    texts = {f"m{i:04d}": [words[0], *(rng.choice(words[1:9]) for _ in range(3)), *(words[min(399, int(rng.expovariate(0.02)))] for _ in range(rng.randrange(9)))] for i in range(400)}
+    sketch = {i: sorted({zlib.crc32(w.encode()) for w in t})[:8] for i, t in texts.items()}
+    posts = {}
+    for i, s in sketch.items():
+        for k in s:
+            posts.setdefault(k, []).append(i)
+    want = set()
+    for a, s in sketch.items():
+        seen, shared = 0, {}
+        for k in sorted(s, key=lambda k: (len(posts[k]), k)):
+            if seen >= scan:
+                break
+            seen += len(posts[k])
+            for b in posts[k]:
+                if b != a:
+                    shared[b] = shared.get(b, 0) + 1
+        want |= {(a, b, n) for b, n in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:most]}
+    m = spark.createDataFrame([*((i, " ".join(t)) for i, t in texts.items()), (None, words[0]), ("z", None), ("zz", "")], "id string, content string")
+    got = index.sketch_candidates(m.where("id IS NOT NULL"), scan, most)
+    assert {(r["a"], r["b"], r["shared"]) for r in got.collect()} == want
+    assert _most_rows(got) <= len(texts) * max(scan, most, 8)  # all rows of values: 400 * 400 pairs and more
+    assert index.sketch_candidates(m, scan, most).where("a IS NULL OR b IS NULL").count() == 0
+    assert index.sketch_candidates(m.limit(0), scan, most).count() == 0
