@@ -11,7 +11,7 @@ from tideline.engine import Engine
 from tideline.functions import judge, model, text
 from tideline.operators import identity, index, ledger, metrics, pack, rank, replay, stats, strength
 from tideline.plans.catalogue import ORACLES, QUERIES
-from tideline.sources import scratch, synthetic
+from tideline.sources import scratch, synthetic, tables
 from tideline.streaming.strength import step
 
 SF = "/root/testdata/sf0.001"
@@ -402,3 +402,20 @@ def test_sketch_candidates_do_not_meet_all_rows_of_a_value(spark, scan, most, mo
     assert _most_rows(got) <= len(texts) * max(scan, most, 8)  # all rows of values: 400 * 400 pairs and more
     assert index.sketch_candidates(m, scan, most).where("a IS NULL OR b IS NULL").count() == 0
     assert index.sketch_candidates(m.limit(0), scan, most).count() == 0
+
+
+def test_the_ledger_deals_out_no_texts(spark, monkeypatch):
+    """A log with names of texts instead of texts gives the same rows and events; the ledger's queries take that."""
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+    full, named = (ledger.resolve(tables.mem_log(spark, SF, named)) for named in (False, True))
+    assert "content" not in named[0].columns
+    for x, y in zip(full, named, strict=True):
+        columns = [c for c in x.columns if c != "content"]
+        assert rows(x, *columns) == rows(y, *columns) and x.count() > 0
+    log = spark.createDataFrame([(1, "add", 0.0, "a", None, "x", False, None), (2, "add", 0.0, None, "n", "x", False, None), (3, "add", 1.0, "b", "n", "", False, None)], EVENTS.replace("content", "identity"))
+    assert [(r["id"], r["category"]) for r in ledger.resolve(log)[0].collect()] == [("b", "general")]
+    asked = []
+    monkeypatch.setattr(ledger, "resolve", lambda log, *a: asked.append(log.columns) or named)
+    monkeypatch.setattr(scratch, "_made", {})
+    QUERIES["supersession"](spark, SF)
+    assert asked and "content" not in asked[0]

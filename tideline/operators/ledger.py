@@ -52,12 +52,22 @@ def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | Non
 
     The events are what strength.fold() takes: explicit ones on rows that exist, collapsed adds as accesses (and pins),
     protected rows as pins from the start, supersessions as retires.  Without ``stale_retirement`` nothing is superseded.
+
+    A log may have ``identity`` (text.identity() of the text, null for none) instead of content: rows are the same but
+    without content, and no text is dealt out.  Its adds need ids, and it takes no base.
     """
+    body = [c for c in ("content",) if c in log.columns]
+    if not body and base is not None:
+        raise ValueError("a log without texts takes no base")
     folder = scratch.folder(log.sparkSession, "ledger")
     kept = lambda df, name: scratch.written(df, f"{folder}/{name}")  # noqa: E731  each step feeds several others
     e = log.where("ts IS NOT NULL AND op IS NOT NULL").withColumn("o", _order(F.col("op")))
-    adds = e.where("op = 'add'").withColumn("content", text.trimmed(F.col("content"))).where("content <> ''")
-    adds = adds.withColumn("identity", text.identity(F.col("content"))).withColumn("category", F.lower(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("general"))))
+    adds = e.where("op = 'add'")
+    if body:
+        adds = adds.withColumn("content", text.trimmed(F.col("content"))).where("content <> ''").withColumn("identity", text.identity(F.col("content")))
+    else:
+        adds = adds.where("identity IS NOT NULL AND id IS NOT NULL")
+    adds = adds.withColumn("category", F.lower(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("general"))))
     place = lambda o: F.struct("ts", F.col("seq").alias("x"), o.cast("long").alias("y")) if as_called else F.struct("ts", o.cast("long").alias("x"), F.col("seq").alias("y"))
     at = place(F.col("o"))
     if base is not None:
@@ -71,7 +81,8 @@ def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | Non
     adds = kept(adds, "adds")
     # Which text's rows a retire names. An id that no add gave is a digest, with or without a number.
     owners = adds.where("id IS NOT NULL").select(F.col("id").alias("target"), "identity")
-    digests = adds.where("id IS NULL").select(text.content_id(F.col("content")).alias("digest"), "identity").distinct()
+    digest = text.content_id(F.col("content")) if body else F.lit(None).cast("string")
+    digests = adds.where("id IS NULL").select(digest.alias("digest"), "identity").distinct()
     retires = e.where("op = 'retire'").select(F.col("id").alias("target"), at.alias("at"))
     if stale_retirement:
         retires = retires.unionByName(adds.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("target"), place(F.lit(1)).alias("at")))
@@ -87,7 +98,7 @@ def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | Non
     heads = adds.groupBy("identity", "g").agg(F.min_by(F.struct("seq", "id"), "at").alias("head"), F.min("at").alias("at"))
     cuts = gens.where("r = 1").select("identity", F.col("g"), F.col("at").alias("cut")).join(known.select("identity", F.col("at").alias("cut"), "target"), ["identity", "cut"])
     per = heads.join(cut, "identity", "left_semi").join(cuts, ["identity", "g"], "full").groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("g", "target", F.col("head.seq").alias("seq"), F.col("head.id").alias("id")))).alias("gens"))
-    digest = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(False).alias("live"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("makes"))
+    none = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(False).alias("live"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("makes"))
 
     def step(acc, x):
         # Rows whose id comes from the text are told apart by their number among the rows made: '' stands for them.
@@ -99,9 +110,10 @@ def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | Non
             F.when(makes, F.array_append(acc["makes"], x["seq"])).otherwise(acc["makes"]).alias("makes"),
         )
 
-    makes = per.select("identity", F.explode(F.aggregate("gens", digest, step, lambda acc: acc["makes"])).alias("seq"))
+    makes = per.select("identity", F.explode(F.aggregate("gens", none, step, lambda acc: acc["makes"])).alias("seq"))
     makes = makes.unionByName(heads.join(cut, "identity", "left_anti").select("identity", F.col("head.seq").alias("seq")))
-    made = numbered_ids(adds.join(makes, ["identity", "seq"], "left_semi").select("identity", "id", "content", "category", "ts", "seq", "at", "protected"), base)
+    made = adds.join(makes, ["identity", "seq"], "left_semi").select("identity", "id", *body, "category", "ts", "seq", "at", "protected")
+    made = numbered_ids(made, base) if body else made
     made = kept(made, "made")
     ids = made.select("id") if base is None else made.select("id").union(base.select("id")).distinct()
     # A collapsed add belongs to the last row of its text made before it; without retires there is one row a text.
@@ -127,7 +139,7 @@ def resolve(log: DataFrame, stale_retirement: bool = True, base: DataFrame | Non
     out = events[0]
     for x in events[1:]:
         out = out.unionByName(x)
-    rows = made.select("id", "content", "category", F.col("ts").alias("created"), "seq")
+    rows = made.select("id", *body, "category", F.col("ts").alias("created"), "seq")
     if base is None:
         return rows.join(superseded, "id", "left"), out
     rows = rows.where("seq >= 0").withColumn("before", F.lit(None).cast("string"))
