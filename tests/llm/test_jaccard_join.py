@@ -189,3 +189,24 @@ def test_a_group_that_no_set_holds_together_takes_few_pairs(spark, monkeypatch):
                 root[y] = x
     assert got == {i: top(i) for i in range(n)}
     assert sum(pairs) < 8 * n
+
+
+def test_sets_of_a_group_meet_few_central_sets(spark, monkeypatch):
+    """Copies with two of sixty changes each share many buckets, whose most central sets differ; a set is compared with a
+    few of them, however many buckets it is in."""
+    rng = random.Random(3)
+    base, n = [f"w{i}" for i in range(180)], 60
+    own = [set(rng.sample(range(60), 2)) for _ in range(n)]
+    texts = [" ".join(f"{w}x" if i % 3 == 1 and i // 3 in c else w for i, w in enumerate(base)) for c in own]
+    first, real = [], jj.store.written
+
+    def written(df, path, *a, **k):
+        out = real(df, path, *a, **k)
+        if path.endswith("/first-pairs") or path.endswith("/star-pairs"):
+            first.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj.store, "written", written)
+    rows = list(enumerate(texts))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90) == plain(rows, 3, 90)
+    assert first and first[0] <= 2 * n

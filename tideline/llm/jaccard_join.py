@@ -15,11 +15,13 @@ more tokens are linked, at most ``spare`` = n - ceil(percent * n / 100) tokens o
    combinations are taken within a group.  If linked sets shared no combination of their prefixes, each group would
    hold k - 1 shared tokens at most; so a prefix is extended until the tokens above that number, over all groups,
    are more than ``spare``.  Sets of one length level use the same groups; a set near a level's edge emits for both.
-5. Sets that share a combination are candidates.  Each bucket's most central set (whose buckets are the largest) is
-   compared with all others in full, unless sizes or odd sketches rule the pair out.  Links give components; then pairs
-   that lie in different components are compared in rounds: of large buckets first those within parts of bounded size,
-   dealt out anew each round, so a group of linked sets falls into one component by few pairs a set; in the last round all that are left.  So each pair of a bucket is ruled out, compared, or already connected: no
-   link between components is lost, and no group is expanded into all its pairs.
+5. Sets that share a combination are candidates, unless sizes or odd sketches rule the pair out.  Each bucket has a most
+   central set (whose buckets are the largest); of these each set is compared with the PIVOTS most central ones in full.
+   Links give components; then pairs that lie in different components are compared.  Where a sample says that they are
+   more than the classes, this goes in rounds: of buckets with many sets outside their largest component first those
+   within parts of bounded size, dealt out anew each round as long as that links much, so a group of linked sets falls
+   into one component by few pairs a set; in the last round all that are left.  So each pair of a bucket is ruled out, compared, or already connected: no link between components is lost,
+   and no group is expanded into all its pairs.
 
 Result per row with doc_id: doc_id, n_shingles, component_id (smallest doc_id reachable), class_id (smallest doc_id of an
 equal set), n_copies (rows with an equal set, itself included).  Null texts and texts without words have no shingle and are
@@ -45,6 +47,8 @@ from .words import STEP, U, blocks, mix, shingles, word_names
 RARE, FREQUENT, SET_BITS = 32, 1024, 1024
 #: Keys of a set that travel with its rows of the second round: of pairs that share many, one of the first is shared.
 FIRST_KEYS = 16
+#: Central sets that a set is compared with first.
+PIVOTS = 2
 #: Sets of a part of a large bucket in the first round, and rounds in which parts, twice as large each time, are compared.
 PART, ROUNDS = 64, 5
 
@@ -184,66 +188,87 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = slim.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     slim = store.written(slim.join(sizes, "key"), f"{folder}/slim")
     weight = slim.groupBy("rep").agg(F.sum(F.log2("size")).alias("w"))
-    central = slim.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", "rep"))["rep"].alias("pivot"))
+    central = slim.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", "rep")).alias("pivot"))
     words = [F.col("whole")[i].alias(f"w{i}") for i in range(SET_BITS // 64)]
     sketches = reps.select("rep", "n", *words)
     flips = " + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(SET_BITS // 64))
     possible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 - percent} * (x.n + y.n) >= {100 + percent} * ({flips})"
-    ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
 
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
-        """Of the candidates (p, q), distinct, those linked."""
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """pairs (p, q) that sizes and sketches allow."""
         x, y = (sketches.select(F.col("rep").alias(c), F.struct(*sketches.columns).alias(t)) for c, t in (("p", "x"), ("q", "y")))
-        near = store.written(pairs.join(x, "p").join(y, "q").where(possible).select(*ends).distinct(), f"{folder}/{name}-pairs")
+        return pairs.join(x, "p").join(y, "q").where(possible)
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """Of the candidates (p, q), distinct and allowed by sketches, those linked."""
+        near = store.written(pairs.select(F.col("p").alias("a"), F.col("q").alias("b")), f"{folder}/{name}-pairs")
         some = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         texts = classes.texts(docs, reps, some, k, f"{folder}/{name}-texts")
         return store.written(classes.confirmed(near, texts, k, percent), f"{folder}/{name}-links")
 
-    others = store.written(slim.join(central, "key").where("rep <> pivot"), f"{folder}/others")
-    star = others.select(F.least("rep", "pivot").alias("p"), F.greatest("rep", "pivot").alias("q")).distinct()
-    star = store.written(star, f"{folder}/star")
-    links = compared(star, "star")
+    ordered = lambda x, y: (F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
+    others = store.written(slim.join(central, "key").where("rep <> pivot.rep"), f"{folder}/others")
+    star = store.written(others.select(F.col("rep").alias("p"), F.col("pivot.rep").alias("q"), "pivot.w").distinct(), f"{folder}/star")
+    near = store.written(allowed(star).select("p", "q", "w"), f"{folder}/near")
+    best = near.groupBy("p").agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "q")), asc=False), 1, PIVOTS).alias("best"))
+    first = best.select("p", F.explode("best").alias("x")).select(*ordered("p", "x.q")).distinct()
+    first = store.written(first, f"{folder}/first")
+    links = compared(first, "first")
     comp = store.written(components(spark, links, f"{folder}/cc1"), f"{folder}/comp1").withColumnRenamed("doc_id", "rep")
-    # The central set has met all others of its bucket, so it is left out, and with it buckets of two.  A pair meets in the
-    # first bucket that it shares, or in few: each member has the first of its keys before this one.
-    open_ = others.where("size > 2").select("key", "rep", "size")
+    # Buckets of two whose pair is ruled out or has been compared are left out.  A pair meets in the first bucket that it
+    # shares, or in few: each member has the first of its keys before this one.
+    missed = near.select(*ordered("p", "q")).distinct().join(first, ["p", "q"], "left_anti")
+    two = others.where("size = 2").select("key", *ordered("rep", "pivot.rep")).join(missed, ["p", "q"], "left_semi").select("key")
+    open_ = slim.where("size > 2").unionByName(slim.where("size = 2").join(two, "key", "left_semi"))
+    open_ = store.written(open_.select("key", "rep", "size"), f"{folder}/open")
     own = open_.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("own"))
     before = F.filter("own", lambda k: k < F.col("key"))
 
     def across(comp: DataFrame, name: str, r: int | None = None) -> DataFrame:
         """Candidates of different components, written, with one outside the bucket's largest component; in round r those
-        of large buckets that lie in one part of these."""
+        that lie in one part of a bucket, for large buckets with many sets outside that component."""
         most = PART << (r or 0)
         # Parts are a power of two, so that a pair meets in one part of all its buckets of about a size.
         part = F.lit(0) if r is None else F.pmod(F.xxhash64("rep", F.lit(r)), F.pow(F.lit(2.0), F.ceil(F.log2("size")) - math.log2(most)).cast("long"))
         placed = open_.join(comp, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
         placed = placed.where(F.col("size") > 2 * most) if r is not None else placed
-        main = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+        main = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds"), (F.sum("m") - F.max("m")).alias("outside"))
+        main = main.where("kinds > 1" if r is None else F.col("outside") > most).select("key", "main")
         placed = placed.join(main, "key").withColumn("part", part)
         placed = store.written(placed.join(own.join(sketches, "rep"), "rep").withColumn("before", before).drop("own"), f"{folder}/{name}-placed")
         met = f"x.key = y.key AND x.part = y.part AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {possible} AND NOT arrays_overlap(x.before, y.before)"
         pairs = placed.where("c <> main").alias("x").join(placed.alias("y"), F.expr(met)).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q")).distinct()
-        pairs = store.written(pairs.join(star, ["p", "q"], "left_anti"), f"{folder}/{name}")
+        pairs = store.written(pairs.join(first, ["p", "q"], "left_anti"), f"{folder}/{name}")
         store.remove(spark, f"{folder}/{name}-placed")  # pairs are written, nothing goes back to it
         return pairs
 
     def joined(comp: DataFrame, more: DataFrame, name: str) -> DataFrame:
-        links = comp.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)
-        return store.written(components(spark, links, f"{folder}/{name}-cc"), f"{folder}/{name}-comp").withColumnRenamed("doc_id", "rep")
+        """comp with the links more, by components of its components; the smallest set of one is not in comp."""
+        ends = [comp.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+        met = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        roots = store.written(components(spark, met, f"{folder}/{name}-cc"), f"{folder}/{name}-roots").select("doc_id", F.col("component").alias("root"))
+        old = comp.join(roots, F.col("component") == F.col("doc_id"), "left").select("rep", F.coalesce("root", "component").alias("component"))
+        return store.written(old.unionByName(roots.select(F.col("doc_id").alias("rep"), F.col("root").alias("component"))), f"{folder}/{name}-comp")
 
     # Parts grow as the sets that no link has met get fewer.
-    for r in range(ROUNDS):
+    largest, total = open_.agg(F.max("size")).first()[0] or 0, wide.count()
+    for r in range(ROUNDS if largest > 2 * PART else 0):
         pairs = across(comp, f"parts{r}", r)
-        if not pairs.take(1):
+        asked = pairs.count()
+        if asked * largest <= total * (PART << r):  # a part is this share of a bucket, so all pairs are no more than classes
             break
         more = compared(pairs, f"parts{r}")
-        if not more.take(1):
+        linked = more.count()
+        if linked:
+            comp = joined(comp, more, f"parts{r}")
+        if 4 * linked <= asked:  # few of the rest are linked, so parts would not spare the last round much
             break
-        comp = joined(comp, more, f"parts{r}")
     # Then all pairs that still lie across components.
     cross = across(comp, "cross")
     if cross.take(1):
-        comp = joined(comp, compared(cross, "cross"), "cross")
+        more = compared(cross, "cross")
+        if more.take(1):
+            comp = joined(comp, more, "cross")
     return classes.to_rows(rows, "n", reps, comp, folder)
 
 
